@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,16 @@ _local_root: str | None = None
 _made: list[tuple[SparkSession, str]] = []
 
 
+def workers_find_library(spark: SparkSession) -> None:
+    """Put this library's folder on the path of Python workers that were not started with it (a local session)."""
+    known = spark.sparkContext.environment
+    home = str(Path(__file__).resolve().parents[2])
+    if home not in known.get("PYTHONPATH", "").split(":"):
+        known["PYTHONPATH"] = ":".join(x for x in (home, known.get("PYTHONPATH")) if x)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_find_library(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -47,10 +47,11 @@ class PieceCoder:
 
     ``made(chunks)`` takes a list of piece lists and returns (units, bytes) for each: its ids as little-endian
     unsigned 32-bit integers, and its tokens' bytes, each token followed by a space. Both are kept in two
-    generations of at most ``most`` chunks; a chunk that is met again moves to the newer one.
+    generations of at most ``most`` chunks; a chunk that is met again moves to the newer one. Without ``special``,
+    ``made`` is the library: it gets each chunk unsplit, and other texts whole.
     """
 
-    def __init__(self, path: str, made: Callable[[list[list[str]]], list[tuple[bytes, bytes]]], special: Callable[[str], tuple[bytes, bytes]], most: int = 200_000):
+    def __init__(self, path: str, made: Callable[[list[list[str]]], list[tuple[bytes, bytes]]], special: Callable[[str], tuple[bytes, bytes]] | None, most: int = 200_000):
         self.path, self.made, self.special, self.most = path, made, special, most
         self.kept: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
@@ -83,7 +84,7 @@ class PieceCoder:
             out[k] = older.get(chunks[k])
             if out[k] is None:
                 new.append(k)
-        for k, value in zip(new, self.made([[x] if (x := chunks[k]).isalpha() else _pattern.findall(x) for k in new]), strict=True):
+        for k, value in zip(new, self.made([[x] if (x := chunks[k]).isalpha() or self.special is None else _pattern.findall(x) for k in new]), strict=True):
             out[k] = value
         if len(kept) + len(missing) > self.most:
             self.older, self.kept = kept, {}
@@ -92,6 +93,8 @@ class PieceCoder:
         return out
 
     def _other(self, text: str) -> list[tuple[bytes, bytes]]:
+        if self.special is None:
+            return self.made([[text]]) if text else []
         return [x for part in _special.split(text) for x in ([self.special(part)] if part in SPECIAL else self._exotic(part))]
 
     def _exotic(self, text: str) -> list[tuple[bytes, bytes]]:
