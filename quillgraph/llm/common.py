@@ -131,3 +131,13 @@ def _star(e: DataFrame, large: bool, name: str) -> DataFrame:
         return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
     moved = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """Write ``df`` to the shared folder bucketed by ``key``; grouping and cogrouping by it then need no exchange."""
+    spark = df.sparkSession
+    table = f"quillgraph_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{table}"
+    _made.append((spark, path))
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
