@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, packing
+from . import bpe, exact, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash": simhash.op6_simhash,
     "op8_bpe": bpe.op8_bpe,
     "op9_packing": packing.op9_packing,
     "op10_exact_dedup": exact.op10_exact_dedup,
