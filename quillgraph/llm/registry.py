@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, packing, simhash
+from . import bpe, exact, lines, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_kd_shards": sharding.op2_kd_shards,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op8_bpe": bpe.op8_bpe,
     "op9_packing": packing.op9_packing,
@@ -16,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": lines.ORACLE_SQL,
     "op10_exact_dedup": exact.ORACLE_SQL,
 }
