@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, lines, packing, sharding, simhash
+from . import bpe, exact, lines, packing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op2_kd_shards": sharding.op2_kd_shards,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_simhash": simhash.op6_simhash,
