@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, lines, packing, quality, sharding, simhash
+from . import bpe, exact, lines, media, packing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_kd_shards": sharding.op2_kd_shards,
+    "op3_media": media.op3_media,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op8_bpe": bpe.op8_bpe,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_media": media.op3_media,
     "op5_line_dedup": lines.ORACLE_SQL,
     "op10_exact_dedup": exact.ORACLE_SQL,
 }
