@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, lines, media, packing, quality, sharding, simhash
+from . import bpe, counts, exact, lines, media, packing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media": media.op3_media,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_simhash": simhash.op6_simhash,
+    "op7_token_counts": counts.op7_token_counts,
     "op8_bpe": bpe.op8_bpe,
     "op9_packing": packing.op9_packing,
     "op10_exact_dedup": exact.op10_exact_dedup,
