@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -53,10 +54,26 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/quillgraph-{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    df.write.partitionBy(*partition_by).parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that is written whole inside are deleted with it, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def sweep() -> None:
     """Delete what ``materialise`` has written in this process."""
     while _made:

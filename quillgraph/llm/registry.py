@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, exact, lines, media, packing, quality, sharding, simhash
+from . import bpe, counts, exact, lines, media, packing, passages, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_kd_shards": sharding.op2_kd_shards,
     "op3_media": media.op3_media,
+    "op4_passages": passages.op4_passages,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_counts": counts.op7_token_counts,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_media": media.op3_media,
+    "op4_passages": passages.op4_passages,
     "op5_line_dedup": lines.ORACLE_SQL,
     "op10_exact_dedup": exact.ORACLE_SQL,
 }
