@@ -56,14 +56,14 @@ class SegmentTreeBpe:
         self.last = [ids[c + self.suffix] for c in byte_letter()]
         self.letters = np.array([self.letter, self.last], np.int64)
 
-    def encode_many(self, pieces: list[str]) -> list[list[int]]:
-        """The ids of each piece. Pieces whose trees have the same size are merged in step, one merge each at a time."""
-        out: list[list[int]] = [[]] * len(pieces)
+    def encode_many(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece as little-endian unsigned 32-bit integers. Pieces whose trees have the same size are merged in step, one merge each at a time."""
+        out = [b""] * len(pieces)
         by_size: dict[int, list[int]] = {}
         raws = [x.encode("utf-8", "surrogateescape") for x in pieces]
         for k, raw in enumerate(raws):
             if len(raw) > MANY_BYTES:
-                out[k] = self.encode(pieces[k])
+                out[k] = packed(self.encode(pieces[k]))
             elif raw:
                 by_size.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append(k)
         for leaves, members in by_size.items():
@@ -79,7 +79,7 @@ class SegmentTreeBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], NONE)
 
-    def _in_step(self, raws: list[bytes], leaves: int) -> list[list[int]]:
+    def _in_step(self, raws: list[bytes], leaves: int) -> list[bytes]:
         n = len(raws)
         size = np.array([len(x) for x in raws])
         text = np.frombuffer(b"".join([x.ljust(leaves, b"\0") for x in raws]), np.uint8).reshape(n, leaves)
@@ -121,8 +121,8 @@ class SegmentTreeBpe:
                 node = node >> 1
                 tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
             row = row[tree[row, 1] < NONE]
-        flat = ids[ids >= 0].tolist()
-        ends = np.cumsum((ids >= 0).sum(axis=1)).tolist()
+        flat = ids[ids >= 0].astype("<u4").tobytes()
+        ends = np.cumsum(4 * (ids >= 0).sum(axis=1)).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, piece: str) -> list[int]:
@@ -176,20 +176,25 @@ class SegmentTreeBpe:
         return " ".join([self.token[i] for i in ids])
 
 
-@lru_cache(maxsize=1)
-def _coder(path: str) -> tuple[SegmentTreeBpe, PieceCoder]:
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=2)
+def piece_coder(path: str, tokens: bool) -> PieceCoder:
+    """Codes texts by segment trees; without ``tokens`` the pieces' bytes are left empty."""
     bpe = SegmentTreeBpe(path)
     token = [x.encode("utf-8", "surrogateescape") + b" " for x in bpe.token]
 
-    def packed(ids: list[int]) -> tuple[bytes, bytes]:
-        return struct.pack(f"<{len(ids)}I", *ids), b"".join([token[i] for i in ids])
+    def both(ids: bytes) -> tuple[bytes, bytes]:
+        return ids, b"".join([token[i] for i in memoryview(ids).cast("I")]) if tokens else b""
 
     def made(chunks: list[list[str]]) -> list[tuple[bytes, bytes]]:
         new = list({piece for pieces in chunks for piece in pieces})
         ids = dict(zip(new, bpe.encode_many(new), strict=True))
-        return [packed(ids[pieces[0]] if len(pieces) == 1 else [i for piece in pieces for i in ids[piece]]) for pieces in chunks]
+        return [both(ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[x] for x in pieces])) for pieces in chunks]
 
-    return bpe, PieceCoder(path, made, lambda token: packed([SPECIAL[token]]))
+    return PieceCoder(path, made, lambda text: both(packed([SPECIAL[text]])))
 
 
 def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -206,7 +211,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str, column: str) -> Iterator[tuple[list[memoryview], list[memoryview], pa.RecordBatch]]:
-    _, coder = _coder(path)
+    coder = piece_coder(path, True)
     for batch in slices(batches, column, 6_000_000):
         pairs = list(coder.coded(batch.column(column), tokens=True))
         yield [x[0] for x in pairs], [x[1][:-1] for x in pairs], batch  # without the space after the last token

@@ -6,7 +6,6 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary
+from .bpe import piece_coder, vocabulary
 from .common import documents, materialise, slices, utf8
-from .words import PieceCoder, tokenizer
 
 CAPACITY = 2048
 END_ID = 0
@@ -88,17 +86,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[in
     return out
 
 
-@lru_cache(maxsize=1)
-def _coder(path: str) -> PieceCoder:
-    t = tokenizer(path)
-
-    def made(chunks: list[list[str]]) -> list[tuple[bytes, bytes]]:
-        found = t.encode_batch_fast([x[0] for x in chunks], add_special_tokens=False)
-        return [(struct.pack(f"<{len(ids)}I", *ids), b"") for ids in (x.ids for x in found)]
-
-    return PieceCoder(path, made, None)
-
-
 def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids (the piece's), row_no: each document's ids and END_ID, cut at ``capacity``."""
 
@@ -106,7 +93,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str =
         row_no = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "t", 6_000_000):
             source, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, (of, _) in enumerate(_coder(path).coded(batch.column("t"), tokens=False)):
+            for k, (of, _) in enumerate(piece_coder(path, False).coded(batch.column("t"), tokens=False)):
                 of = bytes(of) + struct.pack("<I", END_ID)
                 for n, at in enumerate(range(0, len(of), 4 * capacity)):
                     part = of[at : at + 4 * capacity]
