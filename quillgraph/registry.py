@@ -2,5 +2,342 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import catalog
+from .functions import markup, tokens
+from .operators import fusion, keyword, outline, vector
+from .plans import records as record_plans
+from .plans import refresh, search
+from .schema import COLUMN_WEIGHTS, DEFAULTS
+from .sources import corpora, entities
+
+#: A query of six words; the vector asked for is that of this id.
+WORDS = "license token worthless clown the moron"
+ASKED = 0
+BATCH = {0: "idiot clown", 1: "license", 2: "que la", 3: "und der", 4: "thing token"}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+E = corpora.outline_ctes(False)
+#: DuckDB: the cleaning steps, with [[ ]] unwrapped three levels deep; a reference is replaced before by the caller.
+_space = r"'[\s\x1c-\x1f]+'"
+
+
+def _clean_sql(x: str) -> str:
+    x = rf"regexp_replace(regexp_replace({x}, '\{{\{{\[?\[?embed(?:-children|-path)?\]?\]?:?\s*(\(\([A-Za-z0-9_-]{{9}}\)\))\s*\}}\}}', '\1', 'g'), '\{{\{{\[\[(?:TODO|DONE)\]\]\}}\}}', '', 'g')"
+    x = rf"regexp_replace({x}, '\(\([A-Za-z0-9_-]{{9}}\)\)', '', 'g')"
+    x = rf"regexp_replace({x}, '\{{\{{[^{{}}]*\}}\}}', '', 'g')"
+    x = rf"regexp_replace({x}, '!\[([^\]]*)\]\([^()]*(?:\([^()]*\)[^()]*)*\)', '\1', 'g')"
+    x = rf"regexp_replace({x}, '\[([^\[\]]+)\]\([^()]*(?:\([^()]*\)[^()]*)*\)', '\1', 'g')"
+    x = f"replace(regexp_replace({x}, '#c:[A-Za-z0-9-]+', '', 'g'), '#[[', '[[')"
+    for _ in range(3):
+        x = rf"regexp_replace({x}, '\[\[([^\[\]]*)\]\]', '\1', 'g')"
+    x = rf"regexp_replace({x}, '#([\p{{L}}\p{{N}}_-]+)', '\1', 'g')"
+    x = rf"regexp_replace({x}, '^([^:\n`]+)::\s*', '\1: ')"
+    x = rf"regexp_replace({x}, '```[\p{{L}}\p{{N}}_+-]*', '', 'g')"
+    for mark in markup.STYLE_DELIMITERS:
+        x = f"replace({x}, '{mark}', '')"
+    return f"trim(regexp_replace({x}, {_space}, ' ', 'g'))"
+
+
+@query(f"""{E} SELECT count(*) AS entities, count(title) AS pages, count(string) AS blocks, count(*) FILTER (title IS NULL AND string IS NULL) AS other,
+count(time) AS with_time, count(edit_time) AS with_edit_time, count(*) FILTER (string = '') AS empty_strings, sum(length(string))::BIGINT AS characters FROM e""")
+def entity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.profile(corpora.outline(spark, sf_dir))
+
+
+@query(f"{E} SELECT uid FROM e")
+def uid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.uid_sweep(corpora.outline(spark, sf_dir))
+
+
+@query(f"{E} SELECT uid FROM e WHERE edit_time > 3010")
+def edited_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.edited_since(corpora.outline(spark, sf_dir), 3010)
+
+
+@query(f"""{E}, t AS (SELECT id, string AS s FROM e WHERE string IS NOT NULL UNION ALL SELECT -1 - doc_id, text FROM documents)
+SELECT id, {_clean_sql("s")} AS clean FROM t""")
+def markup_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = corpora.outline(spark, sf_dir).where("string is not null").select("id", F.col("string").alias("s"))
+    docs = corpora.documents(spark, sf_dir).select((-1 - F.col("uid")).alias("id"), F.col("text").alias("s"))
+    return blocks.unionByName(docs).select("id", markup.plain_text(F.col("s")).alias("clean"))
+
+
+#: DuckDB: prose of outline rows, with references resolved, and names.
+PROSE = f"""{E}, p AS (SELECT e.*, coalesce({_clean_sql("string")}, '') AS own, {_clean_sql("title")} AS title_text FROM e),
+ref AS (SELECT uid AS ref_uid, left(own, 300) AS ref_text FROM p WHERE string IS NOT NULL),
+q AS (SELECT p.*, CASE WHEN ref_uid IS NULL THEN own ELSE {_clean_sql("replace(string, '((' || ref_uid || '))', ref_text)")} END AS clean
+  FROM p LEFT JOIN ref ON regexp_extract(string, '\\(\\(([A-Za-z0-9_-]{{9}})\\)\\)', 1) = ref_uid)"""
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.outline(spark, sf_dir)
+    return outline.cleaned(outline.with_references(rows, outline.reference_texts(rows)))
+
+
+@query(f"{PROSE} SELECT id, clean FROM q WHERE uid LIKE 'C%'")
+def block_ref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir).where("uid like 'C%'").select("id", "clean")
+
+
+_names = r"list_concat(regexp_extract_all(x, '\[\[([^\[\]]*)\]\]', 1), regexp_extract_all(replace(replace(x, '[[', ''), ']]', ''), '#([\p{L}\p{N}_-]+)', 1))"
+
+
+@query(f"""{E}, t AS (SELECT id, replace(regexp_replace(regexp_replace(string, '#c:[A-Za-z0-9-]+', '', 'g'), '^([^:\\n`]+)::\\s*', ''), '#[[', '[[') AS x FROM e WHERE uid[1] IN ('N', 'C', 'T', 'O'))
+SELECT id, array_to_string({_names}, '|') AS names FROM t""")
+def page_ref_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.outline(spark, sf_dir).where(F.left("uid", F.lit(1)).isin("N", "C", "T", "O"))
+    return rows.select("id", F.array_join(markup.page_names(F.col("string")), "|").alias("names"))
+
+
+CRUMBS = f"""{PROSE}, above AS (SELECT q.id, unnest(q.parents) AS aid FROM q WHERE q.string IS NOT NULL),
+crumb AS (SELECT above.id, string_agg(left(a.clean, 60), ' · ' ORDER BY len(a.parents)) AS path FROM above JOIN q a ON a.id = aid AND a.string IS NOT NULL AND a.clean <> '' GROUP BY above.id)"""
+
+
+@query(f"{CRUMBS} SELECT id, path FROM crumb")
+def breadcrumb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.breadcrumbs(outline.by_id(_rows(spark, sf_dir))).select(F.col("ordinal").alias("id"), "path")
+
+
+@query(f"""{E}, c AS (SELECT p.id AS parent_id, unnest(p.children) AS child_id FROM e p)
+SELECT parent_id, child_id, row_number() OVER (PARTITION BY c.parent_id ORDER BY k.ord) AS place FROM c JOIN e k ON k.id = child_id""".replace("SELECT parent_id, child_id, row", "SELECT c.parent_id, child_id, row"))
+def ordered_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outline.ordered_children(outline.by_id(corpora.outline(spark, sf_dir)))
+    lists = found.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("order", "pos", "child_id"))).alias("s"))
+    return lists.select("parent_id", F.posexplode("s").alias("p", "x")).select("parent_id", F.col("x.child_id").alias("child_id"), (F.col("p") + 1).cast("long").alias("place"))
+
+
+TAGS = """tag AS (SELECT parent_id AS id, CASE WHEN string LIKE '%[[%' THEN [regexp_extract(string, '\\[\\[(.*)\\]\\]', 1), 'cust'] ELSE [trim(string_split(substr(string, 7), ',')[1]), 'plain'] END AS tags FROM e WHERE uid LIKE 'T0%')"""
+
+
+@query(f"{E}, {TAGS} SELECT id, array_to_string(tags, '|') AS tags FROM tag")
+def tag_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.folded_tags(outline.by_id(_rows(spark, sf_dir))).select("id", F.array_join("tags", "|").alias("tags"))
+
+
+BELOW = """walk AS (SELECT parent_id AS root, id AS node, [ord] AS path FROM q WHERE parent_id IS NOT NULL
+  UNION ALL SELECT walk.root, q.id, list_append(walk.path, q.ord) FROM walk JOIN q ON q.parent_id = walk.node),
+below AS (SELECT root AS id, string_agg(clean, ' · ' ORDER BY path) AS descendant_text FROM walk JOIN q ON q.id = node WHERE clean <> '' GROUP BY root)"""
+
+
+@query(f"{PROSE.replace('WITH raw', 'WITH RECURSIVE raw', 1)}, {BELOW} SELECT id, descendant_text FROM below")
+def descendant_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.descendants(outline.by_id(_rows(spark, sf_dir)))
+
+
+@query(f"{E} SELECT uid, title FROM e WHERE title IS NOT NULL AND trim(title) <> '' AND NOT starts_with(title, 'roam/') AND NOT regexp_full_match(uid, '\\d{{2}}-\\d{{2}}-\\d{{4}}')")
+def skip_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.outline(spark, sf_dir)
+    return rows.where(outline.indexable(rows, include_daily_notes=False)).select("uid", "title")
+
+
+RECORDS = f"""{CRUMBS.replace('WITH raw', 'WITH RECURSIVE raw', 1)}, {TAGS}, {BELOW},
+pages AS (SELECT id, title, title_text FROM q WHERE title IS NOT NULL AND NOT starts_with(title, 'roam/')),
+r AS (
+  SELECT q.uid, q.title AS page_title, q.title_text AS breadcrumb, q.title_text AS text, q.title_text AS lead, CAST(NULL AS STRING) AS names_of, q.*, true AS is_page FROM q JOIN pages USING (id)
+  UNION ALL
+  SELECT q.uid, pages.title, pages.title_text || coalesce(' › ' || path, ''), clean, pages.title_text || coalesce(' › ' || path, '') || ' › ' || clean, q.string, q.*, false
+  FROM q JOIN pages ON q.page_id = pages.id LEFT JOIN crumb ON crumb.id = q.id WHERE q.string IS NOT NULL AND clean <> ''
+), n AS (SELECT *, replace(regexp_replace(regexp_replace(coalesce(names_of, title), '#c:[A-Za-z0-9-]+', '', 'g'), '^([^:\\n`]+)::\\s*', ''), '#[[', '[[') AS x FROM r),
+m AS (SELECT n.*, CASE WHEN id = 903 THEN ['Peru', 'Rivers of Peru basin'] ELSE list_distinct_kept END AS concepts FROM (SELECT n.*, {_names} AS list_distinct_kept FROM n) n),
+rec AS (SELECT m.uid, page_title, breadcrumb, text, array_to_string(concepts, '|') AS concepts, coalesce(array_to_string(tags, '|'), '') AS tags, coalesce(descendant_text, '') AS descendant_text,
+  left(concat_ws(' | ', lead, CASE WHEN len(concepts) > 0 THEN 'concepts: ' || array_to_string(concepts, ' · ') END, 'tags: ' || array_to_string(tags, ' · '), descendant_text), 8000) AS embed_input,
+  greatest(coalesce(time, 0), coalesce(edit_time, 0)) AS edited_at, is_page, ordinal FROM m LEFT JOIN tag USING (id) LEFT JOIN below USING (id))"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_plans.index_records(corpora.outline(spark, sf_dir))
+
+
+@query(f"{RECORDS} SELECT uid, page_title, breadcrumb, text, concepts, tags, descendant_text, embed_input, sha256(embed_input) AS content_hash, edited_at, is_page FROM rec")
+def index_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = {c: F.array_join(c, "|") for c in ("concepts", "tags")}
+    return _records(spark, sf_dir).withColumns(joined).drop("ordinal")
+
+
+@query("SELECT doc_id AS uid, sha256(text) AS content_hash FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.documents(spark, sf_dir).select("uid", F.sha2("text", 256).alias("content_hash"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n_words, len(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS n_tokens FROM documents")
+def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(tokens.query_words(F.col("text"))).cast("long").alias("n_words"), F.size(tokens.index_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+def _bm25_sql(asked: str, fields: dict[str, tuple[str, float]], source: str) -> str:
+    """CTEs up to ``bm(qid, uid, ordinal, score)``. asked: VALUES of (qid, word); fields: name -> (SQL, weight)."""
+    each = " UNION ALL ".join(f"SELECT uid, ordinal, {w} AS w, regexp_extract_all(strip_accents(lower({x})), '[\\p{{L}}\\p{{N}}]+') AS ts FROM {source}" for x, w in fields.values())
+    return f"""asked(qid, term) AS (VALUES {asked}), f AS ({each}), tok AS (SELECT uid, w, unnest(ts) AS term FROM f),
+dl AS (SELECT uid, ordinal, sum(len(ts)) AS dl FROM f GROUP BY uid, ordinal), tot AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM dl),
+tf AS (SELECT uid, term, sum(w) AS f FROM tok WHERE term IN (SELECT term FROM asked) GROUP BY uid, term),
+idf AS (SELECT term, greatest(ln((n - count(*) + 0.5) / (count(*) + 0.5)), 0) AS raw FROM tf, tot GROUP BY term, n),
+bm AS (SELECT qid, uid, ordinal, sum(CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM asked JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (uid), tot GROUP BY qid, uid, ordinal)"""
+
+
+def _values(words: dict[int, str]) -> str:
+    return ", ".join(f"({q}, '{w}')" for q, text in words.items() for w in text.split())
+
+
+_DOCS = "(SELECT doc_id AS uid, doc_id AS ordinal, text FROM documents)"
+_DOC_BM25 = _bm25_sql(_values({ASKED: WORDS}), {"text": ("text", 1.0)}, _DOCS)
+_RANK = "row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ordinal)"
+_COS = "list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) + 1e-12)"
+
+
+def _vec_sql(ids: str) -> str:
+    return f"vec AS (SELECT q.vec_id AS qid, v.vec_id AS uid, v.vec_id AS ordinal, {_COS} AS score FROM embeddings v JOIN documents ON doc_id = v.vec_id, (SELECT * FROM embeddings WHERE vec_id IN ({ids})) q)"
+
+
+def _asked(spark: SparkSession, sf_dir: str, ids: list[int]) -> list[tuple[int, list[float]]]:
+    found = corpora.table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(ids)).select("vec_id", "embedding").collect()
+    return sorted((r["vec_id"], list(r["embedding"])) for r in found)
+
+
+def _doc_bm25(spark: SparkSession, sf_dir: str, words: dict[int, str]) -> DataFrame:
+    index = keyword.keyword_index(corpora.documents(spark, sf_dir), ["text"])
+    return keyword.bm25(index, spark.createDataFrame(list(words.items()), "qid long, query string"), {"text": 1.0})
+
+
+@query(f"WITH {_DOC_BM25} SELECT uid, rank, round(score, 6) AS score FROM (SELECT *, {_RANK} AS rank FROM bm) WHERE rank <= 50")
+def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _doc_bm25(spark, sf_dir, {ASKED: WORDS})
+    ranks = fusion.ranked(found, 50)
+    return ranks.join(found, ["qid", "uid"]).select("uid", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+_WEIGHTED = {c: (c if c not in ("concepts", "tags") else f"replace({c}, '|', ' · ')", w) for c, w in COLUMN_WEIGHTS.items()}
+
+
+@query(f"{RECORDS}, src AS MATERIALIZED (SELECT * FROM rec), {_bm25_sql(_values({0: 'building peru urgent 7 automobile'}), _WEIGHTED, 'src')} SELECT uid, rank, round(score, 6) AS score FROM (SELECT *, {_RANK} AS rank FROM bm) WHERE rank <= 50")
+def keyword_bm25_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = keyword.keyword_index(_records(spark, sf_dir), list(COLUMN_WEIGHTS))
+    found = keyword.bm25(index, spark.createDataFrame([(0, "building peru urgent 7 automobile")], "qid long, query string"), COLUMN_WEIGHTS)
+    return fusion.ranked(found, 50).join(found, ["qid", "uid"]).select("uid", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_vec_sql(str(ASKED))} SELECT uid, rank, round(score, 6) AS score FROM (SELECT *, {_RANK} AS rank FROM vec) WHERE rank <= 50")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (_, asked), = _asked(spark, sf_dir, [ASKED])
+    found = vector.neighbours(corpora.vectors(spark, sf_dir), asked, 50).withColumn("qid", F.lit(ASKED))
+    return fusion.ranked(found, 50).join(found, ["qid", "uid"]).select("uid", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def _fused_sql(words: dict[int, str], k: int) -> str:
+    pool = DEFAULTS.pool(k)
+    return f"""WITH {_bm25_sql(_values(words), {"text": ("text", 1.0)}, _DOCS)}, {_vec_sql(", ".join(map(str, words)))},
+kr AS (SELECT * FROM (SELECT qid, uid, {_RANK} AS keyword_rank FROM bm) WHERE keyword_rank <= {pool}), vr AS (SELECT * FROM (SELECT qid, uid, {_RANK} AS vector_rank FROM vec) WHERE vector_rank <= {pool}),
+fu AS (SELECT qid, uid, vector_rank, keyword_rank, coalesce(1 / (60.0::DOUBLE + vector_rank), 0) + coalesce(1 / (60.0::DOUBLE + keyword_rank), 0) AS score FROM vr FULL JOIN kr USING (qid, uid)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vector_rank NULLS LAST, keyword_rank NULLS LAST) AS rank FROM fu) WHERE rank <= {k})"""
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, words: dict[int, str], k: int) -> DataFrame:
+    index = keyword.keyword_index(corpora.documents(spark, sf_dir), ["text"])
+    asked = [(q, words[q], v) for q, v in _asked(spark, sf_dir, list(words))]
+    found = search.hybrid_search(spark, corpora.vectors(spark, sf_dir), index, asked, k, {"text": 1.0})
+    long = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("vector_rank", "keyword_rank", "rank")}  # 0: not ranked
+    return found.withColumns(long).withColumn("score", F.round("score", 9))
+
+
+@query(f"{_fused_sql({ASKED: WORDS}, 10)} SELECT uid, round(top.score, 9) AS score, coalesce(vector_rank, 0) AS vector_rank, coalesce(keyword_rank, 0) AS keyword_rank, rank, left(text, 200) AS preview FROM top JOIN documents ON doc_id = uid")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _hybrid(spark, sf_dir, {ASKED: WORDS}, 10)
+    docs = corpora.documents(spark, sf_dir).select("uid", F.left("text", F.lit(200)).alias("preview"))
+    return hits.join(docs, "uid").select("uid", "score", "vector_rank", "keyword_rank", "rank", "preview")
+
+
+@query(f"{_fused_sql(BATCH, 10)} SELECT qid, uid, round(score, 9) AS score, coalesce(vector_rank, 0) AS vector_rank, coalesce(keyword_rank, 0) AS keyword_rank, rank FROM top")
+def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, BATCH, 10).select("qid", "uid", "score", "vector_rank", "keyword_rank", "rank")
+
+
+@query(f"{_fused_sql({ASKED: WORDS}, 20)} SELECT count(vector_rank) AS vectors, count(keyword_rank) AS keywords, count(*) AS hits FROM fu")
+def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = DEFAULTS.pool(20)
+    near = fusion.ranked(vector.batch_neighbours(spark, corpora.vectors(spark, sf_dir), _asked(spark, sf_dir, [ASKED]), pool), pool)
+    found = fusion.ranked(_doc_bm25(spark, sf_dir, {ASKED: WORDS}), pool)
+    return fusion.fused(near, found, 2 * pool).agg(F.count("vector_rank").alias("vectors"), F.count("keyword_rank").alias("keywords"), F.count("*").alias("hits"))
+
+
+@query("""WITH r AS (SELECT doc_id AS uid, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents UNION ALL SELECT doc_id, row_number() OVER (ORDER BY doc_id) FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) FROM documents WHERE doc_id % 3 = 0) SELECT uid, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS score FROM r GROUP BY uid""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.table(spark, sf_dir, "documents").select(F.lit(0).alias("qid"), F.col("doc_id").alias("uid"), F.col("doc_id").alias("ordinal"), "n_chars")
+    legs = [docs.withColumn("score", F.col("n_chars").cast("double")), docs.where("uid % 2 = 0").withColumn("score", F.lit(0.0)), docs.where("uid % 3 = 0").withColumn("score", -F.col("n_chars").cast("double"))]
+    return fusion.rrf([fusion.ranked(leg, 2**31 - 1) for leg in legs]).select("uid", F.round("score", 9).alias("score"))
+
+
+#: A copy of the documents as a store would hold it: some missing, some changed, some that are gone by now.
+_STORED = "stored AS (SELECT doc_id AS uid, sha256(CASE WHEN doc_id % 7 = 1 THEN text || '!' ELSE text END) AS content_hash FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id + 1000000000, sha256(text) FROM documents WHERE doc_id % 7 = 2)"
+_PLAN = f"WITH {_STORED}, now AS (SELECT doc_id AS uid, sha256(text) AS content_hash FROM documents), pl AS (SELECT uid, CASE WHEN now.content_hash IS NULL THEN 'delete' WHEN now.content_hash = stored.content_hash THEN 'keep' ELSE 'embed' END AS action FROM now FULL JOIN stored USING (uid))"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, uid = corpora.documents(spark, sf_dir), F.col("uid")
+    kept = docs.where("uid % 7 <> 0").select("uid", F.sha2(F.when(uid % 7 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"))
+    return kept.unionByName(docs.where("uid % 7 = 2").select((uid + 1000000000).alias("uid"), F.sha2("text", 256).alias("content_hash")))
+
+
+@query(f"{_PLAN} SELECT * FROM pl")
+def refresh_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.refresh_plan(content_hash(spark, sf_dir), _stored(spark, sf_dir))
+
+
+@query(f"{_PLAN} SELECT count(*) FILTER (action = 'embed') AS embedded, count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (action = 'keep') AS unchanged, count(*) FILTER (action <> 'delete') AS record_count FROM pl")
+def refresh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.refresh_counts(refresh_diff(spark, sf_dir))
+
+
+@query(f"{_PLAN} SELECT now.uid, now.content_hash FROM now")
+def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, now, stored = refresh_diff(spark, sf_dir), content_hash(spark, sf_dir), _stored(spark, sf_dir)
+    new = now.join(plan.where("action = 'embed'"), "uid", "left_semi")
+    return refresh.upserted(refresh.deleted(stored, plan.where("action = 'delete'")), new)
+
+
+@query("SELECT doc_id AS uid, lang FROM documents WHERE doc_id % 5 <> 0")
+def delete_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "lang")
+    return refresh.deleted(docs, docs.where("uid % 5 = 0").select("uid").unionByName(spark.createDataFrame([(-1,)], "uid long")))
+
+
+@query("SELECT doc_id AS uid, text FROM documents WHERE doc_id IN (3, 5, 8, 13)")
+def records_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.documents(spark, sf_dir).select("uid", "text")
+    return search.records_by_uid(docs, spark.createDataFrame([(x,) for x in (3, 5, 8, 13, -7)], "uid long"))
+
+
+_METAS = [("fresh", "2026-08-07T17:00:00+00:00", "2026-08-01T00:00:00+00:00"), ("naive", None, "2026-08-07T17:30:00"), ("offset", "2026-08-07T19:00:00+02:00", "x"), ("future", "2026-08-07T18:10:00+00:00", "x"), ("broken", "soon", "2026-08-07T17:00:00+00:00"), ("blank", "", "2026-08-07T16:00:00+00:00")]
+
+
+@query("""SELECT * FROM (VALUES ('fresh', 3600.0::DOUBLE), ('naive', 1800.0), ('offset', 3600.0), ('future', -600.0), ('broken', NULL), ('blank', 7200.0)) AS t(name, age)""")
+def index_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_METAS, "name string, refreshed_at string, built_at string")
+    now = F.lit(datetime(2026, 8, 7, 18, tzinfo=UTC))
+    return rows.select("name", catalog.age_seconds(F.col("refreshed_at"), F.col("built_at"), now).alias("age"))
+
+
+@query("SELECT 'notes-2' AS name, 'Work' AS nickname")
+def catalog_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(0, "notes-1", ""), (1, "notes-2", "Work"), (2, "work", "other")], "ordinal long, name string, nickname string")
+    return catalog.resolved(rows, F.lit("WORK")).select("name", "nickname")
