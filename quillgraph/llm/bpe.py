@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, utf8
+from .common import added, documents, slices, utf8
 from .words import SPECIAL, PieceCoder, byte_letter
 
 #: Above every rank and position.
@@ -199,15 +199,12 @@ def piece_coder(path: str, tokens: bool) -> PieceCoder:
 
 def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``df`` with ids (binary: little-endian unsigned 32-bit integers) and decoded (string), of each whole text."""
-    kept = df.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, decoded, batch in _coded(batches, path, "_bpe_text"):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([bytes(x) for x in ids], pa.binary()), pa.array([bytes(x) for x in decoded], pa.binary())], names=[*kept, "_ids", "_decoded"])
+    def values(raw: pa.Array) -> list[pa.Array]:
+        pairs = list(piece_coder(path, True).coded(raw, tokens=True))
+        return [pa.array([bytes(x[0]) for x in pairs], pa.binary()), pa.array([bytes(x[1][:-1]) for x in pairs], pa.binary())]
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_ids binary", "_decoded binary"])
-    out = df.withColumn("_bpe_text", utf8(text)).mapInArrow(run, schema)
-    return out.select(*kept, F.col("_ids").alias("ids"), F.col("_decoded").cast("string").alias("decoded"))
+    return added(df, text, {"ids": "binary", "decoded": "binary"}, values).withColumn("decoded", F.col("decoded").cast("string"))
 
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str, column: str) -> Iterator[tuple[list[memoryview], list[memoryview], pa.RecordBatch]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that the contracts call white space.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -94,6 +95,38 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def added(df: DataFrame, text: str, outputs: dict[str, str], values: Callable[[pa.Array], list[pa.Array]], most_bytes: int = 2_000_000) -> DataFrame:
+    """``df`` with the columns ``outputs`` (name -> type), which ``values`` makes of an array of the text's bytes.
+
+    Input columns of an output's name are replaced; all others are kept whatever they are called.
+    """
+    df = df.drop(*(c for c in outputs if c != text))
+    names = df.columns
+    schema = T.StructType([T.StructField("row", df.schema), *(T.StructField(c, _parse(kind)) for c, kind in outputs.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "raw", most_bytes):
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *values(batch.column("raw"))], names=["row", *outputs])
+
+    found = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), utf8(text).alias("raw")).mapInArrow(run, schema)
+    return found.select(*(F.col(f"row.`{c}`") for c in names), *outputs)
+
+
+def bundled(df: DataFrame, text: str) -> DataFrame:
+    """doc_id, the text, and rest: a struct of all other columns, whose names then clash with nothing."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("doc_id", text)]
+    return df.select("doc_id", text, F.struct(*(rest or [F.lit(None).cast("int").alias("none")])).alias("rest"))
+
+
+def unbundled(df: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """``columns`` of a ``bundled`` DataFrame."""
+    return df.select(*(F.col(f"`{c}`") if c in ("doc_id", text) else F.col(f"rest.`{c}`") for c in columns))
+
+
+def _parse(kind: str) -> T.DataType:
+    return {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "binary": T.BinaryType()}[kind]
+
+
 def binaries(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all values one after another, n+1 offsets) of a string or binary array; nulls have no bytes."""
     kind = array.type

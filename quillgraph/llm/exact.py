@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, bucketed, documents, materialise, slices, utf8
+from .common import SPACE_BYTES, bucketed, bundled, documents, materialise, slices, unbundled, utf8
 
 #: Bytes of text in a part; a part's rows are all that one cogrouped task holds at a time.
 PART_BYTES = 8_000_000
@@ -186,10 +186,10 @@ def exact_groups(df: DataFrame, text: str = "text") -> DataFrame:
 
 def without_copies(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with one row of each group of ``exact_groups``; rows of other texts stay as they are."""
-    rows, groups = marked(df, text)
-    single = rows.where("_key is null").select(*df.columns)
-    kept = rows.where("_key is not null").join(groups.select(F.col("_keep_row").alias("_row")), "_row", "left_semi").select(*df.columns)
-    return single.unionByName(kept)
+    rows, groups = marked(bundled(df, text), text)
+    single = rows.where("_key is null").select("doc_id", text, "rest")
+    kept = rows.where("_key is not null").join(groups.select(F.col("_keep_row").alias("_row")), "_row", "left_semi").select("doc_id", text, "rest")
+    return unbundled(single.unionByName(kept), df.columns, text)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

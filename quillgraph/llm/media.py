@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .common import documents, slices, utf8
+from .common import added, documents, slices
 
 
 def padded(text: bytes) -> bytes:
@@ -21,30 +21,23 @@ def padded(text: bytes) -> bytes:
 
 def with_media(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_bytes and media: the padded text as a progressive JPEG. A null text counts as empty."""
-    names = df.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_raw", 2_000_000):
-            raws = batch.column("_raw").to_pylist()
-            media = [jpeg.encode_payload(padded(x)) for x in raws]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(list(map(len, raws)), pa.int64()), pa.array(media, pa.binary())], names=[*names, "n_bytes", "media"])
+    def values(raw: pa.Array) -> list[pa.Array]:
+        raws = raw.to_pylist()
+        return [pa.array(list(map(len, raws)), pa.int64()), pa.array([jpeg.encode_payload(padded(x)) for x in raws], pa.binary())]
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "n_bytes long", "media binary"])
-    return df.withColumn("_raw", utf8(text)).mapInArrow(run, schema)
+    return added(df, text, {"n_bytes": "long", "media": "binary"}, values)
 
 
 def rgb_tensors(df: DataFrame, media: str = "media") -> DataFrame:
-    """``df`` with height, width and rgb (binary: height x width x 3 bytes) of each progressive JPEG; null media give nulls."""
-    names = df.columns
+    """``df`` with height, width and rgb (binary: height x width x 3 bytes) of each progressive JPEG; null or empty media give nulls."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, media, 1_000_000):
-            tensors = [jpeg.rgb(jpeg.decode(x)) if x is not None else None for x in batch.column(media).to_pylist()]
-            found = [pa.array([None if t is None else t.shape[k] for t in tensors], pa.int32()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found, pa.array([None if t is None else t.tobytes() for t in tensors], pa.binary())], names=[*names, "height", "width", "rgb"])
+    def values(raw: pa.Array) -> list[pa.Array]:
+        tensors = [jpeg.rgb(jpeg.decode(x)) if x else None for x in raw.to_pylist()]
+        shape = [pa.array([None if t is None else t.shape[k] for t in tensors], pa.int32()) for k in (0, 1)]
+        return [*shape, pa.array([None if t is None else t.tobytes() for t in tensors], pa.binary())]
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "height int", "width int", "rgb binary"])
-    return df.mapInArrow(run, schema)
+    return added(df, media, {"height": "int", "width": "int", "rgb": "binary"}, values, 1_000_000)
 
 
 def media_digests(df: DataFrame, media: str = "media") -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import binaries, components, documents, materialise, slices, utf8
 
@@ -149,7 +150,7 @@ def paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
     """d (key of a row's doc_id and text), doc_id, no, h (hash of the words) of each paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 3_000_000):
+        for batch in slices(batches, "t", 1_000_000):
             cut = Cut(*binaries(batch.column("t")))
             long = cut.size >= LEAST_WORDS
             of = pa.array(cut.text[long])
@@ -160,7 +161,7 @@ def paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _bands(df: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 3_000_000):
+        for batch in slices(batches, "t", 1_000_000):
             cut = Cut(*binaries(batch.column("t")))
             if not len(cut.first):
                 continue
@@ -240,7 +241,7 @@ def _with_texts(df: DataFrame, text: str, marked: DataFrame) -> DataFrame:
     """doc_id, t, and ``marked``'s columns by d (left join; d of each row is made from its text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 3_000_000):
+        for batch in slices(batches, "t", 1_000_000):
             yield pa.RecordBatch.from_arrays([pa.array(_keyed(batch)), batch.column("doc_id"), batch.column("t")], names=["d", "doc_id", "t"])
 
     return _texts(df, text).mapInArrow(run, "d long, doc_id long, t binary").join(marked, "d", "left")
@@ -255,7 +256,7 @@ def similar_paragraphs(df: DataFrame, found: DataFrame, text: str) -> DataFrame:
     wanted = materialise(one.groupBy(F.col("at.d").alias("d")).agg(F.collect_list("at.no").alias("nos")), "wanted")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 3_000_000):
+        for batch in slices(batches, "t", 1_000_000):
             cut = Cut(*binaries(batch.column("t")))
             value, first = cut.shingles()
             rows_of, nos = [], batch.column("nos").to_pylist()
@@ -315,7 +316,7 @@ def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     joined = _with_texts(df, text, repeated(df, text)).select("doc_id", "t", "nos", "firsts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 3_000_000):
+        for batch in slices(batches, "t", 1_000_000):
             data, offsets = binaries(batch.column("t"))
             cut = Cut(data, offsets)
             columns: list[list] = [[] for _ in range(6)]
@@ -334,26 +335,25 @@ def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
 def passages_removed(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the texts that ``without_repeats`` leaves; rows whose text changes keep their other columns."""
     names = df.columns
-    own = df.withColumn("_t", utf8(text)).withColumn("_id", F.col("doc_id").cast("long"))
+    own = df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("t"), F.struct(*names).alias("row"))
     marked = repeated(df, text)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_t", 3_000_000):
-            d = np.array([text_key(i, t) for i, t in zip(batch.column("_id").to_pylist(), batch.column("_t").to_pylist(), strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(d)], names=[*names, "d"])
+        for batch in slices(batches, "t", 1_000_000):
+            yield pa.RecordBatch.from_arrays([pa.array(_keyed(batch)), batch.column("row")], names=["d", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 3_000_000):
-            data, offsets = binaries(batch.column(text))
+        for batch in slices(batches, "t", 1_000_000):
+            data, offsets = binaries(batch.column("t"))
             cut = Cut(data, offsets)
-            left = []
-            for k, (t, nos) in enumerate(zip(batch.column(text).to_pylist(), batch.column("nos").to_pylist(), strict=True)):
-                left.append(removed(t.encode(), cut, int(offsets[k]), k, set(nos))[0].decode("utf-8", "replace") if nos and t else t)
-            yield pa.RecordBatch.from_arrays([batch.column(c) if c != text else pa.array(left, pa.string()) for c in names], names=names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    joined = own.mapInArrow(key, f"{schema}, d long").join(marked.select("d", "nos"), "d", "left").select(*names, "nos")
-    return joined.mapInArrow(run, schema)
+            left = [removed(t, cut, int(offsets[k]), k, set(nos))[0].decode("utf-8", "replace") if nos else None for k, (t, nos) in enumerate(zip(batch.column("t").to_pylist(), batch.column("nos").to_pylist(), strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(left, pa.string())], names=["row", "left"])
+
+    keyed = own.mapInArrow(key, T.StructType([T.StructField("d", T.LongType()), T.StructField("row", df.schema)]))
+    joined = keyed.join(marked.select("d", "nos"), "d", "left")
+    left = T.StructType([T.StructField("row", df.schema), T.StructField("left", T.StringType())])
+    cleaned = joined.select("row", utf8(f"row.`{text}`").alias("t"), "nos").mapInArrow(run, left)
+    return cleaned.select(*(F.coalesce("left", f"row.`{c}`").alias(c) if c == text else F.col(f"row.`{c}`") for c in names))
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

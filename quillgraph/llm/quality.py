@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, documents, slices, utf8
+from .common import added, binaries, documents, slices, utf8
 
 PASSAGE_WORDS = 64
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of doc_id.
@@ -186,15 +186,7 @@ def scored(df: DataFrame, model: GatedAttention | None, text: str = "text") -> D
     """``df`` with score (0 to 1); without a model each row has 0.5. A null text counts as empty and is scored too."""
     if model is None:
         return df.withColumn("score", F.lit(0.5))
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_raw", 2_000_000):
-            score = model.score(*encode(*binaries(batch.column("_raw"))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score.astype(np.float64))], names=[*names, "score"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "score double"])
-    return df.withColumn("_raw", utf8(text)).mapInArrow(run, schema)
+    return added(df, text, {"score": "double"}, lambda raw: [pa.array(model.score(*encode(*binaries(raw))).astype(np.float64))])
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> GatedAttention | None:

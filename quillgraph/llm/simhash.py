@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, materialise, slices, utf8
+from .common import added, bundled, components, documents, materialise, unbundled
 
 #: A-Z to a-z, and all white space of the contract to blanks.
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
@@ -48,15 +48,7 @@ def fingerprint(text: bytes, words_in_shingle: int) -> int:
 
 def fingerprints(df: DataFrame, of: Callable[[bytes], int], text: str = "text") -> DataFrame:
     """``df`` with _fp (long: the bits of the text's fingerprint)."""
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_raw", 4_000_000):
-            found = np.array([of(x) for x in batch.column("_raw").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found.view(np.int64))], names=[*names, "_fp"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_fp long"])
-    return df.withColumn("_raw", utf8(text)).mapInArrow(run, schema)
+    return added(df, text, {"_fp": "long"}, lambda raw: [pa.array(np.array([of(x) for x in raw.to_pylist()], np.uint64).view(np.int64))], 4_000_000)
 
 
 def word_fingerprint(text: bytes, least_letters: int = 5, least_words: int = 16) -> int:
@@ -224,13 +216,13 @@ def near_duplicates(df: DataFrame, words_in_shingle: int = 4, distance: int = DI
 
 def without_near_copies(df: DataFrame, distance: int = 6, segments: int = 7, text: str = "text") -> DataFrame:
     """``df`` with the row of least doc_id (null last) of each component of ``word_fingerprint`` links; of equal ids one row."""
-    stored = materialise(fingerprints(df, word_fingerprint, text).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    stored = materialise(fingerprints(bundled(df, text), word_fingerprint, text).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     narrow = stored.select("doc_id", "_fp", "_row")
     distinct = materialise(narrow.groupBy("_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_least")), "near-fps")
     linked = components(near_links(distinct, distance, segments), "near")
     of = distinct.join(materialise(linked, "near-classes").withColumnRenamed("node", "_fp"), "_fp", "left")
     stay = of.groupBy(F.coalesce("component", "_fp")).agg(F.min("_least").alias("m")).select(F.col("m._row").alias("_row"))
-    return stored.join(materialise(stay, "near-stay"), "_row", "left_semi").select(*df.columns)
+    return unbundled(stored.join(materialise(stay, "near-stay"), "_row", "left_semi"), df.columns, text)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
