@@ -21,10 +21,15 @@ END_ID = 0
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The plan of fewest sequences among those that fill gaps by triples, pairs, single lengths, or best fit alone."""
+    return min((_plan(counts, capacity, largest) for largest in (3, 2, 1, 0)), key=lambda found: sum(times for times, _ in found))
+
+
+def _plan(counts: dict[int, int], capacity: int, largest: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns [(times, [(length, how many), ...]), ...] that together use each length as often as ``counts`` has it.
 
     Works on the counts of lengths alone. The longest length left opens a pattern. Its gap is filled exactly by one
-    length, a pair or a triple if the index of available sums has it; otherwise by the longest length that fits, and
+    length, a pair or a triple (``largest`` lengths at most) if the index of available sums has it; otherwise by the longest length that fits, and
     the same is tried for what is left of the gap. The pattern is then used as often as availability allows.
     """
     left = np.zeros(capacity + 1, np.int64)
@@ -41,13 +46,17 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[in
 
     def exact(parts: list[int], gap: int) -> tuple[int, ...] | None:
         nonlocal pair_sums
-        if there[gap] and free(parts, (gap,)):
+        if largest and there[gap] and free(parts, (gap,)):
             return (gap,)
+        if largest < 2:
+            return None
         a = np.arange((gap + 1) // 2, gap)  # the longer of a pair
         a = a[there[a] & there[gap - a]]
-        for x in a[np.argsort(-np.minimum(left[a], left[gap - a]), kind="stable")].tolist():
+        for x in a[::-1].tolist():  # the longest that fits, so that short lengths stay for later gaps
             if free(parts, (x, gap - x)):
                 return (x, gap - x)
+        if largest < 3:
+            return None
         if pair_sums is None:
             size = 1 << (2 * capacity + 1).bit_length()
             pair_sums = np.fft.irfft(np.fft.rfft(there.astype(float), size) ** 2, size)[: capacity + 1] > 0.5

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import binaries, components, documents, materialise, slices, utf8
 
 #: A break is a place whose word pair has the least hash within so many words on either side.
-REACH = 7
+REACH = 5
 #: Shorter paragraphs (of very short texts) are not compared.
 LEAST_WORDS = 6
 SHINGLE = 5
