@@ -31,10 +31,13 @@ def neighbours(vectors: DataFrame, query: list[float], limit: int, uid: str = "u
 def batch_neighbours(spark: SparkSession, vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: int, uid: str = "uid", ordinal: str = "ordinal", vector: str = "embedding") -> DataFrame:
     """(qid, uid, ordinal, score): each Arrow batch of vectors is multiplied with all queries at once and gives its own
     ``limit`` best for each, so what goes on to the global ranking is bounded by batches x queries x limit."""
+    kind = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    schema = f"qid long, uid {kind[uid]}, ordinal {kind[ordinal]}, score double"
+    if not queries:
+        return spark.createDataFrame([], schema)
     ids = np.array([q for q, _ in queries], np.int64)
     asked = np.array([v for _, v in queries], np.float64)
     asked_norm = np.sqrt((asked**2).sum(axis=1))
-    kind = {f.name: f.dataType.simpleString() for f in vectors.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,6 +50,4 @@ def batch_neighbours(spark: SparkSession, vectors: DataFrame, queries: list[tupl
                 best = np.lexsort((place, -np.round(scores[:, k], 9)))[:limit]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[k])), batch.column("uid").take(pa.array(best)), batch.column("ordinal").take(pa.array(best)), pa.array(scores[best, k])], names=["qid", "uid", "ordinal", "score"])
 
-    if not queries:
-        return spark.createDataFrame([], f"qid long, uid {kind[uid]}, ordinal {kind[ordinal]}, score double")
-    return vectors.where(F.col(vector).isNotNull()).select(F.col(uid).alias("uid"), F.col(ordinal).alias("ordinal"), F.col(vector).alias("v")).mapInArrow(run, f"qid long, uid {kind[uid]}, ordinal {kind[ordinal]}, score double")
+    return vectors.where(F.col(vector).isNotNull()).select(F.col(uid).alias("uid"), F.col(ordinal).alias("ordinal"), F.col(vector).alias("v")).mapInArrow(run, schema)

@@ -152,9 +152,9 @@ def skip_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORDS = f"""{CRUMBS.replace('WITH raw', 'WITH RECURSIVE raw', 1)}, {TAGS}, {BELOW},
 pages AS (SELECT id, title, title_text FROM q WHERE title IS NOT NULL AND NOT starts_with(title, 'roam/')),
 r AS (
-  SELECT q.uid, q.title AS page_title, q.title_text AS breadcrumb, q.title_text AS text, q.title_text AS lead, CAST(NULL AS STRING) AS names_of, q.*, true AS is_page FROM q JOIN pages USING (id)
+  SELECT q.uid, q.title AS page_title, q.title_text AS breadcrumb, q.title_text AS text, q.title_text AS lead, CAST(NULL AS STRING) AS names_of, q.id, q.title, q.time, q.edit_time, q.ordinal, true AS is_page FROM q JOIN pages ON q.id = pages.id
   UNION ALL
-  SELECT q.uid, pages.title, pages.title_text || coalesce(' › ' || path, ''), clean, pages.title_text || coalesce(' › ' || path, '') || ' › ' || clean, q.string, q.*, false
+  SELECT q.uid, pages.title, pages.title_text || coalesce(' › ' || path, ''), clean, pages.title_text || coalesce(' › ' || path, '') || ' › ' || clean, q.string, q.id, q.title, q.time, q.edit_time, q.ordinal, false
   FROM q JOIN pages ON q.page_id = pages.id LEFT JOIN crumb ON crumb.id = q.id WHERE q.string IS NOT NULL AND clean <> ''
 ), n AS (SELECT *, replace(regexp_replace(regexp_replace(coalesce(names_of, title), '#c:[A-Za-z0-9-]+', '', 'g'), '^([^:\\n`]+)::\\s*', ''), '#[[', '[[') AS x FROM r),
 m AS (SELECT n.*, CASE WHEN id = 903 THEN ['Peru', 'Rivers of Peru basin'] ELSE list_distinct_kept END AS concepts FROM (SELECT n.*, {_names} AS list_distinct_kept FROM n) n),

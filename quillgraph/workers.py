@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def workers_find_library(spark: SparkSession) -> None:
@@ -13,3 +14,12 @@ def workers_find_library(spark: SparkSession) -> None:
     home = str(Path(__file__).resolve().parents[1])
     if home not in known.get("PYTHONPATH", "").split(":"):
         known["PYTHONPATH"] = ":".join(x for x in (home, known.get("PYTHONPATH")) if x)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the folder that the cluster names in ``spark.checkpoint.dir``: a short plan that survives
+    lost executors. A temporary folder is used only where none is named (a local session)."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+    return df.checkpoint()
