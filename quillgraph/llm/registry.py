@@ -22,8 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_media": media.op3_media,
-    "op4_passages": passages.op4_passages,
     "op5_line_dedup": lines.ORACLE_SQL,
     "op10_exact_dedup": exact.ORACLE_SQL,
 }

@@ -289,4 +289,4 @@ def test_components_of_a_chain_and_a_hub(spark):
 
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
-    assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+    assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and all(isinstance(x, str) for x in registry.ORACLE_SQL.values())
