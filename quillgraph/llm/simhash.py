@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import added, bundled, components, documents, materialise, unbundled
+from .common import added, binaries, bundled, components, documents, materialise, slices, unbundled, utf8
+from .passages import _mixed, tuned_bands
 
 #: A-Z to a-z, and all white space of the contract to blanks.
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
@@ -22,7 +23,16 @@ DISTANCE = 4
 SEGMENTS = 5
 #: Fingerprints under one key that one block holds; larger groups are compared block by block.
 BLOCK = 2048
-
+#: Near copies share so much (Jaccard) of their shingles of so many words.
+SIMILARITY = 0.8
+SHINGLE = 5
+#: Texts with close fingerprints are near copies if they share so much of their word pairs: word-by-word edits break
+#: shingles of five soon, but other words in another order share few pairs.
+PAIRS_SIMILARITY = 0.5
+#: Chance that two texts just SIMILARITY alike are compared by the bands alone; likelier above.
+RECALL = 0.9999
+BANDS, ROWS_IN_BAND = tuned_bands(SIMILARITY, RECALL, rows=4)
+_SEEDS = _mixed(np.arange(1, BANDS * ROWS_IN_BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 def fingerprint(text: bytes, words_in_shingle: int) -> int:
     """Bit i is 1 if set in over half the XXH64 hashes of the text's word shingles (repeats count); 0 without words."""
@@ -53,8 +63,9 @@ def fingerprints(df: DataFrame, of: Callable[[bytes], int], text: str = "text")
 
 def word_fingerprint(text: bytes, least_letters: int = 5, least_words: int = 16) -> int:
     """SimHash of a text's distinct longer words. An edited word changes one feature, not a window of shingles, so
-    texts that share 0.8 of their five-word shingles differ in about four bits, while unrelated ones differ in
-    half. A text with too few such words gets the hash of its words in order: only equal ones are then close."""
+    texts with scattered edits that share 0.8 of their five-word shingles differ in about four bits, ones with an
+    appended or cut block in about ten, unrelated ones in half. A text with too few such words gets the hash of
+    its words in order: only equal ones are then close."""
     words = text.translate(_LOWER).split()
     longer = {x.strip(b".,;:!?\"'()") for x in words if len(x) >= least_letters}
     if len(longer) < least_words:
@@ -214,14 +225,161 @@ def near_duplicates(df: DataFrame, words_in_shingle: int = 4, distance: int = DI
     return classes(marked, distance).select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _words(text: bytes) -> list[bytes]:
+    return text.translate(_LOWER).split()
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x, SEED) for x in _words(text)], np.uint64)
+
+
+def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of ``size`` words; fewer words are one shingle, none have none."""
+    width = min(size, len(hashes))
+    n = len(hashes) - width + 1 if width else 0
+    value = np.zeros(n, np.uint64)
+    for k in range(width):
+        value = _mixed(value * np.uint64(3) + hashes[k : k + n])
+    return np.unique(value)
+
+
+def band_keys(of: np.ndarray) -> np.ndarray:
+    """MinHash band keys of a text's ``shingles``; none of none."""
+    if not len(of):
+        return of
+    least = np.full(len(_SEEDS), np.uint64(2**64 - 1))
+    for at in range(0, len(of), 2048):
+        least = np.minimum(least, _mixed(of[None, at : at + 2048] ^ _SEEDS[:, None]).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS_IN_BAND).T:
+        key = _mixed(key * np.uint64(3) + row)
+    return key
+
+
+def _marks(raw: pa.Array) -> list[pa.Array]:
+    texts = raw.to_pylist()
+    fps = np.array([word_fingerprint(x) for x in texts], np.uint64).view(np.int64)
+    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(_words(x)), SEED) for x in texts], np.uint64).view(np.int64)
+    return [pa.array(fps), pa.array(hashes), pa.array([band_keys(shingles(word_hashes(x))).tobytes() for x in texts], pa.binary())]
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = binaries(batch.column("_bands"))
+        of = np.repeat(batch.column("h").to_numpy(), np.diff(offsets) // 8)
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(of)], names=["key", "h"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, h) the groups of several h under one key; the new key is made of the group's h, so that equal groups are one."""
+    key = h = np.empty(0, np.int64)
+    batches = iter(batches)
+    done = False
+    while not done:
+        batch = next(batches, None)
+        done = batch is None
+        if not done:
+            key, h = np.concatenate((key, batch.column("key").to_numpy())), np.concatenate((h, batch.column("h").to_numpy()))
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+        key, h = key[new], h[new]
+        cut = len(key) if done else int(np.searchsorted(key, key[-1]))
+        if cut:
+            starts = np.flatnonzero(np.concatenate(([True], key[1:cut] != key[: cut - 1])))
+            sizes = np.diff(np.append(starts, cut))
+            name = _mixed(np.add.reduceat(_mixed(h[:cut].view(np.uint64)), starts) + sizes.astype(np.uint64))
+            several = np.repeat(sizes > 1, sizes)
+            if several.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, sizes)[several].view(np.int64)), pa.array(h[:cut][several])], names=["key", "h"])
+        key, h = key[cut:], h[cut:]
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / max(1, len(a) + len(b) - common)
+
+
+def _alike(of: list[tuple[int, bool, int, np.ndarray]], distance: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of one block's near copies (h, probe, fingerprint, word hashes); one of a pair is no probe."""
+    five, two = [shingles(x[3]) for x in of], [shingles(x[3], 2) for x in of]
+    sizes = np.array(list(map(len, five)))
+    probe = np.array([x[1] for x in of], bool)
+    fp = np.array([x[2] for x in of], np.int64).view(np.uint64)
+    label, at = np.arange(len(of)), np.arange(len(of))
+    links = []
+    for i in np.flatnonzero(~probe).tolist():
+        sized = (sizes >= SIMILARITY * sizes[i]) & (SIMILARITY * sizes <= sizes[i])
+        close = np.bitwise_count(fp ^ fp[i]) <= distance
+        for j in np.flatnonzero((sized | close) & (probe | (at > i)) & (label != label[i])).tolist():
+            if label[i] != label[j] and (sized[j] and _jaccard(five[i], five[j]) >= SIMILARITY or close[j] and _jaccard(two[i], two[j]) >= PAIRS_SIMILARITY):
+                links.append((of[i][0], of[j][0]))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _verified(distance: int):  # noqa: ANN202
+    """Reads rows sorted by (key, block); yields a spanning forest of each block's links."""
+
+    def closed(rows: list) -> Iterator[pa.RecordBatch]:
+        if links := _alike(rows, distance):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            data, offsets = binaries(batch.column("words"))
+            for k, (key, block, *rest) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "h", "probe", "_fp")), strict=True)):
+                if (key, block) != at:
+                    yield from closed(rows)
+                    at, rows = (key, block), []
+                rows.append((*rest, np.frombuffer(data[offsets[k] : offsets[k + 1]].tobytes(), np.uint64)))
+        yield from closed(rows)
+
+    return run
+
+
+def alike_links(stored: DataFrame, distinct: DataFrame, text: str, distance: int, segments: int) -> DataFrame:
+    """(src, dst) over h of ``distinct`` (h, _fp, _bands, _least with the _row of one such text in ``stored``): verified
+    links between texts that share a MinHash band or a component of fingerprints within ``distance``."""
+    banded = distinct.select("h", "_bands").mapInArrow(_banded, "key long, h long")
+    near = components(near_links(distinct.select("_fp").distinct(), distance, segments), "near-fps")
+    near = materialise(near.select(F.col("node").alias("_fp"), "component"), "near-fp-classes")
+    close = distinct.select("_fp", "h").join(near, "_fp", "left").select(F.xxhash64(F.coalesce("component", "_fp")).alias("key"), "h")
+    groups = banded.unionByName(close).repartition("key").sortWithinPartitions("key", "h").mapInArrow(_groups, "key long, h long").distinct()
+    groups = materialise(groups, "near-groups")
+    wanted = materialise(distinct.join(groups.select("h").distinct(), "h", "left_semi").select("_fp", F.col("_least._row").alias("_row")), "near-wanted")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", 4_000_000):
+            words = [word_hashes(x).tobytes() for x in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("_fp"), pa.array(words, pa.binary())], names=["h", "_fp", "words"])
+
+    held = stored.drop("_fp").join(wanted, "_row").select("h", "_fp", utf8(text).alias("t")).mapInArrow(hashed, "h long, _fp long, words binary")
+    held = materialise(held, "near-words")
+    sizes = materialise(groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "near-sizes")
+    dealt = groups.join(sizes, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("probe", F.pmod(F.xxhash64("h"), F.col("blocks")) != F.col("block"))
+    checked = dealt.join(held, "h").select("key", "block", "probe", "h", "_fp", "words").repartition("key", "block").sortWithinPartitions("key", "block")
+    return checked.mapInArrow(_verified(distance), "src long, dst long")
+
+
 def without_near_copies(df: DataFrame, distance: int = 6, segments: int = 7, text: str = "text") -> DataFrame:
-    """``df`` with the row of least doc_id (null last) of each component of ``word_fingerprint`` links; of equal ids one row."""
-    stored = materialise(fingerprints(bundled(df, text), word_fingerprint, text).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    narrow = stored.select("doc_id", "_fp", "_row")
-    distinct = materialise(narrow.groupBy("_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_least")), "near-fps")
-    linked = components(near_links(distinct, distance, segments), "near")
-    of = distinct.join(materialise(linked, "near-classes").withColumnRenamed("node", "_fp"), "_fp", "left")
-    stay = of.groupBy(F.coalesce("component", "_fp")).agg(F.min("_least").alias("m")).select(F.col("m._row").alias("_row"))
+    """``df`` with the row of least doc_id (null last) of each component of near copies; of equal ids one row.
+
+    Near copies have equal words (texts without words too), or share SIMILARITY of their five-word shingles, or have
+    fingerprints within ``distance`` and share PAIRS_SIMILARITY of their word pairs; both are exact Jaccard. Texts
+    that share just SIMILARITY may differ in 16 of 64 bits, for which pigeonring has no selective keys, so MinHash
+    bands find candidates besides it. Every link is verified.
+    """
+    stored = added(bundled(df, text), text, {"_fp": "long", "h": "long", "_bands": "binary"}, _marks, 4_000_000)
+    stored = materialise(stored.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_least")
+    distinct = materialise(stored.groupBy("h").agg(least, F.first("_fp").alias("_fp"), F.first("_bands").alias("_bands")), "near-texts")
+    linked = components(alike_links(stored, distinct, text, distance, segments), "near")
+    of = distinct.select("h", "_least").join(materialise(linked, "near-classes").withColumnRenamed("node", "h"), "h", "left")
+    stay = of.groupBy(F.coalesce("component", "h")).agg(F.min("_least").alias("m")).select(F.col("m._row").alias("_row"))
     return unbundled(stored.join(materialise(stay, "near-stay"), "_row", "left_semi"), df.columns, text)
 
 

@@ -171,6 +171,40 @@ def test_op6_stage(docs, none):
     assert simhash.without_near_copies(none).count() == 0
 
 
+def _near_components(texts):
+    """By brute force over shingles of five words, and of two where fingerprints are close."""
+    words = [t.lower().split() for t in texts]
+    five, two = [[{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in words] for n in (5, 2)]
+    fps = [simhash.word_fingerprint(t.encode()) for t in texts]
+    share = lambda s, i, j: len(s[i] & s[j]) / len(s[i] | s[j])
+    return _components(len(texts), lambda i, j: share(five, i, j) >= 0.8 or (fps[i] ^ fps[j]).bit_count() <= 6 and share(two, i, j) >= 0.5)
+
+
+def _kept_ids(spark, texts):
+    common.workers_find_library(spark)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return sorted(r.doc_id for r in simhash.without_near_copies(df).collect())
+
+
+def _first_of_each(components):
+    return sorted({c: i for i, c in reversed(list(enumerate(components)))}.values())
+
+
+def test_op6_stage_finds_appended_cut_and_edited_copies(spark):
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    texts = []
+    for k in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.randint(60, 500))]
+        n = round(len(words) * r.choice([0.05, 0.1, 0.18, 0.23, 0.3]))
+        texts += [" ".join(words), " ".join([words + [r.choice(vocabulary) for _ in range(n)], words[n:], words[:9] + words[9 + n :]][k % 3])]
+        words[len(words) // 2] = "edited"
+        texts.append(" ".join(words))
+    want = _first_of_each(_near_components(texts))
+    assert 60 <= len(want) < 120
+    assert _kept_ids(spark, texts) == want
+
+
 def test_op6_links_of_a_dense_group_are_few_and_connect(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 64)
     r = np.random.default_rng(1)
