@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -16,6 +17,8 @@ from .passages import _mixed, tuned_bands
 
 #: A-Z to a-z, and all white space of the contract to blanks.
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
+#: Characters of scripts that set no blanks between words (Han, kana, Thai, Lao, Khmer, Myanmar), in UTF-8.
+_UNSPACED = re.compile(rb"(?:[\xe3-\xe9][\x80-\xbf]|\xe0[\xb8-\xbb]|\xe1[\x80-\x82\x9e\x9f]|\xf0[\xa0-\xbf][\x80-\xbf])[\x80-\xbf]")
 SEED = 42
 BITS = 64
 DISTANCE = 4
@@ -226,7 +229,8 @@ def near_duplicates(df: DataFrame, words_in_shingle: int = 4, distance: int = DI
 
 
 def _words(text: bytes) -> list[bytes]:
-    return text.translate(_LOWER).split()
+    """Lower-cased words; each character of a script without blanks is one."""
+    return _UNSPACED.sub(rb" \g<0> ", text.translate(_LOWER)).split()
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -371,7 +375,8 @@ def without_near_copies(df: DataFrame, distance: int = 6, segments: int = 7, tex
     Near copies have equal words (texts without words too), or share SIMILARITY of their five-word shingles, or have
     fingerprints within ``distance`` and share PAIRS_SIMILARITY of their word pairs; both are exact Jaccard. Texts
     that share just SIMILARITY may differ in 16 of 64 bits, for which pigeonring has no selective keys, so MinHash
-    bands find candidates besides it. Every link is verified.
+    bands find candidates besides it. Every link is verified. Short texts are compared in the same way; one of less
+    than SHINGLE words has only equal copies.
     """
     stored = added(bundled(df, text), text, {"_fp": "long", "h": "long", "_bands": "binary"}, _marks, 4_000_000)
     stored = materialise(stored.withColumn("_row", F.monotonically_increasing_id()), "near-rows")

@@ -205,6 +205,16 @@ def test_op6_stage_finds_appended_cut_and_edited_copies(spark):
     assert _kept_ids(spark, texts) == want
 
 
+def test_op6_stage_finds_short_copies_and_such_without_blanks(spark):
+    r = random.Random(12)
+    note = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 4))) for _ in range(40))
+    few = " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(12))
+    han, thai = ["".join(chr(r.randrange(*of)) for _ in range(300)) for of in ((0x4E00, 0x9FA0), (0x0E01, 0x0E2F))]
+    texts = [note, note + " end", few, "start " + few, "one two three", "one two three four", "one two three", han, han[:150] + "\u4e01" + han[150:], thai, thai[9:]]
+    texts += ["".join(reversed(han)), note[::-1], ""]
+    assert _kept_ids(spark, texts) == [0, 2, 4, 5, 7, 9, 11, 12, 13]
+
+
 def test_op6_links_of_a_dense_group_are_few_and_connect(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 64)
     r = np.random.default_rng(1)
