@@ -80,7 +80,9 @@ def kd_shards(df: DataFrame, shards: int, text: str = "text") -> DataFrame:
         F.coalesce(F.crc32(F.col("lang").cast("binary")), F.lit(-1)).alias("_lang"),
         F.coalesce(F.crc32(F.col("source").cast("binary")), F.lit(-1)).alias("_source"),
     ).withColumn("_bytes", F.col("size"))
-    rows = materialise(rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_source"), F.lit(SALTS)).cast("int")), "shard-rows")
+    # the row's number differs between rows that repeat one another; the write fixes it
+    salt = F.pmod(F.xxhash64("doc_id", "_source", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    rows = materialise(rows.withColumn("_salt", salt), "shard-rows")
     target = (rows.agg(F.sum("size")).first()[0] or 0) / shards
     parts = rows.groupBy(*GROUP, "_salt").agg(F.sum("size").alias("_weight"), F.min("_lang").alias("_lang"), F.min("_source").alias("_source"), F.min("doc_id").alias("_doc"))
     whole = Window.partitionBy(*GROUP)  # SALTS rows at most

@@ -258,6 +258,15 @@ def test_op2_is_even_with_a_hot_group(spark):
     assert len(found) == 8 and max(x.b for x in found) < 1.1 * min(x.b for x in found)
 
 
+def test_op2_is_even_with_rows_that_repeat_one_another(spark):
+    r = random.Random(3)
+    for doc_id in (None, 7):
+        rows = [(doc_id, "copy " * 40, "en", "s", 1) if i % 3 == 0 else (i, "x" * r.randint(1, 400), "en", "s", 1) for i in range(6000)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        found = sharding.kd_shards(df, 8).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+        assert len(found) == 8 and max(x.b for x in found) < 1.1 * min(x.b for x in found)
+
+
 def test_op4(docs, none):
     rows = {(r.doc_id, r.kept_sha256): r for r in passages.without_repeats(docs).collect()}
     planted = [i for i in range(26, 30)]
