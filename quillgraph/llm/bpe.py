@@ -6,18 +6,18 @@ import hashlib
 import json
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import added, documents, slices, utf8
+from .common import added, documents, kept_for_stage, slices, tidy, utf8
 from .words import SPECIAL, PieceCoder, byte_letter
 
 #: Above every rank and position.
 NONE = 1 << 62
+NO_PAIR = np.uint64(2**64 - 1)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -28,6 +28,8 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 #: Pieces of at most so many bytes are encoded many at a time.
 MANY_BYTES = 64
+NO_RANK = np.int32((2**31 - 1) // MANY_BYTES)
+NOTHING = np.int32(2**31 - 1)
 
 
 class SegmentTreeBpe:
@@ -44,17 +46,14 @@ class SegmentTreeBpe:
         merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
         for rank, (a, b) in enumerate(merges):
             self.pairs[ids[a], ids[b]] = (rank << 32, ids[a + b])
-        keys = np.array([a << 32 | b for a, b in self.pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.ranks = np.array([x[0] for x in self.pairs.values()], np.int64)[order]
-        self.merged = np.array([ids[a + b] for a, b in merges], np.int64)
+        self._fill(np.array([a << 32 | b for a, b in self.pairs], np.uint64))
+        self.merged = np.array([ids[a + b] for a, b in merges], np.int32)
         self.token: list[str] = [""] * (1 + max([*ids.values(), *SPECIAL.values()]))
         for token, i in (ids | SPECIAL).items():
             self.token[i] = token
         self.letter = [ids[c] for c in byte_letter()]
         self.last = [ids[c + self.suffix] for c in byte_letter()]
-        self.letters = np.array([self.letter, self.last], np.int64)
+        self.letters = np.array([self.letter, self.last], np.int32)
 
     def encode_many(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece as little-endian unsigned 32-bit integers. Pieces whose trees have the same size are merged in step, one merge each at a time."""
@@ -73,56 +72,99 @@ class SegmentTreeBpe:
                     out[k] = ids
         return out
 
+    def _fill(self, keys: np.ndarray) -> None:
+        """An open-addressing table from pair to rank, at most a quarter full, that many pairs are looked up in at once."""
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.slot_key = np.full(size, NO_PAIR, np.uint64)
+        self.slot_rank = np.full(size, NO_RANK, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        self.probes = 0
+        while len(left):
+            self.probes += 1
+            free = self.slot_key[at] == NO_PAIR
+            place, first = np.unique(at[free], return_index=True)
+            taken = np.flatnonzero(free)[first]
+            self.slot_key[place], self.slot_rank[place] = keys[left[taken]], left[taken]
+            stay = np.ones(len(left), bool)
+            stay[taken] = False
+            left, at = left[stay], (at[stay] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """``rank << 32`` of each pair, NONE where there is none (an id below 0 is no neighbour)."""
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], NONE)
+        """The rank of each pair, NO_RANK where there is none (an id below 0 is no neighbour)."""
+        key = a.astype(np.int64).view(np.uint64) << np.uint64(32) | b.astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)
+        at = self._slot(key)
+        held = self.slot_key[at]
+        out = np.where(held == key, self.slot_rank[at], NO_RANK)
+        more = np.flatnonzero((held != key) & (held != NO_PAIR))
+        for _ in range(1, self.probes):
+            if not len(more):
+                break
+            at[more] = (at[more] + 1) & (len(self.slot_key) - 1)
+            held = self.slot_key[at[more]]
+            hit = held == key[more]
+            out[more[hit]] = self.slot_rank[at[more[hit]]]
+            more = more[~hit & (held != NO_PAIR)]
+        return out
 
     def _in_step(self, raws: list[bytes], leaves: int) -> list[bytes]:
+        """Nodes hold ``rank * MANY_BYTES + position`` in 32 bits."""
         n = len(raws)
-        size = np.array([len(x) for x in raws])
+        size = np.fromiter(map(len, raws), np.int64, n)
         text = np.frombuffer(b"".join([x.ljust(leaves, b"\0") for x in raws]), np.uint8).reshape(n, leaves)
-        column = np.arange(leaves)
-        ids = np.full((n, leaves + 1), -1, np.int64)  # the last column is the neighbour that no piece has
-        ids[:, :leaves] = np.where(column < size[:, None], self.letters[(column == size[:, None] - 1).astype(int), text], -1)
-        after = np.minimum(np.tile(np.arange(1, leaves + 2), (n, 1)), leaves)
-        before = np.tile(np.arange(-1, leaves), (n, 1))
+        column = np.arange(leaves, dtype=np.int32)
+        there = column < size[:, None]
+        wide = leaves + 1
+        ids = np.full((n, wide), -1, np.int32)  # the last column is the neighbour that no piece has
+        ids[:, :leaves] = np.where(there, self.letters[0][text], -1)
+        ids[np.arange(n), size - 1] = self.letters[1][text[np.arange(n), size - 1]]
+        after = np.tile(np.minimum(np.arange(1, leaves + 2, dtype=np.int32), leaves), n)
+        before = np.tile(np.arange(-1, leaves, dtype=np.int32), (n, 1))
         before[:, 0] = leaves
-        tree = np.full((n, 2 * leaves), NONE, np.int64)
-        rank = self._pair(ids[:, :leaves], ids[:, 1:])
-        tree[:, leaves:] = np.where(rank < NONE, rank | column, NONE)
+        tree = np.full((n, 2 * leaves), NOTHING, np.int32)
+        rows, columns = np.nonzero(there[:, 1:])
+        rank = self._pair(ids[rows, columns], ids[rows, columns + 1])
+        found = rank < NO_RANK
+        tree[rows[found], leaves + columns[found]] = rank[found] * MANY_BYTES + columns[found]
         width = leaves
         while width > 1:
             level = tree[:, width : 2 * width]
             width //= 2
-            tree[:, width : 2 * width] = np.minimum(level[:, ::2], level[:, 1::2])
-        row = np.flatnonzero(tree[:, 1] < NONE)
+            np.minimum(level[:, ::2], level[:, 1::2], out=tree[:, width : 2 * width])
+        ids, before, tree = ids.reshape(-1), before.reshape(-1), tree.reshape(-1)  # flat places are cheaper to look up
+        row = np.flatnonzero(tree[1 :: 2 * leaves] < NOTHING)
         while len(row):
-            least = tree[row, 1]
-            i = least & 0xFFFFFFFF
-            j = after[row, i]
-            k = after[row, j]
-            h = before[row, i]
-            ids[row, i] = new = self.merged[least >> 32]
-            ids[row, j] = -1
-            after[row, i] = k
-            before[row, k] = i
-            ids[row, leaves] = -1
-            right = self._pair(new, ids[row, k])
-            left = self._pair(ids[row, h], new)
-            rows = np.concatenate((row, row, row))
-            node = np.concatenate((j, i, h))
-            value = np.concatenate((np.full(len(row), NONE), np.where(right < NONE, right | i, NONE), np.where(left < NONE, left | h, NONE)))
-            there = node < leaves
-            rows, node, value = rows[there], node[there] + leaves, value[there]
-            tree[rows, node] = value
-            while node[0] > 1:  # all leaves have the same depth
+            base, root = row * wide, row * (2 * leaves)
+            least = tree[root + 1]
+            i = least % MANY_BYTES
+            j = after[base + i]
+            k = after[base + j]
+            h = before[base + i]
+            ids[base + i] = new = self.merged[least // MANY_BYTES]
+            ids[base + j] = -1
+            after[base + i] = k
+            before[base + k] = i
+            ids[base + leaves] = -1
+            rank = self._pair(np.concatenate((new, ids[base + h])), np.concatenate((ids[base + k], new)))
+            place = np.concatenate((i, h))
+            value = np.concatenate((np.full(len(row), NOTHING, np.int32), np.where(rank < NO_RANK, rank * MANY_BYTES + place, NOTHING)))
+            node = np.concatenate((j, place))
+            real = node < leaves
+            roots = np.concatenate((root, root, root))[real]
+            node = node[real] + leaves
+            tree[roots + node] = value[real]
+            for _ in range(leaves.bit_length() - 1):  # all leaves have the same depth
                 node = node >> 1
-                tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
-            row = row[tree[row, 1] < NONE]
-        flat = ids[ids >= 0].astype("<u4").tobytes()
-        ends = np.cumsum(4 * (ids >= 0).sum(axis=1)).tolist()
+                child = roots + 2 * node
+                tree[roots + node] = np.minimum(tree[child], tree[child + 1])
+            row = row[tree[root + 1] < NOTHING]
+        ids = ids.reshape(n, wide)
+        left = ids >= 0
+        flat = ids[left].astype("<u4").tobytes()
+        ends = np.cumsum(4 * left.sum(axis=1)).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, piece: str) -> list[int]:
@@ -180,9 +222,12 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@lru_cache(maxsize=2)
 def piece_coder(path: str, tokens: bool) -> PieceCoder:
-    """Codes texts by segment trees; without ``tokens`` the pieces' bytes are left empty."""
+    """Codes texts by segment trees; without ``tokens`` the pieces' bytes are left empty. Kept for a stage."""
+    return kept_for_stage(_piece_coder, path, tokens)
+
+
+def _piece_coder(path: str, tokens: bool) -> PieceCoder:
     bpe = SegmentTreeBpe(path)
     token = [x.encode("utf-8", "surrogateescape") + b" " for x in bpe.token]
 
@@ -219,7 +264,8 @@ def bpe_digests(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc
     while the batch is in memory.
 
     A null text counts as empty (no tokens, digests of nothing); repeated rows and null ids give one row each; other
-    columns are not read; bytes that are no UTF-8 count as U+FFFD. Cost of a piece of n bytes: O(n log n).
+    columns are not read; bytes that are no UTF-8 count as U+FFFD; an empty table gives no rows. Cost of a piece of n
+    bytes: O(n log n), whatever its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +275,7 @@ def bpe_digests(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("t")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

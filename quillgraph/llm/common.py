@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +23,7 @@ from pyspark.sql import types as T
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 _local_root: str | None = None
-_made: list[tuple[SparkSession, str]] = []
+_made: list[tuple[SparkSession, str, str | None]] = []
 
 
 def workers_find_library(spark: SparkSession) -> None:
@@ -36,14 +40,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset a local session gets a
+    temporary one; a cluster is refused, as its executors do not see each other's folders."""
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
     if _local_root is None:
         _local_root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        _made.append((spark, _local_root))
+        _made.append((spark, _local_root, None))
     return _local_root
 
 
@@ -54,73 +62,149 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/quillgraph-{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    with _shuffles_dropped(spark):
+    _made.append((spark, path, None))
+    with _writing(spark):
         df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a query that is written whole inside are deleted with it, not when the driver collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def _set(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Settings while a query is planned and run inside; none of them changes any query's rows."""
+    keys = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
-def sweep() -> None:
-    """Delete what ``materialise`` has written in this process."""
-    while _made:
-        spark, path = _made.pop()
+def _writing(spark: SparkSession):  # noqa: ANN202
+    """Shuffle files of a query that is written whole are deleted with it, not when the driver collects garbage; and
+    the order of bucketed tables is used."""
+    return _set(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__legacy__bucketedTableScan__outputOrdering="true")
+
+
+def made_so_far() -> int:
+    return len(_made)
+
+
+def sweep(since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete what ``materialise`` and ``bucketed`` have written in this process after ``since``, but for what ``but`` reads."""
+    kept = but.inputFiles() if but is not None else []
+    stay = []
+    while len(_made) > since:
+        spark, path, table = _made.pop()
+        if any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in kept) or path == _local_root and but is not None:
+            stay.append((spark, path, table))
+            continue
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            dropped(spark, table, path)
         except Exception:  # noqa: BLE001  the session may have ended before
             pass
+    _made.extend(stay)
 
 
 atexit.register(sweep)
 
 
-def utf8(column: str) -> Column:
-    """The text's UTF-8 bytes; null counts as empty."""
-    return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+def utf8(name: str) -> Column:
+    """The UTF-8 bytes of the text in the column ``name``; null counts as empty."""
+    return F.coalesce(column(name).cast("binary"), F.lit(b""))
+
+
+def quoted(name: str) -> str:
+    """``name`` as one identifier, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+_kept: dict[tuple, object] = {}
+_kept_stage: int | None = None
+
+
+def _stage() -> int | None:
+    context = TaskContext.get()
+    return context.stageId() if context else None
+
+
+def kept_for_stage(make: Callable, *args):  # noqa: ANN201
+    """``make(*args)``, made once for all tasks of a stage in a worker; the first task of another stage drops it."""
+    key = (make.__qualname__, *args)
+    if key not in _kept:
+        _kept[key] = make(*args)
+    return _kept[key]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for ``mapInArrow``. Spark uses a worker again for other stages: what was kept for another stage is dropped
+    before, and free memory goes back to the system when the task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        global _kept_stage
+        if _kept_stage != _stage():
+            _kept.clear()
+            _kept_stage = _stage()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return whole
+
+
+def raw_texts(array: pa.Array) -> pa.Array:
+    """The bytes of an array of strings or binaries, null as empty; nothing is copied where no value is null."""
+    array = pc.fill_null(array, b"" if pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type) else "") if array.null_count else array
+    return array.cast(pa.large_binary()) if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) else array.cast(pa.binary())
 
 
 def added(df: DataFrame, text: str, outputs: dict[str, str], values: Callable[[pa.Array], list[pa.Array]], most_bytes: int = 2_000_000) -> DataFrame:
     """``df`` with the columns ``outputs`` (name -> type), which ``values`` makes of an array of the text's bytes.
 
-    Input columns of an output's name are replaced; all others are kept whatever they are called.
+    Input columns of an output's name are replaced; all others are kept whatever they are called. The text goes to
+    the worker once, within its row.
     """
     df = df.drop(*(c for c in outputs if c != text))
     names = df.columns
     schema = T.StructType([T.StructField("row", df.schema), *(T.StructField(c, _parse(kind)) for c, kind in outputs.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "raw", most_bytes):
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *values(batch.column("raw"))], names=["row", *outputs])
+        for whole in batches:
+            raw = raw_texts(whole.column("row").field(text))
+            _, offsets = binaries(raw)
+            for at, to in spans(offsets, most_bytes):
+                yield pa.RecordBatch.from_arrays([whole.column("row").slice(at, to - at), *values(raw.slice(at, to - at))], names=["row", *outputs])
 
-    found = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), utf8(text).alias("raw")).mapInArrow(run, schema)
-    return found.select(*(F.col(f"row.`{c}`") for c in names), *outputs)
+    found = df.select(F.struct(*(column(c) for c in names)).alias("row")).mapInArrow(tidy(run), schema)
+    return found.select(*(F.col(f"row.{quoted(c)}") for c in names), *(column(c) for c in outputs))
 
 
 def bundled(df: DataFrame, text: str) -> DataFrame:
     """doc_id, the text, and rest: a struct of all other columns, whose names then clash with nothing."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("doc_id", text)]
-    return df.select("doc_id", text, F.struct(*(rest or [F.lit(None).cast("int").alias("none")])).alias("rest"))
+    rest = [column(c) for c in df.columns if c not in ("doc_id", text)]
+    return df.select("doc_id", column(text), F.struct(*(rest or [F.lit(None).cast("int").alias("none")])).alias("rest"))
 
 
 def unbundled(df: DataFrame, columns: list[str], text: str) -> DataFrame:
     """``columns`` of a ``bundled`` DataFrame."""
-    return df.select(*(F.col(f"`{c}`") if c in ("doc_id", text) else F.col(f"rest.`{c}`") for c in columns))
+    return df.select(*(column(c) if c in ("doc_id", text) else F.col(f"rest.{quoted(c)}").alias(c) for c in columns))
 
 
 def _parse(kind: str) -> T.DataType:
@@ -141,12 +225,29 @@ def binaries(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of ``column``, one row at least, so that work arrays stay small."""
     for batch in batches:
-        _, offsets = binaries(batch.column(column))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
+        for at, to in spans(binaries(batch.column(column))[1], most_bytes):
             yield batch.slice(at, to - at)
-            at = to
+
+
+def spans(offsets: np.ndarray, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """(first row, end) of runs of rows that hold about ``most_bytes``, one row at least."""
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
+        yield at, to
+        at = to
+
+
+#: How a row takes part in a block of a group: it is compared with the others of its own kind too, only as the right side, or only as the left.
+BOTH, RIGHT, LEFT = 0, 1, 2
+
+
+def paired_blocks(item: Column, blocks: Column) -> Column:
+    """An array of (block, side) for a row of a group whose every two rows must meet: the rows fall into ``blocks`` parts,
+    and each two parts meet in one block, so a block holds two parts at most and no task the whole group."""
+    own = F.pmod(F.xxhash64(item), blocks).cast("int")
+    side = lambda x: F.when(x == own, BOTH).when(x > own, LEFT).otherwise(RIGHT)
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct((F.least(x, own).cast("long") * blocks + F.greatest(x, own)).alias("block"), side(x).alias("side")))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -183,11 +284,28 @@ def _star(e: DataFrame, large: bool, name: str) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
-    """Write ``df`` to the shared folder bucketed by ``key``; grouping and cogrouping by it then need no exchange."""
+def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """Write ``df`` to the shared folder bucketed by ``keys``; grouping, cogrouping and joining by them then need no exchange."""
+    return bucketed_table(df, name, buckets, *keys)[0]
+
+
+def bucketed_table(df: DataFrame, name: str, buckets: int, *keys: str, ordered: bool = False, root: str | None = None) -> tuple[DataFrame, str, str]:
+    """(the rows, table, path) of ``df`` written in buckets, each sorted by ``keys`` if ``ordered``. A table in a ``root``
+    of the caller's is left to the caller."""
     spark = df.sparkSession
     table = f"quillgraph_{name}_{uuid.uuid4().hex}"
-    path = f"{shared_root(spark).rstrip('/')}/{table}"
-    _made.append((spark, path))
-    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    path = f"{(root or shared_root(spark)).rstrip('/')}/{table}"
+    if root is None:
+        _made.append((spark, path, table))
+    writer = df.write.bucketBy(buckets, *keys)
+    with _writing(spark):
+        (writer.sortBy(*keys) if ordered else writer).option("path", path).saveAsTable(table)
+    return spark.table(table), table, path
+
+
+def dropped(spark: SparkSession, table: str | None, path: str) -> None:
+    """Delete a folder and the table in it, if any."""
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

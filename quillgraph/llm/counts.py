@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -13,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
-from .common import documents, slices, utf8
+from .common import documents, kept_for_stage, slices, tidy, utf8
+from .words import Generations
 
 SPACE = "▁"
 #: Fixed value: how far below the least score an unknown character is.
@@ -29,7 +29,7 @@ class UnigramCounter:
     one. Each place carries score and count alone: no path is built.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]], bytes_have_pieces: bool, most: int = 400_000):
+    def __init__(self, pieces: list[tuple[str, float]], bytes_have_pieces: bool):
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece:
@@ -39,9 +39,7 @@ class UnigramCounter:
         self.by_bytes = bytes_have_pieces
         # a path has a break wherever a word begins, if no piece goes on over such a place
         self.by_words = any(p == SPACE for p, _ in pieces) and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
-        self.most = most
-        self.kept: dict[str, tuple[int, float]] = {}
-        self.older: dict[str, tuple[int, float]] = {}
+        self.kept = Generations(24_000_000)
 
     def viterbi(self, text: str) -> tuple[int, float]:
         """(count, score) of ``text``, whose blanks are written as SPACE."""
@@ -81,15 +79,10 @@ class UnigramCounter:
         return count[n], best[n]
 
     def of(self, chunks: list[str]) -> list[tuple[int, float]]:
-        kept, older = self.kept, self.older
-        out = [kept.get(x) for x in chunks]
-        missing = [k for k, x in enumerate(out) if x is None]
-        for k in missing:
-            out[k] = older.get(chunks[k]) or self.viterbi(chunks[k])
-        if len(kept) + len(missing) > self.most:
-            self.older, self.kept = kept, {}
-        if len(missing) <= self.most:
-            self.kept.update((chunks[k], out[k]) for k in missing)
+        out, new = self.kept.find(chunks)
+        for k in new:
+            out[k] = self.viterbi(chunks[k])
+        self.kept.add([chunks[k] for k in new], [out[k] for k in new])
         return out
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +106,12 @@ class UnigramCounter:
 _chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-@lru_cache(maxsize=1)
 def counter(path: str) -> UnigramCounter:
-    """A counter over the ordinary pieces and stored scores of a sentencepiece file."""
+    """A counter over the ordinary pieces and stored scores of a sentencepiece file. Kept for a stage."""
+    return kept_for_stage(_counter, path)
+
+
+def _counter(path: str) -> UnigramCounter:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -127,8 +123,11 @@ def counter(path: str) -> UnigramCounter:
 def token_counts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, score of each whole text: pieces on its best path, and the path's score.
 
+    The pieces and scores are those that the file stores, whatever it was trained as: ``piece_bpe_32k.model`` is a BPE
+    model whose scores are merge ranks, so its own BPE encoder counts otherwise than this unigram Viterbi over them.
     A null text counts as empty: no tokens, score 0. Repeated rows and null ids give one row each; other columns are
-    not read; bytes that are no UTF-8 count as U+FFFD.
+    not read; bytes that are no UTF-8 count as U+FFFD; a text of any length is one pass in time and memory
+    proportional to it; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +135,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             n, score = counter(path).counts([x.decode("utf-8", "replace") for x in batch.column("t").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(score)], names=["doc_id", "n_tokens", "score"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("t")).mapInArrow(tidy(run), "doc_id long, n_tokens long, score double")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,18 +42,56 @@ def is_plain(raw: bytes) -> bool:
     return not raw.translate(None, _PLAIN) and (raw.isascii() or not _unsure.search(raw)) and (b"<|" not in raw or not _special.search(raw.decode()))
 
 
+class Generations:
+    """A cache by string in two generations of about ``most_bytes`` each; what is met again moves to the newer one."""
+
+    #: Bytes of an entry besides those of its strings: objects and places in the dictionary.
+    ENTRY = 300
+
+    def __init__(self, most_bytes: int):
+        self.most_bytes, self.size = most_bytes, 0
+        self.newer: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+
+    def find(self, keys: list[str]) -> tuple[list, list[int]]:
+        """(the values, None where there is none; where there is none)"""
+        out = list(map(self.newer.get, keys))
+        missing = [k for k, x in enumerate(out) if x is None]
+        if not self.older:
+            return out, missing
+        new, again, values = [], [], []
+        for k in missing:
+            value = self.older.get(keys[k])
+            if value is None:
+                new.append(k)
+            else:
+                out[k] = value
+                again.append(keys[k])
+                values.append(value)
+        self.add(again, values)
+        return out, new
+
+    def add(self, keys: list[str], values: list, value_bytes: int = 0) -> None:
+        size = sum(map(len, keys)) + value_bytes + self.ENTRY * len(keys)
+        if size > self.most_bytes:  # one slice that fills a generation is not kept
+            return
+        if self.size + size > self.most_bytes:
+            self.older, self.newer, self.size = self.newer, {}, 0
+        self.newer.update(zip(keys, values, strict=True))
+        self.size += size
+
+
 class PieceCoder:
     """Codes texts chunk by chunk, each distinct chunk once for a slice of texts.
 
     ``made(chunks)`` takes a list of piece lists and returns (units, bytes) for each: its ids as little-endian
     unsigned 32-bit integers, and its tokens' bytes, each token followed by a space. Both are kept in two
-    generations of at most ``most`` chunks; a chunk that is met again moves to the newer one.
+    generations of about ``most_bytes`` each; a chunk that is met again moves to the newer one.
     """
 
-    def __init__(self, path: str, made: Callable[[list[list[str]]], list[tuple[bytes, bytes]]], special: Callable[[str], tuple[bytes, bytes]], most: int = 200_000):
-        self.path, self.made, self.special, self.most = path, made, special, most
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+    def __init__(self, path: str, made: Callable[[list[list[str]]], list[tuple[bytes, bytes]]], special: Callable[[str], tuple[bytes, bytes]], most_bytes: int = 24_000_000):
+        self.path, self.made, self.special = path, made, special
+        self.kept: Generations = Generations(most_bytes)
 
     def coded(self, texts: pa.Array, tokens: bool) -> Iterator[tuple[memoryview, memoryview | None]]:
         """For each text of a binary array (null: empty) its ids and, if ``tokens``, its tokens' bytes."""
@@ -75,20 +113,11 @@ class PieceCoder:
                 yield ids[ids_at[k] : ids_at[k + 1]].data.cast("B"), said[said_at[k] : said_at[k + 1]].data if tokens else None
 
     def _values(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
-        kept, older = self.kept, self.older
-        out = [kept.get(x) for x in chunks]
-        missing = [k for k, x in enumerate(out) if x is None]
-        new = []
-        for k in missing:
-            out[k] = older.get(chunks[k])
-            if out[k] is None:
-                new.append(k)
-        for k, value in zip(new, self.made([[x] if (x := chunks[k]).isalpha() else _pattern.findall(x) for k in new]), strict=True):
+        out, new = self.kept.find(chunks)
+        values = self.made([[x] if (x := chunks[k]).isalpha() else _pattern.findall(x) for k in new])
+        for k, value in zip(new, values, strict=True):
             out[k] = value
-        if len(kept) + len(missing) > self.most:
-            self.older, self.kept = kept, {}
-        if len(missing) <= self.most:
-            self.kept.update((chunks[k], out[k]) for k in missing)
+        self.kept.add([chunks[k] for k in new], values, sum(len(a) + len(b) for a, b in values))
         return out
 
     def _other(self, text: str) -> list[tuple[bytes, bytes]]:
