@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import added, binaries, documents, slices, utf8
+from .common import added, binaries, documents, slices, tidy, utf8
 
 PASSAGE_WORDS = 64
-#: Labelled rows that the classifier is fitted on at most, chosen by a hash of doc_id.
+#: Labelled documents that the classifier is fitted on at most, chosen by a hash of doc_id; all their passages take part.
 SAMPLE_ROWS = 4000
-#: Of one document's passages so many, evenly spaced, take part in fitting (scoring reads all).
-SAMPLE_PASSAGES = 32
+#: A run of more bytes without white space counts as several words.
+LONGEST_WORD = 4096
+#: Bytes that are encoded at a time; a longer text is encoded in pieces.
+PIECE_BYTES = 1_000_000
 HASHED = 48
 STATISTICS = 14
 WIDTH = STATISTICS + HASHED
@@ -35,21 +37,76 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.cumprod(np.full(n, _ODD, np.uint64)), np.cumprod(np.full(n, inverse, np.uint64))
 
 
+@dataclass
+class Said:
+    """What a text that is encoded in pieces has said before: hashes of words and of triples, and its last two words."""
+
+    words: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    triples: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    last: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+
+
+def _word_starts(solid: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """Which bytes begin a word."""
+    head = np.empty(len(solid), bool)
+    head[:1] = True
+    head[1:] = ~solid[:-1] | (text_of[1:] != text_of[:-1])
+    head &= solid
+    if len(head):
+        begins = np.flatnonzero(head)
+        lengths = np.add.reduceat(solid.astype(np.int64), begins) if len(begins) else begins
+        for at, n in zip(begins[lengths > LONGEST_WORD].tolist(), lengths[lengths > LONGEST_WORD].tolist(), strict=True):
+            head[at : at + n : LONGEST_WORD] = True
+    return head
+
+
 def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(features of all passages [n, WIDTH], index of the first passage of each text and the end).
 
     A passage is PASSAGE_WORDS words; a text without words is one passage without words. Features: shares of kinds
     of characters and word shapes, how much of it the text has said before, and a hashed bag of its byte pairs.
+    A text of more than PIECE_BYTES is encoded in pieces that carry what it has said, with the same result.
     """
+    long = np.flatnonzero(np.diff(offsets) > PIECE_BYTES)
+    if not len(long):
+        return _encode(data, offsets)
+    parts, counts, at = [], [], 0
+    for k in (*long.tolist(), len(offsets) - 1):
+        if k > at:
+            x, first = _encode(data[offsets[at] : offsets[k]], offsets[at : k + 1] - offsets[at])
+            parts.append(x)
+            counts += np.diff(first).tolist()
+        if k < len(offsets) - 1:
+            parts += (of := list(_pieces(data[offsets[k] : offsets[k + 1]])))
+            counts.append(sum(map(len, of)))
+        at = k + 1
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+
+
+def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Features of one long text, a piece of whole passages after another."""
+    said, at = Said(), 0
+    while at < len(data):
+        size = PIECE_BYTES
+        while at + size < len(data):
+            some = data[at : at + size]
+            begins = np.flatnonzero(_word_starts(_CLASS[some] > 0, np.zeros(len(some), np.int8)))
+            if len(begins) > PASSAGE_WORDS:
+                size = int(begins[(len(begins) - 1) // PASSAGE_WORDS * PASSAGE_WORDS])
+                break
+            size *= 2
+        piece = data[at : at + size]
+        yield _encode(piece, np.array([0, len(piece)]), said)[0]
+        at += size
+
+
+def _encode(data: np.ndarray, offsets: np.ndarray, said: Said | None = None) -> tuple[np.ndarray, np.ndarray]:
     texts = len(offsets) - 1
     kind = _CLASS[data]
     solid = kind > 0
-    text_of = np.repeat(np.arange(texts), np.diff(offsets))
-    head = np.empty(len(data), bool)
-    if len(data):
-        head[0] = True
-        head[1:] = ~solid[:-1] | (text_of[1:] != text_of[:-1])
-    starts = np.flatnonzero(solid & head)
+    text_of = np.repeat(np.arange(texts, dtype=np.int32), np.diff(offsets))
+    head = _word_starts(solid, text_of)
+    starts = np.flatnonzero(head)
     word_text = text_of[starts]
     words_before = np.searchsorted(starts, offsets)
     in_text = np.arange(len(starts)) - words_before[word_text]
@@ -58,7 +115,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     total = int(first[-1])
     word_passage = first[word_text] + in_text // PASSAGE_WORDS
     # a byte belongs to the passage of the last word begun before it
-    at = np.maximum(np.cumsum(solid & head) - 1, 0)
+    at = np.maximum(np.cumsum(head) - 1, 0)
     byte_passage = np.where(np.searchsorted(starts, np.arange(len(data)), "right") > words_before[text_of], word_passage[at] if len(starts) else 0, first[text_of]) if len(data) else np.empty(0, np.int64)
     counts = np.bincount(byte_passage * 8 + kind, minlength=total * 8).reshape(total, 8).astype(np.float64)
     size = np.maximum(counts.sum(axis=1), 1)
@@ -66,12 +123,14 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     nw = np.maximum(n_words, 1)
     # 64-bit hashes of words: sums of byte * odd**i, moved to a common start
     powers, inverses = _powers(len(data) + 1)
-    ends = starts + (np.add.reduceat(solid.astype(np.int64), starts) if len(starts) else 0)
+    ends = starts + (np.add.reduceat(solid.astype(np.int64), starts) if len(starts) else 0)  # white space up to the next word adds nothing
     with np.errstate(over="ignore"):
         sums = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], dtype=np.uint64)))
         h = (sums[np.minimum(ends, len(data))] - sums[starts]) * inverses[starts]
         salted = (h ^ (h >> np.uint64(29))) * _ODD + word_text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        triple = salted[2:] + salted[1:-1] * np.uint64(3) + salted[:-2] * np.uint64(7) if len(h) > 2 else np.empty(0, np.uint64)
+        ahead = said.last if said else salted[:0]
+        run = np.concatenate((ahead, salted))
+        triple = run[2:] + run[1:-1] * np.uint64(3) + run[:-2] * np.uint64(7) if len(run) > 2 else np.empty(0, np.uint64)
 
     def said_before(values: np.ndarray) -> np.ndarray:
         order = np.argsort(values, kind="stable")
@@ -79,8 +138,13 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         again[order[1:]] = values[order[1:]] == values[order[:-1]]
         return again
 
-    word_again = np.bincount(word_passage, said_before(salted), minlength=total) / nw
-    triple_again = np.bincount(word_passage[2:], said_before(triple), minlength=total) / nw if len(triple) else np.zeros(total)
+    word_known, triple_known = said_before(salted), said_before(triple)
+    if said:
+        word_known |= np.isin(salted, said.words)
+        triple_known |= np.isin(triple, said.triples)
+        said.words, said.triples, said.last = np.union1d(said.words, salted), np.union1d(said.triples, triple), run[-2:]
+    word_again = np.bincount(word_passage, word_known, minlength=total) / nw
+    triple_again = np.bincount(word_passage[len(salted) - len(triple) :], triple_known, minlength=total) / nw if len(triple) else np.zeros(total)
     shouted = np.bincount(word_passage, kind[starts] == 2, minlength=total) / nw
     marked = np.bincount(word_passage, kind[np.maximum(ends - 1, 0)] == 6, minlength=total) / nw if len(starts) else np.zeros(total)
     shares = counts / size[:, None]
@@ -89,7 +153,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     out[:, :STATISTICS] = np.column_stack((shares[:, 1:8], word_again, triple_again, shouted, marked, np.log1p(word_bytes), np.log1p(n_words), n_words == 0))
     if len(data) > 1:
         pair = (data[:-1].astype(np.int64) * 31 + data[1:].astype(np.int64) * 17) % HASHED
-        within = text_of[1:] == text_of[:-1]
+        within = byte_passage[1:] == byte_passage[:-1]
         bag = np.bincount(byte_passage[:-1][within] * HASHED + pair[within], minlength=total * HASHED).reshape(total, HASHED)
     else:
         bag = np.zeros((total, HASHED))
@@ -160,21 +224,25 @@ def remainder(doc_id: str = "doc_id"):  # noqa: ANN201
 
 
 def fit_quality(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> GatedAttention | None:
-    """Fit on at most ``rows`` rows of ``df`` whose doc_id has a quality label; passages are encoded on the executors.
+    """Fit on at most ``rows`` documents of ``df`` that have a quality label; passages are encoded on the executors.
 
-    Returns None where there are no labels. Contradicting labels of an id count as the larger one.
+    The sample is drawn from ids that ``df`` has, by a hash; what is sent to the driver grows with ``rows`` and the
+    length of those texts, not with ``df``. Of rows with the same id the least text counts, of contradicting labels the
+    larger one. Null ids and labels are not used. Returns None where nothing is labelled.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("_quality"))
+    known = known.join(df.select("doc_id").distinct(), "doc_id", "left_semi")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded by ``rows``, so it may be broadcast
     texts = df.select("doc_id", utf8("text").alias("t")).join(F.broadcast(known), "doc_id")
+    texts = texts.groupBy("doc_id", "_quality").agg(F.min("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 4_000_000):
+        for batch in slices(batches, "t", PIECE_BYTES):
             x, first = encode(*binaries(batch.column("t")))
-            bags = [x[a:b][:: max(1, -(-(b - a) // SAMPLE_PASSAGES))] for a, b in zip(first, first[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_quality"), pa.array([x.astype("<f4").tobytes() for x in bags], pa.binary())], names=["doc_id", "_quality", "x"])
+            bags = [x[a:b].astype("<f4").tobytes() for a, b in zip(first, first[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_quality"), pa.array(bags, pa.binary())], names=["doc_id", "_quality", "x"])
 
-    found = texts.mapInArrow(run, "doc_id long, _quality int, x binary").orderBy("doc_id", "x").limit(rows).toArrow()
+    found = texts.mapInArrow(tidy(run), "doc_id long, _quality int, x binary").toArrow().sort_by("doc_id")
     if not found.num_rows:
         return None
     bags = [np.frombuffer(x, "<f4").reshape(-1, WIDTH) for x in found.column("x").to_pylist()]
@@ -183,10 +251,15 @@ def fit_quality(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ga
 
 
 def scored(df: DataFrame, model: GatedAttention | None, text: str = "text") -> DataFrame:
-    """``df`` with score (0 to 1); without a model each row has 0.5. A null text counts as empty and is scored too."""
+    """``df`` with score (0 to 1): the attention-weighted passages of the whole text.
+
+    Without a model each row has 0.5. A null text counts as empty, and empty texts are scored too. Equal texts have
+    equal scores; repeated rows give one row each. A text of any length is encoded in pieces of PIECE_BYTES. All other
+    columns are kept whatever they are called, but for one named score, which is replaced. An empty table gives no rows.
+    """
     if model is None:
         return df.withColumn("score", F.lit(0.5))
-    return added(df, text, {"score": "double"}, lambda raw: [pa.array(model.score(*encode(*binaries(raw))).astype(np.float64))])
+    return added(df, text, {"score": "double"}, lambda raw: [pa.array(model.score(*encode(*binaries(raw))).astype(np.float64))], PIECE_BYTES)
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> GatedAttention | None:
