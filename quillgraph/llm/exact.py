@@ -9,15 +9,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE_BYTES, bucketed, bundled, documents, materialise, slices, unbundled, utf8
+from .common import SPACE_BYTES, bucketed, column, documents, materialise, quoted, slices, tidy, utf8
 
-#: Bytes of text in a part; a part's rows are all that one cogrouped task holds at a time.
-PART_BYTES = 8_000_000
+#: Rows that one part, a message's sender, holds at most; a part is one writing task's rows unless those are more.
+PART_BITS = 20
 #: Fingerprints that one owner gets on average, at most.
-OWNER_ROWS = 4_000_000
+OWNER_ROWS = 2_000_000
+#: Codes that are packed or read at a time.
+_SOME = 1 << 15
 
 
 def golomb_encode(values: np.ndarray, k: int) -> bytes:
@@ -27,19 +30,18 @@ def golomb_encode(values: np.ndarray, k: int) -> bytes:
     unary = np.zeros(int(quotient.sum()) + len(values), np.uint8)
     unary[np.cumsum(quotient + 1) - 1] = 1
     shifts = np.arange(k, dtype=np.uint64)
-    rest = ((gaps[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel()
-    return np.packbits(np.concatenate((unary, rest))).tobytes()
+    rest = [((gaps[at : at + _SOME, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel() for at in range(0, len(gaps), _SOME)]
+    return np.packbits(np.concatenate((unary, *rest))).tobytes()
 
 
 def golomb_decode(blob: bytes, n: int, k: int) -> np.ndarray:
     bits = np.unpackbits(np.frombuffer(blob, np.uint8))
     ones = np.flatnonzero(bits)[:n]
-    quotient = np.diff(ones, prepend=-1) - 1
+    gaps = (np.diff(ones, prepend=-1) - 1).astype(np.uint64) << np.uint64(k)
     at = int(ones[-1]) + 1 if n else 0
-    rest = bits[at : at + n * k].reshape(n, k).astype(np.uint64)
-    gaps = quotient.astype(np.uint64) << np.uint64(k)
+    rest = bits[at : at + n * k].reshape(n, k)
     for i in range(k):
-        gaps |= rest[:, i] << np.uint64(i)
+        gaps |= rest[:, i].astype(np.uint64) << np.uint64(i)
     return np.cumsum(gaps, dtype=np.uint64)
 
 
@@ -48,30 +50,25 @@ def normalised(text: bytes) -> bytes:
 
 
 def _fingerprinted(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with _part, _row, _h, _sha and _n (code points of the text)."""
-    names = df.columns
+    """``df`` as row (a struct), with _part and _seq (the row's place in it), _h, _sha and _n (code points of the text)."""
+    schema = T.StructType([T.StructField("row", df.schema), *(T.StructField(c, kind) for c, kind in (("_part", T.LongType()), ("_seq", T.IntegerType()), ("_h", T.LongType()), ("_sha", T.BinaryType()), ("_n", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        part, held = row, 0
-        for batch in slices(batches, "_raw", 1_000_000):
-            raws = batch.column("_raw").to_pylist()
+        at = TaskContext.get().partitionId() << 33
+        for batch in slices(batches, "raw", 1_000_000):
+            raws = batch.column("raw").to_pylist()
             keys = [normalised(x) for x in raws]
-            if held and held + sum(map(len, raws)) > PART_BYTES:
-                part, held = part + 1, 0
-            held += sum(map(len, raws))
-            n = len(raws)
+            places = np.arange(at, at + len(raws))
+            at += len(raws)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array([part] * n, pa.int64()), pa.array(np.arange(row, row + n)),
+                [batch.column("row"), pa.array(places >> PART_BITS), pa.array((places & ((1 << PART_BITS) - 1)).astype(np.int32)),
                  pa.array(np.array([xxhash.xxh64_intdigest(x) for x in keys], np.uint64).view(np.int64)),
                  pa.array([hashlib.sha256(x).digest() for x in keys], pa.binary()),
                  pa.array([len(x.decode("utf-8", "replace")) for x in raws], pa.int64())],
-                names=[*names, "_part", "_row", "_h", "_sha", "_n"],
+                names=schema.fieldNames(),
             )
-            row += n
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_part long, _row long, _h long, _sha binary, _n long"])
-    return df.withColumn("_raw", utf8(text)).mapInArrow(run, schema)
+    return df.select(F.struct(*(column(c) for c in df.columns)).alias("row"), utf8(text).alias("raw")).mapInArrow(tidy(run), schema)
 
 
 def _messages(owners: int):  # noqa: ANN202
@@ -136,60 +133,82 @@ def _suspects(owners: int):  # noqa: ANN202
     return run
 
 
-def marked(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, groups). rows: ``df`` with _row (distinct), _n, _sha, and _key (the normalised text of suspects, else null).
-    groups: _sha, keep_id, _keep_row and group_size of each group of suspects that is equal byte by byte.
+def _flagged(pairs: pa.Table, part: int) -> pa.Table:
+    """One row: the part, and for each of its places up to the last one of ``pairs`` whether it is there."""
+    places = pairs.column("_seq").to_numpy()
+    flags = np.zeros(int(places.max()) + 1 if len(places) else 0, bool)
+    flags[places] = True
+    return pa.table({"_part": pa.array([part]), "_flags": pa.ListArray.from_arrays(pa.array([0, len(flags)], pa.int32()), pa.array(flags))})
 
-    1. Parts of about PART_BYTES fingerprint their rows and send each owner of a hash range the sorted distinct
-       fingerprints, Golomb-coded, with a bitmap of those they hold twice.
+
+def _flag() -> Column:
+    """Whether the row's place is flagged in its part's array."""
+    return F.coalesce(F.get("_flags", F.col("_seq")), F.lit(False))
+
+
+_FLAGS = "_part long, _flags array<boolean>"
+
+
+def marked(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stored, suspects, buckets' flags of suspects). stored: ``df`` as row, with _part, _seq, _sha, _n, bucketed by _part.
+    suspects: doc_id, _part, _seq, _sha, keep_id, group_size, kept of each row whose fingerprint occurs more than once.
+
+    1. Parts (a writing task's rows) send each owner of a hash range their sorted distinct fingerprints, Golomb-coded
+       in one message, with a bitmap of those they hold twice.
     2. Owners answer each message with a bitmap of the fingerprints that occur more than once.
-    3. Parts look up their suspects. Rows are stored bucketed by part, so this moves only bitmaps; only suspects'
-       texts are shuffled, grouped by their bytes after map-side aggregation, so a group of copies that holds a
-       third of all rows reaches its reducer as one row a task.
+    3. Parts look up their suspects and flag them. Rows are stored bucketed by part, so this moves only bitmaps; only
+       suspects' texts are shuffled, grouped by their bytes after map-side aggregation, so a group of copies that holds
+       a third of all rows reaches its reducer as one row a task.
+
+    A part holds 2**PART_BITS rows at most and an owner OWNER_ROWS fingerprints on average, at any size of the table.
     """
-    n = df.count()
-    owners = min(8192, max(8, -(-n // OWNER_ROWS)))
     buckets = max(1, df.rdd.getNumPartitions())
     stored = bucketed(_fingerprinted(df, text), "parts", buckets, "_part")
+    owners = max(8, -(-stored.count() // OWNER_ROWS))
     messages = materialise(stored.select("_part", "_h").groupBy("_part").applyInArrow(_messages(owners), "_part long, _owner long, _count long, _codes binary, _twice binary"), "messages")
     replies = messages.groupBy("_owner").applyInArrow(_replies(owners), "_part long, _owner long, _bits binary")
     answered = messages.select("_part", "_owner", "_count", "_codes").join(replies, ["_part", "_owner"])
-    suspects = bucketed(answered.mapInArrow(_suspects(owners), "_part long, _h long").repartition(buckets, "_part"), "suspects", buckets, "_part")
+    twice = bucketed(answered.mapInArrow(tidy(_suspects(owners)), "_part long, _h long").repartition(buckets, "_part"), "twice", buckets, "_part")
 
     def look_up(rows: pa.Table, hit: pa.Table) -> pa.Table:
+        part = (rows if rows.num_rows else hit).column("_part")[0].as_py()
         found = np.isin(rows.column("_h").to_numpy(), hit.column("_h").to_numpy())
-        keys = [normalised((x.encode() if isinstance(x, str) else x) or b"") if f else None for x, f in zip(rows.column(text).to_pylist(), found, strict=True)]
-        return rows.drop_columns(["_part", "_h"]).append_column("_key", pa.array(keys, pa.binary()))
+        return _flagged(rows.filter(pa.array(found)), part)
 
-    kept = [f for f in stored.schema if f.name not in ("_part", "_h")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_key binary"])
-    rows = materialise(stored.groupBy("_part").cogroup(suspects.groupBy("_part")).applyInArrow(look_up, schema), "rows")
-    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    groups = rows.where("_key is not null").groupBy("_key").agg(F.first("_sha").alias("_sha"), best.alias("b"), F.count("*").alias("group_size"))
-    return rows, materialise(groups.select("_sha", F.col("b.doc_id").alias("keep_id"), F.col("b._row").alias("_keep_row"), "group_size"), "groups")
+    flags = bucketed(stored.select("_part", "_seq", "_h").groupBy("_part").cogroup(twice.groupBy("_part")).applyInArrow(look_up, _FLAGS), "flags", buckets, "_part")
+    held = F.col(f"row.{quoted(text)}")
+    key = F.translate(F.coalesce(held.cast("string"), F.lit("")), SPACE_BYTES.decode(), "")
+    hit = stored.join(flags.hint("shuffle_hash"), "_part").where(_flag())
+    hit = hit.select(F.col("row.doc_id").alias("doc_id"), "_part", "_seq", "_sha", "_n", key.alias("_key"))
+    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "_part", "_seq"))
+    groups = materialise(hit.groupBy("_sha", "_key").agg(best.alias("b"), F.count("*").alias("group_size")).drop("_key"), "groups")
+    members = materialise(hit.select("doc_id", "_part", "_seq", "_sha"), "members").join(groups, "_sha")
+    kept = (F.col("_part") == F.col("b._part")) & (F.col("_seq") == F.col("b._seq"))
+    suspects = materialise(members.select("doc_id", "_part", "_seq", "_sha", F.col("b.doc_id").alias("keep_id"), "group_size", kept.alias("kept")), "suspects")
+    return stored, suspects, flags
 
 
 def exact_groups(df: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row, by ``marked``.
 
     Texts are equal when identical without white space; null counts as empty. Of a group the row with the most code
-    points stays, then the least doc_id (null last), then, of rows that repeat one another, any one. An empty table
-    gives no rows; other columns are not read.
+    points stays, then the least doc_id (null last), then, of rows that repeat one another, the first stored. A text of
+    any length is one row of its batch. An empty table gives no rows; other columns are not read.
     """
-    rows, groups = marked(df.select("doc_id", text), text)
-    narrow = rows.select("doc_id", "_row", "_sha", F.col("_key").isNotNull().alias("_suspect"))
+    stored, suspects, flags = marked(df.select("doc_id", column(text)), text)
     digest = F.lower(F.hex("_sha")).alias("text_sha256")
-    single = narrow.where("not _suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
-    several = narrow.where("_suspect").join(groups, "_sha").select("doc_id", "keep_id", "group_size", (F.col("_row") == F.col("_keep_row")).alias("kept"), digest)
-    return single.unionByName(several)
+    single = stored.select(F.col("row.doc_id").alias("doc_id"), "_part", "_seq", "_sha").join(flags.hint("shuffle_hash"), "_part", "left").where(~_flag())
+    single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
+    return single.unionByName(suspects.select("doc_id", "keep_id", "group_size", "kept", digest))
 
 
 def without_copies(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with one row of each group of ``exact_groups``; rows of other texts stay as they are."""
-    rows, groups = marked(bundled(df, text), text)
-    single = rows.where("_key is null").select("doc_id", text, "rest")
-    kept = rows.where("_key is not null").join(groups.select(F.col("_keep_row").alias("_row")), "_row", "left_semi").select("doc_id", text, "rest")
-    return unbundled(single.unionByName(kept), df.columns, text)
+    """``df`` with one row of each group of ``exact_groups``; rows of other texts stay as they are. Columns may have any
+    names; an empty table gives no rows."""
+    stored, suspects, _ = marked(df, text)
+    gone = suspects.where("not kept").select("_part", "_seq").groupBy("_part").applyInArrow(lambda t: _flagged(t, t.column("_part")[0].as_py()), _FLAGS)
+    stay = stored.join(gone.hint("shuffle_hash"), "_part", "left").where(~_flag())
+    return stay.select(*(F.col(f"row.{quoted(c)}").alias(c) for c in df.columns))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
