@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
-
-#: Parts of a group of equal texts that may go to different shards if the group is large.
-SALTS = 64
-#: A group of more than a shard's target divided by this is dealt by its parts.
-HOT_SHARE = 20
-#: Bits of a point's place in its dimension, then bits that order points of one place.
-PLACE_BITS, ORDER_BITS = 30, 30
+from .common import column, documents, materialise
+
+#: Bits of a point's place in its dimension, then bits that set groups of one place apart, then bits that do so for a group's rows.
+PLACE_BITS, GROUP_BITS, ROW_BITS = 24, 20, 16
+ORDER_BITS = GROUP_BITS + ROW_BITS
 #: Bits that one histogram pass settles.
 DIGIT_BITS = 12
-GROUP = ["_hash", "text_crc32", "_bytes"]
+GROUP = ["_hash", "text_crc32", "size"]
 
 
 def _place(name: str, low: float, high: float) -> Column:
@@ -33,7 +30,7 @@ def _medians(points: DataFrame, nodes: dict[int, tuple[str, float]], keys: dict[
     """
     total = PLACE_BITS + ORDER_BITS
     key = F.coalesce(*(F.when(F.col("_node") == n, k) for n, k in keys.items()))
-    keyed = points.where(F.col("_node").isin(list(nodes))).select("_node", "_weight", key.alias("_key"))
+    keyed = points.where(F.col("_node").isin(list(nodes))).select("_node", F.col("size").alias("_weight"), key.alias("_key"))
     prefix = dict.fromkeys(nodes, 0)
     below = dict.fromkeys(nodes, 0)
     goal: dict[int, float] = {}
@@ -60,74 +57,67 @@ def _medians(points: DataFrame, nodes: dict[int, tuple[str, float]], keys: dict[
 
 
 def kd_shards(df: DataFrame, shards: int, text: str = "text") -> DataFrame:
-    """``df`` with size, text_crc32, shard (0 to ``shards`` - 1, near equal in bytes) and slot (gapless from 0 in each shard).
-
-    Points of the tree are groups of equal texts: their size, least doc_id, language and source are the dimensions.
-    A node with more than one shard is split at the weighted median of its widest dimension, until each leaf holds
-    the target, the table's bytes over ``shards``. Equal texts stay together unless their group exceeds a
-    twentieth of the target; then it is dealt in SALTS parts that lie side by side, so a group of any size is cut
-    only where a boundary needs it. Null texts have size 1; nulls in other columns form a value of their own;
-    rows that repeat one another are dealt one by one; an empty table gives no rows.
+    """doc_id, size, text_crc32, shard (0 to ``shards`` - 1, near equal in bytes) and slot (gapless from 0 in each shard) of each row.
+
+    Points of the tree are rows that lie where their group of equal texts lies: its size, least doc_id, and least
+    language and source (where ``df`` has such columns) are the dimensions. A node with more than one shard is split at
+    the weighted median of its widest dimension, until each leaf holds the target, the table's bytes over ``shards``.
+    Rows of one place are ordered by group, then by row, so a boundary cuts at most the one group that it meets, at the
+    row that leaves the halves nearest to their shares, however large the group is.
+
+    Null texts have size 1; nulls in other columns form a value of their own. A row's number, fixed by the first write,
+    sets rows that repeat one another apart, null ids included. Ties of a median need no rule: no two groups and hardly
+    two rows of a group have the same key, and rows that do go the same way. A text of any length is one point, so a
+    shard may exceed its target by that text. Other columns are not read; an empty table gives no rows.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    raw = F.col(text).cast("binary")
+    raw = F.coalesce(column(text).cast("binary"), F.lit(b""))
+    words = [c for c in ("lang", "source") if c in df.columns]
+    dims = ["d_size", "d_doc", *(f"d_{c}" for c in words)]
     rows = df.select(
-        "doc_id",
-        (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"),
-        F.xxhash64(F.coalesce(raw, F.lit(b""))).alias("_hash"),
-        F.coalesce(F.crc32(F.col("lang").cast("binary")), F.lit(-1)).alias("_lang"),
-        F.coalesce(F.crc32(F.col("source").cast("binary")), F.lit(-1)).alias("_source"),
-    ).withColumn("_bytes", F.col("size"))
-    # the row's number differs between rows that repeat one another; the write fixes it
-    salt = F.pmod(F.xxhash64("doc_id", "_source", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
-    rows = materialise(rows.withColumn("_salt", salt), "shard-rows")
-    target = (rows.agg(F.sum("size")).first()[0] or 0) / shards
-    parts = rows.groupBy(*GROUP, "_salt").agg(F.sum("size").alias("_weight"), F.min("_lang").alias("_lang"), F.min("_source").alias("_source"), F.min("doc_id").alias("_doc"))
-    whole = Window.partitionBy(*GROUP)  # SALTS rows at most
-    points = parts.select(
-        *GROUP, "_salt", "_weight", (F.sum("_weight").over(whole) * HOT_SHARE > F.lit(target)).alias("_hot"), F.col("_bytes").cast("double").alias("d_size"),
-        *(F.coalesce(F.min(c).over(whole).cast("double"), F.lit(-1.0)).alias(d) for c, d in (("_doc", "d_doc"), ("_lang", "d_lang"), ("_source", "d_source"))),
+        "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("_hash"),
+        *(F.coalesce(F.crc32(column(c).cast("binary")), F.lit(-1)).alias(f"d_{c}") for c in words), F.monotonically_increasing_id().alias("_no"),
     )
-    order = F.shiftright(F.xxhash64("_hash"), 64 - ORDER_BITS + 6).bitwiseAND(2 ** (ORDER_BITS - 6) - 1)
-    points = points.withColumn("_order", F.shiftleft(order, 6) + F.when(F.col("_hot"), F.col("_salt")).otherwise(0)).withColumn("_node", F.lit(0))
+    rows = materialise(rows, "shard-rows")
+    groups = rows.groupBy(*GROUP).agg(F.coalesce(F.min("doc_id").cast("double"), F.lit(-1.0)).alias("d_doc"), *(F.min(f"d_{c}").cast("double").alias(f"d_{c}") for c in words))
+    of_group = F.shiftrightunsigned(F.xxhash64("_hash"), 64 - GROUP_BITS)
+    of_row = F.shiftrightunsigned(F.xxhash64("_no"), 64 - ROW_BITS)
+    # both sides are written, so that adaptive execution can split the rows of a large group
+    points = rows.select("doc_id", "_no", *GROUP).join(materialise(groups, "shard-groups"), GROUP)
+    points = points.select("doc_id", "_no", "size", "text_crc32", F.col("size").cast("double").alias("d_size"), *dims[1:], (F.shiftleft(of_group, ROW_BITS) + of_row).alias("_order"), F.lit(0).alias("_node"))
     points = materialise(points, "shard-points")
-    dims = ["d_size", "d_doc", "d_lang", "d_source"]
-    ends = points.agg(*(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("low", F.min), ("high", F.max)))).first()
+    ends = points.agg(*(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("low", F.min), ("high", F.max))), F.sum("size").alias("bytes")).first()
     place = {d: _place(d, ends[f"low_{d}"] or 0.0, ends[f"high_{d}"] or 0.0) for d in dims}
-    leaf: Column = F.lit(0)
     open_nodes = {0: (0, shards)}  # node -> first shard, shards
-    while target and (split := {n: of for n, of in open_nodes.items() if of[1] > 1}):
-        at = points.withColumn("_node", leaf)
-        width = at.where(F.col("_node").isin(list(split))).groupBy("_node").agg(*((F.max(place[d]) - F.min(place[d])).alias(d) for d in dims)).collect()
+    while ends["bytes"] and (split := {n: of for n, of in open_nodes.items() if of[1] > 1}):
+        width = points.where(F.col("_node").isin(list(split))).groupBy("_node").agg(*((F.max(place[d]) - F.min(place[d])).alias(d) for d in dims)).collect()
         widest = {r["_node"]: max(dims, key=lambda d, r=r: r[d]) for r in width}
         split = {n: of for n, of in split.items() if n in widest}
         if not split:
             break
         keys = {n: F.shiftleft(place[widest[n]], ORDER_BITS) + F.col("_order") for n in split}
-        cuts = _medians(at, {n: (widest[n], (of[1] // 2) / of[1]) for n, of in split.items()}, keys)
+        cuts = _medians(points, {n: (widest[n], (of[1] // 2) / of[1]) for n, of in split.items()}, keys)
+        leaf: Column = F.col("_node")
         for n, (first, count) in split.items():
             half = count // 2
             below, above = 2 * n + 1, 2 * n + 2
-            leaf = F.when(leaf == n, F.when(keys[n] < cuts[n], below).otherwise(above)).otherwise(leaf)
+            leaf = F.when(F.col("_node") == n, F.when(keys[n] < cuts[n], below).otherwise(above)).otherwise(leaf)
             del open_nodes[n]
             open_nodes |= {below: (first, half), above: (first + half, count - half)}
         points = materialise(points.withColumn("_node", leaf), "shard-tree")
-        leaf = F.col("_node")
     shard = F.coalesce(*(F.when(F.col("_node") == n, first) for n, (first, _) in open_nodes.items()), F.lit(0))
-    dealt = rows.join(points.select(*GROUP, "_salt", shard.cast("int").alias("shard")), [*GROUP, "_salt"]).select("doc_id", "size", "text_crc32", "shard", F.xxhash64("doc_id", "_hash").alias("_mixed"))
-    return _slotted(materialise(dealt, "sharded"))
+    return _slotted(points.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), "_no"))
 
 
 def _slotted(dealt: DataFrame) -> DataFrame:
-    """``dealt`` with slot. Rows of a shard are numbered in buckets; a bucket's first slot is the sum of those before it."""
+    """``dealt`` with slot. Rows of a shard are numbered in buckets by their number; a bucket's first slot is the sum of those before it."""
     buckets = max(32, dealt.count() // 1_000_000)
-    dealt = dealt.withColumn("_bucket", F.pmod("_mixed", F.lit(buckets)))
+    dealt = dealt.withColumn("_bucket", F.pmod(F.xxhash64("_no"), F.lit(buckets)))
     sizes = dealt.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     first = sizes.select("shard", "_bucket", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_first"))
-    number = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_mixed", "doc_id"))
-    return dealt.withColumn("_number", number).join(first, ["shard", "_bucket"]).withColumn("slot", (F.col("_first") + F.col("_number") - 1).cast("long")).drop("_mixed", "_bucket", "_number", "_first")
+    number = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_no"))
+    return dealt.withColumn("_number", number).join(first, ["shard", "_bucket"]).withColumn("slot", (F.col("_first") + F.col("_number") - 1).cast("long")).drop("_no", "_bucket", "_number", "_first")
 
 
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
