@@ -14,84 +14,86 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import piece_coder, vocabulary
-from .common import documents, materialise, slices, utf8
+from .common import documents, materialise, slices, tidy, utf8
 
 CAPACITY = 2048
 END_ID = 0
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """The plan of fewest sequences among those that fill gaps by triples, pairs, single lengths, or best fit alone."""
-    return min((_plan(counts, capacity, largest) for largest in (3, 2, 1, 0)), key=lambda found: sum(times for times, _ in found))
+class SumIndex:
+    """Which available lengths have a given sum: one, two or three of them.
+
+    ``left`` has how often each length is available. Entries of a sum are made when it is first asked for, the longest
+    length last. Counts only fall, so an entry that they no longer allow is dropped for good when it is met.
+    """
+
+    def __init__(self, left: list[int]):
+        self.left = left
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def _free(self, *parts: int) -> bool:
+        return all(self.left[x] >= parts.count(x) for x in parts)
+
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self.left[total] else None
+
+    def pair(self, total: int, beside: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """Two available lengths, besides those of ``beside``, with the longest length that any such pair has."""
+        if total not in self.pairs:
+            self.pairs[total] = [x for x in range((total + 1) // 2, total) if self._free(x, total - x)]
+        found = self.pairs[total]
+        while found and not self._free(found[-1], total - found[-1]):
+            found.pop()
+        return next(((x, total - x) for x in reversed(found) if not beside or self._free(x, total - x, *beside)), None)
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        if total not in self.triples:
+            self.triples[total] = [x for x in range(1, total - 1) if self.left[x]]
+        found = self.triples[total]
+        while found:
+            x = found[-1]
+            if self.left[x] and (two := self.pair(total - x, (x,))):
+                return (x, *two)
+            found.pop()
+        return None
 
+    def exact(self, total: int) -> tuple[int, ...] | None:
+        return self.single(total) or self.pair(total) or self.triple(total)
 
-def _plan(counts: dict[int, int], capacity: int, largest: int) -> list[tuple[int, list[tuple[int, int]]]]:
+
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns [(times, [(length, how many), ...]), ...] that together use each length as often as ``counts`` has it.
 
-    Works on the counts of lengths alone. The longest length left opens a pattern. Its gap is filled exactly by one
-    length, a pair or a triple (``largest`` lengths at most) if the index of available sums has it; otherwise by the longest length that fits, and
-    the same is tried for what is left of the gap. The pattern is then used as often as availability allows.
+    Works on the counts of lengths alone. The longest length left opens a pattern. One, two or three available lengths
+    that fill its gap exactly are looked up by their sum and consumed. Where there are none the gap is a residual: it
+    takes the longest length that fits best, and what is left of the gap is looked up again. The pattern is then used
+    as often as availability allows.
     """
-    left = np.zeros(capacity + 1, np.int64)
+    left = [0] * (capacity + 1)
     for length, n in counts.items():
         if not 1 <= length <= capacity:
             raise ValueError(f"length {length} is not within 1 to {capacity}")
         left[length] += n
-    there = left > 0
-    pair_sums: np.ndarray | None = None
+    index = SumIndex(left)
     out: list[tuple[int, list[tuple[int, int]]]] = []
-
-    def free(parts: list[int], more: tuple[int, ...]) -> bool:
-        return all(left[x] >= n for x, n in Counter([*parts, *more]).items())
-
-    def exact(parts: list[int], gap: int) -> tuple[int, ...] | None:
-        nonlocal pair_sums
-        if largest and there[gap] and free(parts, (gap,)):
-            return (gap,)
-        if largest < 2:
-            return None
-        a = np.arange((gap + 1) // 2, gap)  # the longer of a pair
-        a = a[there[a] & there[gap - a]]
-        for x in a[::-1].tolist():  # the longest that fits, so that short lengths stay for later gaps
-            if free(parts, (x, gap - x)):
-                return (x, gap - x)
-        if largest < 3:
-            return None
-        if pair_sums is None:
-            size = 1 << (2 * capacity + 1).bit_length()
-            pair_sums = np.fft.irfft(np.fft.rfft(there.astype(float), size) ** 2, size)[: capacity + 1] > 0.5
-        a = np.arange((gap + 2) // 3, gap - 1)  # the longest of a triple
-        for x in a[there[a] & pair_sums[gap - a]][::-1].tolist():
-            b = np.arange((gap - x + 1) // 2, min(gap - x, x + 1))
-            for y in b[there[b] & there[gap - x - b]].tolist():
-                if free(parts, (x, y, gap - x - y)):
-                    return (x, y, gap - x - y)
-        return None
-
-    length = capacity
-    while length:
-        if not left[length]:
-            length -= 1
-            continue
-        parts, gap = [length], capacity - length
-        while gap:
-            if found := exact(parts, gap):
-                parts += found
-                break
-            fits = np.flatnonzero(there[: gap + 1])[::-1]
-            best = next((x for x in fits.tolist() if free(parts, (x,))), None)
-            if best is None:
-                break
-            parts.append(best)
-            gap -= best
-        used = Counter(parts)
-        times = min(int(left[x]) // n for x, n in used.items())
-        out.append((times, sorted(used.items(), reverse=True)))
-        for x, n in used.items():
-            left[x] -= times * n
-            if there[x] and not left[x]:
-                there[x] = False
-                pair_sums = None
+    for length in range(capacity, 0, -1):
+        while left[length]:
+            parts, gap = [length], capacity - length
+            left[length] -= 1
+            while gap:
+                filled = index.exact(gap) or next(((x,) for x in range(gap, 0, -1) if left[x]), None)
+                if not filled:
+                    break
+                for x in filled:
+                    left[x] -= 1
+                parts += filled
+                gap -= sum(filled)
+            used = Counter(parts)
+            more = min(left[x] // n for x, n in used.items())
+            for x, n in used.items():
+                left[x] -= more * n
+            out.append((1 + more, sorted(used.items(), reverse=True)))
     return out
 
 
@@ -120,7 +122,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str =
             )
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, row_no long"
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, schema)
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("t")).mapInArrow(tidy(run), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -162,7 +164,8 @@ def packed_documents(df: DataFrame, path: str, capacity: int = CAPACITY) -> Data
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of each document.
 
     A null or empty text is END_ID alone; repeated rows and null ids are documents like any other; other columns
-    are not read; an empty table gives no rows. Pieces of equal length are interchangeable, so ties need no rule.
+    are not read; an empty table gives no rows. A text of any length is cut into pieces as it is coded. Pieces of equal
+    length are interchangeable, so ties need no rule.
     """
     pieces = materialise(token_pieces(df, path, capacity).drop("ids"), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
