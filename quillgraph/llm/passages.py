@@ -1,7 +1,9 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-A paragraph is a stretch of words between content-defined breaks, so a passage that is set into different texts, at
-any place, is cut into the same paragraphs but for its ends.
+Two kinds of units are compared. Paragraphs are a text's lines: banded MinHash finds those that are alike, exact Jaccard
+verifies them. Cuts are stretches of words between content-defined breaks, so a passage that is set into different
+texts at any place is cut alike but for its ends; they are compared for equality. A component of alike paragraphs, and
+each set of equal cuts, is a class; the first document that holds one keeps it.
 """
 
 from __future__ import annotations
@@ -16,31 +18,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binaries, components, documents, materialise, slices, utf8
+from .common import LEFT, RIGHT, binaries, column, components, documents, materialise, paired_blocks, quoted, slices, tidy, utf8
 
 #: A break is a place whose word pair has the least hash within so many words on either side.
 REACH = 5
-#: Shorter paragraphs (of very short texts) are not compared.
+#: Shorter cuts (at the ends of texts, and very short texts) are not compared.
 LEAST_WORDS = 6
 SHINGLE = 5
 SIMILARITY = 0.8
-RECALL = 0.98
-#: A run of repeated paragraphs of one text is removed if it has so many words.
+RECALL = 0.99
+#: A run of repeated cuts of one text is removed if it has so many words; shorter paragraphs are not compared.
 LEAST_RUN = 20
-#: Paragraphs of one band key that one block holds.
+#: Paragraphs of one band key that one part of a block holds.
 BLOCK = 1024
+#: Rows of one band key that are held at once.
+CARRIED = 50_000
+CUT, PARAGRAPH = 0, 1
 
 #: Words are runs of letters and digits; A-Z lower-cased.
 _WORD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
-def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 2) -> tuple[int, int]:
-    """(bands, rows) with the fewest bands whose chance 1 - (1 - s**rows)**bands of meeting at ``similarity`` reaches ``recall``.
-
-    Two rows a band: paragraphs that share one frequent phrase rarely meet, and few bands are shuffled.
-    """
+def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 4) -> tuple[int, int]:
+    """(bands, rows) with the fewest bands whose chance 1 - (1 - s**rows)**bands of meeting at ``similarity`` reaches ``recall``."""
     bands = 1
     while 1 - (1 - similarity**rows) ** bands < recall:
         bands += 1
@@ -52,20 +55,58 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _ODD) -> np.ndarray:
     """64-bit hash of each span of ``values``: sums of value * odd**i, moved to a common start."""
     n = len(values) + 1
-    powers = np.cumprod(np.full(n, _ODD, np.uint64))
-    inverses = np.cumprod(np.full(n, pow(_ODD, -1, 1 << 64), np.uint64))
+    powers = np.cumprod(np.full(n, base, np.uint64))
+    inverses = np.cumprod(np.full(n, pow(base, -1, 1 << 64), np.uint64))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((values + np.uint64(1)) * powers[:-1], dtype=np.uint64)))
     return _mixed((sums[ends] - sums[starts]) * inverses[starts])
 
 
+class Spans:
+    """Stretches of words, by their first words: text, number within it, size, and 128 bits (h, g) that tell their words apart."""
+
+    def __init__(self, cut: Cut, first: np.ndarray):
+        n = len(cut.words)
+        self.words, self.first = cut.words, first
+        self.last = np.append(first[1:], n) if len(first) else first
+        self.text = cut.word_text[first]
+        self.by_text = np.searchsorted(self.text, np.arange(cut.texts + 1))
+        self.number = np.arange(len(first)) - self.by_text[self.text]
+        self.size = self.last - first
+        self.h = _spans_hash(cut.words, first, self.last) if n else np.empty(0, np.uint64)
+        self.g = _spans_hash(_mixed(cut.words ^ _OTHER), first, self.last, _ODD ^ 0x5A5A5A5A5A5A5A5A) if n else np.empty(0, np.uint64)
+
+    def shingles(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all word shingles of the stretches ``of``, index of each one's first and the end); a short one is one shingle."""
+        count = np.maximum(self.size[of] - SHINGLE + 1, 1)
+        index = np.concatenate(([0], np.cumsum(count)))
+        at = np.repeat(self.first[of] - index[:-1], count) + np.arange(index[-1])
+        value = _spans_hash(self.words, at, np.minimum(at + SHINGLE, np.repeat(self.last[of], count))) if len(at) else np.empty(0, np.uint64)
+        return value, index
+
+    def band_keys(self, of: np.ndarray, bands: int, rows: int) -> np.ndarray:
+        """[stretch, band]"""
+        value, index = self.shingles(of)
+        out = np.empty((len(of), bands), np.uint64)
+        if not len(of):
+            return out
+        for b in range(bands):
+            key = np.full(len(of), np.uint64((b + 1) * _ODD & (2**64 - 1)))
+            for r in range(rows):
+                seed = np.uint64(((b * rows + r) * 2 + 1) * 0xC2B2AE3D27D4EB4F & (2**64 - 1))
+                key = _mixed(key * np.uint64(3) + np.minimum.reduceat(_mixed(value ^ seed), index[:-1]))
+            out[:, b] = key
+        return out
+
+
 class Cut:
-    """The paragraphs of texts given as bytes one after another."""
+    """The cuts and paragraphs of texts given as bytes one after another."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        texts = len(offsets) - 1
+        self.texts = len(offsets) - 1
+        lines = np.flatnonzero(data == 0x0A)
         data = np.frombuffer(data.tobytes().translate(_WORD), np.uint8)
         solid = np.concatenate(([False], data != 0x20, [False]))
         begin = solid[1:-1] & ~solid[:-2]
@@ -95,146 +136,149 @@ class Cut:
             breaks &= ~same | (pair <= right)
             at = np.arange(n) - before[self.word_text]
             breaks &= at >= REACH  # no break that the text's beginning alone makes
-        breaks[before[:-1][before[:-1] < before[1:]]] = True
-        self.first = np.flatnonzero(breaks)  # a paragraph's first word
-        self.last = np.append(self.first[1:], n) if len(self.first) else self.first
-        self.text = self.word_text[self.first]
-        ahead = np.searchsorted(self.text, np.arange(texts + 1))
-        self.by_text = ahead
-        self.number = np.arange(len(self.first)) - ahead[self.text]
-        self.size = self.last - self.first
-        self.hash = _spans_hash(self.words, self.first, self.last) if n else np.empty(0, np.uint64)
-
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes of all paragraphs' word shingles, index of each paragraph's first and the end); a short one is one shingle."""
-        n = len(self.words)
-        end = np.repeat(self.last, self.size)
-        at = np.arange(n)
-        full = at + SHINGLE <= end
-        there = full.copy()
-        there[self.first] = True
-        value = np.zeros(n, np.uint64)
-        if n >= SHINGLE:
-            value[: n - SHINGLE + 1] = _spans_hash(self.words, at[: n - SHINGLE + 1], at[: n - SHINGLE + 1] + SHINGLE)
-        short = self.first[~full[self.first]]
-        value[short] = self.hash[~full[self.first]]
-        index = np.cumsum(there) - there
-        return value[there], np.append(index[self.first], there.sum())
-
-    def band_keys(self, bands: int, rows: int) -> np.ndarray:
-        """[bands, paragraph]"""
-        value, first = self.shingles()
-        out = np.empty((bands, len(self.first)), np.uint64)
-        for b in range(bands):
-            key = np.full(len(self.first), np.uint64((b + 1) * _ODD & (2**64 - 1)))
-            for r in range(rows):
-                seed = np.uint64(((b * rows + r) * 2 + 1) * 0xC2B2AE3D27D4EB4F & (2**64 - 1))
-                key = _mixed(key * np.uint64(3) + np.minimum.reduceat(_mixed(value ^ seed), first[:-1]))
-            out[b] = key
-        return out
+        first_words = before[:-1][before[:-1] < before[1:]]
+        breaks[first_words] = True
+        self.cuts = Spans(self, np.flatnonzero(breaks))
+        line = np.searchsorted(lines, self.starts)
+        new = np.zeros(n, bool)
+        new[1:] = line[1:] != line[:-1]
+        new[first_words] = True
+        self.paragraphs = Spans(self, np.flatnonzero(new))
 
+    def kinds(self) -> tuple[tuple[int, Spans, np.ndarray], ...]:
+        """(kind, stretches, which of them are compared)"""
+        return (CUT, self.cuts, np.flatnonzero(self.cuts.size >= LEAST_WORDS)), (PARAGRAPH, self.paragraphs, np.flatnonzero(self.paragraphs.size >= LEAST_RUN))
 
-def text_key(doc_id: int | None, text: bytes) -> int:
-    return xxhash.xxh64_intdigest(b"%d\0" % doc_id + text if doc_id is not None else b"\0" + text) - (1 << 63)
 
+def text_key(doc_id: int | None, text: bytes) -> bytes:
+    """128 bits that stand for a row's doc_id and text."""
+    return xxhash.xxh3_128_digest(b"%d\0" % doc_id + text if doc_id is not None else b"\0" + text)
 
-def _keyed(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array([text_key(i, t) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), strict=True)], np.int64)
+
+def _keyed(batch: pa.RecordBatch) -> pa.Array:
+    return pa.array([text_key(i, t) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), strict=True)], pa.binary())
 
 
 def _texts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("t"))
 
 
-def paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
-    """d (key of a row's doc_id and text), doc_id, no, h (hash of the words) of each paragraph."""
+def units(df: DataFrame, text: str = "text") -> DataFrame:
+    """d (key of a row's doc_id and text), doc_id, kind, no, h, g, and bands (of paragraphs) of each unit that is compared."""
+    bands, rows = tuned_bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 1_000_000):
             cut = Cut(*binaries(batch.column("t")))
-            long = cut.size >= LEAST_WORDS
-            of = pa.array(cut.text[long])
-            yield pa.RecordBatch.from_arrays([pa.array(_keyed(batch)).take(of), batch.column("doc_id").take(of), pa.array(cut.number[long].astype(np.int32)), pa.array(cut.hash[long].view(np.int64))], names=["d", "doc_id", "no", "h"])
+            keys = _keyed(batch)
+            for kind, spans, of in cut.kinds():
+                texts = pa.array(spans.text[of])
+                made = spans.band_keys(of, bands, rows).astype("<u8").tobytes() if kind == PARAGRAPH else b""
+                held = pa.array([made[at : at + 8 * bands] for at in range(0, len(made), 8 * bands)], pa.binary()) if kind == PARAGRAPH else pa.nulls(len(of), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(texts), batch.column("doc_id").take(texts), pa.array(np.full(len(of), kind, np.int32)), pa.array(spans.number[of].astype(np.int32)), pa.array(spans.h[of].view(np.int64)), pa.array(spans.g[of].view(np.int64)), held],
+                    names=["d", "doc_id", "kind", "no", "h", "g", "bands"],
+                )
 
-    return _texts(df, text).mapInArrow(run, "d long, doc_id long, no int, h long")
+    return _texts(df, text).mapInArrow(tidy(run), "d binary, doc_id long, kind int, no int, h long, g long, bands binary")
 
 
-def _bands(df: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1_000_000):
-            cut = Cut(*binaries(batch.column("t")))
-            if not len(cut.first):
-                continue
-            long = np.flatnonzero(cut.size >= LEAST_WORDS)
-            # equal paragraphs of a batch are one candidate
-            long = long[np.unique(cut.hash[long], return_index=True)[1]]
-            h = pa.array(cut.hash[long].view(np.int64))
-            for key in cut.band_keys(bands, rows):
-                yield pa.RecordBatch.from_arrays([pa.array(key[long].view(np.int64)), h], names=["key", "h"])
-
-    return _texts(df, text).mapInArrow(run, "key long, h long")
+def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, h) of each band of rows of h and bands (64-bit keys one after another)."""
+    for batch in batches:
+        data, offsets = binaries(batch.column("bands"))
+        of = np.repeat(batch.column("h").to_numpy(), np.diff(offsets) // 8)
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(of)], names=["key", "h"])
 
 
-def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, h) the distinct ones whose key has several h."""
-    rest = [np.empty(0, np.int64)] * 2
-    done = False
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, h) the groups of several h under one key. The new key is made of the group's h, so that
+    equal groups are one; a group of more than CARRIED, which is passed on as it comes, is named by its key."""
+    key = h = np.empty(0, np.int64)
     batches = iter(batches)
+    done = False
+    passing: tuple[int, int] | None = None  # key and last h of a large group
+
+    def rows(name: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(of)], names=["key", "h"])
+
+    def own(k: int, n: int) -> np.ndarray:
+        return np.repeat(_mixed(np.array([k], np.int64).view(np.uint64) ^ _OTHER), n)
+
     while not done:
         batch = next(batches, None)
         done = batch is None
-        key, h = rest if done else [np.concatenate((r, batch.column(c).to_numpy())) for r, c in zip(rest, ("key", "h"), strict=True)]
+        if not done:
+            key, h = np.concatenate((key, batch.column("key").to_numpy())), np.concatenate((h, batch.column("h").to_numpy()))
+        if not len(key):
+            continue
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+        if passing:
+            new[0] = (key[0], h[0]) != passing
         key, h = key[new], h[new]
-        cut = len(key) if done else int(np.searchsorted(key, key[-1])) if len(key) else 0
-        rest = [key[cut:], h[cut:]]
-        key, h = key[:cut], h[:cut]
-        several = np.zeros(len(key), bool)
-        several[1:] = key[1:] == key[:-1]
-        several[:-1] |= several[1:].copy()
-        if several.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[several]), pa.array(h[several])], names=["key", "h"])
+        if passing and len(key):
+            n = int(np.searchsorted(key, passing[0], "right"))
+            if n:
+                yield rows(own(passing[0], n), h[:n])
+                passing = (passing[0], int(h[n - 1]))
+            key, h = key[n:], h[n:]
+            passing = None if len(key) else passing
+        if not len(key):
+            continue
+        cut = len(key) if done else int(np.searchsorted(key, key[-1]))
+        if cut:
+            starts = np.flatnonzero(np.concatenate(([True], key[1:cut] != key[: cut - 1])))
+            sizes = np.diff(np.append(starts, cut))
+            name = _mixed(np.add.reduceat(_mixed(h[:cut].view(np.uint64)), starts) + sizes.astype(np.uint64))
+            several = np.repeat(sizes > 1, sizes)
+            if several.any():
+                yield rows(np.repeat(name, sizes)[several], h[:cut][several])
+        key, h = key[cut:], h[cut:]
+        if len(key) > CARRIED:
+            yield rows(own(int(key[0]), len(key)), h)
+            passing = int(key[0]), int(h[-1])
+            key = h = np.empty(0, np.int64)
+
+
+def candidate_groups(rows: DataFrame) -> DataFrame:
+    """(key, h) of groups that share a band, of ``rows`` (h, bands); each set of h is one group."""
+    pairs = rows.select("h", "bands").mapInArrow(tidy(banded), "key long, h long")
+    return pairs.repartition("key").sortWithinPartitions("key", "h").mapInArrow(tidy(grouped), "key long, h long").distinct()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, block) a spanning forest of each group's links: pairs whose shingles have Jaccard SIMILARITY."""
-
-    def links(index: list[tuple[int, set]], every: list[tuple[int, set]]) -> Iterator[tuple[int, int]]:
-        label = {h: h for h, _ in every}
-
-        def root(h: int) -> int:
-            while label[h] != h:
-                label[h] = label[label[h]]
-                h = label[h]
-            return h
-
-        every = sorted(every, key=lambda x: len(x[1]))
-        sizes = np.array([len(s) for _, s in every])
-        for h, s in index:
-            lo, hi = np.searchsorted(sizes, SIMILARITY * len(s)), np.searchsorted(sizes, len(s) / SIMILARITY, "right")
-            for g, t in every[lo:hi]:
-                if (a := root(h)) != (b := root(g)):
-                    common = len(s & t)
-                    if common >= SIMILARITY * (len(s) + len(t) - common):
-                        label[a] = b
-                        yield h, g
-
-    def closed(of: tuple, index: list, probe: list) -> list[tuple[int, int]]:
-        return list(links(index, index + probe)) if index and len(index) + len(probe) > 1 else []
-
-    of, index, probe = None, [], []
-    for batch in batches:
+    """Of rows sorted by (key, block) a spanning forest of each block's links: pairs whose shingles have Jaccard SIMILARITY."""
+
+    def links(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        rows.sort(key=lambda x: len(x[2]))
+        sizes = np.array([len(x[2]) for x in rows])
+        side = np.array([x[1] for x in rows])
+        label = np.arange(len(rows))
         found = []
-        for r in batch.to_pylist():
-            if (r["key"], r["block"]) != of:
-                found += closed(of, index, probe)
-                of, index, probe = (r["key"], r["block"]), [], []
-            (probe if r["probe"] else index).append((r["h"], set(np.frombuffer(r["shingles"], np.int64).tolist())))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["src", "dst"])
-    if found := closed(of, index, probe):
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["src", "dst"])
+        for i in np.flatnonzero(side != RIGHT).tolist():
+            lo, hi = np.searchsorted(sizes, SIMILARITY * sizes[i]), np.searchsorted(sizes, sizes[i] / SIMILARITY, "right")
+            for j in (lo + np.flatnonzero((side[lo:hi] != LEFT) & (label[lo:hi] != label[i]))).tolist():
+                if label[i] != label[j]:
+                    common = len(np.intersect1d(rows[i][2], rows[j][2], assume_unique=True))
+                    if common >= SIMILARITY * (sizes[i] + sizes[j] - common):
+                        label[label == label[j]] = label[i]
+                        found.append((rows[i][0], rows[j][0]))
+        return found
+
+    def closed(rows: list) -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1 and (found := links(rows)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+    at, rows = None, []
+    for batch in batches:
+        data, offsets = binaries(batch.column("shingles"))
+        for k, (key, block, h, side) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "h", "side")), strict=True)):
+            if (key, block) != at:
+                yield from closed(rows)
+                at, rows = (key, block), []
+            rows.append((h, side, np.frombuffer(data[offsets[k] : offsets[k + 1]].tobytes(), np.int64)))
+    yield from closed(rows)
 
 
 def _with_texts(df: DataFrame, text: str, marked: DataFrame) -> DataFrame:
@@ -242,118 +286,130 @@ def _with_texts(df: DataFrame, text: str, marked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 1_000_000):
-            yield pa.RecordBatch.from_arrays([pa.array(_keyed(batch)), batch.column("doc_id"), batch.column("t")], names=["d", "doc_id", "t"])
+            yield pa.RecordBatch.from_arrays([_keyed(batch), batch.column("doc_id"), batch.column("t")], names=["d", "doc_id", "t"])
 
-    return _texts(df, text).mapInArrow(run, "d long, doc_id long, t binary").join(marked, "d", "left")
+    return _texts(df, text).mapInArrow(tidy(run), "d binary, doc_id long, t binary").join(marked, "d", "left")
 
 
 def similar_paragraphs(df: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """(node, component) of paragraph hashes that links of exact Jaccard at least SIMILARITY connect."""
-    bands, rows = tuned_bands()
-    pairs = _bands(df, text, bands, rows).repartition("key").sortWithinPartitions("key", "h").mapInArrow(_colliding, "key long, h long")
-    pairs = materialise(pairs, "colliding")
-    one = found.join(pairs.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min(F.struct("d", "no")).alias("at"))
+    """h, g, component of paragraphs of ``found`` (see ``units``) that links of exact Jaccard at least SIMILARITY connect."""
+    distinct = found.where(F.col("kind") == PARAGRAPH).groupBy("h", "g").agg(F.min(F.struct("d", "no")).alias("at"), F.min("bands").alias("bands"))
+    distinct = materialise(distinct, "distinct-paragraphs")
+    groups = materialise(candidate_groups(distinct), "band-groups")
+    one = distinct.join(groups.select("h").distinct(), "h", "left_semi")
     wanted = materialise(one.groupBy(F.col("at.d").alias("d")).agg(F.collect_list("at.no").alias("nos")), "wanted")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 1_000_000):
-            cut = Cut(*binaries(batch.column("t")))
-            value, first = cut.shingles()
-            rows_of, nos = [], batch.column("nos").to_pylist()
-            for k, of in enumerate(nos):
-                rows_of += [int(cut.by_text[k]) + no for no in set(of)]
-            sets = [np.unique(value[first[p] : first[p + 1]]).tobytes() for p in rows_of]
-            yield pa.RecordBatch.from_arrays([pa.array(cut.hash[rows_of].view(np.int64)), pa.array(sets, pa.binary())], names=["h", "shingles"])
-
-    held = _with_texts(df, text, wanted).where("nos is not null").select("t", "nos").mapInArrow(shingles, "h long, shingles binary")
-    held = materialise(held.groupBy("h").agg(F.first("shingles").alias("shingles")), "shingles")
-    heavy = pairs.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = pairs.join(materialise(heavy, "band-sizes"), "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("probe", F.pmod(F.xxhash64("h"), F.col("blocks")) != F.col("block"))
-    checked = dealt.join(held, "h").select("key", "block", "probe", "h", "shingles").repartition("key", "block").sortWithinPartitions("key", "block")
-    return materialise(components(checked.mapInArrow(_verified, "src long, dst long"), "passages"), "passage-classes")
+            of = Cut(*binaries(batch.column("t"))).paragraphs
+            which = np.array([int(of.by_text[k]) + no for k, nos in enumerate(batch.column("nos").to_pylist()) for no in sorted(set(nos))], np.int64)
+            value, index = of.shingles(which)
+            sets = [np.unique(value[a:b]).tobytes() for a, b in zip(index, index[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(of.h[which].view(np.int64)), pa.array(sets, pa.binary())], names=["h", "shingles"])
+
+    held = _with_texts(df, text, wanted).where("nos is not null").select("t", "nos").mapInArrow(tidy(shingles), "h long, shingles binary")
+    held = materialise(held.groupBy("h").agg(F.min("shingles").alias("shingles")), "shingles")
+    sizes = materialise(groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "band-sizes")
+    dealt = groups.join(sizes, "key").select("key", "h", F.explode(paired_blocks(F.col("h"), F.col("blocks"))).alias("at")).select("key", "h", "at.block", "at.side")
+    checked = dealt.join(held, "h").select("key", "block", "side", "h", "shingles").repartition("key", "block").sortWithinPartitions("key", "block")
+    linked = materialise(components(checked.mapInArrow(tidy(_verified), "src long, dst long"), "passages"), "passage-classes")
+    return linked.withColumnRenamed("node", "h").join(distinct.select("h", "g"), "h")
 
 
 def repeated(df: DataFrame, text: str = "text") -> DataFrame:
-    """d, nos, firsts of each row that holds a paragraph whose class another document holds before it (by doc_id, null last)."""
-    found = materialise(paragraphs(df, text), "paragraphs")
-    classes = similar_paragraphs(df, found, text)
-    named = materialise(found.join(classes.withColumnRenamed("node", "h"), "h", "left").select("d", "doc_id", "no", F.coalesce("component", "h").alias("c")), "named-paragraphs")
+    """d and marks (kind, no, first_id) of each row that holds a unit whose class another document holds before it (by doc_id, null last)."""
+    found = materialise(units(df, text), "units")
+    classes = materialise(similar_paragraphs(df, found, text), "named-classes")
+    narrow = found.select("d", "doc_id", "kind", "no", "h", "g")
+    paragraphs = narrow.where(F.col("kind") == PARAGRAPH).join(classes, ["h", "g"], "left")
+    own = F.coalesce("component", "h").alias("h"), F.when(F.col("component").isNull(), F.col("g")).otherwise(0).alias("g")
+    named = materialise(paragraphs.select("d", "doc_id", "kind", "no", *own).unionByName(narrow.where(F.col("kind") == CUT)), "named-units")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d")
-    several = named.groupBy("c").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first != last")
-    several = materialise(several.select("c", F.col("first.d").alias("first_d"), F.col("first.doc_id").alias("first_id")), "repeated-classes")
-    later = named.join(several, "c").where("d != first_d")
-    return materialise(later.groupBy("d").agg(F.collect_set("no").alias("nos"), F.collect_set(F.struct("no", "first_id")).alias("firsts")), "repeated")
-
-
-def removed(text: bytes, cut: Cut, begin: int, k: int, nos: set[int]) -> tuple[bytes, set[int], int]:
-    """(what is left of the k-th text, numbers of removed paragraphs, removed words). ``begin``: where its bytes begin in the cut."""
-    a, b = int(cut.by_text[k]), int(cut.by_text[k + 1])
-    out, gone, words, at, p = [], set(), 0, 0, a
-    while p < b:
-        q = p
-        while q < b and q - a in nos:
-            q += 1
-        n = int(cut.size[p:q].sum())
-        if q > p and n >= LEAST_RUN:
-            out.append(text[at : int(cut.starts[cut.first[p]]) - begin])
-            at = int(cut.starts[cut.first[q]]) - begin if q < b else len(text)
-            gone |= set(range(p - a, q - a))
-            words += n
-        p = max(q, p + 1)
-    return b"".join([*out, text[at:]]), gone, words
+    of = ["kind", "h", "g"]
+    several = named.groupBy(*of).agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first != last")
+    several = materialise(several.select(*of, F.col("first.d").alias("first_d"), F.col("first.doc_id").alias("first_id")), "repeated-classes")
+    later = named.join(several, of).where("d != first_d")
+    return materialise(later.groupBy("d").agg(F.collect_set(F.struct("kind", "no", "first_id")).alias("marks")), "repeated")
+
+
+def removed(text: bytes, cut: Cut, begin: int, k: int, marks: list[dict]) -> tuple[bytes, list[dict], int]:
+    """(what is left of the k-th text, the marks that took effect, removed words). ``begin``: where its bytes begin in the cut."""
+    gone = np.zeros(len(cut.words), bool)
+    taken = []
+    for kind, spans, _ in cut.kinds():
+        base, of = int(spans.by_text[k]), {m["no"]: m for m in marks if m["kind"] == kind}
+        nos = sorted(of)
+        runs = np.split(nos, np.flatnonzero(np.diff(nos) != 1) + 1) if nos else []
+        for run in runs:
+            a, b = int(spans.first[base + run[0]]), int(spans.last[base + run[-1]])
+            if kind == PARAGRAPH or b - a >= LEAST_RUN:
+                gone[a:b] = True
+                taken += [of[no] for no in run.tolist()]
+    base, end = (int(cut.paragraphs.first[i]) if i < len(cut.paragraphs.first) else len(cut.words) for i in (int(cut.paragraphs.by_text[k]), int(cut.paragraphs.by_text[k + 1])))
+    own = gone[base:end]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8))).reshape(-1, 2)
+    out, at = [], 0
+    for a, b in edges.tolist():
+        out.append(text[at : int(cut.starts[base + a]) - begin])
+        at = int(cut.starts[base + b]) - begin if base + b < end else len(text)
+    return b"".join([*out, text[at:]]), taken, int(own.sum())
 
 
 def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_paragraphs, n_removed, words_removed, repeats (sorted ids of the documents that hold its removed passages first), kept, kept_sha256.
-
-    Of each class of paragraphs (equal words, or links of five-word Jaccard at least 0.8) the document of least
-    doc_id keeps its occurrences; in others those in a run of LEAST_RUN words or more go, from the run's first
-    word to the next word that stays. A null or empty text has no paragraphs and keeps an empty text. Rows that
-    repeat one another are one document here. Paragraphs that only one document holds stay, however often.
-    Other columns are not read; an empty table gives no rows.
+    """doc_id, n_units, n_removed, words_removed, repeats (sorted ids of the documents that hold its removed passages first), kept, kept_sha256.
+
+    Of each class (equal cuts; paragraphs with equal words, or linked by five-word Jaccard of at least 0.8) the document
+    of least doc_id keeps its occurrences (null ids last). In others alike paragraphs of LEAST_RUN words or more go, and
+    runs of repeated cuts with LEAST_RUN words or more, up to the next word that stays. A null or empty text has no
+    units and keeps an empty text. Rows that repeat one another are one document here. Units that only one document
+    holds stay, however often. Words are told apart by 64 bits, units by 128. A text is cut whole, which takes about a
+    hundred bytes of memory for each of its bytes. Other columns are not read; an empty table gives no rows.
     """
-    joined = _with_texts(df, text, repeated(df, text)).select("doc_id", "t", "nos", "firsts")
+    joined = _with_texts(df, text, repeated(df, text)).select("doc_id", "t", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 1_000_000):
             data, offsets = binaries(batch.column("t"))
             cut = Cut(data, offsets)
             columns: list[list] = [[] for _ in range(6)]
-            for k, (t, nos, firsts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("t", "nos", "firsts")), strict=True)):
-                left, gone, words = removed(t, cut, int(offsets[k]), k, set(nos)) if nos else (t, set(), 0)
-                held = sorted({x["first_id"] for x in firsts or () if x["no"] in gone and x["first_id"] is not None})
-                for column, x in zip(columns, (int(cut.by_text[k + 1] - cut.by_text[k]), len(gone), words, held, left, hashlib.sha256(left).hexdigest()), strict=True):
-                    column.append(x)
+            for k, (t, marks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("t", "marks")), strict=True)):
+                left, taken, words = removed(t, cut, int(offsets[k]), k, marks) if marks else (t, [], 0)
+                held = sorted({m["first_id"] for m in taken if m["first_id"] is not None})
+                n = sum(int(spans.by_text[k + 1] - spans.by_text[k]) for spans in (cut.cuts, cut.paragraphs))
+                for values, x in zip(columns, (n, len(taken), words, held, left, hashlib.sha256(left).hexdigest()), strict=True):
+                    values.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True))], names=["doc_id", "n_paragraphs", "n_removed", "words_removed", "repeats", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True))], names=["doc_id", "n_units", "n_removed", "words_removed", "repeats", "kept", "kept_sha256"])
 
-    schema = "doc_id long, n_paragraphs long, n_removed long, words_removed long, repeats array<long>, kept binary, kept_sha256 string"
-    return joined.mapInArrow(run, schema).withColumn("kept", F.col("kept").cast("string"))
+    schema = "doc_id long, n_units long, n_removed long, words_removed long, repeats array<long>, kept binary, kept_sha256 string"
+    return joined.mapInArrow(tidy(run), schema).withColumn("kept", F.col("kept").cast("string"))
 
 
 def passages_removed(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the texts that ``without_repeats`` leaves; rows whose text changes keep their other columns."""
-    names = df.columns
-    own = df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("t"), F.struct(*names).alias("row"))
+    """``df`` with the texts that ``without_repeats`` leaves; rows whose text changes keep their other columns, which may
+    have any names. An empty table gives no rows."""
+    row = F.struct(*(column(c) for c in df.columns)).alias("row")
+    own = df.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("t"), row)
     marked = repeated(df, text)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 1_000_000):
-            yield pa.RecordBatch.from_arrays([pa.array(_keyed(batch)), batch.column("row")], names=["d", "row"])
+            yield pa.RecordBatch.from_arrays([_keyed(batch), batch.column("row")], names=["d", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 1_000_000):
             data, offsets = binaries(batch.column("t"))
             cut = Cut(data, offsets)
-            left = [removed(t, cut, int(offsets[k]), k, set(nos))[0].decode("utf-8", "replace") if nos else None for k, (t, nos) in enumerate(zip(batch.column("t").to_pylist(), batch.column("nos").to_pylist(), strict=True))]
+            pairs = zip(batch.column("t").to_pylist(), batch.column("marks").to_pylist(), strict=True)
+            left = [removed(t, cut, int(offsets[k]), k, marks)[0].decode("utf-8", "replace") if marks else None for k, (t, marks) in enumerate(pairs)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(left, pa.string())], names=["row", "left"])
 
-    keyed = own.mapInArrow(key, T.StructType([T.StructField("d", T.LongType()), T.StructField("row", df.schema)]))
-    joined = keyed.join(marked.select("d", "nos"), "d", "left")
+    keyed = own.mapInArrow(tidy(key), T.StructType([T.StructField("d", T.BinaryType()), T.StructField("row", df.schema)]))
+    joined = keyed.join(marked, "d", "left")
     left = T.StructType([T.StructField("row", df.schema), T.StructField("left", T.StringType())])
-    cleaned = joined.select("row", utf8(f"row.`{text}`").alias("t"), "nos").mapInArrow(run, left)
-    return cleaned.select(*(F.coalesce("left", f"row.`{c}`").alias(c) if c == text else F.col(f"row.`{c}`") for c in names))
+    held = F.coalesce(F.col(f"row.{quoted(text)}").cast("binary"), F.lit(b""))
+    cleaned = joined.select("row", held.alias("t"), "marks").mapInArrow(tidy(run), left)
+    return cleaned.select(*(F.coalesce("left", f"row.{quoted(c)}").alias(c) if c == text else F.col(f"row.{quoted(c)}").alias(c) for c in df.columns))
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
