@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import added, binaries, bundled, components, documents, materialise, slices, unbundled, utf8
-from .passages import _mixed, tuned_bands
+from .common import BOTH, LEFT, RIGHT, added, binaries, bundled, components, documents, materialise, paired_blocks, slices, tidy, unbundled, utf8
+from .passages import _mixed, banded, grouped, tuned_bands
 
 #: A-Z to a-z, and all white space of the contract to blanks.
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
@@ -82,6 +82,23 @@ def _bounds(segments: int) -> list[int]:
     return [BITS * i // segments for i in range(segments + 1)]
 
 
+def _segment_mask(i: int, segments: int, chain: int = 1) -> np.uint64:
+    """The bits of ``chain`` consecutive segments from ring position ``i`` on."""
+    cut = _bounds(segments)
+    return np.uint64(sum(((1 << (cut[k + 1] - cut[k])) - 1) << cut[k] for k in {(i + c) % segments for c in range(chain)}))
+
+
+def _second(i: int, segments: int, distance: int) -> range:
+    """Bits of the segment after ``i``, if a chain of two may differ at all."""
+    cut, j = _bounds(segments), (i + 1) % segments
+    return range(cut[j], cut[j + 1]) if 2 * distance >= segments else range(0)
+
+
+def _named(bits: np.ndarray, i: int) -> np.ndarray:
+    """The key of masked bits at ring position ``i``; the position is its last three bits."""
+    return (_mixed(bits + np.uint64(i + 1)) & np.uint64(2**64 - 8)) | np.uint64(i)
+
+
 def _chain_keys(fp: np.ndarray, segments: int, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, fp, is_probe) for each ring position: the bits of the segment there and of the next one.
 
@@ -90,65 +107,50 @@ def _chain_keys(fp: np.ndarray, segments: int, distance: int) -> tuple[np.ndarra
     shares are 0.8, 1.6, 2.4, 3.2 and 4: the first segment is equal and the second differs by one bit at most. So
     one side indexes the exact key, the other probes it and each key with one bit of the second segment flipped.
     """
-    cut = _bounds(segments)
     keys, probes = [], []
     for i in range(segments):
-        j = (i + 1) % segments
-        first = np.uint64(((1 << (cut[i + 1] - cut[i])) - 1) << cut[i])
-        second = range(cut[j], cut[j + 1])
-        mask = first | np.uint64(((1 << len(second)) - 1) << cut[j])
-        for flip in (None, *(second if distance >= segments // 2 else ())):
-            bits = fp & mask if flip is None else (fp & mask) ^ np.uint64(1 << flip)
-            keys.append((bits * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((i + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1)))
+        bits = fp & _segment_mask(i, segments, 2)
+        for flip in (None, *_second(i, segments, distance)):
+            keys.append(_named(bits if flip is None else bits ^ np.uint64(1 << flip), i))
             probes.append(np.full(len(fp), flip is not None))
     return np.concatenate(keys), np.tile(fp, len(keys)), np.concatenate(probes)
 
 
-def _prefix_viable(diff: np.ndarray, segments: int, distance: int) -> np.ndarray:
-    """Whether some ring position has all its chains within their shares of ``distance``."""
-    cut = _bounds(segments)
-    part = [np.bitwise_count(diff & np.uint64(((1 << (b - a)) - 1) << a)).astype(np.int16) for a, b in zip(cut, cut[1:], strict=False)]
-    found = np.zeros(diff.shape, bool)
-    for i in range(segments):
-        total, ok = np.zeros(diff.shape, np.int16), np.ones(diff.shape, bool)
-        for chain in range(1, segments + 1):
-            total = total + part[(i + chain - 1) % segments]
-            ok &= total * segments <= chain * distance
-        found |= ok
-    return found
+def _forest(left: np.ndarray, right: np.ndarray, position: int, segments: int, distance: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest among the fingerprints of one key: fewer links than fingerprints, however many are close.
 
-
-def _forest(index: np.ndarray, probe: np.ndarray, segments: int, distance: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest among the fingerprints of one key: fewer links than fingerprints, however many are close."""
-    every = np.concatenate((index, probe))
+    The key has settled the chain of two segments. Chains of three segments and more from ``position`` on are held
+    against their shares one after another; what is left after the chain of all segments is within ``distance``.
+    """
+    every, code = np.unique(np.concatenate((left, right)), return_inverse=True)
+    a, b = code[: len(left)], code[len(left) :]
     label = np.arange(len(every))
+    chains = [(_segment_mask(position, segments, c), c * distance // segments) for c in range(min(3, segments), segments + 1)]
     links = []
-    for at in range(0, len(index), 256):
-        some = index[at : at + 256]
-        for to in range(0, len(every), 8192):
-            if to + 8192 <= at:
-                continue  # index pairs are met once
-            diff = some[:, None] ^ every[None, to : to + 8192]
-            rough = np.bitwise_count(diff) <= 2 * distance
-            rough &= label[at : at + len(some), None] != label[None, to : to + 8192]
-            rows, cols = np.nonzero(rough)
-            chained = _prefix_viable(diff[rows, cols], segments, distance)
-            rows, cols = rows[chained], cols[chained]
-            near = np.bitwise_count(diff[rows, cols]) <= distance
-            for a, b in zip((rows[near] + at).tolist(), (cols[near] + to).tolist(), strict=True):
-                if label[a] != label[b]:
-                    links.append((int(every[a]), int(every[b])))
-                    label[label == max(label[a], label[b])] = min(label[a], label[b])
+    for at in range(0, len(a), 256):
+        some = a[at : at + 256]
+        for to in range(0, len(b), 8192):
+            other = b[to : to + 8192]
+            diff = every[some][:, None] ^ every[other][None, :]
+            rows, cols = np.nonzero((np.bitwise_count(diff & chains[0][0]) <= chains[0][1]) & (label[some][:, None] != label[other][None, :]))
+            diff = diff[rows, cols]
+            for mask, share in chains[1:]:
+                stay = np.bitwise_count(diff & mask) <= share
+                rows, cols, diff = rows[stay], cols[stay], diff[stay]
+            for x, y in zip(some[rows].tolist(), other[cols].tolist(), strict=True):
+                if label[x] != label[y]:
+                    links.append((int(every[x]), int(every[y])))
+                    label[label == max(label[x], label[y])] = min(label[x], label[y])
     return links
 
 
 def _linked(segments: int, distance: int):  # noqa: ANN202
-    """Reads rows sorted by key (and block); yields a spanning forest of each key's links."""
+    """Reads rows sorted by key and block; yields a spanning forest of each block's links. A block is bounded, and so is what is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "_block", "_fp", "_probe")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "_block", "_fp", "_side")]
             if rest is not None:
                 columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
             key, block = columns[:2]
@@ -160,16 +162,16 @@ def _linked(segments: int, distance: int):  # noqa: ANN202
             yield from groups(rest, np.empty(0, np.int64))
 
     def groups(columns: list[np.ndarray], new: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, _, fp, probe = columns
+        key, _, fp, side = columns
         if not len(fp):
             return
         starts = np.concatenate(([0], new))
         sizes = np.diff(np.concatenate((starts, [len(fp)])))
         links = []
         for a, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            f, p = fp[a : a + n].view(np.uint64), probe[a : a + n]
-            if not p.all():
-                links += _forest(np.unique(f[~p]), np.unique(f[p]), segments, distance)
+            f, s = fp[a : a + n].view(np.uint64), side[a : a + n]
+            if (s != RIGHT).any():
+                links += _forest(f[s != RIGHT], f[s != LEFT], int(key[a]) & 7, segments, distance)
         if links:
             found = np.array(links, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["src", "dst"])
@@ -177,13 +179,53 @@ def _linked(segments: int, distance: int):  # noqa: ANN202
     return run
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """(src, dst) over distinct fingerprints ``fps`` (_fp): links that connect exactly what Hamming distance connects.
+def _heavy_keys(fps: DataFrame, segments: int, distance: int, block: int) -> DataFrame:
+    """_key, _lefts, _rights: in how many parts the index rows of a key, and all its rows, are cut where they are many.
 
-    ``segments`` exceeds ``distance``. Every pair within ``distance`` shares a key and is compared there; of a key's links a spanning forest is kept.
-    A key that more than BLOCK fingerprints index is spread over blocks: each fingerprint is indexed in one block
-    and compared in all, so no task and no list of links grows with the square of a group.
+    A key's probes are the index rows of the keys one bit away, so all are counted over the index rows alone: keys of
+    more than a share of ``block`` give their count to themselves and to their neighbours. A key that is left out has
+    2 * ``block`` rows at most.
     """
+    most = max(len(_second(i, segments, distance)) for i in range(segments)) + 1
+    kept = max(1, block // most)
+
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("_fp").to_numpy().view(np.uint64)
+            for i in range(segments):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array((fp & _segment_mask(i, segments, 2)).view(np.int64))], names=["_at", "_bits"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bits, n = (batch.column(c).to_numpy() for c in ("_at", "_bits", "_n"))
+            for i in range(segments):
+                of, count = bits[at == i].view(np.uint64), n[at == i]
+                for flip in (None, *_second(i, segments, distance)):
+                    key = _named(of if flip is None else of ^ np.uint64(1 << flip), i)
+                    index = count if flip is None else np.zeros(len(of), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(index), pa.array(count)], names=["_key", "_index", "_rows"])
+
+    counts = fps.mapInArrow(tidy(masked), "_at int, _bits long").groupBy("_at", "_bits").agg(F.count("*").alias("_n"))
+    counts = materialise(counts, "key-counts")
+    large = counts.where(F.col("_n") > kept).mapInArrow(tidy(shared), "_key long, _index long, _rows long")
+    large = large.groupBy("_key").agg(F.sum("_index").alias("_index"), F.sum("_rows").alias("_rows")).where(F.col("_rows") > block)
+    # a key that is large only by its neighbours may have few index rows or none
+    own = counts.where(F.col("_n") <= kept).mapInArrow(tidy(shared), "_key long, _index long, _rows long").where("_index > 0").select("_key", F.col("_index").alias("_few"))
+    found = large.join(own, "_key", "left").withColumn("_index", F.greatest("_index", F.coalesce("_few", F.lit(0))))
+    parts = lambda n: F.ceil(n / block).cast("int")
+    return materialise(found.select("_key", parts(F.col("_index")).alias("_lefts"), parts(F.col("_rows")).alias("_rights")), "heavy-keys")
+
+
+def near_links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+    """(src, dst) over distinct fingerprints ``fps`` (_fp, written before): links that connect exactly what Hamming distance connects.
+
+    ``segments`` exceeds ``distance``. Every pair within ``distance`` shares a key and is compared there; of a key's
+    links a spanning forest is kept. The rows of a key that has more than ``block`` are cut into parts, and each part of
+    its index rows meets each part of all its rows in a block of its own, so no task and no list of links grows with a
+    group. A large key without index rows is left out before the shuffle.
+    """
+    if not distance < segments <= 8:
+        raise ValueError("there must be more segments than differing bits, and 8 at most")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -192,18 +234,24 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
                 key, of, probe = _chain_keys(fp, segments, distance)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(of.view(np.int64)), pa.array(probe)], names=["_key", "_fp", "_probe"])
 
-    keyed = fps.select("_fp").mapInArrow(spread, "_key long, _fp long, _probe boolean")
-    heavy = materialise(keyed.where("not _probe").groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK), "heavy")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    fps = fps.select("_fp")
+    keyed = fps.mapInArrow(tidy(spread), "_key long, _fp long, _probe boolean")
+    heavy = _heavy_keys(fps, segments, distance, block)
+    whole = F.when(F.col("_probe"), RIGHT).otherwise(BOTH)
     if heavy.isEmpty():
-        dealt = keyed.withColumn("_block", F.lit(0))
+        dealt = keyed.select("_key", F.lit(0).cast("long").alias("_block"), "_fp", whole.alias("_side"))
     else:
-        joined = keyed.join(heavy, "_key", "left").withColumn("_blocks", F.coalesce(blocks, F.lit(1)))
-        own = F.pmod(F.xxhash64("_fp"), F.col("_blocks")).cast("int")
-        dealt = joined.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_probe", F.col("_probe") | (F.col("_block") != own))
-    dealt = dealt.select("_key", "_block", "_fp", "_probe")
+        joined = keyed.join(heavy, "_key", "left").where("_lefts is null or _lefts > 0")
+        lefts, rights = F.coalesce("_lefts", F.lit(1)), F.coalesce("_rights", F.lit(1))
+        left, right = F.pmod(F.xxhash64("_fp"), lefts), F.pmod(F.xxhash64("_fp", F.lit(1)), rights)
+        cell = lambda i, j, side: F.struct((i * rights + j).cast("long").alias("block"), F.lit(side).alias("side"))
+        as_left = F.transform(F.sequence(F.lit(0), rights - 1), lambda j: cell(left, j, LEFT))
+        as_right = F.transform(F.sequence(F.lit(0), lefts - 1), lambda i: cell(i, right, RIGHT))
+        one = F.array(F.struct(F.lit(0).cast("long").alias("block"), whole.alias("side")))
+        cells = F.when(F.col("_lefts").isNull(), one).when(F.col("_probe"), as_right).otherwise(F.concat(as_left, as_right))
+        dealt = joined.select("_key", "_fp", F.explode(cells).alias("c")).select("_key", F.col("c.block").alias("_block"), "_fp", F.col("c.side").alias("_side"))
     ordered = dealt.repartition("_key", "_block").sortWithinPartitions("_key", "_block")
-    return ordered.mapInArrow(_linked(segments, distance), "src long, dst long")
+    return ordered.mapInArrow(tidy(_linked(segments, distance)), "src long, dst long")
 
 
 def classes(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -222,7 +270,7 @@ def near_duplicates(df: DataFrame, words_in_shingle: int = 4, distance: int = DI
 
     A null or empty text, or one of white space, has fingerprint zero and is linked like any other. Of null ids the
     least known id of the component counts; a component without any id has null. Repeated rows give one row each,
-    other columns are not read, an empty table gives no rows.
+    other columns are not read, an empty table gives no rows. A text of any length is hashed in parts of 65536 shingles.
     """
     marked = materialise(fingerprints(df.select("doc_id", text), partial(fingerprint, words_in_shingle=words_in_shingle), text).select("doc_id", "_fp"), "simhash")
     return classes(marked, distance).select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -267,56 +315,23 @@ def _marks(raw: pa.Array) -> list[pa.Array]:
     return [pa.array(fps), pa.array(hashes), pa.array([band_keys(shingles(word_hashes(x))).tobytes() for x in texts], pa.binary())]
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = binaries(batch.column("_bands"))
-        of = np.repeat(batch.column("h").to_numpy(), np.diff(offsets) // 8)
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(of)], names=["key", "h"])
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, h) the groups of several h under one key; the new key is made of the group's h, so that equal groups are one."""
-    key = h = np.empty(0, np.int64)
-    batches = iter(batches)
-    done = False
-    while not done:
-        batch = next(batches, None)
-        done = batch is None
-        if not done:
-            key, h = np.concatenate((key, batch.column("key").to_numpy())), np.concatenate((h, batch.column("h").to_numpy()))
-        if not len(key):
-            continue
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-        key, h = key[new], h[new]
-        cut = len(key) if done else int(np.searchsorted(key, key[-1]))
-        if cut:
-            starts = np.flatnonzero(np.concatenate(([True], key[1:cut] != key[: cut - 1])))
-            sizes = np.diff(np.append(starts, cut))
-            name = _mixed(np.add.reduceat(_mixed(h[:cut].view(np.uint64)), starts) + sizes.astype(np.uint64))
-            several = np.repeat(sizes > 1, sizes)
-            if several.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, sizes)[several].view(np.int64)), pa.array(h[:cut][several])], names=["key", "h"])
-        key, h = key[cut:], h[cut:]
-
-
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / max(1, len(a) + len(b) - common)
 
 
-def _alike(of: list[tuple[int, bool, int, np.ndarray]], distance: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of one block's near copies (h, probe, fingerprint, word hashes); one of a pair is no probe."""
+def _alike(of: list[tuple[int, int, int, np.ndarray]], distance: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of one block's near copies (h, side, fingerprint, word hashes); left meets right."""
     five, two = [shingles(x[3]) for x in of], [shingles(x[3], 2) for x in of]
     sizes = np.array(list(map(len, five)))
-    probe = np.array([x[1] for x in of], bool)
+    side = np.array([x[1] for x in of])
     fp = np.array([x[2] for x in of], np.int64).view(np.uint64)
     label, at = np.arange(len(of)), np.arange(len(of))
     links = []
-    for i in np.flatnonzero(~probe).tolist():
+    for i in np.flatnonzero(side != RIGHT).tolist():
         sized = (sizes >= SIMILARITY * sizes[i]) & (SIMILARITY * sizes <= sizes[i])
         close = np.bitwise_count(fp ^ fp[i]) <= distance
-        for j in np.flatnonzero((sized | close) & (probe | (at > i)) & (label != label[i])).tolist():
+        for j in np.flatnonzero((sized | close) & (side != LEFT) & ((side == RIGHT) | (side[i] == LEFT) | (at > i)) & (label != label[i])).tolist():
             if label[i] != label[j] and (sized[j] and _jaccard(five[i], five[j]) >= SIMILARITY or close[j] and _jaccard(two[i], two[j]) >= PAIRS_SIMILARITY):
                 links.append((of[i][0], of[j][0]))
                 label[label == label[j]] = label[i]
@@ -334,7 +349,7 @@ def _verified(distance: int):  # noqa: ANN202
         at, rows = None, []
         for batch in batches:
             data, offsets = binaries(batch.column("words"))
-            for k, (key, block, *rest) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "h", "probe", "_fp")), strict=True)):
+            for k, (key, block, *rest) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "h", "side", "_fp")), strict=True)):
                 if (key, block) != at:
                     yield from closed(rows)
                     at, rows = (key, block), []
@@ -347,11 +362,11 @@ def _verified(distance: int):  # noqa: ANN202
 def alike_links(stored: DataFrame, distinct: DataFrame, text: str, distance: int, segments: int) -> DataFrame:
     """(src, dst) over h of ``distinct`` (h, _fp, _bands, _least with the _row of one such text in ``stored``): verified
     links between texts that share a MinHash band or a component of fingerprints within ``distance``."""
-    banded = distinct.select("h", "_bands").mapInArrow(_banded, "key long, h long")
-    near = components(near_links(distinct.select("_fp").distinct(), distance, segments), "near-fps")
+    banded_rows = distinct.select("h", F.col("_bands").alias("bands")).mapInArrow(tidy(banded), "key long, h long")
+    near = components(near_links(materialise(distinct.select("_fp").distinct(), "near-distinct"), distance, segments), "near-fps")
     near = materialise(near.select(F.col("node").alias("_fp"), "component"), "near-fp-classes")
     close = distinct.select("_fp", "h").join(near, "_fp", "left").select(F.xxhash64(F.coalesce("component", "_fp")).alias("key"), "h")
-    groups = banded.unionByName(close).repartition("key").sortWithinPartitions("key", "h").mapInArrow(_groups, "key long, h long").distinct()
+    groups = banded_rows.unionByName(close).repartition("key").sortWithinPartitions("key", "h").mapInArrow(tidy(grouped), "key long, h long").distinct()
     groups = materialise(groups, "near-groups")
     wanted = materialise(distinct.join(groups.select("h").distinct(), "h", "left_semi").select("_fp", F.col("_least._row").alias("_row")), "near-wanted")
 
@@ -360,13 +375,12 @@ def alike_links(stored: DataFrame, distinct: DataFrame, text: str, distance: int
             words = [word_hashes(x).tobytes() for x in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("_fp"), pa.array(words, pa.binary())], names=["h", "_fp", "words"])
 
-    held = stored.drop("_fp").join(wanted, "_row").select("h", "_fp", utf8(text).alias("t")).mapInArrow(hashed, "h long, _fp long, words binary")
+    held = stored.drop("_fp").join(wanted, "_row").select("h", "_fp", utf8(text).alias("t")).mapInArrow(tidy(hashed), "h long, _fp long, words binary")
     held = materialise(held, "near-words")
     sizes = materialise(groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "near-sizes")
-    dealt = groups.join(sizes, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("probe", F.pmod(F.xxhash64("h"), F.col("blocks")) != F.col("block"))
-    checked = dealt.join(held, "h").select("key", "block", "probe", "h", "_fp", "words").repartition("key", "block").sortWithinPartitions("key", "block")
-    return checked.mapInArrow(_verified(distance), "src long, dst long")
+    dealt = groups.join(sizes, "key").select("key", "h", F.explode(paired_blocks(F.col("h"), F.col("blocks"))).alias("at")).select("key", "h", "at.block", "at.side")
+    checked = dealt.join(held, "h").select("key", "block", "side", "h", "_fp", "words").repartition("key", "block").sortWithinPartitions("key", "block")
+    return checked.mapInArrow(tidy(_verified(distance)), "src long, dst long")
 
 
 def without_near_copies(df: DataFrame, distance: int = 6, segments: int = 7, text: str = "text") -> DataFrame:
@@ -376,7 +390,8 @@ def without_near_copies(df: DataFrame, distance: int = 6, segments: int = 7, tex
     fingerprints within ``distance`` and share PAIRS_SIMILARITY of their word pairs; both are exact Jaccard. Texts
     that share just SIMILARITY may differ in 16 of 64 bits, for which pigeonring has no selective keys, so MinHash
     bands find candidates besides it. Every link is verified. Short texts are compared in the same way; one of less
-    than SHINGLE words has only equal copies.
+    than SHINGLE words has only equal copies. A null text is like an empty one; columns may have any names; an empty
+    table gives no rows.
     """
     stored = added(bundled(df, text), text, {"_fp": "long", "h": "long", "_bands": "binary"}, _marks, 4_000_000)
     stored = materialise(stored.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
