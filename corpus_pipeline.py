@@ -1,64 +1,18 @@
-"""The corpus pipeline: documents to packed token sequences.
-
-Each stage gets what its predecessor kept, written as Parquet and read again. The first four return the columns of
-documents; the last returns the packed pieces.
-"""
+"""The corpus pipeline: documents to packed token sequences, stage by stage (see ``quillgraph.llm.pipeline``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quillgraph.llm import bpe, common, exact, packing, passages, quality, simhash
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labelled ones, does not reject."""
-    common.workers_find_library(spark)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(quality.remainder() != 0)
-    found = quality.scored(docs, quality.fit_quality(docs, labels))
-    return found.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    common.workers_find_library(spark)
-    return exact.without_copies(docs)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    common.workers_find_library(spark)
-    return simhash.without_near_copies(docs)
-
-
-def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that another document holds before; n_chars follows the text."""
-    common.workers_find_library(spark)
-    found = passages.passages_removed(docs)
-    return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences of at most 2048."""
-    common.workers_find_library(spark)
-    return packing.packed_documents(docs, bpe.vocabulary())
 
+from quillgraph.llm import pipeline
 
-STAGES = [
-    ("quality classifier", keep_quality),
-    ("exact dedup", drop_copies),
-    ("SimHash near-dedup", drop_near_copies),
-    ("substring dedup", drop_passages),
-    ("best-fit packing", pack),
-]
+#: (name, function of spark, docs and sf_dir)
+STAGES = pipeline.STAGES
 
 #: Fitted scores, components and packing have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
-    for number, (_, stage) in enumerate(STAGES):
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{number}")
-    return docs
+    """All stages applied to ``documents``."""
+    return pipeline.run(spark, sf_dir)
