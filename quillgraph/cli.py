@@ -1,84 +1,66 @@
-"""python -m quillgraph.cli graphs | build | refresh | search | stats"""
+"""python -m quillgraph.cli graphs | build | refresh | search | stats | serve"""
 
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
-from dataclasses import asdict
-from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
 
-from . import catalog
-from .plans import records, refresh, search
-from .schema import DEFAULTS
-from .sources import entities
-from .sources.embedder import Embedder, HashEmbedder, LoopbackEmbedder, embedded_query
-from .sources.snapshot import Store
+from .catalog import UnknownGraphError
+from .server import serve
+from .tools import Tools, searched
 
 PREVIEW_CHARS = 200
 
 
-def embedder_of(args: argparse.Namespace) -> Embedder:
-    return LoopbackEmbedder(args.model, args.dimension, args.url) if args.model else HashEmbedder(args.dimension)
-
-
-def captured(spark: SparkSession, args: argparse.Namespace, daily_notes: bool):  # noqa: ANN201
-    return records.index_records(entities.read_entities(spark, args.entities, args.lenient), daily_notes)
-
-
 def shown(hit) -> str:  # noqa: ANN001
     rank = lambda x: "-" if x is None else str(x)
     lines = [f"{hit['rank']}. {hit['score']:.4f} [vector {rank(hit['vector_rank'])}, keyword {rank(hit['keyword_rank'])}] {hit['uid']} {hit['breadcrumb']}"]
     return "\n".join(lines if hit["is_page"] else [*lines, "   " + hit["text"][:PREVIEW_CHARS]])
 
 
-def search_store(spark: SparkSession, store: Store, words: str, k: int, embedder: Embedder) -> list:
-    """Hits of one query, best first."""
-    hits = search.hybrid_search(spark, store.vectors(spark), store.index(spark), [(0, words, embedded_query(words, embedder))], k)
-    return search.with_records(hits, store.records(spark)).orderBy("rank").collect()
-
-
-def semantic_search(spark: SparkSession, store: Store, words: str, embedder: Embedder, recapture, k: int = DEFAULTS.default_k) -> dict:  # noqa: ANN001
-    """Hits, meta and freshness: a store older than ``spark.quillgraph.maxStaleness`` is refreshed from ``recapture()`` first."""
-    outcome, message = catalog.ensured_fresh(store.meta(spark), catalog.max_staleness(spark), lambda: refresh.refresh(spark, store, recapture(), embedder), datetime.now(UTC))
-    return {"hits": search_store(spark, store, words, k, embedder), "meta": store.meta(spark), "auto_refresh": outcome, "message": message}
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillgraph", description=__doc__)
-    parser.add_argument("command", choices=["graphs", "build", "refresh", "search", "stats"])
+    parser.add_argument("command", choices=["graphs", "build", "refresh", "search", "stats", "serve"])
     parser.add_argument("words", nargs="?", default="")
     parser.add_argument("-g", "--graph", default="graph")
-    parser.add_argument("-k", type=int, default=DEFAULTS.default_k)
+    parser.add_argument("-k", type=int, default=10)
     parser.add_argument("--registry", default="")
     parser.add_argument("--stores", default="stores")
-    parser.add_argument("--entities", help="JSON lines of the graph")
+    parser.add_argument("--port-file", default="")
+    parser.add_argument("--port", type=int)
+    parser.add_argument("--token")
+    parser.add_argument("--entities", default="", help="JSON lines of the graph, instead of its API")
     parser.add_argument("--lenient", action="store_true")
     parser.add_argument("--no-daily-notes", action="store_true")
     parser.add_argument("--model", default="")
     parser.add_argument("--dimension", type=int, default=64)
-    parser.add_argument("--url", default="http://127.0.0.1:11434")
+    parser.add_argument("--url", help="the embedding server")
     args = parser.parse_args(argv)
+    logging.basicConfig(level=logging.INFO, format="%(levelname)s %(name)s: %(message)s", stream=sys.stderr)
     spark = spark or SparkSession.builder.appName("quillgraph").getOrCreate()
-    known = catalog.registered(args.registry)
-    name = next((g.name for g in known if args.graph.lower() in g.selectors), args.graph)
-    store = Store(catalog.store_path(args.stores, name))
-    if args.command == "graphs":
-        for r in catalog.catalog_frame(spark, known, args.stores).orderBy("ordinal").collect():
-            print(r["name"], r["nickname"], r["type"], "built" if r["built"] else "not built")
-    elif args.command == "build":
-        meta = refresh.build(spark, store, captured(spark, args, not args.no_daily_notes), embedder_of(args), name, not args.no_daily_notes)
-        print(f"{meta.record_count} records")
-    elif not store.exists(spark):
-        print(f"no index for {name}: build it", file=sys.stderr)
+    given = {c: getattr(args, c) for c in ("registry", "stores", "port_file", "port", "token", "entities", "lenient", "model", "dimension")}
+    tools = Tools(spark, **given, **({"url": args.url} if args.url else {}))
+    try:
+        if args.command == "graphs":
+            for g in tools.list_indexes():
+                print(g["label"], g["name"], g["type"], f"{g['record_count']} records" if g["indexed"] else "not indexed", g["store"])
+        elif args.command == "build":
+            print(f"{tools.build(args.graph, not args.no_daily_notes).record_count} records")
+        elif args.command == "refresh":
+            print(tools.refresh_index(args.graph))
+        elif args.command == "search":
+            store = tools._indexed(args.graph)[1]
+            print("\n".join(map(shown, searched(spark, store, args.words, args.k, tools.embedder(store.meta(spark))))))
+        elif args.command == "stats":
+            print(tools.index_stats(args.graph))
+        else:
+            serve(tools)
+    except (UnknownGraphError, FileNotFoundError) as e:
+        print(e, file=sys.stderr)
         return 1
-    elif args.command == "refresh":
-        print(refresh.refresh(spark, store, captured(spark, args, store.meta(spark).include_daily_notes), embedder_of(args)))
-    elif args.command == "search":
-        print("\n".join(map(shown, search_store(spark, store, args.words, args.k, embedder_of(args)))))
-    else:
-        print(asdict(store.meta(spark)))
     return 0
 
 

@@ -16,15 +16,16 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings(term, uid, col, tf, positions), lengths(uid, ordinal, dl), and one row of n_docs and total_len."""
+    """postings(term, uid, col, tf, positions), lengths(uid, ordinal, dl), and the number of records and of their tokens."""
 
     postings: DataFrame
     lengths: DataFrame
-    corpus: DataFrame
+    n_docs: int
+    total_len: int
 
 
-def keyword_index(records: DataFrame, columns: list[str], uid: str = "uid", ordinal: str = "ordinal") -> KeywordIndex:
-    """Index ``columns`` (strings, or arrays joined by `` · ``)."""
+def index_tables(records: DataFrame, columns: list[str], uid: str = "uid", ordinal: str = "ordinal") -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of ``columns`` (strings, or arrays joined by `` · ``)."""
     kinds = {f.name: f.dataType for f in records.schema}
     joined = [F.array_join(c, " · ") if isinstance(kinds[c], ArrayType) else F.col(c) for c in columns]
     arrays = [F.coalesce(index_tokens(c), F.array().cast("array<string>")) for c in joined]
@@ -32,7 +33,14 @@ def keyword_index(records: DataFrame, columns: list[str], uid: str = "uid", ordi
     lengths = tokens.select("uid", "ordinal", F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.size(f["tokens"])).alias("dl"))
     each = tokens.select("uid", F.explode("fields").alias("f")).select("uid", F.col("f.col").alias("col"), F.posexplode("f.tokens").alias("pos", "term"))
     postings = each.groupBy("term", "uid", "col").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return KeywordIndex(postings, lengths, lengths.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_len")))
+    return postings, lengths
+
+
+def keyword_index(records: DataFrame, columns: list[str], uid: str = "uid", ordinal: str = "ordinal") -> KeywordIndex:
+    """An index that is computed anew in each query; ``Store`` keeps one."""
+    postings, lengths = index_tables(records, columns, uid, ordinal)
+    n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return KeywordIndex(postings, lengths, n, total)
 
 
 def query_phrases(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -41,26 +49,52 @@ def query_phrases(queries: DataFrame, text: str = "query") -> DataFrame:
     return words.select("qid", "phrase_no", index_tokens(F.col("word")).alias("phrase")).where(F.size("phrase") > 0)
 
 
-def _occurrences(index: KeywordIndex, phrases: DataFrame) -> DataFrame:
-    """(phrase, uid, col, tf) of distinct phrases. Single tokens read tf; longer ones intersect shifted positions."""
-    distinct = phrases.select("phrase").distinct()
-    single = distinct.where(F.size("phrase") == 1).withColumn("term", F.col("phrase")[0])
-    one = index.postings.join(single, "term").select("phrase", "uid", "col", "tf")
-    several = distinct.where(F.size("phrase") > 1).select("phrase", F.posexplode("phrase").alias("i", "term"))
-    begins = index.postings.join(several, "term").select("phrase", "uid", "col", F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("begin"))
+def _occurrences(postings: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, uid, col, tf) of distinct phrases; the positions of a phrase's tokens are shifted to its begin and counted.
+    One token alone reads tf, so a posting takes part once however long its positions are."""
+    terms = phrases.select("phrase", F.posexplode("phrase").alias("i", "term"))
+    hit = postings.join(terms, "term")
+    one = hit.where(F.size("phrase") == 1).select("phrase", "uid", "col", "tf")
+    begins = hit.where(F.size("phrase") > 1).select("phrase", "uid", "col", F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("begin"))
     whole = begins.groupBy("phrase", "uid", "col", "begin").agg(F.count("*").alias("n")).where(F.col("n") == F.size("phrase"))
     return one.unionByName(whole.groupBy("phrase", "uid", "col").agg(F.count("*").alias("tf")))
 
 
+def _idf(n: Column, n_docs: int) -> Column:
+    raw = F.log((F.lit(n_docs) - n + 0.5) / (n + 0.5))
+    return F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
+
+
 def bm25(index: KeywordIndex, queries: DataFrame, weights: dict[str, float], text: str = "query") -> DataFrame:
-    """(qid, uid, ordinal, score): rows that any phrase of the query is found in. A phrase asked twice counts twice."""
+    """(qid, uid, ordinal, score): rows that any phrase of the query is found in. A phrase asked twice counts twice.
+
+    Any number of queries: their phrases are joined with the postings.
+    """
     asked = query_phrases(queries, text).groupBy("qid", "phrase").agg(F.count("*").alias("times"))
+    found = _occurrences(index.postings, asked.select("phrase").distinct())
+    return _scored(index, found, asked, weights)
+
+
+def bm25_of(index: KeywordIndex, queries: list[tuple[int, str]], weights: dict[str, float]) -> DataFrame:
+    """``bm25`` of a few queries: their terms are literals of the filter, so a scan of a stored index skips row groups
+    without them, and phrases of several tokens are looked for only if there are any."""
+    spark = index.postings.sparkSession
+    rows = query_phrases(spark.createDataFrame(queries, "qid long, query string")).groupBy("qid", "phrase").agg(F.count("*").alias("times")).collect()
+    asked = spark.createDataFrame([(r["qid"], r["phrase"], r["times"]) for r in rows], "qid long, phrase array<string>, times long")
+    phrases = {tuple(r["phrase"]) for r in rows}
+    postings = index.postings.where(F.col("term").isin(sorted({t for p in phrases for t in p})))
+    if all(len(p) == 1 for p in phrases):
+        found = postings.select(F.array("term").alias("phrase"), "uid", "col", "tf")
+    else:
+        found = _occurrences(postings, spark.createDataFrame([(list(p),) for p in sorted(phrases)], "phrase array<string>"))
+    return _scored(index, found, F.broadcast(asked), weights)  # as many rows as the queries have words
+
+
+def _scored(index: KeywordIndex, found: DataFrame, asked: DataFrame, weights: dict[str, float]) -> DataFrame:
     weight: Column = F.coalesce(*(F.when(F.col("col") == c, F.lit(w)) for c, w in weights.items()), F.lit(0.0))
-    found = _occurrences(index, asked).groupBy("phrase", "uid").agg(F.sum(weight * F.col("tf")).alias("f"))
-    spread = found.groupBy("phrase").agg(F.count("*").alias("n"))
-    corpus = F.broadcast(index.corpus)  # one row
-    idf = spread.crossJoin(corpus).select("phrase", F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"), (F.col("total_len") / F.col("n_docs")).alias("avgdl"))
-    idf = idf.withColumn("idf", F.when(F.col("idf") <= 0, F.lit(LEAST_IDF)).otherwise(F.col("idf")))
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(found, "phrase").join(idf, "phrase").join(index.lengths, "uid")
+    of = found.groupBy("phrase", "uid").agg(F.sum(weight * F.col("tf")).alias("f"))
+    idf = of.groupBy("phrase").agg(F.count("*").alias("n")).select("phrase", _idf(F.col("n"), index.n_docs).alias("idf"))
+    average = index.total_len / index.n_docs if index.n_docs else 1.0
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(float(average))))
+    scored = of.join(idf, "phrase").join(asked, "phrase").join(index.lengths, "uid")
     return scored.groupBy("qid", "uid", "ordinal").agg(F.sum(part * F.col("times")).alias("score"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULTS
@@ -22,32 +22,81 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def neighbours(vectors: DataFrame, query: list[float], limit: int, uid: str = "uid", ordinal: str = "ordinal", vector: str = "embedding") -> DataFrame:
-    """(uid, ordinal, score) of the ``limit`` nearest: a projection and one top-k, all in the JVM."""
+    """(uid, ordinal, score) of the ``limit`` nearest: a projection and one top-k, all in the JVM. The query's length is a constant."""
     asked = F.array(*(F.lit(float(x)) for x in query))
-    scored = vectors.select(F.col(uid).alias("uid"), F.col(ordinal).alias("ordinal"), cosine(F.col(vector), asked).alias("score"))
+    length = float(np.sqrt(np.square(np.asarray(query, np.float64)).sum()))
+    score = _dot(F.col(vector), asked) / (F.sqrt(_dot(F.col(vector), F.col(vector))) * F.lit(length) + F.lit(DEFAULTS.cosine_epsilon))
+    scored = vectors.where(F.col(vector).isNotNull()).select(F.col(uid).alias("uid"), F.col(ordinal).alias("ordinal"), score.alias("score"))
     return scored.orderBy(F.desc(F.round("score", 9)), "ordinal").limit(limit)
 
 
-def batch_neighbours(spark: SparkSession, vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: int, uid: str = "uid", ordinal: str = "ordinal", vector: str = "embedding") -> DataFrame:
-    """(qid, uid, ordinal, score): each Arrow batch of vectors is multiplied with all queries at once and gives its own
-    ``limit`` best for each, so what goes on to the global ranking is bounded by batches x queries x limit."""
+def batch_neighbours(vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: int, uid: str = "uid", ordinal: str = "ordinal", vector: str = "embedding") -> DataFrame:
+    """(qid, uid, ordinal, score): each Arrow batch of vectors is multiplied with a block of queries, which travels with the
+    function, and gives its own ``limit`` best for each, so what goes on to the global ranking is bounded by batches x
+    queries x limit."""
     kind = {f.name: f.dataType.simpleString() for f in vectors.schema}
     schema = f"qid long, uid {kind[uid]}, ordinal {kind[ordinal]}, score double"
     if not queries:
-        return spark.createDataFrame([], schema)
+        return vectors.sparkSession.createDataFrame([], schema)
     ids = np.array([q for q, _ in queries], np.int64)
     asked = np.array([v for _, v in queries], np.float64)
-    asked_norm = np.sqrt((asked**2).sum(axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1).astype(np.float64)
-            scores = m @ asked.T / (np.sqrt((m**2).sum(axis=1))[:, None] * asked_norm[None, :] + DEFAULTS.cosine_epsilon)
-            place = np.asarray(batch.column("ordinal"))
-            for k in range(len(ids)):
-                best = np.lexsort((place, -np.round(scores[:, k], 9)))[:limit]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[k])), batch.column("uid").take(pa.array(best)), batch.column("ordinal").take(pa.array(best)), pa.array(scores[best, k])], names=["qid", "uid", "ordinal", "score"])
-
-    return vectors.where(F.col(vector).isNotNull()).select(F.col(uid).alias("uid"), F.col(ordinal).alias("ordinal"), F.col(vector).alias("v")).mapInArrow(run, schema)
+            yield from _best(batch, ids, asked, limit)
+
+    return _prepared(vectors, uid, ordinal, vector).mapInArrow(run, schema)
+
+
+#: Queries that one row of the query table holds.
+QUERY_BLOCK = 256
+
+
+def joined_neighbours(vectors: DataFrame, queries: DataFrame, limit: int, uid: str = "uid", ordinal: str = "ordinal", vector: str = "embedding") -> DataFrame:
+    """(qid, uid, ordinal, score) for a table of ``queries`` (qid, embedding) of any size: a stated query set against all rows.
+
+    Queries are packed into blocks of QUERY_BLOCK, vectors into parts; each part meets each block in one row, where they
+    are multiplied, and gives its own ``limit`` best for each query.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    schema = f"qid long, uid {kind[uid]}, ordinal {kind[ordinal]}, score double"
+    asked = queries.where("embedding is not null").select(F.col("qid").cast("long").alias("qid"), "embedding")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    rows = _prepared(vectors, uid, ordinal, vector).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    left = parts.groupBy("block", "part")
+    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1)).cast("array<bigint>")))
+
+    def run(some: pa.Table, of: pa.Table) -> pa.Table:
+        empty = pa.table({"qid": pa.array([], pa.int64()), "uid": some.column("uid").slice(0, 0), "ordinal": some.column("ordinal").slice(0, 0), "score": pa.array([], pa.float64())})
+        if not some.num_rows or not of.num_rows:
+            return empty
+        asked = np.asarray(of.column("embedding").combine_chunks().flatten(), np.float64).reshape(of.num_rows, -1)
+        found = [pa.Table.from_batches([b]) for batch in some.combine_chunks().to_batches() for b in _best(batch, of.column("qid").to_numpy(), asked, limit)]
+        return pa.concat_tables(found) if found else empty
+
+    return left.cogroup(spread.groupBy("block", "part")).applyInArrow(run, schema)
+
+
+def _prepared(vectors: DataFrame, uid: str, ordinal: str, vector: str) -> DataFrame:
+    return vectors.where(F.col(vector).isNotNull()).select(F.col(uid).alias("uid"), F.col(ordinal).alias("ordinal"), F.col(vector).alias("v"))
+
+
+def _best(batch: pa.RecordBatch, ids: np.ndarray, asked: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    """Each query's ``limit`` best of a batch (uid, ordinal, v): by score to nine places, then ordinal."""
+    if not batch.num_rows:
+        return
+    m = np.asarray(batch.column("v").flatten(), np.float64).reshape(batch.num_rows, -1)
+    lengths = np.sqrt((m**2).sum(axis=1))[:, None] * np.sqrt((asked**2).sum(axis=1))[None, :]
+    scores = m @ asked.T / (lengths + DEFAULTS.cosine_epsilon)
+    place = np.asarray(batch.column("ordinal"))
+    for k in range(len(ids)):
+        rounded = np.round(scores[:, k], 9)
+        some = np.arange(len(rounded))
+        if limit < len(rounded):
+            least = np.partition(rounded, len(rounded) - limit)[len(rounded) - limit]
+            some = np.flatnonzero(rounded >= least)
+        best = some[np.lexsort((place[some], -rounded[some]))[:limit]]
+        at = pa.array(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[k])), batch.column("uid").take(at), batch.column("ordinal").take(at), pa.array(scores[best, k])], names=["qid", "uid", "ordinal", "score"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..schema import DEFAULTS, Settings
 from ..sources.embedder import Embedder, embedded
 from ..sources.snapshot import Meta, Store
+from ..workers import checkpointed
 
 
 def refresh_plan(records: DataFrame, stored: DataFrame) -> DataFrame:
@@ -42,30 +43,43 @@ def check_schema_version(meta: Meta, s: Settings = DEFAULTS) -> None:
         raise ValueError(f"the store has schema version {meta.schema_version}, not {s.schema_version}: rebuild it")
 
 
-def build(spark: SparkSession, store: Store, records: DataFrame, embedder: Embedder, graph_name: str, include_daily_notes: bool = True, s: Settings = DEFAULTS) -> Meta:
-    """Embed all records and write the first snapshot; an empty graph gives an empty store."""
+def deleted_uids(plan: DataFrame) -> DataFrame:
+    """(uid) that a plan deletes, ascending by code point."""
+    return plan.where("action = 'delete'").select("uid").orderBy("uid")
+
+
+def refuse_repeats(records: DataFrame) -> None:
     twice = records.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"uid {twice[0]['uid']!r} occurs more than once")
+
+
+def build(spark: SparkSession, store: Store, records: DataFrame, embedder: Embedder, graph_name: str, include_daily_notes: bool = True, s: Settings = DEFAULTS) -> Meta:
+    """Embed all records and write a snapshot of them alone; an empty graph gives an empty store."""
+    records = checkpointed(records)
+    refuse_repeats(records)
     meta = Meta(graph_name, embedder.model, embedder.dimension, _moment(), 0, None, s.schema_version, include_daily_notes)
     return store.write(spark, embedded(records, embedder, s), meta)
 
 
 def refresh(spark: SparkSession, store: Store, records: DataFrame, embedder: Embedder, s: Settings = DEFAULTS) -> dict[str, int]:
-    """Embed changed records only and flip to the next snapshot in one step; returns the counts."""
-    meta = store.meta(spark)
-    check_schema_version(meta, s)
-    stored = store.records(spark)
-    records = records.persist()
-    plan = refresh_plan(records, stored).persist()
+    """Embed changed records only and write what has changed as one segment; returns the counts.
+
+    Without a change only the snapshot file is written anew, with the moment; no record, vector or posting is.
+    """
+    of = store.snapshot(spark)
+    check_schema_version(of.meta, s)
+    records = checkpointed(records)
+    plan = checkpointed(refresh_plan(records, store.records(spark, of)))
     counts = refresh_counts(plan).first().asDict()
+    meta = replace(of.meta, refreshed_at=_moment())
+    if not counts["embedded"] and not counts["deleted"]:
+        store.touch(spark, of, meta)
+        return counts
     changed = records.join(plan.where("action = 'embed'").select("uid"), "uid", "left_semi")
-    if counts["embedded"] and embedder.dimension != meta.dimension:
-        raise ValueError(f"the embedder gives {embedder.dimension} numbers, the store holds {meta.dimension}")
-    gone = plan.where("action = 'delete'").select("uid")
-    store.write(spark, upserted(deleted(stored, gone), embedded(changed, embedder, s)), replace(meta, refreshed_at=_moment()))
-    plan.unpersist()
-    records.unpersist()
+    if counts["embedded"] and embedder.dimension != of.meta.dimension:
+        raise ValueError(f"the embedder gives {embedder.dimension} numbers, the store holds {of.meta.dimension}")
+    store.change(spark, of, embedded(changed, embedder, s), deleted_uids(plan), meta)
     return counts
 
 

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog
+from . import catalog, tools
 from .functions import markup, tokens
 from .operators import fusion, keyword, outline, vector
 from .plans import records as record_plans
 from .plans import refresh, search
 from .schema import COLUMN_WEIGHTS, DEFAULTS
-from .sources import corpora, entities
+from .sources import corpora, embedder, entities
+from .sources.snapshot import Meta, Store
+from .workers import shared_folder
 
 #: A query of six words; the vector asked for is that of this id.
 WORDS = "license token worthless clown the moron"
 ASKED = 0
-BATCH = {0: "idiot clown", 1: "license", 2: "que la", 3: "und der", 4: "thing token"}
+#: A query with a phrase of two tokens.
+PHRASE = "of_the license"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,18 +99,20 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.cleaned(outline.with_references(rows, outline.reference_texts(rows)))
 
 
-@query(f"{PROSE} SELECT id, clean FROM q WHERE uid LIKE 'C%'")
+@query(f"{PROSE} SELECT id, clean FROM q WHERE string IS NOT NULL")
 def block_ref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir).where("uid like 'C%'").select("id", "clean")
+    return _rows(spark, sf_dir).where("string is not null").select("id", "clean")
 
 
-_names = r"list_concat(regexp_extract_all(x, '\[\[([^\[\]]*)\]\]', 1), regexp_extract_all(replace(replace(x, '[[', ''), ']]', ''), '#([\p{L}\p{N}_-]+)', 1))"
+#: DuckDB: names of references one in another, two levels deep, as the outline has them, then hashtags.
+_bare = r"regexp_replace({x}, '\[\[([^\[\]]*)\]\]', '\1', 'g')"
+_names = r"list_concat(list_concat(regexp_extract_all(x, '\[\[([^\[\]]*)\]\]', 1), regexp_extract_all(" + _bare.format(x="x") + r", '\[\[([^\[\]]*)\]\]', 1)), regexp_extract_all(" + _bare.format(x=_bare.format(x="x")) + r", '#([\p{L}\p{N}_-]+)', 1))"
 
 
-@query(f"""{E}, t AS (SELECT id, replace(regexp_replace(regexp_replace(string, '#c:[A-Za-z0-9-]+', '', 'g'), '^([^:\\n`]+)::\\s*', ''), '#[[', '[[') AS x FROM e WHERE uid[1] IN ('N', 'C', 'T', 'O'))
+@query(f"""{E}, t AS (SELECT id, replace(regexp_replace(regexp_replace(string, '#c:[A-Za-z0-9-]+', '', 'g'), '^([^:\\n`]+)::\\s*', ''), '#[[', '[[') AS x FROM e WHERE string IS NOT NULL)
 SELECT id, array_to_string({_names}, '|') AS names FROM t""")
 def page_ref_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpora.outline(spark, sf_dir).where(F.left("uid", F.lit(1)).isin("N", "C", "T", "O"))
+    rows = corpora.outline(spark, sf_dir).where("string is not null")
     return rows.select("id", F.array_join(markup.page_names(F.col("string")), "|").alias("names"))
 
 
@@ -157,7 +165,7 @@ r AS (
   SELECT q.uid, pages.title, pages.title_text || coalesce(' › ' || path, ''), clean, pages.title_text || coalesce(' › ' || path, '') || ' › ' || clean, q.string, q.id, q.title, q.time, q.edit_time, q.ordinal, false
   FROM q JOIN pages ON q.page_id = pages.id LEFT JOIN crumb ON crumb.id = q.id WHERE q.string IS NOT NULL AND clean <> ''
 ), n AS (SELECT *, replace(regexp_replace(regexp_replace(coalesce(names_of, title), '#c:[A-Za-z0-9-]+', '', 'g'), '^([^:\\n`]+)::\\s*', ''), '#[[', '[[') AS x FROM r),
-m AS (SELECT n.*, CASE WHEN id = 903 THEN ['Peru', 'Rivers of Peru basin'] ELSE list_distinct_kept END AS concepts FROM (SELECT n.*, {_names} AS list_distinct_kept FROM n) n),
+m AS (SELECT n.*, {_names} AS concepts FROM n),
 rec AS (SELECT m.uid, page_title, breadcrumb, text, array_to_string(concepts, '|') AS concepts, coalesce(array_to_string(tags, '|'), '') AS tags, coalesce(descendant_text, '') AS descendant_text,
   left(concat_ws(' | ', lead, CASE WHEN len(concepts) > 0 THEN 'concepts: ' || array_to_string(concepts, ' · ') END, 'tags: ' || array_to_string(tags, ' · '), descendant_text), 8000) AS embed_input,
   greatest(coalesce(time, 0), coalesce(edit_time, 0)) AS edited_at, is_page, ordinal FROM m LEFT JOIN tag USING (id) LEFT JOIN below USING (id))"""
@@ -178,10 +186,10 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.documents(spark, sf_dir).select("uid", F.sha2("text", 256).alias("content_hash"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n_words, len(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS n_tokens FROM documents")
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+'), ' ') AS words, array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'), ' ') AS tokens FROM documents")
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpora.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(tokens.query_words(F.col("text"))).cast("long").alias("n_words"), F.size(tokens.index_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return docs.select("doc_id", F.array_join(tokens.query_words(F.col("text")), " ").alias("words"), F.array_join(tokens.index_tokens(F.col("text")), " ").alias("tokens"))
 
 
 def _bm25_sql(asked: str, fields: dict[str, tuple[str, float]], source: str) -> str:
@@ -209,21 +217,40 @@ def _vec_sql(ids: str) -> str:
     return f"vec AS (SELECT q.vec_id AS qid, v.vec_id AS uid, v.vec_id AS ordinal, {_COS} AS score FROM embeddings v JOIN documents ON doc_id = v.vec_id, (SELECT * FROM embeddings WHERE vec_id IN ({ids})) q)"
 
 
-def _asked(spark: SparkSession, sf_dir: str, ids: list[int]) -> list[tuple[int, list[float]]]:
-    found = corpora.table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(ids)).select("vec_id", "embedding").collect()
-    return sorted((r["vec_id"], list(r["embedding"])) for r in found)
+def _asked(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(corpora.table(spark, sf_dir, "embeddings").where(F.col("vec_id") == ASKED).select("embedding").first()[0])
 
 
-def _doc_bm25(spark: SparkSession, sf_dir: str, words: dict[int, str]) -> DataFrame:
-    index = keyword.keyword_index(corpora.documents(spark, sf_dir), ["text"])
-    return keyword.bm25(index, spark.createDataFrame(list(words.items()), "qid long, query string"), {"text": 1.0})
+def _doc_bm25(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
+    return keyword.bm25_of(corpora.document_store(spark, sf_dir).index(spark), [(ASKED, words)], {"text": 1.0})
+
+
+def _shown(ranks: DataFrame) -> DataFrame:
+    return ranks.select("uid", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT count(*) AS records, sum(len(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')))::BIGINT AS tokens, count(v.vec_id) AS vectors FROM documents LEFT JOIN embeddings v ON vec_id = doc_id")
+def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds the index that the searches below read, once for a session."""
+    store = corpora.document_store(spark, sf_dir)
+    index = store.index(spark)
+    vectors = store.vectors(spark).agg(F.count("embedding").alias("vectors"))
+    return vectors.select(F.lit(index.n_docs).cast("long").alias("records"), F.lit(index.total_len).cast("long").alias("tokens"), "vectors")
 
 
 @query(f"WITH {_DOC_BM25} SELECT uid, rank, round(score, 6) AS score FROM (SELECT *, {_RANK} AS rank FROM bm) WHERE rank <= 50")
 def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _doc_bm25(spark, sf_dir, {ASKED: WORDS})
-    ranks = fusion.ranked(found, 50)
-    return ranks.join(found, ["qid", "uid"]).select("uid", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return _shown(fusion.ranked(_doc_bm25(spark, sf_dir, WORDS), 50))
+
+
+@query(r"""WITH f AS (SELECT doc_id AS uid, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS ts FROM documents),
+dl AS (SELECT uid, len(ts) AS dl FROM f), tot AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM dl),
+tf AS (SELECT uid, 'of the' AS phrase, len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'of' AND ts[i + 1] = 'the')) AS f FROM f UNION ALL SELECT uid, 'license', len(list_filter(ts, lambda t: t = 'license')) FROM f),
+hit AS (SELECT * FROM tf WHERE f > 0), idf AS (SELECT phrase, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM hit, tot GROUP BY phrase, n),
+bm AS (SELECT uid, sum(CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM hit JOIN idf USING (phrase) JOIN dl USING (uid), tot GROUP BY uid)
+SELECT uid, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, uid) AS rank FROM bm) WHERE rank <= 50""")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(fusion.ranked(_doc_bm25(spark, sf_dir, PHRASE), 50))
 
 
 _WEIGHTED = {c: (c if c not in ("concepts", "tags") else f"replace({c}, '|', ' · ')", w) for c, w in COLUMN_WEIGHTS.items()}
@@ -232,59 +259,88 @@ _WEIGHTED = {c: (c if c not in ("concepts", "tags") else f"replace({c}, '|', ' 
 @query(f"{RECORDS}, src AS MATERIALIZED (SELECT * FROM rec), {_bm25_sql(_values({0: 'building peru urgent 7 automobile'}), _WEIGHTED, 'src')} SELECT uid, rank, round(score, 6) AS score FROM (SELECT *, {_RANK} AS rank FROM bm) WHERE rank <= 50")
 def keyword_bm25_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = keyword.keyword_index(_records(spark, sf_dir), list(COLUMN_WEIGHTS))
-    found = keyword.bm25(index, spark.createDataFrame([(0, "building peru urgent 7 automobile")], "qid long, query string"), COLUMN_WEIGHTS)
-    return fusion.ranked(found, 50).join(found, ["qid", "uid"]).select("uid", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return _shown(fusion.ranked(keyword.bm25_of(index, [(0, "building peru urgent 7 automobile")], COLUMN_WEIGHTS), 50))
 
 
 @query(f"WITH {_vec_sql(str(ASKED))} SELECT uid, rank, round(score, 6) AS score FROM (SELECT *, {_RANK} AS rank FROM vec) WHERE rank <= 50")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (_, asked), = _asked(spark, sf_dir, [ASKED])
-    found = vector.neighbours(corpora.vectors(spark, sf_dir), asked, 50).withColumn("qid", F.lit(ASKED))
-    return fusion.ranked(found, 50).join(found, ["qid", "uid"]).select("uid", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    found = vector.neighbours(corpora.vectors(spark, sf_dir), _asked(spark, sf_dir), 50).withColumn("qid", F.lit(ASKED))
+    return _shown(fusion.ranked(found, 50))
 
 
-def _fused_sql(words: dict[int, str], k: int) -> str:
+def _fused_sql(asked: str, ids: str, k: int) -> str:
     pool = DEFAULTS.pool(k)
-    return f"""WITH {_bm25_sql(_values(words), {"text": ("text", 1.0)}, _DOCS)}, {_vec_sql(", ".join(map(str, words)))},
+    return f"""WITH {_bm25_sql(asked, {"text": ("text", 1.0)}, _DOCS)}, {_vec_sql(ids)},
 kr AS (SELECT * FROM (SELECT qid, uid, {_RANK} AS keyword_rank FROM bm) WHERE keyword_rank <= {pool}), vr AS (SELECT * FROM (SELECT qid, uid, {_RANK} AS vector_rank FROM vec) WHERE vector_rank <= {pool}),
 fu AS (SELECT qid, uid, vector_rank, keyword_rank, coalesce(1 / (60.0::DOUBLE + vector_rank), 0) + coalesce(1 / (60.0::DOUBLE + keyword_rank), 0) AS score FROM vr FULL JOIN kr USING (qid, uid)),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vector_rank NULLS LAST, keyword_rank NULLS LAST) AS rank FROM fu) WHERE rank <= {k})"""
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, words: dict[int, str], k: int) -> DataFrame:
-    index = keyword.keyword_index(corpora.documents(spark, sf_dir), ["text"])
-    asked = [(q, words[q], v) for q, v in _asked(spark, sf_dir, list(words))]
-    found = search.hybrid_search(spark, corpora.vectors(spark, sf_dir), index, asked, k, {"text": 1.0})
+_ONE = _fused_sql(_values({ASKED: WORDS}), str(ASKED), 10)
+
+
+def _numbers(hits: DataFrame) -> DataFrame:
     long = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("vector_rank", "keyword_rank", "rank")}  # 0: not ranked
-    return found.withColumns(long).withColumn("score", F.round("score", 9))
+    return hits.withColumns(long).withColumn("score", F.round("score", 9))
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = corpora.document_store(spark, sf_dir)
+    return _numbers(search.hybrid_search(store.vectors(spark), store.index(spark), [(ASKED, WORDS, _asked(spark, sf_dir))], 10, {"text": 1.0}))
 
 
-@query(f"{_fused_sql({ASKED: WORDS}, 10)} SELECT uid, round(top.score, 9) AS score, coalesce(vector_rank, 0) AS vector_rank, coalesce(keyword_rank, 0) AS keyword_rank, rank, left(text, 200) AS preview FROM top JOIN documents ON doc_id = uid")
+@query(f"{_ONE} SELECT uid, round(top.score, 9) AS score, coalesce(vector_rank, 0) AS vector_rank, coalesce(keyword_rank, 0) AS keyword_rank, rank, left(text, 200) AS preview FROM top JOIN documents ON doc_id = uid")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hybrid(spark, sf_dir, {ASKED: WORDS}, 10)
-    docs = corpora.documents(spark, sf_dir).select("uid", F.left("text", F.lit(200)).alias("preview"))
-    return hits.join(docs, "uid").select("uid", "score", "vector_rank", "keyword_rank", "rank", "preview")
+    docs = corpora.document_store(spark, sf_dir).records(spark).select("uid", F.left("text", F.lit(200)).alias("preview"))
+    return docs.join(F.broadcast(_hybrid(spark, sf_dir)), "uid").select("uid", "score", "vector_rank", "keyword_rank", "rank", "preview")  # ten hits
 
 
-@query(f"{_fused_sql(BATCH, 10)} SELECT qid, uid, round(score, 9) AS score, coalesce(vector_rank, 0) AS vector_rank, coalesce(keyword_rank, 0) AS keyword_rank, rank FROM top")
+@query(f"{_ONE} SELECT uid, rank, doc_id AS page_title FROM top JOIN documents ON doc_id = uid WHERE doc_id % 3 <> 0")
+def missing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits whose record is missing are left out, and no others move up."""
+    docs = corpora.documents(spark, sf_dir).where("uid % 3 <> 0").select("uid", F.col("uid").alias("page_title"), F.lit("").alias("breadcrumb"), "text", F.lit(False).alias("is_page"))
+    return search.with_records(_hybrid(spark, sf_dir), docs).select("uid", "rank", "page_title")
+
+
+#: A document's five longest words, the queries of every document whose id is divisible by 20.
+_LONGEST = "list_slice(list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(text, '[a-z]{5,}')), lambda w: {'n': -length(w), 'w': w})), lambda x: x.w), 1, 5)"
+
+
+@query(_fused_sql("", "SELECT doc_id FROM documents WHERE doc_id % 20 = 0", 10).replace("asked(qid, term) AS (VALUES )", f"asked(qid, term) AS MATERIALIZED (SELECT doc_id, unnest({_LONGEST}) FROM documents WHERE doc_id % 20 = 0)")
+       + " SELECT qid, uid, round(score, 9) AS score, coalesce(vector_rank, 0) AS vector_rank, coalesce(keyword_rank, 0) AS keyword_rank, rank FROM top")
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hybrid(spark, sf_dir, BATCH, 10).select("qid", "uid", "score", "vector_rank", "keyword_rank", "rank")
+    store = corpora.document_store(spark, sf_dir)
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0)))
+    longest = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 5)
+    asked = store.records(spark).where("uid % 20 = 0").select(F.col("uid").alias("qid"), F.array_join(F.transform(longest, lambda x: x["w"]), " ").alias("query"), "embedding")
+    hits = search.hybrid_search_all(store.vectors(spark), store.index(spark), asked, 10, {"text": 1.0})
+    return _numbers(hits).select("qid", "uid", "score", "vector_rank", "keyword_rank", "rank")
 
 
-@query(f"{_fused_sql({ASKED: WORDS}, 20)} SELECT count(vector_rank) AS vectors, count(keyword_rank) AS keywords, count(*) AS hits FROM fu")
+@query(f"{_fused_sql(_values({ASKED: WORDS}), str(ASKED), 20)} SELECT count(vector_rank) AS vectors, count(keyword_rank) AS keywords, count(*) AS hits FROM fu")
 def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = DEFAULTS.pool(20)
-    near = fusion.ranked(vector.batch_neighbours(spark, corpora.vectors(spark, sf_dir), _asked(spark, sf_dir, [ASKED]), pool), pool)
-    found = fusion.ranked(_doc_bm25(spark, sf_dir, {ASKED: WORDS}), pool)
+    near = fusion.ranked(vector.batch_neighbours(corpora.vectors(spark, sf_dir), [(ASKED, _asked(spark, sf_dir))], pool), pool)
+    found = fusion.ranked(_doc_bm25(spark, sf_dir, WORDS), pool)
     return fusion.fused(near, found, 2 * pool).agg(F.count("vector_rank").alias("vectors"), F.count("keyword_rank").alias("keywords"), F.count("*").alias("hits"))
 
 
+@query("SELECT n_nationkey::BIGINT AS k, greatest(4 * n_nationkey, 50)::BIGINT AS pool, least(n_nationkey, (SELECT count(*) FROM embeddings JOIN documents ON doc_id = vec_id))::BIGINT AS hits FROM nation")
+def result_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools and hits by k, from none on."""
+    near = fusion.ranked(vector.neighbours(corpora.vectors(spark, sf_dir), _asked(spark, sf_dir), DEFAULTS.pool(24)).withColumn("qid", F.lit(ASKED)), DEFAULTS.pool(24))
+    top = fusion.fused(near, near.where("false"), 24).select("rank")
+    keys = corpora.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    pools = F.create_map(*(x for k in range(25) for x in (F.lit(k).cast("long"), F.lit(DEFAULTS.pool(k)).cast("long"))))
+    return keys.join(top, F.col("rank") <= F.col("k"), "left").groupBy("k").agg(F.count("rank").alias("hits")).select("k", pools[F.col("k")].alias("pool"), "hits")
+
+
 @query("""WITH r AS (SELECT doc_id AS uid, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents UNION ALL SELECT doc_id, row_number() OVER (ORDER BY doc_id) FROM documents WHERE doc_id % 2 = 0
 UNION ALL SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) FROM documents WHERE doc_id % 3 = 0) SELECT uid, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS score FROM r GROUP BY uid""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpora.table(spark, sf_dir, "documents").select(F.lit(0).alias("qid"), F.col("doc_id").alias("uid"), F.col("doc_id").alias("ordinal"), "n_chars")
     legs = [docs.withColumn("score", F.col("n_chars").cast("double")), docs.where("uid % 2 = 0").withColumn("score", F.lit(0.0)), docs.where("uid % 3 = 0").withColumn("score", -F.col("n_chars").cast("double"))]
-    return fusion.rrf([fusion.ranked(leg, 2**31 - 1) for leg in legs]).select("uid", F.round("score", 9).alias("score"))
+    return fusion.rrf([fusion.ranked_whole(leg) for leg in legs]).select("uid", F.round("score", 9).alias("score"))
 
 
 #: A copy of the documents as a store would hold it: some missing, some changed, some that are gone by now.
@@ -308,11 +364,20 @@ def refresh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh.refresh_counts(refresh_diff(spark, sf_dir))
 
 
-@query(f"{_PLAN} SELECT now.uid, now.content_hash FROM now")
+@query(f"{_PLAN} SELECT coalesce(n.uid, stored.uid) AS uid, coalesce(n.content_hash, stored.content_hash) AS content_hash FROM stored FULL JOIN (SELECT * FROM now WHERE uid % 2 = 0) n ON n.uid = stored.uid")
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan, now, stored = refresh_diff(spark, sf_dir), content_hash(spark, sf_dir), _stored(spark, sf_dir)
-    new = now.join(plan.where("action = 'embed'"), "uid", "left_semi")
-    return refresh.upserted(refresh.deleted(stored, plan.where("action = 'delete'")), new)
+    """Half of the documents are put in; the other rows of the store stay as they are, changed or not."""
+    return refresh.upserted(_stored(spark, sf_dir), content_hash(spark, sf_dir).where("uid % 2 = 0"))
+
+
+@query(f"{_PLAN} SELECT uid, row_number() OVER (ORDER BY uid) AS place FROM pl WHERE action = 'delete'")
+def deleted_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uids = refresh.deleted_uids(refresh_diff(spark, sf_dir))
+    # a global sort gives ranges in order: the place is that of the range and then within it
+    placed = uids.select("uid", F.monotonically_increasing_id().alias("_at"), F.spark_partition_id().alias("_part"))
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))
+    each = before.alias("a").join(before.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part", "a._least").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    return placed.join(each, "_part").select("uid", (F.col("_at") - F.col("_least") + F.col("_before") + 1).cast("long").alias("place"))
 
 
 @query("SELECT doc_id AS uid, lang FROM documents WHERE doc_id % 5 <> 0")
@@ -327,17 +392,237 @@ def records_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.records_by_uid(docs, spark.createDataFrame([(x,) for x in (3, 5, 8, 13, -7)], "uid long"))
 
 
-_METAS = [("fresh", "2026-08-07T17:00:00+00:00", "2026-08-01T00:00:00+00:00"), ("naive", None, "2026-08-07T17:30:00"), ("offset", "2026-08-07T19:00:00+02:00", "x"), ("future", "2026-08-07T18:10:00+00:00", "x"), ("broken", "soon", "2026-08-07T17:00:00+00:00"), ("blank", "", "2026-08-07T16:00:00+00:00")]
+@query("""SELECT o_orderkey AS uid, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE epoch(TIMESTAMP '2026-08-07 18:00:00') - epoch(o_orderdate) + CASE WHEN o_orderkey % 3 = 1 THEN 7200 ELSE 0 END END::DOUBLE AS age,
+CASE WHEN o_orderkey % 5 <> 0 AND epoch(TIMESTAMP '2026-08-07 18:00:00') - epoch(o_orderdate) + CASE WHEN o_orderkey % 3 = 1 THEN 7200 ELSE 0 END <= 900000000 THEN 'fresh' ELSE 'stale' END AS state FROM orders""")
+def index_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ages of captures with and without a zone, refreshed or only built, and unreadable ones."""
+    key = F.col("o_orderkey")
+    moment = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    stamp = F.when(key % 5 == 0, "soon").when(key % 3 == 0, F.concat(moment, F.lit("+00:00"))).when(key % 3 == 1, F.concat(moment, F.lit("+02:00"))).otherwise(moment)
+    refreshed = F.when(key % 2 == 0, stamp).when(key % 4 == 1, "")
+    metas = corpora.table(spark, sf_dir, "orders").select(key.alias("uid"), refreshed.alias("refreshed_at"), F.when(key % 2 == 0, "x").otherwise(stamp).alias("built_at"))
+    return catalog.with_freshness(metas, F.lit(900000000), F.lit(datetime(2026, 8, 7, 18, tzinfo=UTC))).select("uid", "age", "state")
 
 
-@query("""SELECT * FROM (VALUES ('fresh', 3600.0::DOUBLE), ('naive', 1800.0), ('offset', 3600.0), ('future', -600.0), ('broken', NULL), ('blank', 7200.0)) AS t(name, age)""")
-def index_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_METAS, "name string, refreshed_at string, built_at string")
-    now = F.lit(datetime(2026, 8, 7, 18, tzinfo=UTC))
-    return rows.select("name", catalog.age_seconds(F.col("refreshed_at"), F.col("built_at"), now).alias("age"))
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/quillgraph-{name}-{uuid.uuid4().hex}"
+
+
+def _registry_file(spark: SparkSession, sf_dir: str) -> str:
+    """A registry of the nations as graphs, some without nickname, token or type."""
+    key = F.col("n_nationkey")
+    entry = F.struct(
+        F.col("n_name").alias("name"), F.when(key % 2 == 0, F.concat(F.lit("Nick-"), key)).alias("nickname"), F.when(key % 3 > 0, F.concat(F.lit("t"), key)).alias("token"),
+        F.when(key % 5 == 0, "offline").when(key % 5 == 1, "hosted").alias("type"),
+    )
+    nations = corpora.table(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), entry.alias("e")))), lambda x: x["e"]).alias("graphs"))).alias("value"))
+    path = _scratch(spark, "registry")
+    nations.coalesce(1).write.text(path)
+    return path
+
+
+_GRAPHS = "g AS (SELECT n_nationkey AS ordinal, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'Nick-' || n_nationkey ELSE '' END AS nickname, CASE WHEN n_nationkey % 3 > 0 THEN 't' || n_nationkey ELSE '' END AS token, CASE WHEN n_nationkey % 5 = 0 THEN 'offline' ELSE 'hosted' END AS type FROM nation)"
 
 
-@query("SELECT 'notes-2' AS name, 'Work' AS nickname")
+@query(f"WITH {_GRAPHS} SELECT * FROM g")
+def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.read_catalog(spark, _registry_file(spark, sf_dir))
+
+
+@query(f"WITH {_GRAPHS}, asked AS (SELECT 2 * n_regionkey AS k, ' nIcK-' || 2 * n_regionkey || ' ' AS selector FROM nation UNION SELECT 2 * n_regionkey + 1, lower((SELECT n_name FROM nation b WHERE b.n_nationkey = 2 * nation.n_regionkey + 1)) FROM nation) SELECT DISTINCT selector, name FROM asked JOIN g ON ordinal = k")
 def catalog_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, "notes-1", ""), (1, "notes-2", "Work"), (2, "work", "other")], "ordinal long, name string, nickname string")
-    return catalog.resolved(rows, F.lit("WORK")).select("name", "nickname")
+    """Graphs by nickname and by name, whatever the case and outer blanks."""
+    known = catalog.read_catalog(spark, _registry_file(spark, sf_dir))
+    names = {r["ordinal"]: r["name"] for r in known.collect()}
+    asked = [f" nIcK-{2 * k} " for k in range(5)] + [names[2 * k + 1].lower() for k in range(5)]
+    return reduce(DataFrame.unionByName, [catalog.resolved(known, F.lit(x)).select(F.lit(x).alias("selector"), "name") for x in asked])
+
+
+@query(f"WITH {_GRAPHS} SELECT CASE WHEN nickname = '' THEN name ELSE nickname END AS label, name, type, ordinal = 3 AS indexed, CASE WHEN ordinal = 3 THEN (SELECT count(*) FROM region) END AS record_count FROM g")
+def list_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with the state of its stores: one nation has an index of the regions."""
+    path = _registry_file(spark, sf_dir)
+    known, stores = catalog.read_catalog(spark, path), _scratch(spark, "stores")
+    name = known.where("ordinal = 3").first()["name"]
+    rows = corpora.table(spark, sf_dir, "region").select(F.col("r_name").alias("uid"), F.col("r_regionkey").cast("long").alias("ordinal"), F.col("r_name").alias("text"))
+    Store(catalog.store_path(stores, name), ("text",)).write(spark, rows, Meta(name, "none", 0, "", 0))
+    return catalog.summaries(known, stores).select("label", "name", "type", "indexed", "record_count")
+
+
+class CountingEmbedder:
+    """Vectors that SQL can compute: a text's characters, its blanks, and one."""
+
+    model, dimension = "counting", 3
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(x)), float(x.count(" ")), 1.0] for x in texts]
+
+
+def _embeddable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("uid"), F.col("doc_id").alias("ordinal"), "text", F.col("text").alias("embed_input"), F.sha2("text", 256).alias("content_hash"))
+
+
+_VECTOR = "length('search_document: ' || coalesce(text, ''))::DOUBLE AS characters, length(regexp_replace('search_document: ' || coalesce(text, ''), '[^ ]', '', 'g'))::DOUBLE AS blanks"
+
+
+@query(f"SELECT doc_id::VARCHAR AS uid, {_VECTOR}, 1.0::DOUBLE AS one FROM documents")
+def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixed texts in batches, each vector with its row."""
+    found = embedder.check_dimension(embedder.embedded(_embeddable(spark, sf_dir), CountingEmbedder()), 3)
+    return found.select("uid", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(("characters", "blanks", "one"))))
+
+
+@query("""SELECT 'asked' AS what, length('search_query: ' || max(text))::DOUBLE AS characters FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents WHERE text IS NOT NULL)""")
+def embed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = corpora.documents(spark, sf_dir).where("text is not null").agg(F.max_by("text", "uid")).first()[0]
+    return spark.createDataFrame([("asked", float(embedder.embedded_query(text, CountingEmbedder())[0]))], "what string, characters double")
+
+
+def _changed(docs: DataFrame) -> DataFrame:
+    """The documents at a later time: every seventh is gone, every seventh has another text, and there are new ones."""
+    text = F.when(F.col("ordinal") % 7 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    old = docs.where("ordinal % 7 <> 0").withColumn("text", text)
+    new = docs.where("ordinal % 7 = 2").withColumn("ordinal", F.col("ordinal") + 1000000000).withColumn("uid", F.col("ordinal").cast("string"))
+    return old.unionByName(new).withColumns({"embed_input": F.col("text"), "content_hash": F.sha2("text", 256)})
+
+
+def _refreshed_store(spark: SparkSession, sf_dir: str, rounds: int) -> tuple[Store, list[dict]]:
+    store = Store(_scratch(spark, "store"), ("text",))
+    docs = _embeddable(spark, sf_dir)
+    refresh.build(spark, store, docs, CountingEmbedder(), "documents")
+    return store, [refresh.refresh(spark, store, _changed(docs), CountingEmbedder()) for _ in range(rounds)]
+
+
+_LATER = "later AS (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 7 = 2)"
+
+
+@query(f"WITH {_LATER} SELECT doc_id::VARCHAR AS uid, sha256(text) AS content_hash, {_VECTOR} FROM later")
+def refreshed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build, then refresh: what the store holds."""
+    store, _ = _refreshed_store(spark, sf_dir, 1)
+    return store.records(spark).select("uid", "content_hash", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(("characters", "blanks"))))
+
+
+@query(rf"WITH {_LATER} SELECT doc_id::VARCHAR AS uid, len(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+'))::BIGINT AS dl FROM later")
+def refreshed_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build, then refresh: the lengths that the keyword index counts with."""
+    return _refreshed_store(spark, sf_dir, 1)[0].index(spark).lengths.select("uid", "dl")
+
+
+@query(f"""WITH {_LATER}, n AS (SELECT count(*) AS n FROM later), c AS (SELECT count(*) FILTER (doc_id % 7 IN (1, 2)) AS embedded, count(*) FILTER (doc_id % 7 = 0) AS deleted, count(*) FILTER (doc_id % 7 NOT IN (0, 1)) AS unchanged FROM documents)
+SELECT 1 AS round, embedded, deleted, unchanged, n AS record_count, 2 AS segments FROM c, n UNION ALL SELECT 2, 0, 0, n, n, 2 FROM n""")
+def refresh_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A refresh that finds changes, and one that finds none and writes no segment."""
+    store, counts = _refreshed_store(spark, sf_dir, 2)
+    rows = [(n, c["embedded"], c["deleted"], c["unchanged"], c["record_count"], len(store.snapshot(spark).segments)) for n, c in enumerate(counts, 1)]
+    return spark.createDataFrame(rows, "round int, embedded long, deleted long, unchanged long, record_count long, segments int")
+
+
+@query(rf"WITH {_LATER}, t AS (SELECT doc_id::VARCHAR AS uid, len(list_filter(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+'), lambda t: t = 'license')) AS tf FROM later) SELECT uid, tf::BIGINT AS tf FROM t WHERE tf > 0")
+def refreshed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build, then refresh: the postings of a word."""
+    return _refreshed_store(spark, sf_dir, 1)[0].index(spark).postings.where("term = 'license'").select("uid", "tf")
+
+
+@query("SELECT 'documents' AS graph_name, 'counting' AS embed_model, 3 AS dimension, count(*) AS record_count, 2 AS schema_version, true AS built, true AS refreshed, true AS refused FROM documents")
+def store_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store's meta row after a refresh without a change; a store of another schema version is refused."""
+    store, docs = Store(_scratch(spark, "store"), ("text",)), _embeddable(spark, sf_dir)
+    refresh.build(spark, store, docs, CountingEmbedder(), "documents")
+    refresh.refresh(spark, store, docs, CountingEmbedder())
+    m = store.meta(spark)
+    try:
+        refresh.check_schema_version(replace(m, schema_version=1))
+        refused = False
+    except ValueError:
+        refused = True
+    rows = [(m.graph_name, m.embed_model, m.dimension, m.record_count, m.schema_version, m.built_at != "", m.refreshed_at is not None, refused)]
+    return spark.createDataFrame(rows, "graph_name string, embed_model string, dimension int, record_count long, schema_version int, built boolean, refreshed boolean, refused boolean")
+
+
+@query("SELECT vec_id AS uid, len(embedding)::INT AS n, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings JOIN documents ON doc_id = vec_id")
+def store_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = corpora.document_store(spark, sf_dir).vectors(spark).where("embedding is not null")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return found.select("uid", F.size("embedding").alias("n"), F.round(total, 6).alias("total"))
+
+
+def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outline as the API's rows in JSON; of odd ids the order is a string, a stub is broken, and one more field is there."""
+    e, stub = corpora.outline(spark, sf_dir), lambda c: F.transform(c, lambda i: F.struct(i.alias("id")))
+    odd = F.col("id") % 2 == 1
+    head = F.to_json(F.struct("id", "uid", "string", "title", F.when(F.col("page_id").isNotNull(), F.struct(F.col("page_id").alias("id"))).alias("page"), "time", F.col("edit_time").alias("edit-time")))
+    order = F.when(odd, F.concat(F.lit('"'), F.col("order"), F.lit('"'))).otherwise(F.col("order").cast("string"))
+    stubs = lambda c: F.coalesce(F.to_json(stub(F.col(c))), F.lit("[]"))
+    broken = F.when(odd, F.concat(F.lit('[{"id":"x"},7'), F.when(F.size("parents") > 0, ",").otherwise(""), F.substring(stubs("parents"), 2, 1 << 30))).otherwise(stubs("parents"))
+    value = F.concat(F.left(head, F.length(head) - 1), F.lit(',"order":'), order, F.lit(',"parents":'), broken, F.lit(',"children":'), stubs("children"), F.lit(',"more":{"a":[1]}}'))
+    return e.select(value.alias("value"), "ordinal")
+
+
+_ENTITY = "id, uid, string, title, page_id, array_to_string({p}, ',') AS parents, array_to_string(coalesce(children, []), ',') AS children, {o} AS \"order\", time, edit_time, ordinal"
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return found.withColumns({c: F.array_join(F.transform(F.coalesce(c, F.array().cast("array<bigint>")), lambda i: i.cast("string")), ",") for c in ("parents", "children")})
+
+
+@query(f"{E} SELECT {_ENTITY.format(p='parents', o='CASE WHEN id % 2 = 0 THEN ord END')} FROM e")
+def entities_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of JSON whose fields may have other types: those are null, broken stubs are dropped."""
+    return _flat(entities.from_json(_json_lines(spark, sf_dir), lenient=True))
+
+
+@query(f"{E} SELECT {_ENTITY.format(p='parents', o='ord')} FROM e WHERE id % 2 = 0")
+def entities_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(entities.from_json(_json_lines(spark, sf_dir)).where("id % 2 = 0"))
+
+
+@query(f"{E} SELECT {_ENTITY.format(p='parents', o='CASE WHEN id % 2 = 0 THEN ord END').replace(', ordinal', '')} FROM e")
+def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of a query's answer: a list of rows that begin with one entity; here an answer for each thousand ids."""
+    lines = _json_lines(spark, sf_dir).groupBy(F.floor(F.col("ordinal") / 1000)).agg(F.concat(F.lit("["), F.array_join(F.transform(F.collect_list("value"), lambda v: F.concat(F.lit("["), v, F.lit("]"))), ","), F.lit("]")).alias("value"))
+    return _flat(entities.unwrapped(lines)).drop("ordinal")
+
+
+@query("SELECT p_partkey AS id, p_name || ' see ' || p_type || ' at ' || replace(p_brand, '#', '') || ' and ' || p_name AS clean FROM part")
+def markup_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images, embeds with options, links with brackets in their address, and styles around known prose."""
+    key, ref = F.col("p_partkey"), F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"))
+    embed = F.element_at(F.array(F.lit("{{embed: (("), F.lit("{{[[embed]]: (("), F.lit("{{[[embed-children]]: (("), F.lit("{{embed-path: ((")), (key % 4 + 1).cast("int"))
+    raw = F.concat(F.lit("!["), "p_name", F.lit("](http://h/a("), key, F.lit(").png) see "), embed, ref, F.lit(")) }} at **["), "p_brand", F.lit("](http://h/b(c))** {{[[DONE]]}} and [[#[["), "p_name", F.lit("]] {{slider}}]]"))
+    rows = corpora.table(spark, sf_dir, "part").select(key.alias("id"), raw.alias("raw"), F.create_map(ref, F.col("p_type")).alias("refs"))
+    return rows.select("id", markup.plain_text(F.col("raw"), F.col("refs")).alias("clean"))
+
+
+def _twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as entities, each id twice; titles that clean to nothing; every third has both a title and a string."""
+    key = F.col("s_suppkey")
+    rows = corpora.table(spark, sf_dir, "supplier").select(key, "s_name", F.explode(F.array(F.lit(0), F.lit(1))).alias("twin"))
+    none = F.array().cast("array<bigint>")
+    title = F.when(key % 2 == 0, F.concat(F.lit("{{"), "s_name", F.lit("}}"))).otherwise(F.concat("s_name", F.lit(" "), F.col("twin")))
+    return rows.select(
+        key.cast("long").alias("id"), F.concat(F.lit("S"), F.lpad((2 * key + F.col("twin")).cast("string"), 8, "0")).alias("uid"), F.when(key % 3 == 0, F.concat(F.lit("text "), "s_name")).alias("string"),
+        title.alias("title"), F.when(key % 3 == 0, key).cast("long").alias("page_id"), none.alias("parents"), none.alias("children"), F.lit(0).cast("long").alias("order"), F.lit(1).cast("long").alias("time"), F.lit(None).cast("long").alias("edit_time"), (2 * key + F.col("twin")).cast("long").alias("ordinal"),
+    )
+
+
+@query("""WITH t AS (SELECT s_suppkey AS k, twin, s_name, CASE WHEN s_suppkey % 2 = 0 THEN '{{' || s_name || '}}' ELSE s_name || ' ' || twin END AS title, CASE WHEN s_suppkey % 2 = 0 THEN title ELSE replace(title, '#', '') END AS shown FROM supplier, (VALUES (0), (1)) v(twin))
+SELECT 'S' || lpad((2 * k + twin)::VARCHAR, 8, '0') AS uid, title AS page_title, shown AS breadcrumb, shown AS text, true AS is_page FROM t
+UNION ALL SELECT 'S' || lpad((2 * k + twin)::VARCHAR, 8, '0'), last, last_shown, 'text ' || replace(s_name, '#', ''), false FROM (SELECT *, max_by(title, twin) OVER (PARTITION BY k) AS last, max_by(shown, twin) OVER (PARTITION BY k) AS last_shown FROM t) WHERE k % 3 = 0""")
+def record_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are page and block at once, ids that occur twice, and titles that fall back to their markup."""
+    return record_plans.index_records(_twins(spark, sf_dir)).select("uid", "page_title", "breadcrumb", "text", "is_page")
+
+
+@query("SELECT 'fresh' AS state, 5::BIGINT AS hits, (SELECT count(*) FROM region)::BIGINT AS record_count, (SELECT min(r_name) FROM region) AS best")
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build an index of the regions as pages, then ask for one by name: the tool's whole answer."""
+    path = _scratch(spark, "entities")
+    pages = corpora.table(spark, sf_dir, "region").select(F.to_json(F.struct(F.col("r_regionkey").cast("long").alias("id"), F.concat(F.lit("page-"), F.lpad(F.col("r_regionkey").cast("string"), 4, "0")).alias("uid"), F.col("r_name").alias("title"), F.lit(1).alias("time"))).alias("value"))
+    pages.write.text(path)
+    asked = tools.Tools(spark, stores=_scratch(spark, "stores"), entities=path)
+    asked.build("regions")
+    name = corpora.table(spark, sf_dir, "region").agg(F.min("r_name")).first()[0]
+    found = asked.semantic_search("regions", name, 5)
+    return spark.createDataFrame([(found["refresh"]["state"], len(found["hits"]), found["index"]["record_count"], found["hits"][0]["text"])], "state string, hits long, record_count long, best string")

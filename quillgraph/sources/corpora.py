@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workers import workers_find_library
+from ..workers import file_system, shared_folder, workers_find_library
+from .snapshot import Meta, Store
 
 TABLES = ("region", "nation", "customer", "orders")
 
@@ -73,3 +77,27 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of documents, by equal ids."""
     ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), F.col("vec_id").alias("ordinal"), "embedding").join(ids, "uid", "left_semi")
+
+
+_stores: dict[tuple[str, str], tuple[SparkSession, Store]] = {}
+
+
+def document_store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store of the documents and their vectors, indexed once for a session and deleted with the process."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        store = Store(f"{shared_folder(spark)}/quillgraph-documents-{uuid.uuid4().hex}", ("text",))
+        given = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), "embedding")
+        store.write(spark, documents(spark, sf_dir).join(given, "uid", "left"), Meta("documents", "given", 64, "", 0))
+        _stores[key] = (spark, store)
+    return _stores[key][1]
+
+
+@atexit.register
+def _delete_stores() -> None:
+    for spark, store in _stores.values():
+        try:
+            path, fs = file_system(spark, store.path)
+            fs.delete(path, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass

@@ -28,7 +28,7 @@ def read_entities(spark: SparkSession, path: str, lenient: bool = False) -> Data
 def from_json(lines: DataFrame, lenient: bool = False) -> DataFrame:
     """Entities of ``lines`` (value string, ordinal long)."""
     if not lenient:
-        return _shaped(lines.select(F.from_json("value", _RAW).alias("e"), "ordinal").select("e.*", "ordinal")).where("uid is not null")
+        return _shaped(lines.select(F.from_json("value", _RAW).alias("_entity"), "ordinal").select("_entity.*", "ordinal")).where("uid is not null")
     whole = F.try_parse_json("value")
 
     def field(name: str, kind: str, sql: str) -> Column:
@@ -45,15 +45,13 @@ def from_json(lines: DataFrame, lenient: bool = False) -> DataFrame:
     return found.where("uid is not null").select(*ENTITY.fieldNames())
 
 
-def unwrapped_result(spark: SparkSession, answer: str) -> DataFrame:
-    """Entities of a query answer: a JSON list of one-entity lists; any other shape is a TypeError."""
-    import json
-
-    rows = json.loads(answer)
-    if not isinstance(rows, list) or not all(isinstance(r, list) and len(r) == 1 and isinstance(r[0], dict) for r in rows):
-        raise TypeError("the answer is not a list of rows of one entity")
-    lines = spark.createDataFrame([(json.dumps(r[0]), n) for n, r in enumerate(rows)], "value string, ordinal long")
-    return from_json(lines, lenient=True)
+def unwrapped(answers: DataFrame) -> DataFrame:
+    """Entities of query answers (value string): each a JSON list of lists that begin with one entity; any other shape fails."""
+    rows = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+    each = answers.select(F.posexplode(F.coalesce(rows, F.raise_error(F.lit("the answer is no list of rows")).cast("array<variant>"))).alias("ordinal", "row"))
+    entity = F.try_variant_get("row", "$[0]", "variant")
+    shaped = F.when(F.startswith(F.schema_of_variant(entity), F.lit("OBJECT")), F.to_json(entity)).otherwise(F.raise_error(F.lit("a row of the answer does not begin with an entity")))
+    return from_json(each.select(shaped.alias("value"), F.col("ordinal").cast("long").alias("ordinal")), lenient=True)
 
 
 def uid_sweep(entities: DataFrame) -> DataFrame:

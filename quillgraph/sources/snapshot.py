@@ -1,15 +1,27 @@
-"""Versioned Parquet snapshots behind a pointer: readers see a whole snapshot or the one before."""
+"""A store of records, vectors and their keyword index, in Parquet segments under numbered snapshots."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.keyword import KeywordIndex, keyword_index
-from ..schema import COLUMN_WEIGHTS, META
+from ..operators.keyword import KeywordIndex, index_tables
+from ..schema import COLUMN_WEIGHTS
+from ..workers import file_system
+
+#: Segments that are merged into one by the next write.
+MOST_SEGMENTS = 8
+#: Snapshots whose segments are kept for readers that began before.
+KEPT_SNAPSHOTS = 2
+
+
+class ConflictError(RuntimeError):
+    """Another writer has made the next snapshot meanwhile; nothing of this write is visible."""
 
 
 @dataclass(frozen=True)
@@ -24,37 +36,69 @@ class Meta:
     include_daily_notes: bool = True
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """What a snapshot file holds: segments, oldest first, the tokens of all live records, and the meta row."""
+
+    number: int
+    segments: tuple[str, ...]
+    total_len: int
+    meta: Meta
+
+
 class Store:
-    """A folder of snapshots: records with vectors, postings clustered by term, lengths, and one row each of corpus and meta."""
+    """A folder of segments and snapshots.
+
+    A segment has the records that one write put in (records with vectors, postings clustered by term, lengths), and the
+    uids that it takes out of the segments before it (gone). A refresh writes one segment of what has changed; when
+    there are MOST_SEGMENTS the next write merges all. A snapshot file, named by its number, lists the segments; it is
+    created only if it is not there yet, so of two writers from the same snapshot one fails with ``ConflictError``, and
+    readers see a whole snapshot or the one before.
+    """
 
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, path: str, columns: tuple[str, ...] = tuple(COLUMN_WEIGHTS)):
+        self.path, self.columns = path.rstrip("/"), list(columns)
 
-    def _fs(self, spark: SparkSession):  # noqa: ANN202
-        jvm = spark.sparkContext._jvm
-        of = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        return of, of(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # -- reading
 
-    def current(self, spark: SparkSession) -> str | None:
-        """The name in the newest pointer file, or None without a snapshot."""
-        of, fs = self._fs(spark)
-        folder = of(f"{self.path}/_pointers")
-        if not fs.exists(folder):
+    def _numbers(self, spark: SparkSession) -> list[int]:
+        folder, fs = file_system(spark, f"{self.path}/_snapshots")
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def current(self, spark: SparkSession, number: int | None = None) -> Snapshot | None:
+        """The newest snapshot, or that of ``number``; None without one."""
+        numbers = self._numbers(spark) if number is None else [number]
+        if not numbers:
             return None
-        names = sorted(x.getPath().getName() for x in fs.listStatus(folder))
-        return names[-1].split("-", 1)[1] if names else None
+        path, fs = file_system(spark, f"{self.path}/_snapshots/{numbers[-1]:010d}")
+        stream = fs.open(path)
+        try:
+            held = json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+        return Snapshot(numbers[-1], tuple(held["segments"]), held["total_len"], Meta(**held["meta"]))
 
     def exists(self, spark: SparkSession) -> bool:
-        return self.current(spark) is not None
+        return bool(self._numbers(spark))
 
-    def _read(self, spark: SparkSession, part: str) -> DataFrame:
-        name = self.current(spark)
-        if name is None:
+    def snapshot(self, spark: SparkSession) -> Snapshot:
+        found = self.current(spark)
+        if found is None:
             raise FileNotFoundError(f"no index at {self.path}: build it")
-        return spark.read.parquet(f"{self.path}/{name}/{part}")
+        return found
+
+    def _live(self, spark: SparkSession, part: str, of: Snapshot) -> DataFrame:
+        """Rows of ``part`` of all segments, without those that a later segment takes out."""
+        read = lambda s, p: spark.read.parquet(f"{self.path}/{s}/{p}")
+        if len(of.segments) == 1:
+            return read(of.segments[0], part)
+        rows = reduce(DataFrame.unionByName, [read(s, part).withColumn("_segment", F.lit(n)) for n, s in enumerate(of.segments)])
+        gone = reduce(DataFrame.unionByName, [read(s, "gone").withColumn("_at", F.lit(n)) for n, s in enumerate(of.segments) if n])
+        last = gone.groupBy("uid").agg(F.max("_at").alias("_at")).withColumnRenamed("uid", "_uid")
+        return rows.join(last, (F.col("uid") == F.col("_uid")) & (F.col("_segment") < F.col("_at")), "left_anti").drop("_segment")
 
-    def records(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "records")
+    def records(self, spark: SparkSession, of: Snapshot | None = None) -> DataFrame:
+        return self._live(spark, "records", of or self.snapshot(spark))
 
     def hashes(self, spark: SparkSession) -> DataFrame:
         return self.records(spark).select("uid", "content_hash")
@@ -63,25 +107,76 @@ class Store:
         return self.records(spark).select("uid", "ordinal", "embedding")
 
     def index(self, spark: SparkSession) -> KeywordIndex:
-        return KeywordIndex(self._read(spark, "postings"), self._read(spark, "lengths"), self._read(spark, "corpus"))
+        of = self.snapshot(spark)
+        return KeywordIndex(self._live(spark, "postings", of), self._live(spark, "lengths", of), of.meta.record_count, of.total_len)
 
     def meta(self, spark: SparkSession) -> Meta:
-        return Meta(**self._read(spark, "meta").first().asDict())
+        return self.snapshot(spark).meta
 
-    def write(self, spark: SparkSession, records: DataFrame, meta: Meta) -> Meta:
-        """Write a whole snapshot, then point to it. Pointer files are numbered, so the newest wins without a rename."""
-        of, fs = self._fs(spark)
+    # -- writing
+
+    def _segment(self, spark: SparkSession, records: DataFrame, gone: DataFrame | None = None) -> tuple[str, int, int]:
+        """(name, records, tokens) of a new segment."""
         name = uuid.uuid4().hex
         base = f"{self.path}/{name}"
         records.write.parquet(f"{base}/records")
         written = spark.read.parquet(f"{base}/records")
-        index = keyword_index(written, list(COLUMN_WEIGHTS))
-        index.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/postings")
-        index.lengths.write.parquet(f"{base}/lengths")
-        spark.read.parquet(f"{base}/lengths").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len")).write.parquet(f"{base}/corpus")
-        meta = replace(meta, record_count=written.count())
-        spark.createDataFrame([tuple(asdict(meta).values())], META).coalesce(1).write.parquet(f"{base}/meta")
-        folder = of(f"{self.path}/_pointers")
-        number = len(fs.listStatus(folder)) if fs.exists(folder) else 0
-        fs.create(of(f"{self.path}/_pointers/{number:010d}-{name}"), False).close()
+        postings, lengths = index_tables(written, self.columns)
+        postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/postings")
+        lengths.write.parquet(f"{base}/lengths")
+        (written.where("false") if gone is None else gone).select("uid").write.parquet(f"{base}/gone")
+        n, total = spark.read.parquet(f"{base}/lengths").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return name, n, total
+
+    def _publish(self, spark: SparkSession, of: Snapshot) -> None:
+        path, fs = file_system(spark, f"{self.path}/_snapshots/{of.number:010d}")
+        try:
+            stream = fs.create(path, False)
+        except Exception as e:
+            raise ConflictError(f"snapshot {of.number} of {self.path} is there already") from e
+        stream.write(bytearray(json.dumps({"segments": of.segments, "total_len": of.total_len, "meta": asdict(of.meta)}).encode()))
+        stream.close()
+        self._clean(spark)
+
+    def _clean(self, spark: SparkSession) -> None:
+        """Delete old snapshots, and segments that no kept one lists; a segment that is being written has no snapshot yet, so
+        only those of deleted snapshots go."""
+        numbers = self._numbers(spark)
+        old = [self.current(spark, n) for n in numbers[:-KEPT_SNAPSHOTS]]
+        kept = {s for n in numbers[-KEPT_SNAPSHOTS:] for s in self.current(spark, n).segments}
+        for of in old:
+            for name in set(of.segments) - kept:
+                path, fs = file_system(spark, f"{self.path}/{name}")
+                fs.delete(path, True)
+            path, fs = file_system(spark, f"{self.path}/_snapshots/{of.number:010d}")
+            fs.delete(path, False)
+
+    def write(self, spark: SparkSession, records: DataFrame, meta: Meta) -> Meta:
+        """A snapshot of ``records`` alone."""
+        before = self._numbers(spark)
+        name, n, total = self._segment(spark, records)
+        meta = replace(meta, record_count=n)
+        self._publish(spark, Snapshot(before[-1] + 1 if before else 0, (name,), total, meta))
+        return meta
+
+    def touch(self, spark: SparkSession, of: Snapshot, meta: Meta) -> None:
+        """The snapshot after ``of``, with the same segments and another meta row."""
+        self._publish(spark, replace(of, number=of.number + 1, meta=meta))
+
+    def change(self, spark: SparkSession, of: Snapshot, put: DataFrame, gone: DataFrame, meta: Meta) -> Meta:
+        """The snapshot after ``of``: ``put`` (records with vectors) in place of the rows with their uids, without ``gone`` (uid).
+
+        Writes what has changed, unless there are enough segments to merge; fails if ``of`` is not the newest any more.
+        """
+        if len(of.segments) >= MOST_SEGMENTS:
+            out = put.select("uid").unionByName(gone.select("uid"))
+            name, n, total = self._segment(spark, self.records(spark, of).join(out, "uid", "left_anti").unionByName(put))
+            segments, meta = (name,), replace(meta, record_count=n)
+        else:
+            name, n, total = self._segment(spark, put, put.select("uid").unionByName(gone.select("uid")))
+            out = spark.read.parquet(f"{self.path}/{name}/gone")
+            lost = self._live(spark, "lengths", of).join(out, "uid", "left_semi").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+            segments, total = (*of.segments, name), of.total_len + total - lost[1]
+            meta = replace(meta, record_count=of.meta.record_count + n - lost[0])
+        self._publish(spark, Snapshot(of.number + 1, segments, total, meta))
         return meta

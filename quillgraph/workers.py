@@ -1,4 +1,4 @@
-"""Python workers and this library."""
+"""Python workers, this library, and the folder that all of a cluster shares."""
 
 from __future__ import annotations
 
@@ -16,10 +16,31 @@ def workers_find_library(spark: SparkSession) -> None:
         known["PYTHONPATH"] = ":".join(x for x in (home, known.get("PYTHONPATH")) if x)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. A local session without one gets a temporary folder; a cluster is refused."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="quillgraph-"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the folder that the cluster names in ``spark.checkpoint.dir``: a short plan that survives
-    lost executors. A temporary folder is used only where none is named (a local session)."""
+    """``df`` computed once into the shared folder: a short plan that survives lost executors."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """(the path, its Hadoop file system)"""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = file_system(spark, path)
+    return fs.exists(p)
