@@ -91,24 +91,25 @@ def _writing(spark: SparkSession):  # noqa: ANN202
     return _set(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__legacy__bucketedTableScan__outputOrdering="true")
 
 
-def made_so_far() -> int:
-    return len(_made)
+def made_so_far() -> list[str]:
+    """The paths of the tables that are kept now."""
+    return [path for _, path, _ in _made]
 
 
-def sweep(since: int = 0, but: DataFrame | None = None) -> None:
-    """Delete what ``materialise`` and ``bucketed`` have written in this process after ``since``, but for what ``but`` reads."""
+def sweep(paths: list[str] | None = None, but: DataFrame | None = None) -> None:
+    """Delete what ``materialise`` and ``bucketed`` have written in this process, all or ``paths``, but for what ``but`` reads."""
     kept = but.inputFiles() if but is not None else []
     stay = []
-    while len(_made) > since:
+    while _made:
         spark, path, table = _made.pop()
-        if any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in kept) or path == _local_root and but is not None:
+        if paths is not None and (path not in paths or path == _local_root) or any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in kept):
             stay.append((spark, path, table))
             continue
         try:
             dropped(spark, table, path)
         except Exception:  # noqa: BLE001  the session may have ended before
             pass
-    _made.extend(stay)
+    _made.extend(reversed(stay))
 
 
 atexit.register(sweep)

@@ -323,7 +323,10 @@ def repeated(df: DataFrame, text: str = "text") -> DataFrame:
     narrow = found.select("d", "doc_id", "kind", "no", "h", "g")
     paragraphs = narrow.where(F.col("kind") == PARAGRAPH).join(classes, ["h", "g"], "left")
     own = F.coalesce("component", "h").alias("h"), F.when(F.col("component").isNull(), F.col("g")).otherwise(0).alias("g")
-    named = materialise(paragraphs.select("d", "doc_id", "kind", "no", *own).unionByName(narrow.where(F.col("kind") == CUT)), "named-units")
+    named = materialise(paragraphs.select("d", "doc_id", "kind", "no", *own), "named-paragraphs").unionByName(narrow.where(F.col("kind") == CUT))
+    # most units occur once: they are left out by a count of the first half of their hashes
+    again = materialise(named.groupBy("kind", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "met-again")
+    named = materialise(named.join(again, ["kind", "h"], "left_semi"), "named-units")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d")
     of = ["kind", "h", "g"]
     several = named.groupBy(*of).agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first != last")
