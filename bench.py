@@ -12,7 +12,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-HEADLINE = ["hybrid_search", "batch_search", "keyword_bm25", "vector_topk", "rrf_fusion", "markup_clean", "breadcrumb", "descendant_fold", "index_records", "refresh_diff", "refresh_counts", "upsert_snapshot"]
+#: document_index builds the index; the searches after it read it, as a store's searches do. refresh_rounds builds a store,
+#: refreshes it with changes, and refreshes it without any.
+HEADLINE = ["document_index", "hybrid_search", "keyword_bm25", "phrase_search", "vector_topk", "batch_search", "rrf_fusion", "markup_clean", "breadcrumb", "descendant_fold", "index_records", "refresh_diff", "refresh_counts", "upsert_snapshot", "refresh_rounds"]
 
 
 def main() -> None:

@@ -10,13 +10,14 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph import catalog, cli
+from quillgraph import catalog, cli, server, tools
 from quillgraph.functions import markup, tokens
 from quillgraph.operators import fusion, keyword, outline, vector
 from quillgraph.plans import records, refresh, search
 from quillgraph.schema import COLUMN_WEIGHTS, ENTITY
 from quillgraph.sources import embedder, entities
-from quillgraph.sources.snapshot import Meta, Store
+from quillgraph.sources.pull import pulled_entities
+from quillgraph.sources.snapshot import ConflictError, Meta, Store
 from quillgraph.streaming.refresh_stream import refresh_on_arrival
 from quillgraph.workers import workers_find_library
 
@@ -139,10 +140,13 @@ def test_vectors_and_fusion(spark):
     rows = [("a", 0, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("c", 2, [1.0, 1.0]), ("z", 3, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "uid string, ordinal long, embedding array<float>")
     assert [x.uid for x in vector.neighbours(df, [1.0, 0.0], 3).collect()] == ["a", "c", "b"]
-    both = vector.batch_neighbours(spark, df, [(5, [1.0, 0.0]), (6, [0.0, 1.0])], 2)
+    both = vector.batch_neighbours(df, [(5, [1.0, 0.0]), (6, [0.0, 1.0])], 2)
     ranks = {(x.qid, x.uid): x["rank"] for x in fusion.ranked(both, 2).collect()}
     assert ranks == {(5, "a"): 1, (5, "c"): 2, (6, "b"): 1, (6, "c"): 2}
-    assert vector.batch_neighbours(spark, df, [], 2).count() == 0 == vector.batch_neighbours(spark, df.limit(0), [(1, [1.0, 0.0])], 2).count()
+    asked = spark.createDataFrame([(5, [1.0, 0.0]), (6, [0.0, 1.0]), (7, None)], "qid long, embedding array<float>")
+    joined = fusion.ranked(vector.joined_neighbours(df, asked, 2), 2)
+    assert {(x.qid, x.uid): x["rank"] for x in joined.collect()} == ranks
+    assert vector.batch_neighbours(df, [], 2).count() == 0 == vector.batch_neighbours(df.limit(0), [(1, [1.0, 0.0])], 2).count()
     one = spark.createDataFrame([(0, "x", 1), (0, "y", 2)], "qid long, uid string, rank int")
     two = spark.createDataFrame([(0, "y", 1), (0, "w", 2)], "qid long, uid string, rank int")
     assert {x.uid: x.score for x in fusion.rrf([one, one]).collect()}["x"] == pytest.approx(2 / 61)
@@ -165,9 +169,11 @@ def test_lenient_and_strict_reading(spark, tmp_path):
     lenient = {r.uid: r for r in entities.read_entities(spark, str(tmp_path / "g.json"), lenient=True).collect()}
     assert strict["u1"] == lenient["u1"] and set(lenient) == {"u1", "u2"}
     assert (lenient["u2"].string, lenient["u2"].title, lenient["u2"].parents, lenient["u2"].children, lenient["u2"].order) == (None, None, [1], [], None)
-    with pytest.raises(TypeError):
-        entities.unwrapped_result(spark, '[{"id": 1}]')
-    assert entities.unwrapped_result(spark, json.dumps([[good]])).first().uid == "u1"
+    answer = lambda x: entities.unwrapped(spark.createDataFrame([(json.dumps(x),)], "value string"))
+    for wrong in ([{"id": 1}], {"a": 1}, [[]]):
+        with pytest.raises(Exception, match="the answer"):
+            answer(wrong).collect()
+    assert answer([[good]]).first().uid == "u1"
 
 
 def test_refresh_plan(spark):
@@ -183,7 +189,7 @@ def test_build_search_refresh(spark, tmp_path):
     graph = _graph(spark, GRAPH)
     meta = refresh.build(spark, store, records.index_records(graph), hashing, "g")
     assert meta.record_count == 6 and store.exists(spark)
-    hits = cli.search_store(spark, store, "nested deep", 3, hashing)
+    hits = tools.searched(spark, store, "nested deep", 3, hashing)
     assert [h["rank"] for h in hits] == [1, 2, 3] and next(h for h in hits if h.uid == "block0004").keyword_rank is not None
     assert cli.shown(hits[0]).startswith("1. ")
     edited = _graph(spark, [x | {"string": "first changed"} if x["id"] == 2 else x for x in GRAPH if x["id"] != 9])
@@ -191,6 +197,7 @@ def test_build_search_refresh(spark, tmp_path):
     assert counts["deleted"] == 1 and counts["record_count"] == 5 and store.meta(spark).refreshed_at
     again = refresh.refresh(spark, store, records.index_records(edited), hashing)
     assert again["embedded"] == 0 and again["unchanged"] == 5
+    assert len(store.snapshot(spark).segments) == 2  # nothing was written for the refresh without a change
     assert search.records_by_uid(store.records(spark), spark.createDataFrame([("block0002",), ("nope",)], "uid string")).first().text == "first changed"
     with pytest.raises(ValueError):
         refresh.check_schema_version(Meta("g", "m", 1, "x", 0, None, 1))
@@ -210,23 +217,166 @@ def test_refresh_stream(spark, tmp_path):
     assert [r.text for r in store.records(spark).collect()] == ["Streamed"]
 
 
-def test_catalog_and_freshness(spark, tmp_path):
-    assert catalog.registered(str(tmp_path / "none.json")) == ()
-    (tmp_path / "r.json").write_text(json.dumps({"graphs": [{"name": "one", "nickname": "Uno", "token": "t", "x": 1}, {"name": "two", "type": "offline"}]}))
-    graphs = catalog.registered(str(tmp_path / "r.json"))
-    assert catalog.resolve(graphs, "UNO").name == "one"
-    with pytest.raises(RuntimeError, match="one, two"):
+def test_store_of_segments_equals_a_new_one(spark, tmp_path, monkeypatch):
+    """Many small changes, and the merge of segments, leave the records, lengths and scores of a store built at once."""
+    monkeypatch.setattr("quillgraph.sources.snapshot.MOST_SEGMENTS", 3)
+    workers_find_library(spark)
+    hashing, r = embedder.HashEmbedder(4), random.Random(1)
+    rows = {f"u{i}": f"word{i % 3} text {i}" for i in range(12)}
+
+    def frame():
+        df = spark.createDataFrame([(u, int(u[1:]), t, t) for u, t in sorted(rows.items())], "uid string, ordinal long, text string, embed_input string")
+        return df.withColumn("content_hash", F.sha2("text", 256))
+
+    store = Store(str(tmp_path / "store"), ("text",))
+    refresh.build(spark, store, frame(), hashing, "g")
+    for n in range(4):
+        rows.pop(r.choice(sorted(rows)))
+        rows[r.choice(sorted(rows))] += f" changed word{n}"
+        rows[f"u{20 + n}"] = "word1 new"
+        old = store.snapshot(spark)
+        counts = refresh.refresh(spark, store, frame(), hashing)
+        assert counts["record_count"] == len(rows) == store.meta(spark).record_count
+        with pytest.raises(ConflictError):
+            store.change(spark, old, store.records(spark, old).limit(0), spark.createDataFrame([("u1",)], "uid string"), old.meta)
+        fresh = Store(str(tmp_path / f"fresh{n}"), ("text",))
+        refresh.build(spark, fresh, frame(), hashing, "g")
+        for part in (lambda s: s.records(spark).select("uid", "text", "embedding"), lambda s: s.index(spark).lengths.select("uid", "dl")):
+            assert sorted(map(str, part(store).collect())) == sorted(map(str, part(fresh).collect()))
+        scores = [sorted((x.uid, round(x.score, 9)) for x in keyword.bm25_of(s.index(spark), [(0, "word1 changed")], {"text": 1.0}).collect()) for s in (store, fresh)]
+        assert scores[0] == scores[1]
+    assert len(store._numbers(spark)) == 2
+    kept = {s for n in store._numbers(spark) for s in store.current(spark, n).segments}
+    assert kept <= {p.name for p in (tmp_path / "store").iterdir()}
+
+
+def test_catalog_and_access(spark, tmp_path, monkeypatch):
+    path = lambda text: (tmp_path / "r.json").write_text(text) and str(tmp_path / "r.json")
+    assert catalog.read_catalog(spark, str(tmp_path / "none.json")).count() == 0
+    for broken in ("no json", '{"graphs": 5}', '{"graphs": [{"nickname": "x"}]}', '{"graphs": [{"name": "x", "type": "other"}]}'):
+        assert catalog.read_catalog(spark, path(broken)).count() == 0
+    graphs = catalog.read_catalog(spark, path(json.dumps({"graphs": [{"name": "one", "nickname": "Uno", "token": "t", "x": 1}, {"name": "two", "type": "offline"}, {"name": "uno"}]})))
+    assert catalog.resolve(graphs, " UNO ").name == "one" and catalog.resolve(graphs, "Two").type == "offline"
+    with pytest.raises(catalog.UnknownGraphError, match="Uno, two, uno"):
         catalog.resolve(graphs, "x")
-    with pytest.raises(RuntimeError):
-        catalog.endpoint(graphs[1], 1)
-    assert catalog.endpoint(graphs[0], 3333)[1] == "t"
-    now = datetime(2026, 8, 7, 18, tzinfo=UTC)
-    meta = lambda r, b="2026-08-07T17:00:00": Meta("g", "m", 1, b, 0, r, 2)
-    assert catalog.index_age(meta(None), now) == 3600 and catalog.index_age(meta("2026-08-07T18:10:00+00:00"), now) == -600 and catalog.index_age(meta("soon"), now) is None
-    assert catalog.ensured_fresh(meta(None), -1, lambda: None, now) == ("disabled", None)
-    assert catalog.ensured_fresh(meta(None), 3600, lambda: None, now) == ("fresh", None)
-    assert catalog.ensured_fresh(meta(None), 60, lambda: None, now) == ("refreshed", None)
-    assert catalog.ensured_fresh(meta("soon"), 60, lambda: 1 / 0, now)[0] == "refresh-failed"
-    with pytest.raises(ValueError):
-        embedder.verified_loopback("http://example.com:1")
-    assert embedder.verified_loopback("http://localhost:1") == "http://localhost:1"
+    one, two = catalog.resolve(graphs, "one"), catalog.resolve(graphs, "two")
+    with pytest.raises(catalog.UnknownGraphError, match="offline"):
+        catalog.access(spark, two, "two", port=1)
+    (tmp_path / "port.json").write_text('{"port": 3333}')
+    assert catalog.access(spark, one, "one", port_file=str(tmp_path / "port.json")) == catalog.Access("http://127.0.0.1:3333/api/one", "t")
+    assert catalog.access(spark, one, "one", token="flag", port=5).token == "flag"
+    monkeypatch.setenv("QUILLGRAPH_TOKEN", "environment")
+    assert catalog.access(spark, one, "one", port=5).token == "t" and catalog.access(spark, None, "other", port=5).token == "environment"
+    with pytest.raises(catalog.UnknownGraphError, match="port"):
+        catalog.access(spark, one, "one")
+    monkeypatch.setenv("QUILLGRAPH_PORT", "77")
+    assert catalog.access(spark, one, "one").url.startswith("http://127.0.0.1:77/")
+    (tmp_path / "port.json").write_text('{"port": "none"}')
+    with pytest.raises(catalog.UnknownGraphError):
+        catalog.read_port(spark, str(tmp_path / "port.json"))
+
+
+def test_freshness(spark):
+    meta = lambda built: Meta("g", "m", 1, built, 0, None, 2)
+    now = datetime.now(UTC).isoformat(timespec="seconds")
+    assert tools.freshness(spark, meta(now), lambda m: 1 / 0)["state"] == "fresh"
+    assert tools.freshness(spark, meta("2020-01-01T00:00:00"), lambda m: None)["state"] == "refreshed"
+    failed = tools.freshness(spark, meta("soon"), lambda m: 1 / 0)
+    assert failed["state"] == "failed" and failed["age_seconds"] is None and "zero" in failed["error"]
+    try:
+        spark.conf.set("spark.quillgraph.maxStaleness", "-1")
+        assert tools.freshness(spark, meta("soon"), lambda m: 1 / 0)["state"] == "unchecked"
+        spark.conf.set("spark.quillgraph.maxStaleness", "often")
+        assert catalog.max_staleness(spark) == 3600
+    finally:
+        spark.conf.unset("spark.quillgraph.maxStaleness")
+
+
+def test_embedders_stay_here_and_are_checked():
+    with pytest.raises(ValueError, match="this machine"):
+        embedder.LoopbackEmbedder("m", 2, "http://192.0.2.1:1")
+    assert embedder.stays_here("http://localhost:1") and embedder.stays_here("http://[::1]:1") and not embedder.stays_here("nothing")
+    assert embedder.as_matrix([[1, 2], [3, 4]], 2, 2).tolist() == [[1, 2], [3, 4]] and embedder.as_matrix([], 0, 2).shape == (0, 2)
+    for vectors, error in (([[1, 2]], ValueError), ([[1, 2], [3]], TypeError), ([[1], [2]], ValueError), (None, TypeError), ([["a", "b"], ["c", "d"]], TypeError)):
+        with pytest.raises(error):
+            embedder.as_matrix(vectors, 2, 2)
+
+
+@pytest.fixture
+def api():
+    """A graph's API and an embedding server in one, on this machine."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    rows = [{"id": 1, "uid": "page00001", "title": "Rivers", "children": [{"id": 2}], "time": 1}, {"id": 2, "uid": "block0002", "string": "the [[Nile]]", "page": {"id": 1}, "parents": [{"id": 1}], "order": 0}]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path == embedder.EMBED_PATH:
+                said = {"embeddings": [[float(len(x)), 1.0] for x in asked["input"]]}
+            elif self.headers["Authorization"] == "Bearer t" and asked["action"] == "data.q" and ":block/uid" in asked["args"][0]:
+                said = {"result": [[x] for x in rows] if self.path.endswith("/one") else [{"id": 1}]}
+            else:
+                self.send_error(401)
+                return
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(said).encode())
+
+        def log_message(self, *args):
+            pass
+
+    http = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    yield http.server_port, rows
+    http.shutdown()
+
+
+def test_graph_is_pulled_indexed_and_searched_over_the_tool_server(spark, tmp_path, api):
+    import io
+
+    port, rows = api
+    workers_find_library(spark)
+    assert sorted(x.uid for x in pulled_entities(spark, f"http://127.0.0.1:{port}/api/one", "t").collect()) == ["block0002", "page00001"]
+    for url, token, error in ((f"http://127.0.0.1:{port}/api/two", "t", "entity"), (f"http://127.0.0.1:{port}/api/one", "wrong", "401")):
+        with pytest.raises(Exception, match=error):
+            pulled_entities(spark, url, token).collect()
+    with pytest.raises(ValueError, match="this machine"):
+        pulled_entities(spark, "http://192.0.2.1/api/one", "t")
+    (tmp_path / "r.json").write_text(json.dumps({"graphs": [{"name": "one", "nickname": "Uno", "token": "t"}, {"name": "two"}]}))
+    own = tools.Tools(spark, str(tmp_path / "r.json"), str(tmp_path / "stores"), model="m", dimension=2, url=f"http://127.0.0.1:{port}", port=port)
+    assert own.build("uno").record_count == 2
+    rows[1]["string"] = "the [[Nile]] floods"
+    ask = lambda n, name, **a: {"jsonrpc": "2.0", "id": n, "method": "tools/call", "params": {"name": name, "arguments": a}}
+    asked = [{"jsonrpc": "2.0", "id": 0, "method": "initialize", "params": {}}, {"jsonrpc": "2.0", "method": "notifications/initialized"}, {"jsonrpc": "2.0", "id": 1, "method": "tools/list"},
+             ask(2, "list_indexes"), ask(3, "semantic_search", graph="UNO", query="Nile", k=1), ask(4, "refresh_index", graph="one"), ask(5, "index_stats", graph="one"), ask(6, "index_stats", graph="two"), ask(7, "nothing")]
+    said = io.StringIO()
+    server.serve(own, io.StringIO("\n".join([*map(json.dumps, asked), "no json"])), said)
+    answers = {x["id"]: x for x in map(json.loads, said.getvalue().splitlines())}
+    assert set(answers) == {0, 1, 2, 3, 4, 5, 6, 7, None} and len(answers[1]["result"]["tools"]) == 4
+    told = {k: json.loads(x["result"]["content"][0]["text"]) for k, x in answers.items() if k in (2, 3, 4, 5)}
+    assert [(g["label"], g["indexed"], g["record_count"]) for g in told[2]] == [("Uno", True, 2), ("two", False, None)]
+    assert len(told[3]["hits"]) == 1 and told[3]["refresh"]["state"] == "fresh"
+    assert told[4] == {"embedded": 2, "deleted": 0, "unchanged": 0, "record_count": 2} and told[5]["embed_model"] == "m"
+    assert answers[6]["result"]["isError"] and "build -g two" in answers[6]["result"]["content"][0]["text"] and "error" in answers[7]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    workers_find_library(spark)
+    (tmp_path / "g.json").write_text(json.dumps({"id": 1, "uid": "page00001", "title": "Streams"}))
+    of = ["-g", "g", "--stores", str(tmp_path / "stores"), "--entities", str(tmp_path / "g.json")]
+    assert cli.main(["search", "streams", *of], spark) == 1 and "names no graph" in capsys.readouterr().err
+    for command, shown in (("build", "1 records"), ("refresh", "'unchanged': 1"), ("stats", "hash-64"), ("graphs", "")):
+        assert cli.main([command, *of], spark) == 0 and shown in capsys.readouterr().out
+    assert cli.main(["search", "streams", *of], spark) == 0 and "page00001 Streams" in capsys.readouterr().out
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from quillgraph.workers import shared_folder
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="spark://host:1"))
+    with pytest.raises(RuntimeError, match="shares"):
+        shared_folder(bare)
