@@ -86,9 +86,12 @@ def _set(spark: SparkSession, **settings: str) -> Iterator[None]:
 
 
 def _writing(spark: SparkSession):  # noqa: ANN202
-    """Shuffle files of a query that is written whole are deleted with it, not when the driver collects garbage; and
-    the order of bucketed tables is used."""
-    return _set(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__legacy__bucketedTableScan__outputOrdering="true")
+    """Shuffle files of a query that is written whole are deleted with it, not when the driver collects garbage; the
+    order of bucketed tables is used; and batches that go to Python workers are bounded by bytes, not only by rows."""
+    return _set(
+        spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__legacy__bucketedTableScan__outputOrdering="true",
+        spark__sql__execution__arrow__maxBytesPerBatch=f"{8 << 20}b",
+    )
 
 
 def made_so_far() -> list[str]:
