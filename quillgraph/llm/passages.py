@@ -145,6 +145,14 @@ class Cut:
         new[first_words] = True
         self.paragraphs = Spans(self, np.flatnonzero(new))
 
+    def beyond(self, k: int, no: int, after: bool) -> np.ndarray:
+        """The words of the cut next to cut ``no`` of the k-th text, outwards."""
+        at = int(self.cuts.by_text[k]) + no + (1 if after else -1)
+        if not self.cuts.by_text[k] <= at < self.cuts.by_text[k + 1]:
+            return self.words[:0]
+        words = self.words[self.cuts.first[at] : self.cuts.last[at]]
+        return words if after else words[::-1].copy()
+
     def kinds(self) -> tuple[tuple[int, Spans, np.ndarray], ...]:
         """(kind, stretches, which of them are compared)"""
         return (CUT, self.cuts, np.flatnonzero(self.cuts.size >= LEAST_WORDS)), (PARAGRAPH, self.paragraphs, np.flatnonzero(self.paragraphs.size >= LEAST_RUN))
@@ -164,7 +172,7 @@ def _texts(df: DataFrame, text: str) -> DataFrame:
 
 
 def units(df: DataFrame, text: str = "text") -> DataFrame:
-    """d (key of a row's doc_id and text), doc_id, kind, no, h, g, and bands (of paragraphs) of each unit that is compared."""
+    """d (key of a row's doc_id and text), doc_id, kind, no, size (in words), h, g, and bands (of paragraphs) of each unit that is compared."""
     bands, rows = tuned_bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,11 +184,11 @@ def units(df: DataFrame, text: str = "text") -> DataFrame:
                 made = spans.band_keys(of, bands, rows).astype("<u8").tobytes() if kind == PARAGRAPH else b""
                 held = pa.array([made[at : at + 8 * bands] for at in range(0, len(made), 8 * bands)], pa.binary()) if kind == PARAGRAPH else pa.nulls(len(of), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(texts), batch.column("doc_id").take(texts), pa.array(np.full(len(of), kind, np.int32)), pa.array(spans.number[of].astype(np.int32)), pa.array(spans.h[of].view(np.int64)), pa.array(spans.g[of].view(np.int64)), held],
-                    names=["d", "doc_id", "kind", "no", "h", "g", "bands"],
+                    [keys.take(texts), batch.column("doc_id").take(texts), pa.array(np.full(len(of), kind, np.int32)), pa.array(spans.number[of].astype(np.int32)), pa.array(spans.size[of].astype(np.int32)), pa.array(spans.h[of].view(np.int64)), pa.array(spans.g[of].view(np.int64)), held],
+                    names=["d", "doc_id", "kind", "no", "size", "h", "g", "bands"],
                 )
 
-    return _texts(df, text).mapInArrow(tidy(run), "d binary, doc_id long, kind int, no int, h long, g long, bands binary")
+    return _texts(df, text).mapInArrow(tidy(run), "d binary, doc_id long, kind int, no int, size int, h long, g long, bands binary")
 
 
 def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,37 +325,85 @@ def similar_paragraphs(df: DataFrame, found: DataFrame, text: str) -> DataFrame:
 
 
 def repeated(df: DataFrame, text: str = "text") -> DataFrame:
-    """d and marks (kind, no, first_id) of each row that holds a unit whose class another document holds before it (by doc_id, null last)."""
+    """d, marks and ends of each row that holds a unit whose class another document holds before it (by doc_id, null last).
+
+    marks: kind, no and size of the unit, and first_id, first_d and first_no of the document that holds it first. ends: see ``run_ends``.
+    """
     found = materialise(units(df, text), "units")
     classes = materialise(similar_paragraphs(df, found, text), "named-classes")
-    narrow = found.select("d", "doc_id", "kind", "no", "h", "g")
+    narrow = found.select("d", "doc_id", "kind", "no", "size", "h", "g")
     paragraphs = narrow.where(F.col("kind") == PARAGRAPH).join(classes, ["h", "g"], "left")
     own = F.coalesce("component", "h").alias("h"), F.when(F.col("component").isNull(), F.col("g")).otherwise(0).alias("g")
-    named = materialise(paragraphs.select("d", "doc_id", "kind", "no", *own), "named-paragraphs").unionByName(narrow.where(F.col("kind") == CUT))
+    named = materialise(paragraphs.select("d", "doc_id", "kind", "no", "size", *own), "named-paragraphs").unionByName(narrow.where(F.col("kind") == CUT))
     # most units occur once: they are left out by a count of the first half of their hashes
     again = materialise(named.groupBy("kind", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "met-again")
     named = materialise(named.join(again, ["kind", "h"], "left_semi"), "named-units")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d")
     of = ["kind", "h", "g"]
-    several = named.groupBy(*of).agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first != last")
-    several = materialise(several.select(*of, F.col("first.d").alias("first_d"), F.col("first.doc_id").alias("first_id")), "repeated-classes")
+    several = named.groupBy(*of).agg(F.min(F.struct(order.alias("o"), "no")).alias("first"), F.max(order).alias("last")).where("first.o != last")
+    several = materialise(several.select(*of, F.col("first.o.d").alias("first_d"), F.col("first.o.doc_id").alias("first_id"), F.col("first.no").alias("first_no")), "repeated-classes")
     later = named.join(several, of).where("d != first_d")
-    return materialise(later.groupBy("d").agg(F.collect_set(F.struct("kind", "no", "first_id")).alias("marks")), "repeated")
-
-
-def removed(text: bytes, cut: Cut, begin: int, k: int, marks: list[dict]) -> tuple[bytes, list[dict], int]:
-    """(what is left of the k-th text, the marks that took effect, removed words). ``begin``: where its bytes begin in the cut."""
+    marked = materialise(later.groupBy("d").agg(F.collect_set(F.struct("kind", "no", "size", "first_id", "first_d", "first_no")).alias("marks")), "marked")
+    return materialise(marked.join(run_ends(df, text, marked), "d", "left"), "repeated")
+
+
+def _runs(marks: list[dict]) -> list[list[dict]]:
+    """The runs of consecutive repeated cuts that have LEAST_RUN words."""
+    cuts = sorted((m for m in marks if m["kind"] == CUT), key=lambda m: m["no"])
+    runs: list[list[dict]] = []
+    for m in cuts:
+        if runs and m["no"] == runs[-1][-1]["no"] + 1:
+            runs[-1].append(m)
+        else:
+            runs.append([m])
+    return [run for run in runs if sum(m["size"] for m in run) >= LEAST_RUN]
+
+
+def run_ends(df: DataFrame, text: str, marked: DataFrame) -> DataFrame:
+    """d and ends: for both ends of each run of repeated cuts the number of its last cut there, after (or before it), and
+    the words that come next in the document that holds that cut first: its neighbouring cut's, outwards."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d, marks in zip(*(batch.column(c).to_pylist() for c in ("d", "marks")), strict=True):
+                for run in _runs(marks):
+                    rows += [(d, m["no"], after, m["first_d"], m["first_no"]) for m, after in ((run[0], False), (run[-1], True))]
+            kinds = (pa.binary(), pa.int32(), pa.bool_(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["d", "no", "after", "first_d", "first_no"])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", 1_000_000):
+            cut = Cut(*binaries(batch.column("t")))
+            rows = []
+            for k, (d, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("d", "places")), strict=True)):
+                rows += [(d, x["first_no"], x["after"], cut.beyond(k, x["first_no"], x["after"]).tobytes()) for x in places]
+            kinds = (pa.binary(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["first_d", "first_no", "after", "words"])
+
+    wanted = materialise(marked.mapInArrow(tidy(asked), "d binary, no int, after boolean, first_d binary, first_no int"), "run-ends")
+    holders = wanted.groupBy(F.col("first_d").alias("d")).agg(F.collect_set(F.struct("first_no", "after")).alias("places"))
+    texts = _with_texts(df, text, materialise(holders, "end-holders")).where("places is not null").select("d", "t", "places")
+    words = materialise(texts.mapInArrow(tidy(told), "first_d binary, first_no int, after boolean, words binary").dropDuplicates(["first_d", "first_no", "after"]), "end-words")
+    each = wanted.join(words, ["first_d", "first_no", "after"])
+    return each.groupBy("d").agg(F.collect_list(F.struct("no", "after", "words")).alias("ends"))
+
+
+def removed(text: bytes, cut: Cut, begin: int, k: int, marks: list[dict], ends: list[dict] | None) -> tuple[bytes, list[list[dict]], int]:
+    """(what is left of the k-th text, the marks of each passage that goes, removed words). ``begin``: where its bytes begin in the cut."""
     gone = np.zeros(len(cut.words), bool)
-    taken = []
-    for kind, spans, _ in cut.kinds():
-        base, of = int(spans.by_text[k]), {m["no"]: m for m in marks if m["kind"] == kind}
-        nos = sorted(of)
-        runs = np.split(nos, np.flatnonzero(np.diff(nos) != 1) + 1) if nos else []
-        for run in runs:
-            a, b = int(spans.first[base + run[0]]), int(spans.last[base + run[-1]])
-            if kind == PARAGRAPH or b - a >= LEAST_RUN:
-                gone[a:b] = True
-                taken += [of[no] for no in run.tolist()]
+    taken = [[m] for m in marks if m["kind"] == PARAGRAPH]
+    for (m,) in taken:
+        at = int(cut.paragraphs.by_text[k]) + m["no"]
+        gone[cut.paragraphs.first[at] : cut.paragraphs.last[at]] = True
+    beyond = {(x["no"], x["after"]): np.frombuffer(x["words"], np.uint64) for x in ends or ()}
+    base = int(cut.cuts.by_text[k])
+    for run in _runs(marks):
+        a, b = int(cut.cuts.first[base + run[0]["no"]]), int(cut.cuts.last[base + run[-1]["no"]])
+        a -= _alike_words(cut.beyond(k, run[0]["no"], False), beyond.get((run[0]["no"], False)))
+        b += _alike_words(cut.beyond(k, run[-1]["no"], True), beyond.get((run[-1]["no"], True)))
+        gone[a:b] = True
+        taken.append(run)
     base, end = (int(cut.paragraphs.first[i]) if i < len(cut.paragraphs.first) else len(cut.words) for i in (int(cut.paragraphs.by_text[k]), int(cut.paragraphs.by_text[k + 1])))
     own = gone[base:end]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8))).reshape(-1, 2)
@@ -358,28 +414,39 @@ def removed(text: bytes, cut: Cut, begin: int, k: int, marks: list[dict]) -> tup
     return b"".join([*out, text[at:]]), taken, int(own.sum())
 
 
+def _alike_words(own: np.ndarray, other: np.ndarray | None) -> int:
+    """How many words two stretches have in common from their begin on."""
+    if other is None:
+        return 0
+    n = min(len(own), len(other))
+    differ = np.flatnonzero(own[:n] != other[:n])
+    return int(differ[0]) if len(differ) else n
+
+
 def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_units, n_removed, words_removed, repeats (sorted ids of the documents that hold its removed passages first), kept, kept_sha256.
+    """doc_id, n_units, n_removed, words_removed, repeats (sorted: of each removed passage the least id that holds a unit of it first), kept, kept_sha256.
 
     Of each class (equal cuts; paragraphs with equal words, or linked by five-word Jaccard of at least 0.8) the document
     of least doc_id keeps its occurrences (null ids last). In others alike paragraphs of LEAST_RUN words or more go, and
-    runs of repeated cuts with LEAST_RUN words or more, up to the next word that stays. A null or empty text has no
+    runs of repeated cuts with LEAST_RUN words or more, with as many words of the cuts on either side as the first
+    document has there too, up to the next word that stays. A null or empty text has no
     units and keeps an empty text. Rows that repeat one another are one document here. Units that only one document
     holds stay, however often. Words are told apart by 64 bits, units by 128. A text is cut whole, which takes about a
     hundred bytes of memory for each of its bytes. Other columns are not read; an empty table gives no rows.
     """
-    joined = _with_texts(df, text, repeated(df, text)).select("doc_id", "t", "marks")
+    joined = _with_texts(df, text, repeated(df, text)).select("doc_id", "t", "marks", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 1_000_000):
             data, offsets = binaries(batch.column("t"))
             cut = Cut(data, offsets)
             columns: list[list] = [[] for _ in range(6)]
-            for k, (t, marks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("t", "marks")), strict=True)):
-                left, taken, words = removed(t, cut, int(offsets[k]), k, marks) if marks else (t, [], 0)
-                held = sorted({m["first_id"] for m in taken if m["first_id"] is not None})
+            for k, (t, marks, ends) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("t", "marks", "ends")), strict=True)):
+                left, taken, words = removed(t, cut, int(offsets[k]), k, marks, ends) if marks else (t, [], 0)
+                known = [[m["first_id"] for m in run if m["first_id"] is not None] for run in taken]
+                held = sorted({min(ids) for ids in known if ids})
                 n = sum(int(spans.by_text[k + 1] - spans.by_text[k]) for spans in (cut.cuts, cut.paragraphs))
-                for values, x in zip(columns, (n, len(taken), words, held, left, hashlib.sha256(left).hexdigest()), strict=True):
+                for values, x in zip(columns, (n, sum(map(len, taken)), words, held, left, hashlib.sha256(left).hexdigest()), strict=True):
                     values.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True))], names=["doc_id", "n_units", "n_removed", "words_removed", "repeats", "kept", "kept_sha256"])
@@ -403,15 +470,15 @@ def passages_removed(df: DataFrame, text: str = "text") -> DataFrame:
         for batch in slices(batches, "t", 1_000_000):
             data, offsets = binaries(batch.column("t"))
             cut = Cut(data, offsets)
-            pairs = zip(batch.column("t").to_pylist(), batch.column("marks").to_pylist(), strict=True)
-            left = [removed(t, cut, int(offsets[k]), k, marks)[0].decode("utf-8", "replace") if marks else None for k, (t, marks) in enumerate(pairs)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("t", "marks", "ends")), strict=True)
+            left = [removed(t, cut, int(offsets[k]), k, marks, ends)[0].decode("utf-8", "replace") if marks else None for k, (t, marks, ends) in enumerate(rows)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(left, pa.string())], names=["row", "left"])
 
     keyed = own.mapInArrow(tidy(key), T.StructType([T.StructField("d", T.BinaryType()), T.StructField("row", df.schema)]))
     joined = keyed.join(marked, "d", "left")
     left = T.StructType([T.StructField("row", df.schema), T.StructField("left", T.StringType())])
     held = F.coalesce(F.col(f"row.{quoted(text)}").cast("binary"), F.lit(b""))
-    cleaned = joined.select("row", held.alias("t"), "marks").mapInArrow(tidy(run), left)
+    cleaned = joined.select("row", held.alias("t"), "marks", "ends").mapInArrow(tidy(run), left)
     return cleaned.select(*(F.coalesce("left", f"row.{quoted(c)}").alias(c) if c == text else F.col(f"row.{quoted(c)}").alias(c) for c in df.columns))
 
 
