@@ -224,6 +224,13 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
     its index rows meets each part of all its rows in a block of its own, so no task and no list of links grows with a
     group. A large key without index rows is left out before the shuffle.
     """
+    dealt = _dealt(fps.select("_fp"), distance, segments, block)
+    ordered = dealt.repartition("_key", "_block").sortWithinPartitions("_key", "_block")
+    return ordered.mapInArrow(tidy(_linked(segments, distance)), "src long, dst long")
+
+
+def _dealt(fps: DataFrame, distance: int, segments: int, block: int) -> DataFrame:
+    """_key, _block, _fp, _side: the rows of every block in which fingerprints meet."""
     if not distance < segments <= 8:
         raise ValueError("there must be more segments than differing bits, and 8 at most")
 
@@ -234,24 +241,20 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
                 key, of, probe = _chain_keys(fp, segments, distance)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(of.view(np.int64)), pa.array(probe)], names=["_key", "_fp", "_probe"])
 
-    fps = fps.select("_fp")
     keyed = fps.mapInArrow(tidy(spread), "_key long, _fp long, _probe boolean")
     heavy = _heavy_keys(fps, segments, distance, block)
     whole = F.when(F.col("_probe"), RIGHT).otherwise(BOTH)
     if heavy.isEmpty():
-        dealt = keyed.select("_key", F.lit(0).cast("long").alias("_block"), "_fp", whole.alias("_side"))
-    else:
-        joined = keyed.join(heavy, "_key", "left").where("_lefts is null or _lefts > 0")
-        lefts, rights = F.coalesce("_lefts", F.lit(1)), F.coalesce("_rights", F.lit(1))
-        left, right = F.pmod(F.xxhash64("_fp"), lefts), F.pmod(F.xxhash64("_fp", F.lit(1)), rights)
-        cell = lambda i, j, side: F.struct((i * rights + j).cast("long").alias("block"), F.lit(side).alias("side"))
-        as_left = F.transform(F.sequence(F.lit(0), rights - 1), lambda j: cell(left, j, LEFT))
-        as_right = F.transform(F.sequence(F.lit(0), lefts - 1), lambda i: cell(i, right, RIGHT))
-        one = F.array(F.struct(F.lit(0).cast("long").alias("block"), whole.alias("side")))
-        cells = F.when(F.col("_lefts").isNull(), one).when(F.col("_probe"), as_right).otherwise(F.concat(as_left, as_right))
-        dealt = joined.select("_key", "_fp", F.explode(cells).alias("c")).select("_key", F.col("c.block").alias("_block"), "_fp", F.col("c.side").alias("_side"))
-    ordered = dealt.repartition("_key", "_block").sortWithinPartitions("_key", "_block")
-    return ordered.mapInArrow(tidy(_linked(segments, distance)), "src long, dst long")
+        return keyed.select("_key", F.lit(0).cast("long").alias("_block"), "_fp", whole.alias("_side"))
+    joined = keyed.join(heavy, "_key", "left").where("_lefts is null or _lefts > 0")
+    lefts, rights = F.coalesce("_lefts", F.lit(1)), F.coalesce("_rights", F.lit(1))
+    left, right = F.pmod(F.xxhash64("_fp"), lefts), F.pmod(F.xxhash64("_fp", F.lit(1)), rights)
+    cell = lambda i, j, side: F.struct((i * rights + j).cast("long").alias("block"), F.lit(side).alias("side"))
+    as_left = F.transform(F.sequence(F.lit(0), rights - 1), lambda j: cell(left, j, LEFT))
+    as_right = F.transform(F.sequence(F.lit(0), lefts - 1), lambda i: cell(i, right, RIGHT))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("block"), whole.alias("side")))
+    cells = F.when(F.col("_lefts").isNull(), one).when(F.col("_probe"), as_right).otherwise(F.concat(as_left, as_right))
+    return joined.select("_key", "_fp", F.explode(cells).alias("c")).select("_key", F.col("c.block").alias("_block"), "_fp", F.col("c.side").alias("_side"))
 
 
 def classes(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
