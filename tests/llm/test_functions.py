@@ -163,6 +163,25 @@ def test_plan_uses_every_length_once_and_fills(seed):
     assert sum(t for t, _ in found) <= len(bins)  # best-fit decreasing without the index of sums
 
 
+def test_plan_fills_exactly_where_sums_allow():
+    """Gaps that only a single, a pair, or a triple of the available lengths fills, under their counts."""
+    for lengths, sequences in (({90: 2, 10: 2}, 2), ({90: 1, 7: 1, 3: 1}, 1), ({90: 1, 5: 1, 3: 1, 2: 1}, 1), ({60: 3, 20: 6}, 3), ({70: 2, 30: 1, 20: 1, 10: 1}, 2), ({50: 4}, 2)):
+        found = packing.plan(lengths, 100)
+        assert sum(t for t, _ in found) == sequences and all(sum(x * n for x, n in parts) == 100 for _, parts in found)
+
+
+def test_sums_follow_the_counts():
+    left = [0] * 101
+    for x, n in ((40, 1), (30, 2), (20, 2), (10, 1)):
+        left[x] = n
+    index = packing.SumIndex(left)
+    assert index.exact(30, 30, 1) == (30,) and index.exact(80, 40, 1) == (40, 30, 10) and index.exact(60, 60, 1) is None and index.exact(60, 50, 0.7) == (40, 20) and index.pair(60) == (40, 20) and index.triple(80, 40) == (40, 30, 10)
+    left[40] = 0
+    assert index.pair(60) == (30, 30) and index.triple(80, 30) == (30, 30, 20)
+    left[30] = 1
+    assert index.pair(60) is None and index.triple(80, 30) is None and index.triple(60, 30) == (30, 20, 10)
+
+
 def test_plan_edges():
     assert packing.plan({}, 8) == []
     assert packing.plan({8: 3}, 8) == [(3, [(8, 1)])]
@@ -194,12 +213,43 @@ def test_chain_keys_meet_for_every_close_pair():
         for i in range(len(b)):
             for bit in r.choice(64, r.integers(0, distance + 1), replace=False):
                 b[i] ^= np.uint64(1) << np.uint64(bit)
+        if not (np.bitwise_count(a ^ b) <= distance).all():
+            raise AssertionError
         ka, _, pa_ = simhash._chain_keys(a, segments, distance)
         kb, _, pb = simhash._chain_keys(b, segments, distance)
         n = len(a)
         for i in range(n):
-            assert set(ka[~pa_][i::n].tolist()) & set(kb[i::n].tolist())
-        assert simhash._prefix_viable(a ^ b, segments, distance).all()
+            met = set(ka[~pa_][i::n].tolist()) & set(kb[i::n].tolist())
+            # at one of the positions where they meet, every chain keeps its share
+            assert any(simhash._forest(a[i : i + 1], b[i : i + 1], key & 7, segments, distance) for key in met) or a[i] == b[i]
+
+
+def test_chains_prune_before_the_whole_count():
+    """A pair whose third segment alone exceeds its share is dropped though the key is met; no far pair is linked."""
+    one = np.zeros(1, np.uint64)
+    third = simhash._segment_mask(2, 5)
+    far = np.array([int(third) & -int(third) | 1 << 63], np.uint64)
+    spread = np.array([sum(1 << b for b in range(64) if int(third) >> b & 1)], np.uint64)
+    assert simhash._forest(one, spread, 0, 5, 4) == []
+    assert simhash._forest(one, far, 0, 5, 4) != []
+
+
+def test_large_groups_pass_on_as_they_come(monkeypatch):
+    r = np.random.default_rng(0)
+    rows = np.array(sorted(zip(r.integers(0, 40, 5000).tolist(), r.integers(0, 300, 5000).tolist(), strict=True)))
+
+    def run(size):
+        out: dict = {}
+        batches = (pa.RecordBatch.from_arrays([pa.array(rows[a : a + size, k]) for k in (0, 1)], names=["key", "h"]) for a in range(0, len(rows), size))
+        for b in passages.grouped(batches):
+            for key, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out.setdefault(key, []).append(h)
+        return sorted(map(sorted, out.values()))
+
+    whole = run(5000)
+    assert whole == sorted(sorted(set(rows[rows[:, 0] == k, 1].tolist())) for k in range(40))
+    monkeypatch.setattr(passages, "CARRIED", 20)
+    assert run(7) == run(100) == whole
 
 
 def test_paragraphs_do_not_depend_on_neighbours():
@@ -210,14 +260,21 @@ def test_paragraphs_do_not_depend_on_neighbours():
     whole = passages.Cut(*binaries(pa.array([x.encode() for x in texts], pa.binary())))
     for k, text in enumerate(texts):
         alone = passages.Cut(*binaries(pa.array([text.encode()], pa.binary())))
-        assert (alone.hash == whole.hash[whole.by_text[k] : whole.by_text[k + 1]]).all()
-    shared = set(whole.hash[whole.text == 2].tolist()) & set(whole.hash[whole.text == 3].tolist())
+        for own, every in ((alone.cuts, whole.cuts), (alone.paragraphs, whole.paragraphs)):
+            assert (own.h == every.h[every.by_text[k] : every.by_text[k + 1]]).all() and (own.g == every.g[every.by_text[k] : every.by_text[k + 1]]).all()
+    shared = set(whole.cuts.h[whole.cuts.text == 2].tolist()) & set(whole.cuts.h[whole.cuts.text == 3].tolist())
     assert len(shared) >= 3
 
 
+def test_paragraphs_are_lines():
+    texts = ["one two\nthree\n\n four five six \n", "x", "\n\n"]
+    cut = passages.Cut(*binaries(pa.array([x.encode() for x in texts], pa.binary())))
+    assert cut.paragraphs.size.tolist() == [2, 1, 3, 1] and cut.paragraphs.text.tolist() == [0, 0, 0, 1]
+
+
 def test_bands_reach_recall():
     bands, rows = passages.tuned_bands()
-    assert 1 - (1 - 0.8**rows) ** bands >= 0.98
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.99
 
 
 def test_line_keys():
@@ -232,6 +289,61 @@ def test_quality_encoding_of_a_text_stands_alone():
         assert np.allclose(alone, x[first[k] : first[k + 1]], atol=1e-6)
 
 
+def test_quality_encoding_in_pieces_is_the_same(monkeypatch):
+    """Texts longer than a piece, one without blanks too."""
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdeé|.A1") for _ in range(r.randint(1, 12))) for _ in range(300)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n)).replace(" a", "\n a").encode()
+    given = binaries(pa.array([prose(5), b"", prose(4000), b"x" * 30000 + b" " + prose(400), prose(70), b"   ", prose(9000)], pa.binary()))
+    whole = quality.encode(*given)
+    monkeypatch.setattr(quality, "PIECE_BYTES", 5000)
+    pieces = quality.encode(*given)
+    assert (whole[1] == pieces[1]).all() and np.allclose(whole[0], pieces[0])
+
+
+def test_caches_are_bounded_by_bytes():
+    c = bpe.piece_coder(bpe.vocabulary(), True)
+    c.kept.most_bytes = 50_000
+    for n in range(60):
+        list(c.coded(pa.array([" ".join(f"{n}w{k}" for k in range(40)).encode()], pa.binary()), True))
+        assert c.kept.size <= 50_000
+    list(c.coded(pa.array([b"y" * 100_000], pa.binary()), True))
+    assert "y" * 100_000 not in c.kept.newer and "y" * 100_000 not in c.kept.older
+
+
+def _slow_rgb(frame):
+    """The tensor by the definition of the inverse transform, a sample at a time, in plain Python."""
+    from math import cos, pi, sqrt
+
+    order = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+    scale = lambda k: sqrt(1 / 8) if k == 0 else sqrt(2 / 8)
+    planes = []
+    for c in frame.components:
+        step = frame.quantization[c.table]
+        plane = {}
+        for b, block in enumerate(c.coefficients.tolist()):
+            cells = [(v, u, value * int(step[k])) for k, ((v, u), value) in enumerate(zip(order, block, strict=True)) if value]
+            for y in range(8):
+                for x in range(8):
+                    total = sum(scale(u) * scale(v) * value * cos((2 * x + 1) * u * pi / 16) * cos((2 * y + 1) * v * pi / 16) for v, u, value in cells)
+                    plane[b // c.stride * 8 + y, b % c.stride * 8 + x] = min(255.0, max(0.0, total + 128))
+        planes.append(plane)
+    out = np.zeros((frame.height, frame.width, 3))
+    for y in range(frame.height):
+        for x in range(frame.width):
+            lum, cb, cr = planes[0][y, x], planes[1][y // 2, x // 2] - 128, planes[2][y // 2, x // 2] - 128
+            out[y, x] = [lum + 1.402 * cr, lum - 0.344136 * cb - 0.714136 * cr, lum + 1.772 * cb]
+    return np.clip(out, 0, 255)
+
+
+def test_rgb_tensors_equal_the_definition():
+    r = random.Random(8)
+    frame = jpeg.decode(jpeg.encode_payload(media.padded(r.randbytes(700))))
+    for c in frame.components:  # tamer coefficients, so that few samples are cut off at 0 and 255
+        c.coefficients[:] = [[r.randrange(-30, 30) if r.random() < 0.2 else 0 for _ in range(64)] for _ in c.coefficients]
+    assert np.abs(jpeg.rgb(frame).astype(float) - _slow_rgb(frame)).max() <= 0.51 + 1e-3
+
+
 def test_attention_learns_which_passage_counts():
     r = np.random.default_rng(0)
     bags, labels = [], []

@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -83,6 +84,54 @@ def test_op3(docs, none):
     assert media.media_digests(media.with_media(none).select("doc_id", "n_bytes", "media")).count() == 0
 
 
+def test_op3_tensors_are_stored_whole(spark, docs, tmp_path):
+    """Tensors written to Parquet and read again are those of the stored JPEG, and the digests are those of the stored bytes."""
+    made = media.rgb_tensors(media.with_media(docs.where("length(text) < 3000")).select("doc_id", "n_bytes", "media"))
+    made.write.parquet(f"{tmp_path}/tensors")
+    rows = spark.read.parquet(f"{tmp_path}/tensors").collect()
+    told = Counter((r.doc_id, r.media_bytes, r.media_sha256, r.feature) for r in media.media_digests(made.select("doc_id", "n_bytes", "media")).collect())
+    want = Counter()
+    for r in rows:
+        tensor = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
+        assert (tensor == media.jpeg.rgb(media.jpeg.decode(r.media))).all()
+        mean = tensor.reshape(-1, 3).astype(float).mean(axis=0)
+        want[r.doc_id, len(r.media), hashlib.sha256(r.media).hexdigest(), f"{r.height}x{r.width}x3 rgb {mean[0]:.2f} {mean[1]:.2f} {mean[2]:.2f}"] += 1
+    assert told == want
+
+
+def _walk(pieces, text):
+    """(count, score) of the best path, a place at a time over all pieces that end there, ties to the longest last piece."""
+    unknown = min(pieces.values()) - 10
+    best = [(0.0, 0, False)]
+    longest = max(map(len, pieces))
+    for end in range(1, len(text) + 1):
+        options = []
+        for n in range(min(longest, end), 0, -1):
+            if (piece := text[end - n : end]) in pieces:
+                score, count, _ = best[end - n]
+                options.append((score + pieces[piece], -len(options), count + 1, False))
+        if text[end - 1] not in pieces:
+            score, count, _ = best[end - 1]
+            options.append((score + unknown, -len(options), count + len(text[end - 1].encode()), True))
+        score, _, count, lost = max(options, key=lambda o: o[:2])
+        best.append((score, count, lost))
+    return best[-1][1]
+
+
+def test_op7_query_by_brute_force(spark, none, tmp_path):
+    import sentencepiece
+
+    r = random.Random(4)
+    texts = [None, "", " ", "a", "  two  blanks ", "é中文😀 日本", "tab\tand\nline", "".join(r.choice("abc ") for _ in range(300)), "the same", "the same"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    model = sentencepiece.SentencePieceProcessor(model_file=bpe.vocabulary("piece_bpe_32k.model"))
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    pieces = {model.id_to_piece(i): model.get_score(i) for i in ids}
+    got = {x.doc_id: x.n_tokens for x in registry.QUERIES["op7_token_counts"](spark, str(tmp_path)).collect()}
+    assert got == {i: _walk(pieces, "▁" + t.replace(" ", "▁")) if t else 0 for i, t in enumerate(texts)}
+    assert counts.token_counts(none, bpe.vocabulary("piece_bpe_32k.model")).count() == 0
+
+
 def test_op7_and_op8(docs, none):
     t, c = tokenizer(bpe.vocabulary()), counts.counter(bpe.vocabulary("piece_bpe_32k.model"))
     want8, want7 = Counter(), Counter()
@@ -133,6 +182,36 @@ def test_op5(docs, none, duck):
     assert lines.frequent_lines_dropped(none).count() == 0
 
 
+def test_op5_batches_meet_sorted_runs_without_exchange_or_sort(spark, docs):
+    hashes = lines.line_hashes(docs)
+    runs = lines.LineRuns(spark, 2)
+    for _ in range(2):
+        runs.add(hashes)
+    batch = runs._written(hashes.where("first").groupBy(*lines.HASH).agg(F.count("*").alias("n")), "batch").rows
+    with common._writing(spark):
+        for df in (lines.unsettled(batch, runs.settled[0].rows), lines.merged([batch, batch])):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    left = {tuple(x) for x in lines.unsettled(batch, runs.settled[0].rows).select(*lines.HASH).collect()}
+    assert left == {tuple(x) for x in batch.select(*lines.HASH).collect()} - {tuple(x) for x in runs.settled[0].rows.collect()}
+
+
+def test_op5_runs_can_be_saved_and_added_to(spark, docs, tmp_path):
+    hashes = common.materialise(lines.line_hashes(docs), "hashes")
+    once = lines.LineRuns(spark, 3)
+    for _ in range(3):
+        once.add(hashes)
+    runs = lines.LineRuns(spark, 3, root=f"file://{tmp_path}/runs")
+    runs.add(hashes)
+    runs.saved()
+    again = lines.LineRuns.opened(spark, f"file://{tmp_path}/runs")
+    again.add(hashes)
+    again.saved()
+    last = lines.LineRuns.opened(spark, f"file://{tmp_path}/runs")
+    last.add(hashes)
+    assert sorted(once.finish().collect()) == sorted(last.finish().collect()) != []
+
+
 def _components(n, close):
     label = list(range(n))
 
@@ -241,6 +320,36 @@ def test_op6_links_of_a_dense_group_are_few_and_connect(spark, monkeypatch):
     assert len(set(got)) == len(set(want)) and len(set(zip(got, want, strict=True))) == len(set(want))
 
 
+def test_op6_many_probes_on_few_index_rows(spark):
+    """60,000 fingerprints one bit away from a key with 5: what a block holds stays bounded, and every link is found."""
+    r = np.random.default_rng(3)
+    first, second = simhash._segment_mask(0, 5), simhash._segment_mask(1, 5)
+    free = ~(first | second)
+    key = r.integers(0, 2**63, 1).astype(np.uint64)[0] & (first | second)
+    flip = np.uint64(1 << simhash._second(0, 5, 4)[0])
+    index = key | (r.integers(0, 2**63, 5).astype(np.uint64) & free)
+    probes = np.unique((key ^ flip) | (r.integers(0, 2**63, 60_000).astype(np.uint64) & free))
+    near = (index ^ flip) ^ np.uint64(1 << 63)
+    fp = np.unique(np.concatenate((index, probes, near)))
+    df = common.materialise(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "_fp long"), "probes")
+    heavy = {x._key: x for x in simhash._heavy_keys(df, 5, 4, 2048).collect()}
+    of = heavy[int(simhash._named(key[None] if np.ndim(key) else np.array([key]), 0).view(np.int64)[0])]
+    assert of._lefts == 1 and of._rights >= 29
+    sizes = []
+    dealt = simhash._dealt(df, 4, 5, 2048)
+    for x in dealt.groupBy("_key", "_block").count().collect():
+        sizes.append(x["count"])
+    assert max(sizes) <= 2 * 2048 + 600
+    linked = {frozenset((x.src, x.dst)) for x in simhash.near_links(df).collect()}
+    at = {int(x): i for i, x in enumerate(fp.view(np.int64))}
+    label = np.arange(len(fp))
+    for pair in linked:
+        a, b = (label[at[x]] for x in pair) if len(pair) == 2 else (0, 0)
+        label[label == max(a, b)] = min(a, b)
+    for x, y in zip(index.view(np.int64).tolist(), near.view(np.int64).tolist(), strict=True):
+        assert label[at[x]] == label[at[y]]
+
+
 def test_op2(docs, none):
     rows = sharding.kd_shards(docs, 8).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((x[0], len(raw(x[1])) + 1, zlib.crc32(raw(x[1]))) for x in ROWS)
@@ -264,7 +373,20 @@ def test_op2_is_even_with_rows_that_repeat_one_another(spark):
         rows = [(doc_id, "copy " * 40, "en", "s", 1) if i % 3 == 0 else (i, "x" * r.randint(1, 400), "en", "s", 1) for i in range(6000)]
         df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
         found = sharding.kd_shards(df, 8).groupBy("shard").agg(F.sum("size").alias("b")).collect()
-        assert len(found) == 8 and max(x.b for x in found) < 1.1 * min(x.b for x in found)
+        assert len(found) == 8 and max(x.b for x in found) - min(x.b for x in found) <= 3 * 401
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text in all rows").alias("text"))
+    for shards in (8, 5):
+        rows = sharding.kd_shards(same, shards).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+        assert len(rows) == shards and all(x.last == x.n - 1 for x in rows)
+        assert max(x.n for x in rows) - min(x.n for x in rows) <= 6
+
+
+def test_op2_cuts_at_most_one_group_at_a_boundary(spark):
+    r = random.Random(4)
+    rows = [(i, f"text {i // 5 % 300} " * (1 + i // 5 % 300 % 7), r.choice(["en", "de"]), "s") for i in range(3000)]
+    found = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8)
+    cut = found.groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n")).where("n > 1").count()
+    assert cut <= 7
 
 
 def test_op4(docs, none):
@@ -297,16 +419,87 @@ def test_op4_links_near_copies_of_paragraphs(spark):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     common.workers_find_library(spark)
-    cut = passages.Cut(*common.binaries(__import__("pyarrow").array([t.encode() for _, t in rows])))
-    value, first = cut.shingles()
-    sets = {int(h): set(value[first[k] : first[k + 1]].tolist()) for k, h in enumerate(cut.hash.view(np.int64))}
+    of = passages.Cut(*common.binaries(pa.array([t.encode() for _, t in rows]))).paragraphs
+    value, first = of.shingles(np.arange(len(of.first)))
+    sets = {int(h): set(value[first[k] : first[k + 1]].tolist()) for k, h in enumerate(of.h.view(np.int64))}
     hashes = sorted(sets)
     close = lambda i, j: len(sets[hashes[i]] & sets[hashes[j]]) >= 0.8 * len(sets[hashes[i]] | sets[hashes[j]])
     want = Counter(_components(len(hashes), close))
-    got = passages.similar_paragraphs(df, common.materialise(passages.paragraphs(df), "t"), "text").groupBy("component").count().collect()
+    got = passages.similar_paragraphs(df, common.materialise(passages.units(df), "t"), "text").groupBy("component").count().collect()
     assert sorted(x["count"] for x in got) == sorted(n for n in want.values() if n > 1)
 
 
+def test_op4_recall_of_near_copies(spark):
+    """Paragraphs of 60 to 200 words with a few edited words, among others: of the pairs that brute force finds at five-word
+    Jaccard of 0.8 or more at least 0.95 are in one class, and every class is connected by such pairs."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(2000)]
+    texts = []
+    for _ in range(60):
+        base = [r.choice(vocabulary) for _ in range(r.randint(60, 200))]
+        for edits in (0, 1, 2, 3):
+            words = list(base)
+            for at in r.sample(range(len(words)), edits):
+                words[at] = "edited"
+            texts.append(" ".join(words))
+    df = spark.createDataFrame([(i, f"{t}\nown line {i}") for i, t in enumerate(texts)], "doc_id long, text string")
+    common.workers_find_library(spark)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    cut = passages.Cut(*common.binaries(pa.array([t.encode() for t in texts]))).paragraphs
+    named = {x.h: x.component for x in passages.similar_paragraphs(df, common.materialise(passages.units(df), "t"), "text").collect()}
+    of = [named.get(h) for h in cut.h.view(np.int64).tolist()]
+    assert len(pairs) > 100
+    assert sum(of[i] is not None and of[i] == of[j] for i, j in pairs) >= 0.95 * len(pairs)
+    want = _components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    for c in {x for x in of if x is not None}:
+        assert len({want[i] for i, x in enumerate(of) if x == c}) == 1
+
+
+ODD = ["my col", "a.b", "a:b", "row", "d", "_part", "h", "t", "_key", "back`tick", "marks", "size", "none"]
+
+
+def test_columns_of_any_name_are_kept(spark, none):
+    """Every operator and stage that returns its input's columns, with names that need quoting or that it uses itself."""
+    common.workers_find_library(spark)
+    texts = [None, "", "a text of some words that is long enough to be cut", "a text of some words that is long enough to be cut", "another"]
+    rows = [(i, t, *range(len(ODD))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{common.quoted(c)} int" for c in ODD))
+    labels = spark.createDataFrame([(2, 1), (4, 0)], "doc_id long, quality int")
+    model = quality.fit_quality(df, labels)
+    kept = {
+        "quality": quality.scored(df, model).drop("score"), "media": media.rgb_tensors(media.with_media(df)).drop("n_bytes", "media", "height", "width", "rgb"),
+        "bpe": bpe.encode_decode(df, bpe.vocabulary()).drop("ids", "decoded"), "exact": exact.without_copies(df), "near": simhash.without_near_copies(df), "passages": passages.passages_removed(df),
+    }
+    for name, got in kept.items():
+        assert got.columns == df.columns, name
+        assert all(list(r)[2:] == list(range(len(ODD))) for r in got.collect()), name
+    others = (sharding.kd_shards(df, 3), lines.frequent_lines_dropped(df), simhash.near_duplicates(df), passages.without_repeats(df), exact.exact_groups(df), packing.packed_documents(df, bpe.vocabulary()), bpe.bpe_digests(df, bpe.vocabulary()), counts.token_counts(df, bpe.vocabulary("piece_bpe_32k.model")))
+    assert all(got.select("doc_id").distinct().count() == 5 for got in others)
+
+
+def test_texts_longer_than_a_slice(spark):
+    """One row above every operator's slice: it is a batch of its own, and whole."""
+    common.workers_find_library(spark)
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    long = " ".join(r.choice(vocabulary) for _ in range(950_000))
+    df = spark.createDataFrame([(0, "short"), (1, long), (2, "short too")], "doc_id long, text string").repartition(1)
+    assert len(long) > 6_000_000
+    t = tokenizer(bpe.vocabulary())
+    n = len(t.encode(long, add_special_tokens=False).ids)
+    assert {x.doc_id: x.n_tokens for x in bpe.bpe_digests(df, bpe.vocabulary()).collect()}[1] == n
+    assert packing.packed_documents(df, bpe.vocabulary()).where("doc_id = 1").count() == -(-(n + 1) // 2048)
+    assert {x.doc_id: x.payload_sha256 for x in media.media_digests(media.with_media(df).select("doc_id", "n_bytes", "media")).collect()}[1] == hashlib.sha256(media.padded(long.encode())).hexdigest()
+    assert {x.doc_id: x.kept_sha256 for x in lines.frequent_lines_dropped(df).collect()}[1] == hashlib.sha256(long.encode()).hexdigest()
+    assert {x.doc_id: x.fingerprint for x in simhash.near_duplicates(df).collect()}[1] == f"{simhash.fingerprint(long.encode(), 4):016x}"
+    assert exact.exact_groups(df).where("kept").count() == 3
+    assert {x.doc_id: x.size for x in sharding.kd_shards(df, 2).collect()}[1] == len(long) + 1
+    assert {x.doc_id: x.kept_sha256 for x in passages.without_repeats(df).collect()}[1] == hashlib.sha256(long.encode()).hexdigest()
+    model = quality.fit_quality(df, spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int"))
+    assert quality.scored(df, model).count() == 3
+
+
 def test_op1(spark, docs, none):
     r = random.Random(1)
     rows, known = [], []
@@ -333,18 +526,43 @@ def test_pipeline_stages_follow_their_brute_force(spark, tmp_path):
     spark.createDataFrame(base, ", ".join(SCHEMA.split(", ")[:5])).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i != 34), 0) for i in range(35)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = common.documents(spark, str(tmp_path))
-    sizes = [docs.count()]
+    model = quality.fit_quality(docs, spark.read.parquet(f"{tmp_path}/labels.parquet").where(quality.remainder() != 0))
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    rank = lambda r: (r.doc_id is None, r.doc_id or 0)
     for name, stage in corpus_pipeline.STAGES:
-        before = docs
-        docs = common.materialise(stage(spark, docs, str(tmp_path)), "test-stage")
-        sizes.append(docs.count())
+        before, docs = docs, common.materialise(stage(spark, docs, str(tmp_path)), "test-stage")
+        was, now = before.collect(), docs.collect()
         if name != "best-fit packing":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    texts = Counter(r.text for r in before.collect())
-    assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] == sizes[4] > 10
-    t = tokenizer(bpe.vocabulary())
-    want = sum(n * -(-(len(t.encode(x or "", add_special_tokens=False).ids) + 1) // 2048) for x, n in texts.items())
-    assert sizes[5] == want
+        if name == "quality classifier":
+            x, first = quality.encode(*common.binaries(pa.array([raw(r.text) for r in was], pa.binary())))
+            assert Counter(now) == Counter(r for r, s in zip(was, model.score(x, first), strict=True) if s >= 0.3)
+        elif name == "exact dedup":
+            best: dict = {}
+            for r in was:
+                best.setdefault(norm(r.text), []).append(r)
+            want = [min(of, key=lambda r: (-len(r.text or ""), *rank(r))) for of in best.values()]
+            assert Counter((r.doc_id, r.text or "") for r in now) == Counter((r.doc_id, r.text or "") for r in want)
+        elif name == "SimHash near-dedup":
+            of = _near_components([r.text or "" for r in was])
+            kept = {c: min((r for r, k in zip(was, of, strict=True) if k == c), key=rank).doc_id for c in of}
+            assert Counter(r.doc_id for r in now) == Counter(kept.values())
+        elif name == "substring dedup":
+            assert Counter(r.doc_id for r in now) == Counter(r.doc_id for r in was)
+            assert all(r.n_chars == len(r.text) for r in now if r.text is not None)
+            told = {r.doc_id: r.kept for r in passages.without_repeats(before).collect()}
+            assert all(told[r.doc_id] == (r.text or "") for r in now)
+        else:
+            t = tokenizer(bpe.vocabulary())
+            tokens = [len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in was]
+            assert len(now) == sum(-(-n // 2048) for n in tokens) and sum(r.length for r in now) == sum(tokens)
+            assert len({r.sequence_id for r in now}) <= -(-sum(tokens) // 2048) + 1
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_components_of_a_chain_and_a_hub(spark):
