@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,11 @@ def workers_find_library(spark: SparkSession) -> None:
         known["PYTHONPATH"] = ":".join(x for x in (home, known.get("PYTHONPATH")) if x)
 
 
+@lru_cache(maxsize=1)
+def _temporary() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="quillgraph-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. A local session without one gets a temporary folder; a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,8 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="quillgraph-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    return _temporary()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
