@@ -163,6 +163,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         if _kept_stage != _stage():
             _kept.clear()
             _kept_stage = _stage()
+            pa.set_memory_pool(pa.system_memory_pool())  # what it frees can be given back
         try:
             yield from run(batches)
         finally:
