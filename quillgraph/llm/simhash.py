@@ -356,7 +356,7 @@ def _verified(distance: int):  # noqa: ANN202
                 if (key, block) != at:
                     yield from closed(rows)
                     at, rows = (key, block), []
-                rows.append((*rest, np.frombuffer(data[offsets[k] : offsets[k + 1]].tobytes(), np.uint64)))
+                rows.append((*rest, np.frombuffer(data[offsets[k] : offsets[k + 1]].tobytes(), np.uint32).astype(np.uint64)))
         yield from closed(rows)
 
     return run
@@ -375,7 +375,8 @@ def alike_links(stored: DataFrame, distinct: DataFrame, text: str, distance: int
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 4_000_000):
-            words = [word_hashes(x).tobytes() for x in batch.column("t").to_pylist()]
+            # half of each word's hash: a shingle of five, or a pair, is told apart by 160 or 64 bits
+            words = [(word_hashes(x) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("_fp"), pa.array(words, pa.binary())], names=["h", "_fp", "words"])
 
     held = stored.drop("_fp").join(wanted, "_row").select("h", "_fp", utf8(text).alias("t")).mapInArrow(tidy(hashed), "h long, _fp long, words binary")
