@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -79,9 +80,9 @@ def bm25_of(index: KeywordIndex, queries: list[tuple[int, str]], weights: dict[s
     """``bm25`` of a few queries: their terms are literals of the filter, so a scan of a stored index skips row groups
     without them, and phrases of several tokens are looked for only if there are any."""
     spark = index.postings.sparkSession
-    rows = query_phrases(spark.createDataFrame(queries, "qid long, query string")).groupBy("qid", "phrase").agg(F.count("*").alias("times")).collect()
-    asked = spark.createDataFrame([(r["qid"], r["phrase"], r["times"]) for r in rows], "qid long, phrase array<string>, times long")
-    phrases = {tuple(r["phrase"]) for r in rows}
+    times = Counter((r["qid"], tuple(r["phrase"])) for r in query_phrases(spark.createDataFrame(queries, "qid long, query string")).collect())
+    asked = spark.createDataFrame([(q, list(p), n) for (q, p), n in times.items()], "qid long, phrase array<string>, times long")
+    phrases = {p for _, p in times}
     postings = index.postings.where(F.col("term").isin(sorted({t for p in phrases for t in p})))
     if all(len(p) == 1 for p in phrases):
         found = postings.select(F.array("term").alias("phrase"), "uid", "col", "tf")

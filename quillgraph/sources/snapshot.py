@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.keyword import KeywordIndex, index_tables
 from ..schema import COLUMN_WEIGHTS
@@ -58,6 +59,7 @@ class Store:
 
     def __init__(self, path: str, columns: tuple[str, ...] = tuple(COLUMN_WEIGHTS)):
         self.path, self.columns = path.rstrip("/"), list(columns)
+        self._schemas: dict[str, StructType] = {}  # all segments have the same
 
     # -- reading
 
@@ -87,9 +89,16 @@ class Store:
             raise FileNotFoundError(f"no index at {self.path}: build it")
         return found
 
+    def _read(self, spark: SparkSession, segment: str, part: str) -> DataFrame:
+        """A segment's part; its schema is looked up once."""
+        reader = spark.read.schema(self._schemas[part]) if part in self._schemas else spark.read
+        found = reader.parquet(f"{self.path}/{segment}/{part}")
+        self._schemas[part] = found.schema
+        return found
+
     def _live(self, spark: SparkSession, part: str, of: Snapshot) -> DataFrame:
         """Rows of ``part`` of all segments, without those that a later segment takes out."""
-        read = lambda s, p: spark.read.parquet(f"{self.path}/{s}/{p}")
+        read = lambda s, p: self._read(spark, s, p)
         if len(of.segments) == 1:
             return read(of.segments[0], part)
         rows = reduce(DataFrame.unionByName, [read(s, part).withColumn("_segment", F.lit(n)) for n, s in enumerate(of.segments)])
