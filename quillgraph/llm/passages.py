@@ -296,7 +296,7 @@ def _with_texts(df: DataFrame, text: str, marked: DataFrame) -> DataFrame:
         for batch in slices(batches, "t", 1_000_000):
             yield pa.RecordBatch.from_arrays([_keyed(batch), batch.column("doc_id"), batch.column("t")], names=["d", "doc_id", "t"])
 
-    return _texts(df, text).mapInArrow(tidy(run), "d binary, doc_id long, t binary").join(marked, "d", "left")
+    return _texts(df, text).mapInArrow(tidy(run), "d binary, doc_id long, t binary").join(marked.hint("merge"), "d", "left")
 
 
 def similar_paragraphs(df: DataFrame, found: DataFrame, text: str) -> DataFrame:
@@ -335,14 +335,15 @@ def repeated(df: DataFrame, text: str = "text") -> DataFrame:
     paragraphs = narrow.where(F.col("kind") == PARAGRAPH).join(classes, ["h", "g"], "left")
     own = F.coalesce("component", "h").alias("h"), F.when(F.col("component").isNull(), F.col("g")).otherwise(0).alias("g")
     named = materialise(paragraphs.select("d", "doc_id", "kind", "no", "size", *own), "named-paragraphs").unionByName(narrow.where(F.col("kind") == CUT))
-    # most units occur once: they are left out by a count of the first half of their hashes
+    # most units occur once: they are left out by a count of the first half of their hashes. These joins and those with
+    # texts merge at every size, so that a small table's plan tells what a large one costs
     again = materialise(named.groupBy("kind", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "met-again")
-    named = materialise(named.join(again, ["kind", "h"], "left_semi"), "named-units")
+    named = materialise(named.join(again.hint("merge"), ["kind", "h"], "left_semi"), "named-units")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d")
     of = ["kind", "h", "g"]
     several = named.groupBy(*of).agg(F.min(F.struct(order.alias("o"), "no")).alias("first"), F.max(order).alias("last")).where("first.o != last")
     several = materialise(several.select(*of, F.col("first.o.d").alias("first_d"), F.col("first.o.doc_id").alias("first_id"), F.col("first.no").alias("first_no")), "repeated-classes")
-    later = named.join(several, of).where("d != first_d")
+    later = named.join(several.hint("merge"), of).where("d != first_d")
     marked = materialise(later.groupBy("d").agg(F.collect_set(F.struct("kind", "no", "size", "first_id", "first_d", "first_no")).alias("marks")), "marked")
     return materialise(marked.join(run_ends(df, text, marked), "d", "left"), "repeated")
 
@@ -475,7 +476,7 @@ def passages_removed(df: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(left, pa.string())], names=["row", "left"])
 
     keyed = own.mapInArrow(tidy(key), T.StructType([T.StructField("d", T.BinaryType()), T.StructField("row", df.schema)]))
-    joined = keyed.join(marked, "d", "left")
+    joined = keyed.join(marked.hint("merge"), "d", "left")
     left = T.StructType([T.StructField("row", df.schema), T.StructField("left", T.StringType())])
     held = F.coalesce(F.col(f"row.{quoted(text)}").cast("binary"), F.lit(b""))
     cleaned = joined.select("row", held.alias("t"), "marks", "ends").mapInArrow(tidy(run), left)
