@@ -8,14 +8,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, reduce
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -314,3 +314,21 @@ def dropped(spark: SparkSession, table: str | None, path: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def numbered(df: DataFrame, within: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` (written before, as it is sampled for ranges) with index: a row's place, from 0, by ``order`` among the rows of
+    its values of ``within`` (nulls are a value).
+
+    A sort by ranges. A row's place in its range is fixed by the write, and only counts by ``within`` and range are summed,
+    so no task gets a whole group.
+    """
+    keys = [*(column(c).asc_nulls_first() for c in within), *order]
+    placed = materialise(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), name)
+    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    runs = placed.groupBy(*(column(c).alias(f"_in{k}") for k, c in enumerate(within)), F.col("_part").alias("_of")).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    groups = [f"_in{k}" for k in range(len(within))]
+    before = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_of")) - F.col("_n") - F.col("_first")
+    same = reduce(Column.__and__, [column(c).eqNullSafe(F.col(g)) for c, g in zip(within, groups, strict=True)], F.col("_part") == F.col("_of"))
+    joined = placed.join(runs.withColumn("_before", before), same)
+    return joined.select(*(column(c) for c in df.columns), (F.col("_place") + F.col("_before")).alias("index"))
