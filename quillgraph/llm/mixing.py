@@ -14,7 +14,7 @@ SEED = 11
 EPOCHS = 3
 #: Weights of the sources in order, repeated.
 WEIGHTS = (1, 2, 3)
-#: Rounds that bring the extra repetitions of a source nearer to its target, each by documents of one size.
+#: Rounds that bring a source nearer to its target, each by documents of one size.
 CORRECTIONS = 4
 #: Documents of a source and size that are put in order together at most, on average.
 TOGETHER = 10_000
@@ -57,28 +57,29 @@ def water_filled(sources: DataFrame, epochs: float) -> DataFrame:
     return sources.withColumn("target", share.cast("double"))
 
 
-def _extra(groups: DataFrame) -> DataFrame:
+def _extra(groups: DataFrame, epochs: int) -> DataFrame:
     """``groups`` (_source, _size, n documents, source_size, target) with whole repetitions of each document and extra: how many
     documents of the group are taken once more.
 
     The documents of a source in order of size are sampled systematically, each with the fraction's probability, from a seeded
-    start. What that misses of the target is then given to, or taken from, documents of the largest size that fits, some
-    times over. All windows are over one source and read a row for each of its sizes.
+    start. Then documents of the one size that brings the source nearest to its target are taken more or less often, within
+    0 and ``epochs``, some times over. All windows are over one source and read a row for each of its sizes.
     """
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = _unit(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce("_source", F.lit("")))))
     by = Window.partitionBy("_source")
-    groups = groups.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole")).withColumn("_upto", F.sum("n").over(by.orderBy(F.desc("_size"))))
-    sampled = F.floor(F.col("part") * F.col("_upto") + start) - F.floor(F.col("part") * (F.col("_upto") - F.col("n")) + start)
-    groups = groups.withColumn("extra", F.when(F.col("_size") > 0, sampled).otherwise(F.lit(0)).cast("long"))
+    groups = groups.withColumn("_whole", F.floor(ratio)).withColumn("_part", ratio - F.col("_whole")).withColumn("_upto", F.sum("n").over(by.orderBy(F.desc("_size"))))
+    sampled = F.floor(F.col("_part") * F.col("_upto") + start) - F.floor(F.col("_part") * (F.col("_upto") - F.col("n")) + start)
+    groups = groups.withColumn("_reps", (F.col("_whole") * F.col("n") + F.when(F.col("_size") > 0, sampled).otherwise(F.lit(0))).cast("long"))
     for _ in range(CORRECTIONS):
-        groups = groups.withColumn("_miss", F.col("part") * F.col("source_size") - F.sum(F.col("extra") * F.col("_size")).over(by))
-        room = F.when(F.col("_miss") > 0, F.col("n") - F.col("extra")).otherwise(F.col("extra"))
-        groups = groups.withColumn("_room", F.when((F.col("_size") > 0) & (F.col("_size") <= F.abs("_miss")), room).otherwise(F.lit(0)))
-        groups = groups.withColumn("_best", F.max(F.when(F.col("_room") > 0, F.col("_size"))).over(by))
-        step = F.least(F.floor(F.abs("_miss") / F.col("_size")), F.col("_room"))
-        groups = groups.withColumn("extra", F.when(F.col("_size") == F.col("_best"), F.col("extra") + F.signum("_miss").cast("long") * step).otherwise(F.col("extra")))
-    return groups.select("_source", "_size", "n", "source_size", "target", "whole", "extra")
+        groups = groups.withColumn("_miss", F.col("target") - F.sum(F.col("_reps") * F.col("_size")).over(by))
+        room = F.when(F.col("_miss") > 0, F.col("n") * epochs - F.col("_reps")).otherwise(F.col("_reps"))
+        step = F.when(F.col("_size") > 0, F.least(F.floor(F.abs("_miss") / F.col("_size") + 0.5), room)).otherwise(F.lit(0))
+        groups = groups.withColumn("_step", step.cast("long")).withColumn("_rest", F.abs(F.abs("_miss") - F.col("_step") * F.col("_size")))
+        nearest = F.min(F.when((F.col("_step") > 0) & (F.col("_rest") < F.abs("_miss")), F.struct("_rest", (-F.col("_size")).alias("z")))).over(by)
+        groups = groups.withColumn("_best", -nearest["z"])
+        groups = groups.withColumn("_reps", F.when(F.col("_size") == F.col("_best"), F.col("_reps") + F.signum("_miss").cast("long") * F.col("_step")).otherwise(F.col("_reps")))
+    return groups.select("_source", "_size", "n", "source_size", "target", F.floor(F.col("_reps") / F.col("n")).alias("whole"), F.pmod("_reps", "n").alias("extra"))
 
 
 def _edges(points: DataFrame, groups: DataFrame) -> DataFrame:
@@ -103,11 +104,10 @@ def mixed(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
 
     Sources in order of code points, null last, have ``weights``, repeated; together they share all words, and none gets more
     than ``epochs`` times its own. A document is taken whole times, as its source's share says, and a seeded sample
-    of the source once more, chosen by the digest of seed, doc_id and text, so reruns agree however the table is dealt. A
-    source's words in the mix differ from its target by less than its shortest document that could still be added or
-    taken out, unless CORRECTIONS rounds do not get so far.
+    of the source once more, chosen by the digest of seed, doc_id and text, so reruns agree however the table is dealt.
+    Documents of CORRECTIONS sizes are then taken more or less often, where that brings the source nearer to its target.
 
-    Null texts have size 0, as empty ones; empty texts are taken as often as whole repetitions say. Ties: rows with equal
+    Null texts have size 0, as empty ones; these are taken as often as whole repetitions say. Ties: rows with equal
     id, text and source are interchangeable, and as many as the sample needs are taken, whichever they are. A null
     source is a source, a null id an id. A text of any length is one row and is never cut. Columns of ``df`` that are called
     as an output are replaced, others kept; an empty table gives no rows.
@@ -122,7 +122,7 @@ def mixed(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod("index", F.lit(len(weights))) + 1).cast("int"))
     sources = water_filled(materialise(placed.withColumn("weight", weight), "mix-weights"), epochs)
     sources = sources.select(F.col("_source").alias("_s"), F.col("size").alias("source_size"), "target")
-    plan = materialise(_extra(groups.join(sources, _same({"_source": "_s"})).drop("_s")), "mix-plan")
+    plan = materialise(_extra(groups.join(sources, _same({"_source": "_s"})).drop("_s"), epochs), "mix-plan")
     edges = materialise(_edges(points, plan), "mix-edges")
     renamed = edges.select(F.col("_source").alias("_s"), F.col("_size").alias("_z"), "edge", "take", "tied")
     decided = plan.join(renamed, _same({"_source": "_s", "_size": "_z"}), "left")
@@ -161,10 +161,11 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     steps = []
     for k in range(CORRECTIONS):
-        steps.append(f"""m{k} AS (SELECT *, part * source_size - sum(extra * size) OVER (PARTITION BY source) AS miss FROM g{k}),
-r{k} AS (SELECT *, CASE WHEN size > 0 AND size <= abs(miss) THEN CASE WHEN miss > 0 THEN n - extra ELSE extra END ELSE 0 END AS room FROM m{k}),
-b{k} AS (SELECT *, max(CASE WHEN room > 0 THEN size END) OVER (PARTITION BY source) AS best FROM r{k}),
-g{k + 1} AS (SELECT source, size, n, source_size, target, whole, part, CASE WHEN size = best THEN extra + sign(miss)::BIGINT * least(floor(abs(miss) / size)::BIGINT, room) ELSE extra END AS extra FROM b{k})""")
+        steps.append(f"""m{k} AS (SELECT *, target - sum(reps * size) OVER (PARTITION BY source) AS miss FROM g{k}),
+r{k} AS (SELECT *, CASE WHEN size > 0 THEN least(floor(abs(miss) / size + 0.5)::BIGINT, CASE WHEN miss > 0 THEN n * {EPOCHS} - reps ELSE reps END) ELSE 0 END AS step FROM m{k}),
+a{k} AS (SELECT *, abs(abs(miss) - step * size) AS rest FROM r{k}),
+b{k} AS (SELECT *, -(min(CASE WHEN step > 0 AND rest < abs(miss) THEN {{'a': rest, 'z': -size}} END) OVER (PARTITION BY source)).z AS best FROM a{k}),
+g{k + 1} AS (SELECT source, size, n, source_size, target, CASE WHEN size = best THEN reps + sign(miss)::BIGINT * step ELSE reps END AS reps FROM b{k})""")
     return rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(text, '')) AS digest FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, {EPOCHS} * source_size AS cap, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} AS weight, sum(source_size) OVER () AS total FROM s),
@@ -174,10 +175,10 @@ t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT min_by(level, fill)
 u AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio, ('0x' || left(md5('{SEED}:' || coalesce(source, '')), 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM t),
 c AS (SELECT source, size, count(*) AS n FROM d GROUP BY source, size),
 p AS (SELECT c.source, size, n, source_size, target, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS part, start, sum(n) OVER (PARTITION BY c.source ORDER BY size DESC) AS upto FROM c JOIN u ON c.source IS NOT DISTINCT FROM u.source),
-g0 AS (SELECT source, size, n, source_size, target, whole, part, CASE WHEN size > 0 THEN (floor(part * upto + start) - floor(part * (upto - n) + start))::BIGINT ELSE 0 END AS extra FROM p),
+g0 AS (SELECT source, size, n, source_size, target, whole * n + CASE WHEN size > 0 THEN (floor(part * upto + start) - floor(part * (upto - n) + start))::BIGINT ELSE 0 END AS reps FROM p),
 {", ".join(steps)},
 k AS (SELECT *, row_number() OVER (PARTITION BY source, size ORDER BY digest) AS place FROM d)
-SELECT doc_id, k.size, source_size, target, ((whole + CASE WHEN place <= extra THEN 1 ELSE 0 END) * k.size)::BIGINT AS taken FROM k JOIN g{CORRECTIONS} g ON k.source IS NOT DISTINCT FROM g.source AND k.size = g.size"""
+SELECT doc_id, k.size, source_size, target, ((reps // n + CASE WHEN place <= reps % n THEN 1 ELSE 0 END) * k.size)::BIGINT AS taken FROM k JOIN g{CORRECTIONS} g ON k.source IS NOT DISTINCT FROM g.source AND k.size = g.size"""
 
 
 ORACLE_SQL = _sql()
