@@ -1,11 +1,16 @@
-"""Field-weighted BM25 over an inverted index held as DataFrames."""
+"""Field-weighted BM25 over an inverted index in blocks, held as DataFrames."""
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -13,35 +18,158 @@ from ..functions.tokens import index_tokens, query_words
 
 #: Fixed values of the formula.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Records of a block: a row of postings has those of one term in one block.
+BLOCK = 1024
+#: What scores are compared to: nine places, as they are ranked.
+NEAR = 1e-8
+#: A block's arrays, entry by entry: a record and a column of it that has the term.
+ENTRY = ["uid", "ordinal", "dl", "col", "tf", "positions"]
 
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings(term, uid, col, tf, positions), lengths(uid, ordinal, dl), and the number of records and of their tokens."""
+    """blocks, terms (term, df), and the number of records and of their tokens.
 
-    postings: DataFrame
-    lengths: DataFrame
+    A row of blocks has the postings of one term in one block of records (segment, block): n records, the largest tf
+    of each column (tf_max) and the least length (dl_min), and in arrays its entries: uid, ordinal, length, number of the column, tf and
+    positions. The row with a null term has all records of the block and their lengths. df of a term is the sum of its
+    rows of terms. ``gone`` (uid, _at) takes records out of segments below _at.
+    """
+
+    blocks: DataFrame
+    terms: DataFrame
+    columns: list[str]
     n_docs: int
     total_len: int
+    gone: DataFrame | None = field(default=None)
+
+    def entries(self, blocks: DataFrame, names: list[str] = ENTRY) -> DataFrame:
+        """term and the entries of ``blocks``, those of live records."""
+        flat = blocks.select("segment", "term", F.inline(F.arrays_zip(*names)))
+        return without_gone(flat, self.gone).drop("segment")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """(term, uid, ordinal, dl, col, tf, positions)"""
+        return self.entries(self.blocks.where("term is not null"))
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        """(uid, ordinal, dl) of all records"""
+        return self.entries(self.blocks.where("term is null"), ENTRY[:3]).drop("term")
 
+    @property
+    def average(self) -> float:
+        return float(self.total_len / self.n_docs) if self.n_docs else 1.0
 
-def index_tables(records: DataFrame, columns: list[str], uid: str = "uid", ordinal: str = "ordinal") -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of ``columns`` (strings, or arrays joined by `` · ``)."""
+
+def without_gone(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """``rows`` (uid, segment) without those that a later segment takes out."""
+    if gone is None:
+        return rows
+    return rows.join(gone.select(F.col("uid").alias("_uid"), "_at"), (F.col("uid") == F.col("_uid")) & (F.col("segment") < F.col("_at")), "left_anti")
+
+
+def tokenised(records: DataFrame, columns: list[str], uid: str = "uid", ordinal: str = "ordinal") -> DataFrame:
+    """uid, ordinal and tokens: an array for each of ``columns`` (strings, or arrays joined by `` · ``)."""
     kinds = {f.name: f.dataType for f in records.schema}
     joined = [F.array_join(c, " · ") if isinstance(kinds[c], ArrayType) else F.col(c) for c in columns]
-    arrays = [F.coalesce(index_tokens(c), F.array().cast("array<string>")) for c in joined]
-    tokens = records.select(F.col(uid).alias("uid"), F.col(ordinal).alias("ordinal"), F.array(*(F.struct(F.lit(c).alias("col"), a.alias("tokens")) for c, a in zip(columns, arrays, strict=True))).alias("fields"))
-    lengths = tokens.select("uid", "ordinal", F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.size(f["tokens"])).alias("dl"))
-    each = tokens.select("uid", F.explode("fields").alias("f")).select("uid", F.col("f.col").alias("col"), F.posexplode("f.tokens").alias("pos", "term"))
-    postings = each.groupBy("term", "uid", "col").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return postings, lengths
+    tokens = F.array(*(F.coalesce(index_tokens(c), F.array().cast("array<string>")) for c in joined))
+    return records.select(F.col(uid).alias("uid"), F.col(ordinal).alias("ordinal"), tokens.alias("tokens"), *(["_block"] if "_block" in records.columns else []))
+
+
+def record_terms(tokens: DataFrame) -> DataFrame:
+    """(term, n): records of ``tokenised`` that have the term."""
+    return tokens.select(F.explode(F.array_distinct(F.flatten("tokens"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def posting_blocks(tokens: DataFrame, columns: int) -> DataFrame:
+    """The blocks of ``tokenised`` records. A batch is grouped where it is, as all postings of a record come from its row, so
+    nothing is shuffled. Records with a _block keep it (one that falls into two batches gives two rows for a term); else
+    BLOCK rows that follow one another are one."""
+    kind = {f.name: f.dataType.simpleString() for f in tokens.schema}
+    schema = f"term string, block long, n int, tf_max array<int>, dl_min long, uid array<{kind['uid']}>, ordinal array<{kind['ordinal']}>, dl array<long>, col array<int>, tf array<int>, positions array<array<int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 23
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                blocks = batch.column("_block").to_numpy() if "_block" in batch.schema.names else np.full(batch.num_rows, number, np.int64)
+                number += 1
+                yield from _grouped(batch, blocks, columns)
+
+    return tokens.mapInArrow(run, schema)
+
+
+def _lists(values: pa.Array, starts: np.ndarray, end: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, end).astype(np.int32)), values)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _grouped(batch: pa.RecordBatch, blocks: np.ndarray, columns: int) -> Iterator[pa.RecordBatch]:
+    n = batch.num_rows
+    each = batch.column("tokens").flatten()  # a list for each record and column
+    sizes = np.asarray(each.value_lengths(), np.int64)
+    words = each.flatten().dictionary_encode()
+    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(each)), sizes)
+    row, col = of // columns, of % columns
+    pos = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    dl = sizes.reshape(n, columns).sum(axis=1)
+    order = np.lexsort((pos, col, row, blocks[row], codes))
+    codes, row, col, pos = codes[order], row[order], col[order], pos[order]
+    entry = _starts(codes, row, col)
+    tf = np.diff(np.append(entry, len(codes)))
+    e_code, e_row, e_col = codes[entry], row[entry], col[entry]
+    group = _starts(e_code, blocks[e_row])
+    whole = np.argsort(blocks, kind="stable")  # the records themselves, under the null term
+    w_group = _starts(blocks[whole])
+    for term, rows_of, at, c, t, positions in (
+        (words.dictionary.take(pa.array(e_code[group])), e_row, group, e_col, tf, _lists(pa.array(pos, pa.int32()), entry, len(pos))),
+        (pa.nulls(len(w_group), pa.string()), whole, w_group, np.zeros(n, np.int64), np.zeros(n, np.int64), pa.array([[]] * n, pa.list_(pa.int32()))),
+    ):
+        if not len(at):
+            continue
+        most = [np.maximum.reduceat(np.where(c == k, t, 0), at) for k in range(columns)]
+        first = np.ones(len(rows_of), np.int64)
+        first[1:] = rows_of[1:] != rows_of[:-1]
+        first[at] = 1
+        taken = pa.array(rows_of)
+        yield pa.RecordBatch.from_arrays(
+            [
+                term, pa.array(blocks[rows_of[at]], pa.int64()), pa.array(np.add.reduceat(first, at), pa.int32()), pa.array(np.stack(most, axis=1).astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(np.minimum.reduceat(dl[rows_of], at), pa.int64()),
+                _lists(batch.column("uid").take(taken), at, len(rows_of)), _lists(batch.column("ordinal").take(taken), at, len(rows_of)), _lists(pa.array(dl[rows_of], pa.int64()), at, len(rows_of)),
+                _lists(pa.array(c, pa.int32()), at, len(rows_of)), _lists(pa.array(t, pa.int32()), at, len(rows_of)), _lists(positions, at, len(rows_of)),
+            ],
+            names=["term", "block", "n", "tf_max", "dl_min", *ENTRY],
+        )
+
+
+def reblocked(entries: DataFrame, columns: int) -> DataFrame:
+    """Blocks of ``entries`` (term and ENTRY, null terms too) under their new block: the merge of postings, without tokenising."""
+    most = F.array(*(F.coalesce(F.max(F.when(F.col("col") == k, F.col("tf"))), F.lit(0)) for k in range(columns)))
+    # one shuffle: records of a term and block, then the entries
+    rows = entries.groupBy("term", "block").agg(F.count_distinct("uid").cast("int").alias("n"), most.alias("tf_max"), F.min("dl").alias("dl_min"), F.array_sort(F.collect_list(F.struct(*ENTRY))).alias("_e"))
+    return rows.select("term", "block", "n", "tf_max", "dl_min", *(F.col(f"_e.{c}").alias(c) for c in ENTRY))
 
 
 def keyword_index(records: DataFrame, columns: list[str], uid: str = "uid", ordinal: str = "ordinal") -> KeywordIndex:
     """An index that is computed anew in each query; ``Store`` keeps one."""
-    postings, lengths = index_tables(records, columns, uid, ordinal)
-    n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    return KeywordIndex(postings, lengths, n, total)
+    blocks = posting_blocks(tokenised(records, columns, uid, ordinal), len(columns)).withColumn("segment", F.lit(0))
+    terms = blocks.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
+    n, total = blocks.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.aggregate("dl", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))).first()
+    return KeywordIndex(blocks, terms, list(columns), n, total)
 
 
 def query_phrases(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -50,18 +178,19 @@ def query_phrases(queries: DataFrame, text: str = "query") -> DataFrame:
     return words.select("qid", "phrase_no", index_tokens(F.col("word")).alias("phrase")).where(F.size("phrase") > 0)
 
 
-def _occurrences(postings: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, uid, col, tf) of distinct phrases; the positions of a phrase's tokens are shifted to its begin and counted.
-    One token alone reads tf, so a posting takes part once however long its positions are."""
-    terms = phrases.select("phrase", F.posexplode("phrase").alias("i", "term"))
-    hit = postings.join(terms, "term")
-    one = hit.where(F.size("phrase") == 1).select("phrase", "uid", "col", "tf")
-    begins = hit.where(F.size("phrase") > 1).select("phrase", "uid", "col", F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("begin"))
-    whole = begins.groupBy("phrase", "uid", "col", "begin").agg(F.count("*").alias("n")).where(F.col("n") == F.size("phrase"))
-    return one.unionByName(whole.groupBy("phrase", "uid", "col").agg(F.count("*").alias("tf")))
+def _occurrences(index: KeywordIndex, blocks: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, uid, ordinal, dl, col, tf) of distinct phrases; the positions of a phrase's tokens are shifted to its begin and
+    counted. One token alone reads tf and no positions."""
+    of = ["uid", "ordinal", "dl", "col"]
+    single = phrases.where(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term"))
+    one = index.entries(blocks, [*of, "tf"]).join(single, "term").select("phrase", *of, "tf")
+    several = phrases.where(F.size("phrase") > 1).select("phrase", F.posexplode("phrase").alias("i", "term"))
+    begins = index.entries(blocks).join(several, "term").select("phrase", *of, F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("begin"))
+    whole = begins.groupBy("phrase", *of, "begin").agg(F.count("*").alias("n")).where(F.col("n") == F.size("phrase"))
+    return one.unionByName(whole.groupBy("phrase", *of).agg(F.count("*").alias("tf")))
 
 
-def _idf(n: Column, n_docs: int) -> Column:
+def idf(n: int | Column, n_docs: int) -> Column:
     raw = F.log((F.lit(n_docs) - n + 0.5) / (n + 0.5))
     return F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
 
@@ -72,30 +201,83 @@ def bm25(index: KeywordIndex, queries: DataFrame, weights: dict[str, float], tex
     Any number of queries: their phrases are joined with the postings.
     """
     asked = query_phrases(queries, text).groupBy("qid", "phrase").agg(F.count("*").alias("times"))
-    found = _occurrences(index.postings, asked.select("phrase").distinct())
+    found = _occurrences(index, index.blocks.where("term is not null"), asked.select("phrase").distinct())
     return _scored(index, found, asked, weights)
 
 
-def bm25_of(index: KeywordIndex, queries: list[tuple[int, str]], weights: dict[str, float]) -> DataFrame:
-    """``bm25`` of a few queries: their terms are literals of the filter, so a scan of a stored index skips row groups
-    without them, and phrases of several tokens are looked for only if there are any."""
-    spark = index.postings.sparkSession
+def bm25_of(index: KeywordIndex, queries: list[tuple[int, str]], weights: dict[str, float], limit: int | None = None) -> DataFrame:
+    """``bm25`` of a few queries: their terms are literals of the filter, so a scan of a stored index skips row groups without
+    them. With a ``limit`` rows that cannot be among a query's ``limit`` best may be left out: blocks that cannot hold one
+    are not read. A phrase of several tokens has to be found everywhere, for its idf."""
+    spark = index.blocks.sparkSession
     times = Counter((r["qid"], tuple(r["phrase"])) for r in query_phrases(spark.createDataFrame(queries, "qid long, query string")).collect())
-    asked = spark.createDataFrame([(q, list(p), n) for (q, p), n in times.items()], "qid long, phrase array<string>, times long")
     phrases = {p for _, p in times}
-    postings = index.postings.where(F.col("term").isin(sorted({t for p in phrases for t in p})))
-    if all(len(p) == 1 for p in phrases):
-        found = postings.select(F.array("term").alias("phrase"), "uid", "col", "tf")
-    else:
-        found = _occurrences(postings, spark.createDataFrame([(list(p),) for p in sorted(phrases)], "phrase array<string>"))
+    blocks = index.blocks.where(F.col("term").isin(sorted({t for p in phrases for t in p})))
+    if limit is not None and all(len(p) == 1 for p in phrases):
+        return _pruned(index, blocks, {(q, p[0]): n for (q, p), n in times.items()}, weights, limit)
+    asked = spark.createDataFrame([(q, list(p), n) for (q, p), n in times.items()], "qid long, phrase array<string>, times long")
+    found = _occurrences(index, blocks, F.broadcast(spark.createDataFrame([(list(p),) for p in sorted(phrases)], "phrase array<string>")))
     return _scored(index, found, F.broadcast(asked), weights)  # as many rows as the queries have words
 
 
+def _saturated(index: KeywordIndex, f: Column, dl: Column) -> Column:
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / F.lit(index.average)))
+
+
 def _scored(index: KeywordIndex, found: DataFrame, asked: DataFrame, weights: dict[str, float]) -> DataFrame:
-    weight: Column = F.coalesce(*(F.when(F.col("col") == c, F.lit(w)) for c, w in weights.items()), F.lit(0.0))
-    of = found.groupBy("phrase", "uid").agg(F.sum(weight * F.col("tf")).alias("f"))
-    idf = of.groupBy("phrase").agg(F.count("*").alias("n")).select("phrase", _idf(F.col("n"), index.n_docs).alias("idf"))
-    average = index.total_len / index.n_docs if index.n_docs else 1.0
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(float(average))))
-    scored = of.join(idf, "phrase").join(asked, "phrase").join(index.lengths, "uid")
-    return scored.groupBy("qid", "uid", "ordinal").agg(F.sum(part * F.col("times")).alias("score"))
+    of = found.groupBy("phrase", "uid", "ordinal", "dl").agg(F.sum(_weight(index, weights) * F.col("tf")).alias("f"))
+    idfs = of.groupBy("phrase").agg(F.count("*").alias("n")).select("phrase", idf(F.col("n"), index.n_docs).alias("idf"))
+    part = F.col("idf") * _saturated(index, F.col("f"), F.col("dl"))
+    return of.join(idfs, "phrase").join(asked, "phrase").groupBy("qid", "uid", "ordinal").agg(F.sum(part * F.col("times")).alias("score"))
+
+
+def _weight(index: KeywordIndex, weights: dict[str, float]) -> Column:
+    return F.element_at(F.array(*(F.lit(float(weights.get(c, 0.0))) for c in index.columns)), F.col("col") + 1)
+
+
+def block_bounds(index: KeywordIndex, blocks: DataFrame, asked: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(qid, segment, block, bound): no record of the block has a higher score in the query. Reads no entry of any posting."""
+    most = sum(F.lit(float(weights.get(c, 0.0))) * F.element_at("tf_max", k + 1) for k, c in enumerate(index.columns))
+    each = blocks.select("term", "segment", "block", _saturated(index, most, F.col("dl_min")).alias("_of")).join(asked, "term")
+    terms = each.groupBy("qid", "segment", "block", "term").agg(F.max(F.col("_of") * F.col("weight")).alias("_of"))
+    return terms.groupBy("qid", "segment", "block").agg(F.sum("_of").alias("bound"))
+
+
+def _term_weights(index: KeywordIndex, times: dict[tuple[int, str], int]) -> DataFrame:
+    """(qid, term, weight): idf times how often it is asked; idf comes from the dictionary. As many rows as the queries have words."""
+    spark = index.blocks.sparkSession
+    df = {r["term"]: r["df"] for r in index.terms.where(F.col("term").isin(sorted({t for _, t in times}))).groupBy("term").agg(F.sum("df").alias("df")).collect()}
+    rows = [(q, t, int(df[t]), n) for (q, t), n in times.items() if df.get(t, 0) > 0]
+    made = spark.createDataFrame(rows, "qid long, term string, n long, times long")
+    return F.broadcast(made.select("qid", "term", (idf(F.col("n"), index.n_docs) * F.col("times")).alias("weight")))
+
+
+def _exact(index: KeywordIndex, blocks: DataFrame, asked: DataFrame, weights: dict[str, float]) -> DataFrame:
+    entries = index.entries(blocks, ENTRY[:5])
+    of = entries.groupBy("term", "uid", "ordinal", "dl").agg(F.sum(_weight(index, weights) * F.col("tf")).alias("f"))
+    return of.join(asked, "term").groupBy("qid", "uid", "ordinal").agg(F.sum(F.col("weight") * _saturated(index, F.col("f"), F.col("dl"))).alias("score"))
+
+
+def surviving(index: KeywordIndex, blocks: DataFrame, times: dict[tuple[int, str], int], weights: dict[str, float], limit: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks that may hold one of a query's ``limit`` best, the weights of the terms).
+
+    The ``limit`` blocks of the highest bounds are scored first; the score of place ``limit`` among their records is a
+    threshold, and blocks whose bound is below it are skipped.
+    """
+    asked = _term_weights(index, times)
+    bounds = block_bounds(index, blocks, asked, weights)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "segment", "block"))
+    best = bounds.withColumn("_place", place).where(F.col("_place") <= limit).select("segment", "block").distinct()
+    first = _exact(index, blocks.join(F.broadcast(best), ["segment", "block"], "left_semi"), asked, weights)  # limit rows a query
+    held = first.withColumn("_place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("_place") == limit)
+    least = {r["qid"]: r["score"] for r in held.select("qid", "score").collect()}
+    if not least or limit < 1:
+        return blocks, asked
+    threshold = F.coalesce(*(F.when(F.col("qid") == q, F.lit(x)) for q, x in least.items()), F.lit(0.0))
+    kept = bounds.where(F.col("bound") * (1 + NEAR) >= threshold - NEAR).select("segment", "block").distinct()
+    return blocks.join(kept, ["segment", "block"], "left_semi"), asked
+
+
+def _pruned(index: KeywordIndex, blocks: DataFrame, times: dict[tuple[int, str], int], weights: dict[str, float], limit: int) -> DataFrame:
+    kept, asked = surviving(index, blocks, times, weights, limit)
+    return _exact(index, kept, asked, weights)

@@ -70,7 +70,7 @@ def refresh(spark: SparkSession, store: Store, records: DataFrame, embedder: Emb
     of = store.snapshot(spark)
     check_schema_version(of.meta, s)
     records = checkpointed(records)
-    plan = checkpointed(refresh_plan(records, store.records(spark, of)))
+    plan = checkpointed(refresh_plan(records, store.hashes(spark, of)))
     counts = refresh_counts(plan).first().asDict()
     meta = replace(of.meta, refreshed_at=_moment())
     if not counts["embedded"] and not counts["deleted"]:

@@ -222,7 +222,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def _doc_bm25(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
-    return keyword.bm25_of(corpora.document_store(spark, sf_dir).index(spark), [(ASKED, words)], {"text": 1.0})
+    return keyword.bm25_of(corpora.document_store(spark, sf_dir).index(spark), [(ASKED, words)], {"text": 1.0}, 50)
 
 
 def _shown(ranks: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def keyword_bm25_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_vec_sql(str(ASKED))} SELECT uid, rank, round(score, 6) AS score FROM (SELECT *, {_RANK} AS rank FROM vec) WHERE rank <= 50")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vector.neighbours(corpora.vectors(spark, sf_dir), _asked(spark, sf_dir), 50).withColumn("qid", F.lit(ASKED))
+    found = corpora.document_store(spark, sf_dir).vector_index(spark).nearest(_asked(spark, sf_dir), 50).withColumn("qid", F.lit(ASKED))
     return _shown(fusion.ranked(found, 50))
 
 
@@ -286,13 +286,13 @@ def _numbers(hits: DataFrame) -> DataFrame:
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = corpora.document_store(spark, sf_dir)
-    return _numbers(search.hybrid_search(store.vectors(spark), store.index(spark), [(ASKED, WORDS, _asked(spark, sf_dir))], 10, {"text": 1.0}))
+    return _numbers(search.hybrid_search(store.vector_index(spark), store.index(spark), [(ASKED, WORDS, _asked(spark, sf_dir))], 10, {"text": 1.0}))
 
 
 @query(f"{_ONE} SELECT uid, round(top.score, 9) AS score, coalesce(vector_rank, 0) AS vector_rank, coalesce(keyword_rank, 0) AS keyword_rank, rank, left(text, 200) AS preview FROM top JOIN documents ON doc_id = uid")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpora.document_store(spark, sf_dir).records(spark).select("uid", F.left("text", F.lit(200)).alias("preview"))
-    return docs.join(F.broadcast(_hybrid(spark, sf_dir)), "uid").select("uid", "score", "vector_rank", "keyword_rank", "rank", "preview")  # ten hits
+    found = search.stored_hits(spark, corpora.document_store(spark, sf_dir), _hybrid(spark, sf_dir), ["text"])
+    return found.withColumn("preview", F.left("text", F.lit(200))).select("uid", "score", "vector_rank", "keyword_rank", "rank", "preview")  # ten hits
 
 
 @query(f"{_ONE} SELECT uid, rank, doc_id AS page_title FROM top JOIN documents ON doc_id = uid WHERE doc_id % 3 <> 0")
@@ -321,7 +321,8 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = DEFAULTS.pool(20)
     near = fusion.ranked(vector.batch_neighbours(corpora.vectors(spark, sf_dir), [(ASKED, _asked(spark, sf_dir))], pool), pool)
-    found = fusion.ranked(_doc_bm25(spark, sf_dir, WORDS), pool)
+    index = corpora.document_store(spark, sf_dir).index(spark)
+    found = fusion.ranked(keyword.bm25_of(index, [(ASKED, WORDS)], {"text": 1.0}, pool), pool)
     return fusion.fused(near, found, 2 * pool).agg(F.count("vector_rank").alias("vectors"), F.count("keyword_rank").alias("keywords"), F.count("*").alias("hits"))
 
 

@@ -112,5 +112,5 @@ def freshness(spark: SparkSession, meta: Meta, bring_up: Callable[[Meta], object
 
 def searched(spark: SparkSession, store: Store, words: str, k: int, embedder: Embedder) -> list[Row]:
     """Hits of one query, best first."""
-    hits = search.hybrid_search(store.vectors(spark), store.index(spark), [(0, words, embedded_query(words, embedder))], k)
-    return search.with_records(hits, store.records(spark)).orderBy("rank").collect()
+    hits = search.hybrid_search(store.vector_index(spark), store.index(spark), [(0, words, embedded_query(words, embedder))], k)
+    return search.stored_hits(spark, store, hits).orderBy("rank").collect()

@@ -218,8 +218,8 @@ def test_refresh_stream(spark, tmp_path):
 
 
 def test_store_of_segments_equals_a_new_one(spark, tmp_path, monkeypatch):
-    """Many small changes, and the merge of segments, leave the records, lengths and scores of a store built at once."""
-    monkeypatch.setattr("quillgraph.sources.snapshot.MOST_SEGMENTS", 3)
+    """Many small changes, and the merge of segments, leave the records, lengths, dictionary and scores of a store built at once."""
+    monkeypatch.setattr("quillgraph.sources.snapshot.FAN", 2)
     workers_find_library(spark)
     hashing, r = embedder.HashEmbedder(4), random.Random(1)
     rows = {f"u{i}": f"word{i % 3} text {i}" for i in range(12)}
@@ -241,13 +241,14 @@ def test_store_of_segments_equals_a_new_one(spark, tmp_path, monkeypatch):
             store.change(spark, old, store.records(spark, old).limit(0), spark.createDataFrame([("u1",)], "uid string"), old.meta)
         fresh = Store(str(tmp_path / f"fresh{n}"), ("text",))
         refresh.build(spark, fresh, frame(), hashing, "g")
-        for part in (lambda s: s.records(spark).select("uid", "text", "embedding"), lambda s: s.index(spark).lengths.select("uid", "dl")):
+        terms = lambda s: s.index(spark).terms.groupBy("term").agg(F.sum("df").alias("df")).where("df != 0")
+        for part in (lambda s: s.records(spark).select("uid", "text", "embedding"), lambda s: s.index(spark).lengths.select("uid", "dl"), lambda s: s.index(spark).postings.select("term", "uid", "tf", "positions"), terms):
             assert sorted(map(str, part(store).collect())) == sorted(map(str, part(fresh).collect()))
         scores = [sorted((x.uid, round(x.score, 9)) for x in keyword.bm25_of(s.index(spark), [(0, "word1 changed")], {"text": 1.0}).collect()) for s in (store, fresh)]
         assert scores[0] == scores[1]
-    assert len(store._numbers(spark)) == 2
-    kept = {s for n in store._numbers(spark) for s in store.current(spark, n).segments}
-    assert kept <= {p.name for p in (tmp_path / "store").iterdir()}
+        near = [sorted((x.uid, round(x.score, 9)) for x in s.vector_index(spark).nearest([1.0, 0.5, 0.0, 2.0], 5).collect()) for s in (store, fresh)]
+        assert near[0] == near[1]
+        assert sorted(x.uid for x in store.records_of(spark, ["u0", "u1", "u20", "nope"]).collect()) == sorted({"u0", "u1", "u20"} & set(rows))
 
 
 def test_catalog_and_access(spark, tmp_path, monkeypatch):
