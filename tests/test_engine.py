@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import sqlite3
+import time
 from datetime import UTC, datetime
 
 import pytest
@@ -36,6 +38,37 @@ def test_plain_text_and_names(spark):
     assert [r for r in df.select("raw", "want", markup.page_names(F.col("raw")).alias("got")).collect() if r.got != r.want] == []
 
 
+def _unwrap(text):
+    """(text, names): one innermost reference at a time, from the left, until none is left."""
+    names = []
+    while m := re.search(r"\[\[([^\[\]]*)\]\]", text):
+        names.append(m[1])
+        text = text[: m.start()] + m[1] + text[m.end() :]
+    return text, names
+
+
+def test_brackets_of_any_shape(spark):
+    """Random runs of brackets and letters: what one reference at a time gives, and names in the order in which they close."""
+    r = random.Random(8)
+    odd = ["[[[]][a]]", "[[a][[]]]", "[[[a]]]", "[[[[a]] b]] [[c]]", "[[a [b] c]]", "]][[x]][["] + ["".join(r.choice(["[[", "]]", "[", "]", "a", "b ", "c"]) for _ in range(r.randint(1, 30))) for _ in range(400)]
+    df = spark.createDataFrame([(x,) for x in odd], "t string").select("t", markup.unwrapped(F.col("t")).alias("u"), markup.page_names(F.col("t")).alias("n"), markup.plain_text(F.col("t")).alias("p"))
+    for x in df.collect():
+        text, names = _unwrap(x.t)
+        assert x.u == text, x.t
+        assert x.n == list(dict.fromkeys(n for n in (" ".join(n.split()) for n in names) if n)), x.t
+
+
+def test_many_references_take_time_in_proportion(spark):
+    took = []
+    for n in (10_000, 80_000):
+        df = spark.createDataFrame([("[[ab]] c " * n,)], "t string")
+        began = time.time()
+        row = df.select(F.length(markup.unwrapped(F.col("t"))).alias("u"), F.size(markup.page_names(F.col("t"))).alias("n"), F.length(markup.plain_text(F.col("t"))).alias("p")).first()
+        took.append(time.time() - began)
+        assert (row.u, row.n, row.p) == (5 * n, 1, 5 * n - 1)
+    assert took[1] < 20 * max(took[0], 0.2)  # eight times the text
+
+
 def _graph(spark, rows):
     full = []
     for n, r in enumerate(rows):
@@ -126,8 +159,6 @@ def test_bm25_equals_sqlite(spark):
     queries = ["alpha", "alpha zeta", "alpha alpha ete", 'foo_bar AND "x1', "_", "NEAR(", "Été gamma nothing"]
     asked = spark.createDataFrame(list(enumerate(queries)), "qid long, query string")
     got = {(x.qid, x.uid): x.score for x in keyword.bm25(index, asked, COLUMN_WEIGHTS).collect()}
-    import re
-
     for q, text in enumerate(queries):
         match = " OR ".join(f'"{w}"' for w in re.findall(r"\w+", text))
         want = dict(db.execute("SELECT uid, -bm25(f, 0, 1, 1, 4, 2, 1) FROM f WHERE f MATCH ?", (match,)).fetchall())
@@ -155,6 +186,39 @@ def test_vectors_and_fusion(spark):
     assert fusion.fused(one, two, 0).count() == 0
 
 
+def _nodes(spark, children, texts=None):
+    """Outline rows of {id: [children]}, all of order 0, with text t<id>."""
+    ids = sorted(set(children) | {k for of in children.values() for k in of})
+    rows = [(i, children.get(i, []), 0, f"t{i}" if texts is None else texts.get(i, "")) for i in ids]
+    return spark.createDataFrame(rows, "id long, children array<long>, `order` long, clean string")
+
+
+def _walked(children, i, met=()):
+    return [x for k in children.get(i, []) if k not in (*met, i) for x in (f"t{k}", *_walked(children, k, (*met, i)))]
+
+
+def test_descendants_of_trees_knots_and_cycles(spark):
+    """Trees beside nodes of two parents, a child named twice, cycles with a tail, and a way from a tree into a knot."""
+    workers_find_library(spark)
+    r = random.Random(5)
+    children = {1: [2, 3], 2: [4], 10: [11, 12], 11: [13], 12: [13], 13: [14], 14: [15], 20: [21], 21: [22], 22: [20, 23], 23: [24], 30: [31, 31], 40: [40, 41], 50: [51], 51: [13]}
+    for i in range(100, 160):
+        children.setdefault(r.randrange(99, i), []).append(i)
+    got = {x.id: x.descendant_text for x in outline.descendants(_nodes(spark, children)).collect()}
+    assert got == {i: " · ".join(w) for i in children if (w := _walked(children, i))}
+
+
+def test_descendants_of_a_chain_write_a_row_a_node(spark, monkeypatch):
+    """A chain of 2000 nodes: each round writes as many rows as there are nodes, and rounds grow with the logarithm."""
+    workers_find_library(spark)
+    written, real = [], outline.checkpointed
+    monkeypatch.setattr(outline, "checkpointed", lambda df: written.append(real(df)) or written[-1])
+    n = 2000
+    got = {x.id: x.descendant_text for x in outline.descendants(_nodes(spark, {i: [i + 1] for i in range(n)})).collect()}
+    assert len(got) == n and got[n - 2] == f"t{n - 1} · t{n}" and got[0].count("·") == n - 1
+    assert len(written) <= 4 + 12 and all(df.count() <= n + 1 for df in written)
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("Été_été Straße, x1!",)], "t string")
     row = df.select(tokens.index_tokens(F.col("t")).alias("i"), tokens.query_words(F.col("t")).alias("q")).first()
