@@ -33,6 +33,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--port", type=int)
     parser.add_argument("--token")
     parser.add_argument("--entities", default="", help="JSON lines of the graph, instead of its API")
+    parser.add_argument("--captures", default="", help="folder that keeps captured entities, so that a refresh pulls only what has changed")
     parser.add_argument("--lenient", action="store_true")
     parser.add_argument("--no-daily-notes", action="store_true")
     parser.add_argument("--model", default="")
@@ -41,7 +42,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(levelname)s %(name)s: %(message)s", stream=sys.stderr)
     spark = spark or SparkSession.builder.appName("quillgraph").getOrCreate()
-    given = {c: getattr(args, c) for c in ("registry", "stores", "port_file", "port", "token", "entities", "lenient", "model", "dimension")}
+    given = {c: getattr(args, c) for c in ("registry", "stores", "port_file", "port", "token", "entities", "captures", "lenient", "model", "dimension")}
     tools = Tools(spark, **given, **({"url": args.url} if args.url else {}))
     try:
         if args.command == "graphs":

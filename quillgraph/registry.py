@@ -19,7 +19,7 @@ from .plans import refresh, search
 from .schema import COLUMN_WEIGHTS, DEFAULTS
 from .sources import corpora, embedder, entities
 from .sources.snapshot import Meta, Store
-from .workers import shared_folder
+from .workers import scratch, shared_folder
 
 #: A query of six words; the vector asked for is that of this id.
 WORDS = "license token worthless clown the moron"
@@ -374,11 +374,8 @@ def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_PLAN} SELECT uid, row_number() OVER (ORDER BY uid) AS place FROM pl WHERE action = 'delete'")
 def deleted_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     uids = refresh.deleted_uids(refresh_diff(spark, sf_dir))
-    # a global sort gives ranges in order: the place is that of the range and then within it
-    placed = uids.select("uid", F.monotonically_increasing_id().alias("_at"), F.spark_partition_id().alias("_part"))
-    before = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))
-    each = before.alias("a").join(before.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part", "a._least").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    return placed.join(each, "_part").select("uid", (F.col("_at") - F.col("_least") + F.col("_before") + 1).cast("long").alias("place"))
+    placed = fusion.ranked_whole(uids.select(F.lit(0).alias("qid"), "uid", F.col("uid").alias("ordinal"), F.lit(0.0).alias("score")))
+    return placed.select("uid", F.col("rank").cast("long").alias("place"))
 
 
 @query("SELECT doc_id AS uid, lang FROM documents WHERE doc_id % 5 <> 0")
@@ -406,7 +403,7 @@ def index_age(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/quillgraph-{name}-{uuid.uuid4().hex}"
+    return scratch(spark, f"{shared_folder(spark)}/quillgraph-{name}-{uuid.uuid4().hex}")
 
 
 def _registry_file(spark: SparkSession, sf_dir: str) -> str:
@@ -520,10 +517,17 @@ def refresh_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "round int, embedded long, deleted long, unchanged long, record_count long, segments int")
 
 
-@query(rf"WITH {_LATER}, t AS (SELECT doc_id::VARCHAR AS uid, len(list_filter(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+'), lambda t: t = 'license')) AS tf FROM later) SELECT uid, tf::BIGINT AS tf FROM t WHERE tf > 0")
+@query(rf"WITH {_LATER}, t AS (SELECT doc_id::VARCHAR AS uid, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+')) AS term FROM later) SELECT term, uid, count(*) AS tf FROM t GROUP BY term, uid")
 def refreshed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Build, then refresh: the postings of a word."""
-    return _refreshed_store(spark, sf_dir, 1)[0].index(spark).postings.where("term = 'license'").select("uid", "tf")
+    """Build, then refresh: the postings of all words."""
+    return _refreshed_store(spark, sf_dir, 1)[0].index(spark).postings.select("term", "uid", F.col("tf").cast("long").alias("tf"))
+
+
+@query(rf"WITH {_LATER}, t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+')) AS term FROM later) SELECT term, count(*) AS df FROM t GROUP BY term")
+def refreshed_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build, then refresh: the dictionary, of which the second segment counts what it takes out down."""
+    found = _refreshed_store(spark, sf_dir, 1)[0].index(spark).terms.groupBy("term").agg(F.sum("df").alias("df"))
+    return found.where("df != 0")
 
 
 @query("SELECT 'documents' AS graph_name, 'counting' AS embed_model, 3 AS dimension, count(*) AS record_count, 2 AS schema_version, true AS built, true AS refreshed, true AS refused FROM documents")
@@ -574,9 +578,10 @@ def entities_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(entities.from_json(_json_lines(spark, sf_dir), lenient=True))
 
 
-@query(f"{E} SELECT {_ENTITY.format(p='parents', o='ord')} FROM e WHERE id % 2 = 0")
+@query(f"{E} SELECT {_ENTITY.format(p='CASE WHEN id % 2 = 0 THEN parents ELSE [] END', o='CASE WHEN id % 2 = 0 THEN ord END')} FROM e")
 def entities_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(entities.from_json(_json_lines(spark, sf_dir)).where("id % 2 = 0"))
+    """Entities of the same JSON, read strictly: a field of another type is null, and so is a list with a broken stub."""
+    return _flat(entities.from_json(_json_lines(spark, sf_dir)))
 
 
 @query(f"{E} SELECT {_ENTITY.format(p='parents', o='CASE WHEN id % 2 = 0 THEN ord END').replace(', ordinal', '')} FROM e")

@@ -7,6 +7,8 @@ import os
 import re
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
@@ -243,6 +245,42 @@ class Store:
             return False
         raise OSError(f"{path} could not be made")
 
+    @contextmanager
+    def leased(self, spark: SparkSession, seconds: float = 3600) -> Iterator[bool]:
+        """Whether the caller alone may refresh meanwhile: it holds the file ``_lease``, which is put in place as a snapshot is.
+
+        One older than ``seconds`` is of a holder that crashed, and is taken over. Who works on regardless
+        fails at the snapshot, so a lease spares work and guards nothing.
+        """
+        folder = f"{self.path}/_snapshots"
+        lease, fs = file_system(spark, f"{folder}/_lease")
+        own = uuid.uuid4().hex
+        aside, _ = file_system(spark, f"{folder}/_{own}")
+        stream = fs.create(aside, True)
+        stream.write(bytearray(own.encode()))
+        stream.close()
+        held = self._placed(fs, aside, lease)
+        if not held and fs.exists(lease) and time.time() - fs.getFileStatus(lease).getModificationTime() / 1000 > seconds:
+            fs.delete(lease, False)
+            held = self._placed(fs, aside, lease)
+        try:
+            if not held:
+                fs.delete(aside, False)
+            yield held
+        finally:
+            if held and self._holder(fs, lease) == own:
+                fs.delete(lease, False)
+
+    @staticmethod
+    def _holder(fs, lease) -> str | None:  # noqa: ANN001
+        if not fs.exists(lease):
+            return None
+        stream = fs.open(lease)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     def _clean(self, spark: SparkSession) -> None:
         """Delete snapshots older than ``retention``, but for the newest whole one, the segments that only they list, and
         segments and files aside that no snapshot lists for longer than ``orphans``."""

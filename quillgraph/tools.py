@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import os
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,6 +15,7 @@ from . import catalog
 from .plans import records, refresh, search
 from .schema import DEFAULTS, META
 from .sources import entities
+from .sources.capture import Captures
 from .sources.embedder import SERVER, Embedder, HashEmbedder, LoopbackEmbedder, embedded_query
 from .sources.pull import pulled_entities
 from .sources.snapshot import Meta, Store
@@ -25,13 +27,15 @@ log = logging.getLogger(__name__)
 class Tools:
     """``registry``: the file of known graphs; ``stores``: the folder of their stores; ``port_file``: the API's port settings.
     ``entities``: JSON lines to capture a graph from, instead of its API. ``url``: the embedding server, else from the
-    environment. Without a ``model`` words are hashed."""
+    environment. Without a ``model`` words are hashed. ``captures``: a folder that keeps each graph's entities, so that a refresh pulls
+    only what has changed; without it the whole graph is pulled."""
 
     spark: SparkSession
     registry: str = ""
     stores: str = "stores"
     port_file: str = ""
     entities: str = ""
+    captures: str = ""
     lenient: bool = False
     model: str = ""
     dimension: int = 64
@@ -53,7 +57,12 @@ class Tools:
             found = entities.read_entities(self.spark, self.entities, self.lenient)
         else:
             at = catalog.access(self.spark, graph, name, self.token, self.port, self.port_file)
-            found = pulled_entities(self.spark, at.url, at.token)
+            if self.captures:
+                held = Captures(catalog.store_path(self.captures, name))
+                log.info("%s: %s", name, held.capture(self.spark, at.url, at.token))
+                found = held.entities(self.spark)
+            else:
+                found = pulled_entities(self.spark, at.url, at.token)
         return records.index_records(found, daily_notes)
 
     def build(self, graph: str, daily_notes: bool = True) -> Meta:
@@ -87,27 +96,38 @@ class Tools:
 
     def semantic_search(self, graph: str, query: str, k: int = DEFAULTS.default_k) -> dict:
         """The best ``k`` hits of a graph's index, its meta, and whether it was brought up to date before. An index that is
-        too old is refreshed; if that fails, the hits are those of the old one and the failure is told."""
+        too old is refreshed; if that fails, the hits are those of the old one and the failure is told. Of many searches one
+        refreshes, and the others have the hits of the old index meanwhile."""
         entry, store = self._indexed(graph)
-        state = freshness(self.spark, store.meta(self.spark), lambda meta: self._refreshed(entry, store, meta))
+        state = freshness(self.spark, store.meta(self.spark), lambda meta: self._refreshed(entry, store, meta), store)
         meta = store.meta(self.spark)
         hits = searched(self.spark, store, query, k, self.embedder(meta))
         return {"hits": [h.asDict() for h in hits], "index": asdict(meta), "refresh": state}
 
 
-def freshness(spark: SparkSession, meta: Meta, bring_up: Callable[[Meta], object]) -> dict:
-    """state (unchecked, fresh, refreshed or failed), age_seconds before, threshold_seconds and error of a store about to be searched."""
+def freshness(spark: SparkSession, meta: Meta, bring_up: Callable[[Meta], object], store: Store | None = None) -> dict:
+    """state, age_seconds before, threshold_seconds and error of a store about to be searched.
+
+    The state is unchecked, fresh, refreshed or failed; refreshing where another search holds the ``store``'s lease and brings
+    it up to date.
+    """
     most = catalog.max_staleness(spark)
-    row = catalog.with_freshness(spark.createDataFrame([tuple(asdict(meta).values())], META), F.lit(most)).first()
+    judged = lambda m: catalog.with_freshness(spark.createDataFrame([tuple(asdict(m).values())], META), F.lit(most)).first()
+    row = judged(meta)
     told = {"state": row["state"], "age_seconds": row["age"], "threshold_seconds": most, "error": None}
-    if row["state"] == "stale":
+    if row["state"] != "stale":
+        return told
+    with store.leased(spark) if store else nullcontext(True) as mine:
+        if not mine:
+            return told | {"state": "refreshing"}
+        if store and (meta := store.meta(spark)) and judged(meta)["state"] == "fresh":
+            return told | {"state": "refreshed"}  # by the holder before
         try:
             bring_up(meta)
         except Exception as e:  # noqa: BLE001  what can be searched is searched, whatever the cause
             log.warning("%s could not be refreshed: %s", meta.graph_name, e)
             return told | {"state": "failed", "error": str(e)}
-        told["state"] = "refreshed"
-    return told
+    return told | {"state": "refreshed"}
 
 
 def searched(spark: SparkSession, store: Store, words: str, k: int, embedder: Embedder) -> list[Row]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 from functools import lru_cache
 from pathlib import Path
@@ -17,6 +18,26 @@ def workers_find_library(spark: SparkSession) -> None:
         known["PYTHONPATH"] = ":".join(x for x in (home, known.get("PYTHONPATH")) if x)
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the process ends in order, with all that is in it."""
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _delete_scratch() -> None:
+    while _made:
+        spark, path = _made.pop()
+        try:
+            at, fs = file_system(spark, path)
+            fs.delete(at, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
+
+
 @lru_cache(maxsize=1)
 def _temporary() -> str:
     return "file://" + tempfile.mkdtemp(prefix="quillgraph-")
@@ -29,6 +50,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    if (spark, _temporary()) not in _made:
+        scratch(spark, _temporary())
     return _temporary()
 
 
@@ -37,6 +60,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(df.sparkSession))
+        scratch(df.sparkSession, context._jsc.sc().getCheckpointDir().get())  # a folder of this session's own in the shared one
     return df.checkpoint()
 
 
