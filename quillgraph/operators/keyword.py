@@ -22,8 +22,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BLOCK = 1024
 #: What scores are compared to: nine places, as they are ranked.
 NEAR = 1e-8
-#: A block's arrays, entry by entry: a record and a column of it that has the term.
-ENTRY = ["uid", "ordinal", "dl", "col", "tf", "positions"]
+#: A block's arrays: of its records, and, entry by entry, of a term's (place of the record in the block, number of the column, tf).
+RECORDS, ENTRIES = ["uid", "ordinal", "dl"], ["slot", "col", "tf"]
 
 
 @dataclass(frozen=True)
@@ -31,9 +31,10 @@ class KeywordIndex:
     """blocks, terms (term, df), and the number of records and of their tokens.
 
     A row of blocks has the postings of one term in one block of records (segment, block): n records, the largest tf
-    of each column (tf_max) and the least length (dl_min), and in arrays its entries: uid, ordinal, length, number of the column, tf and
-    positions. The row with a null term has all records of the block and their lengths. df of a term is the sum of its
-    rows of terms. ``gone`` (uid, _at) takes records out of segments below _at.
+    of each column (tf_max) and the least length (dl_min), and in arrays its entries: place of the record in the block, number of the
+    column and tf; and the positions of all entries, one after another. The row with a null term has the block's records
+    instead: uid, ordinal and length. df of a term is the sum of its rows of terms. ``gone`` (uid, _at) takes records out
+    of segments below _at.
     """
 
     blocks: DataFrame
@@ -43,20 +44,35 @@ class KeywordIndex:
     total_len: int
     gone: DataFrame | None = field(default=None)
 
-    def entries(self, blocks: DataFrame, names: list[str] = ENTRY) -> DataFrame:
-        """term and the entries of ``blocks``, those of live records."""
-        flat = blocks.select("segment", "term", F.inline(F.arrays_zip(*names)))
+    @cached_property
+    def records(self) -> DataFrame:
+        """The rows of the blocks' records."""
+        return self.blocks.where("term is null").select("segment", "block", *RECORDS)
+
+    def entries(self, blocks: DataFrame, positions: bool = False) -> DataFrame:
+        """(term, uid, ordinal, dl, col, tf), and positions if wanted, of the entries of ``blocks`` of live records. Rows of terms meet their
+        block's records before anything is exploded."""
+        met = blocks.select("segment", "block", "term", *ENTRIES, *(["positions"] if positions else [])).join(self.records, ["segment", "block"])
+        ends = F.aggregate("tf", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))  # only for phrases
+        met = met.withColumn("_ends", ends) if positions else met
+
+        def entry(x: Column, i: Column) -> Column:
+            record = [F.get(c, x["slot"].cast("int")).alias(c) for c in RECORDS]
+            told = [F.slice("positions", F.get("_ends", i) + 1, x["tf"]).alias("positions")] if positions else []
+            return F.struct(*record, x["col"].cast("int").alias("col"), x["tf"].alias("tf"), *told)
+
+        flat = met.select("segment", "term", F.inline(F.transform(F.arrays_zip(*ENTRIES), entry)))
         return without_gone(flat, self.gone).drop("segment")
 
     @cached_property
     def postings(self) -> DataFrame:
         """(term, uid, ordinal, dl, col, tf, positions)"""
-        return self.entries(self.blocks.where("term is not null"))
+        return self.entries(self.blocks.where("term is not null"), positions=True)
 
     @cached_property
     def lengths(self) -> DataFrame:
         """(uid, ordinal, dl) of all records"""
-        return self.entries(self.blocks.where("term is null"), ENTRY[:3]).drop("term")
+        return without_gone(self.records.select("segment", F.inline(F.arrays_zip(*RECORDS))), self.gone).drop("segment")
 
     @property
     def average(self) -> float:
@@ -75,7 +91,7 @@ def tokenised(records: DataFrame, columns: list[str], uid: str = "uid", ordinal:
     kinds = {f.name: f.dataType for f in records.schema}
     joined = [F.array_join(c, " · ") if isinstance(kinds[c], ArrayType) else F.col(c) for c in columns]
     tokens = F.array(*(F.coalesce(index_tokens(c), F.array().cast("array<string>")) for c in joined))
-    return records.select(F.col(uid).alias("uid"), F.col(ordinal).alias("ordinal"), tokens.alias("tokens"), *(["_block"] if "_block" in records.columns else []))
+    return records.select(F.col(uid).alias("uid"), F.col(ordinal).alias("ordinal"), tokens.alias("tokens"))
 
 
 def record_terms(tokens: DataFrame) -> DataFrame:
@@ -84,26 +100,23 @@ def record_terms(tokens: DataFrame) -> DataFrame:
 
 
 def posting_blocks(tokens: DataFrame, columns: int) -> DataFrame:
-    """The blocks of ``tokenised`` records. A batch is grouped where it is, as all postings of a record come from its row, so
-    nothing is shuffled. Records with a _block keep it (one that falls into two batches gives two rows for a term); else
-    BLOCK rows that follow one another are one."""
+    """The blocks of ``tokenised`` records: BLOCK rows that follow one another are one. A batch is grouped where it is, as
+    all postings of a record come from its row, so nothing is shuffled."""
     kind = {f.name: f.dataType.simpleString() for f in tokens.schema}
-    schema = f"term string, block long, n int, tf_max array<int>, dl_min long, uid array<{kind['uid']}>, ordinal array<{kind['ordinal']}>, dl array<long>, col array<int>, tf array<int>, positions array<array<int>>"
+    schema = f"term string, block long, n int, tf_max array<int>, dl_min long, slot array<smallint>, col array<tinyint>, tf array<int>, positions array<int>, uid array<{kind['uid']}>, ordinal array<{kind['ordinal']}>, dl array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 23
+        number = TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(at, BLOCK)
-                blocks = batch.column("_block").to_numpy() if "_block" in batch.schema.names else np.full(batch.num_rows, number, np.int64)
+                yield from _grouped(whole.slice(at, BLOCK), number, columns)
                 number += 1
-                yield from _grouped(batch, blocks, columns)
 
     return tokens.mapInArrow(run, schema)
 
 
-def _lists(values: pa.Array, starts: np.ndarray, end: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, end).astype(np.int32)), values)
+def _lists(values: pa.Array, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), values)
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -117,51 +130,58 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _grouped(batch: pa.RecordBatch, blocks: np.ndarray, columns: int) -> Iterator[pa.RecordBatch]:
+def _grouped(batch: pa.RecordBatch, number: int, columns: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a block: its records, then a row for each term, in order of its first letters' codes."""
     n = batch.num_rows
     each = batch.column("tokens").flatten()  # a list for each record and column
     sizes = np.asarray(each.value_lengths(), np.int64)
     words = each.flatten().dictionary_encode()
     codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     of = np.repeat(np.arange(len(each)), sizes)
-    row, col = of // columns, of % columns
     pos = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     dl = sizes.reshape(n, columns).sum(axis=1)
-    order = np.lexsort((pos, col, row, blocks[row], codes))
-    codes, row, col, pos = codes[order], row[order], col[order], pos[order]
-    entry = _starts(codes, row, col)
+    order = np.lexsort((pos, of, codes))
+    codes, of, pos = codes[order], of[order], pos[order]
+    entry = _starts(codes, of)
     tf = np.diff(np.append(entry, len(codes)))
-    e_code, e_row, e_col = codes[entry], row[entry], col[entry]
-    group = _starts(e_code, blocks[e_row])
-    whole = np.argsort(blocks, kind="stable")  # the records themselves, under the null term
-    w_group = _starts(blocks[whole])
-    for term, rows_of, at, c, t, positions in (
-        (words.dictionary.take(pa.array(e_code[group])), e_row, group, e_col, tf, _lists(pa.array(pos, pa.int32()), entry, len(pos))),
-        (pa.nulls(len(w_group), pa.string()), whole, w_group, np.zeros(n, np.int64), np.zeros(n, np.int64), pa.array([[]] * n, pa.list_(pa.int32()))),
-    ):
-        if not len(at):
-            continue
-        most = [np.maximum.reduceat(np.where(c == k, t, 0), at) for k in range(columns)]
-        first = np.ones(len(rows_of), np.int64)
-        first[1:] = rows_of[1:] != rows_of[:-1]
-        first[at] = 1
-        taken = pa.array(rows_of)
-        yield pa.RecordBatch.from_arrays(
-            [
-                term, pa.array(blocks[rows_of[at]], pa.int64()), pa.array(np.add.reduceat(first, at), pa.int32()), pa.array(np.stack(most, axis=1).astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(np.minimum.reduceat(dl[rows_of], at), pa.int64()),
-                _lists(batch.column("uid").take(taken), at, len(rows_of)), _lists(batch.column("ordinal").take(taken), at, len(rows_of)), _lists(pa.array(dl[rows_of], pa.int64()), at, len(rows_of)),
-                _lists(pa.array(c, pa.int32()), at, len(rows_of)), _lists(pa.array(t, pa.int32()), at, len(rows_of)), _lists(positions, at, len(rows_of)),
-            ],
-            names=["term", "block", "n", "tf_max", "dl_min", *ENTRY],
-        )
-
-
-def reblocked(entries: DataFrame, columns: int) -> DataFrame:
-    """Blocks of ``entries`` (term and ENTRY, null terms too) under their new block: the merge of postings, without tokenising."""
+    slot, col = of[entry] // columns, of[entry] % columns
+    group = _starts(codes[entry])
+    names = ["term", "block", "n", "tf_max", "dl_min", *ENTRIES, "positions", *RECORDS]
+    kinds = [pa.list_(pa.int16()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.nulls(1, pa.string()), pa.array([number], pa.int64()), pa.array([n], pa.int32()), pa.array([[0] * columns], pa.list_(pa.int32())), pa.array([dl.min()], pa.int64()), *(pa.nulls(1, k) for k in kinds),
+            _lists(batch.column("uid"), np.zeros(1)), _lists(batch.column("ordinal"), np.zeros(1)), _lists(pa.array(dl, pa.int64()), np.zeros(1)),
+        ],
+        names=names,
+    )
+    if not len(group):
+        return
+    most = np.stack([np.maximum.reduceat(np.where(col == k, tf, 0), group) for k in range(columns)], axis=1)
+    new = np.ones(len(slot), np.int64)
+    new[1:] = slot[1:] != slot[:-1]
+    new[group] = 1
+    yield pa.RecordBatch.from_arrays(
+        [
+            words.dictionary.take(pa.array(codes[entry[group]])), pa.array(np.full(len(group), number)), pa.array(np.add.reduceat(new, group), pa.int32()),
+            _lists(pa.array(most.ravel(), pa.int32()), np.arange(len(group)) * columns), pa.array(np.minimum.reduceat(dl[slot], group), pa.int64()),
+            _lists(pa.array(slot, pa.int16()), group), _lists(pa.array(col, pa.int8()), group), _lists(pa.array(tf, pa.int32()), group), _lists(pa.array(pos, pa.int32()), entry[group]),
+            *(pa.nulls(len(group), pa.list_(k)) for k in (batch.column("uid").type, batch.column("ordinal").type, pa.int64())),
+        ],
+        names=names,
+    )
+
+
+def reblocked(entries: DataFrame, placed: DataFrame, columns: int, names: list[str]) -> DataFrame:
+    """Blocks (columns ``names``) of ``entries`` (term, uid, dl, col, tf, positions) by the new places ``placed`` (uid, ordinal, dl, block,
+    slot): the merge of postings, without tokenising."""
     most = F.array(*(F.coalesce(F.max(F.when(F.col("col") == k, F.col("tf"))), F.lit(0)) for k in range(columns)))
-    # one shuffle: records of a term and block, then the entries
-    rows = entries.groupBy("term", "block").agg(F.count_distinct("uid").cast("int").alias("n"), most.alias("tf_max"), F.min("dl").alias("dl_min"), F.array_sort(F.collect_list(F.struct(*ENTRY))).alias("_e"))
-    return rows.select("term", "block", "n", "tf_max", "dl_min", *(F.col(f"_e.{c}").alias(c) for c in ENTRY))
+    met = entries.join(placed.select("uid", "block", "slot"), "uid")
+    of = met.groupBy("term", "block").agg(F.count_distinct("slot").cast("int").alias("n"), most.alias("tf_max"), F.min("dl").alias("dl_min"), F.array_sort(F.collect_list(F.struct("slot", "col", "tf", "positions"))).alias("_e"))
+    of = of.select("term", "block", "n", "tf_max", "dl_min", F.col("_e.slot").cast("array<smallint>").alias("slot"), F.col("_e.col").cast("array<tinyint>").alias("col"), F.col("_e.tf").alias("tf"), F.flatten("_e.positions").alias("positions"))
+    each = placed.groupBy("block").agg(F.count("*").cast("int").alias("n"), F.min("dl").alias("dl_min"), F.array_sort(F.collect_list(F.struct("slot", *RECORDS))).alias("_r"))
+    records = each.select("block", "n", F.array_repeat(F.lit(0), columns).alias("tf_max"), "dl_min", *(F.col(f"_r.{c}").alias(c) for c in RECORDS))
+    return of.unionByName(records, allowMissingColumns=True).select(*names)
 
 
 def keyword_index(records: DataFrame, columns: list[str], uid: str = "uid", ordinal: str = "ordinal") -> KeywordIndex:
@@ -183,9 +203,10 @@ def _occurrences(index: KeywordIndex, blocks: DataFrame, phrases: DataFrame) ->
     counted. One token alone reads tf and no positions."""
     of = ["uid", "ordinal", "dl", "col"]
     single = phrases.where(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term"))
-    one = index.entries(blocks, [*of, "tf"]).join(single, "term").select("phrase", *of, "tf")
+    one = index.entries(blocks).join(single, "term").select("phrase", *of, "tf")
     several = phrases.where(F.size("phrase") > 1).select("phrase", F.posexplode("phrase").alias("i", "term"))
-    begins = index.entries(blocks).join(several, "term").select("phrase", *of, F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("begin"))
+    some = blocks.join(several.select("term").distinct(), "term", "left_semi")
+    begins = index.entries(some, positions=True).join(several, "term").select("phrase", *of, F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("begin"))
     whole = begins.groupBy("phrase", *of, "begin").agg(F.count("*").alias("n")).where(F.col("n") == F.size("phrase"))
     return one.unionByName(whole.groupBy("phrase", *of).agg(F.count("*").alias("tf")))
 
@@ -253,7 +274,7 @@ def _term_weights(index: KeywordIndex, times: dict[tuple[int, str], int]) -> Dat
 
 
 def _exact(index: KeywordIndex, blocks: DataFrame, asked: DataFrame, weights: dict[str, float]) -> DataFrame:
-    entries = index.entries(blocks, ENTRY[:5])
+    entries = index.entries(blocks)
     of = entries.groupBy("term", "uid", "ordinal", "dl").agg(F.sum(_weight(index, weights) * F.col("tf")).alias("f"))
     return of.join(asked, "term").groupBy("qid", "uid", "ordinal").agg(F.sum(F.col("weight") * _saturated(index, F.col("f"), F.col("dl"))).alias("score"))
 

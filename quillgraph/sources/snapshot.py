@@ -22,8 +22,6 @@ from ..workers import file_system
 
 #: Segments of one tier that are merged; a tier's segments have up to so many times the records of the tier below.
 FAN = 4
-#: Records of a block are BLOCK rows that follow one another in a file: the number of a row is shifted by so many bits.
-BLOCK_BITS = keyword.BLOCK.bit_length() - 1
 
 
 class ConflictError(RuntimeError):
@@ -135,18 +133,18 @@ class Store:
         return rows.groupBy("uid").agg(F.max("_at").alias("_at"))
 
     def _live(self, spark: SparkSession, segments: tuple[str, ...], uids: list | None = None) -> DataFrame:
-        """Records of ``segments`` that none of the later ones takes out, with _block; of ``uids`` alone if given."""
+        """Records of ``segments`` that none of the later ones takes out, with _at; of ``uids`` alone if given."""
         rows, gone = self._all(spark, "records", segments), self._gone(spark, segments)
         if uids is not None:
             rows, gone = rows.where(F.col("uid").isin(uids)), None if gone is None else gone.where(F.col("uid").isin(uids))
         return keyword.without_gone(rows, gone)
 
     def records(self, spark: SparkSession, of: Snapshot | None = None) -> DataFrame:
-        return self._live(spark, (of or self.snapshot(spark)).segments).drop("segment", "_block")
+        return self._live(spark, (of or self.snapshot(spark)).segments).drop("segment", "_at")
 
     def records_of(self, spark: SparkSession, uids: list, of: Snapshot | None = None) -> DataFrame:
         """The records of a few ``uids``: literals of the scans, whose statistics and Bloom filters leave most row groups out."""
-        return self._live(spark, (of or self.snapshot(spark)).segments, uids).drop("segment", "_block")
+        return self._live(spark, (of or self.snapshot(spark)).segments, uids).drop("segment", "_at")
 
     def hashes(self, spark: SparkSession, of: Snapshot | None = None) -> DataFrame:
         return self.records(spark, of).select("uid", "content_hash")
@@ -169,9 +167,9 @@ class Store:
     # -- writing
 
     def _put(self, spark: SparkSession, base: str, records: DataFrame) -> DataFrame:
-        """``records`` written in order of uid, with their _block, and read again. They are dealt by hash: a sample for
+        """``records`` written in order of uid, with their number _at, and read again. They are dealt by hash: a sample for
         ranges would compute them twice."""
-        placed = records.repartition("uid").sortWithinPartitions("uid").withColumn("_block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+        placed = records.repartition("uid").sortWithinPartitions("uid").withColumn("_at", F.monotonically_increasing_id())
         placed.write.option("parquet.bloom.filter.enabled#uid", "true").option("parquet.block.size", 16 << 20).parquet(f"{base}/records")
         written = spark.read.parquet(f"{base}/records")
         if "embedding" in written.columns:
@@ -187,8 +185,12 @@ class Store:
         held.join(F.broadcast(known), F.col("pivot") == F.col("_p"), "left").drop("_p").coalesce(1).write.parquet(f"{base}/pivots")  # MOST_PIVOTS rows
 
     def _put_postings(self, spark: SparkSession, base: str, blocks: DataFrame) -> DataFrame:
+        """Written as they come, so that they are not computed once more for the sample of ranges, and then in order."""
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks.repartitionByRange(least, "term", "block").sortWithinPartitions("term", "block").write.option("parquet.block.size", 16 << 20).parquet(f"{base}/postings")
+        blocks.write.parquet(f"{base}/_unsorted")
+        spark.read.parquet(f"{base}/_unsorted").repartitionByRange(least, "term", "block").sortWithinPartitions("term", "block").write.option("parquet.block.size", 16 << 20).parquet(f"{base}/postings")
+        unsorted, fs = file_system(spark, f"{base}/_unsorted")
+        fs.delete(unsorted, True)
         return spark.read.parquet(f"{base}/postings")
 
     def _segment(self, spark: SparkSession, records: DataFrame, of: Snapshot | None = None, gone: DataFrame | None = None) -> tuple[str, int, int]:
@@ -202,7 +204,7 @@ class Store:
         terms = postings.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
         if of is not None:
             out = self._live(spark, of.segments).join(spark.read.parquet(f"{base}/gone"), "uid", "left_semi")
-            less = keyword.record_terms(keyword.tokenised(out.drop("_block"), self.columns))
+            less = keyword.record_terms(keyword.tokenised(out, self.columns))
             terms = terms.unionByName(less.select("term", (-F.col("n")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))
         terms.where("df != 0").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/terms")
         lengths = postings.where("term is null").select(F.explode("dl").alias("dl"))
@@ -337,10 +339,12 @@ class Store:
             return False
         some, name = of.segments[at:], uuid.uuid4().hex
         base = f"{self.path}/{name}"
-        written = self._put(spark, base, self._live(spark, some).drop("segment", "_block"))
+        written = self._put(spark, base, self._live(spark, some).drop("segment", "_at"))
         index = keyword.KeywordIndex(self._all(spark, "postings", some), written.limit(0), self.columns, 0, 0, self._gone(spark, some))
-        entries = index.entries(index.blocks).join(written.select("uid", F.col("_block").alias("block")), "uid")
-        self._put_postings(spark, base, keyword.reblocked(entries, len(self.columns)))
+        bits = keyword.BLOCK.bit_length() - 1
+        placed = written.select("uid", F.shiftright("_at", bits).alias("block"), F.col("_at").bitwiseAND(keyword.BLOCK - 1).cast("int").alias("slot"))
+        names = [c for c in index.blocks.columns if c != "segment"]
+        self._put_postings(spark, base, keyword.reblocked(index.postings, index.lengths.join(placed, "uid"), len(self.columns), names))
         gone = reduce(DataFrame.unionByName, [self._read(spark, s, "gone") for s in some]).distinct()
         (gone if at else gone.where("false")).write.parquet(f"{base}/gone")
         terms = reduce(DataFrame.unionByName, [self._read(spark, s, "terms") for s in some]).groupBy("term").agg(F.sum("df").alias("df"))

@@ -42,7 +42,7 @@ def big(spark, tmp_path_factory):
     """3,000 records in blocks of 32, eight files of postings."""
     workers_find_library(spark)
     patch = pytest.MonkeyPatch()
-    patch.setattr(snapshot, "BLOCK_BITS", 5)
+    patch.setattr(keyword, "BLOCK", 32)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     store = Store(str(tmp_path_factory.mktemp("big")), ("text", "title"))
@@ -71,19 +71,20 @@ def test_blocks_are_skipped(spark, big):
     index = big.index(spark)
     blocks = index.blocks.where(F.col("term").isin(["the", "rare"]))
     kept, asked = keyword.surviving(index, blocks, {(0, "the"): 1, (0, "rare"): 1}, WEIGHTS, 10)
-    size = lambda b: b.agg(F.sum(F.size("uid"))).first()[0]
+    size = lambda b: b.agg(F.sum(F.size("slot"))).first()[0]
     assert size(kept) < 0.5 * size(blocks)
     bounds = keyword.block_bounds(index, blocks, asked, WEIGHTS)
     plan = bounds._jdf.queryExecution().executedPlan().toString()
-    assert "positions" not in plan and "uid" not in plan and "PushedFilters: [In(term" in plan.replace("[IsNotNull(term), ", "[")
+    assert "positions" not in plan and "slot" not in plan and "uid" not in plan and "PushedFilters: [In(term" in plan.replace("[IsNotNull(term), ", "[")
     least = {(r.segment, r.block): r.bound for r in bounds.collect()}
     exact = keyword._exact(index, blocks, asked, WEIGHTS).join(index.blocks.where("term is null").select("segment", "block", F.explode("uid").alias("uid")), "uid").collect()
     assert len(exact) == 3000 and all(r.score <= least[r.segment, r.block] + 1e-9 for r in exact)
 
 
-def test_search_reads_no_lengths_and_no_positions(spark, big):
+def test_search_reads_no_positions_and_shuffles_no_records(spark, big):
+    """A block's records meet its surviving rows of terms by a broadcast of these, and entries are made after that."""
     plan = keyword.bm25_of(big.index(spark), [(0, "rare common")], WEIGHTS, 10)._jdf.queryExecution().executedPlan().toString()
-    assert "positions" not in plan and "records" not in plan
+    assert "positions" not in plan and "/records" not in plan
 
 
 def test_a_term_in_every_record_is_in_all_files(spark, big):
