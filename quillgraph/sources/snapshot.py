@@ -133,18 +133,18 @@ class Store:
         return rows.groupBy("uid").agg(F.max("_at").alias("_at"))
 
     def _live(self, spark: SparkSession, segments: tuple[str, ...], uids: list | None = None) -> DataFrame:
-        """Records of ``segments`` that none of the later ones takes out, with _at; of ``uids`` alone if given."""
+        """Records of ``segments`` that none of the later ones takes out, with _no; of ``uids`` alone if given."""
         rows, gone = self._all(spark, "records", segments), self._gone(spark, segments)
         if uids is not None:
             rows, gone = rows.where(F.col("uid").isin(uids)), None if gone is None else gone.where(F.col("uid").isin(uids))
         return keyword.without_gone(rows, gone)
 
     def records(self, spark: SparkSession, of: Snapshot | None = None) -> DataFrame:
-        return self._live(spark, (of or self.snapshot(spark)).segments).drop("segment", "_at")
+        return self._live(spark, (of or self.snapshot(spark)).segments).drop("segment", "_no")
 
     def records_of(self, spark: SparkSession, uids: list, of: Snapshot | None = None) -> DataFrame:
         """The records of a few ``uids``: literals of the scans, whose statistics and Bloom filters leave most row groups out."""
-        return self._live(spark, (of or self.snapshot(spark)).segments, uids).drop("segment", "_at")
+        return self._live(spark, (of or self.snapshot(spark)).segments, uids).drop("segment", "_no")
 
     def hashes(self, spark: SparkSession, of: Snapshot | None = None) -> DataFrame:
         return self.records(spark, of).select("uid", "content_hash")
@@ -167,9 +167,9 @@ class Store:
     # -- writing
 
     def _put(self, spark: SparkSession, base: str, records: DataFrame) -> DataFrame:
-        """``records`` written in order of uid, with their number _at, and read again. They are dealt by hash: a sample for
+        """``records`` written in order of uid, with their number _no, and read again. They are dealt by hash: a sample for
         ranges would compute them twice."""
-        placed = records.repartition("uid").sortWithinPartitions("uid").withColumn("_at", F.monotonically_increasing_id())
+        placed = records.repartition("uid").sortWithinPartitions("uid").withColumn("_no", F.monotonically_increasing_id())
         placed.write.option("parquet.bloom.filter.enabled#uid", "true").option("parquet.block.size", 16 << 20).parquet(f"{base}/records")
         written = spark.read.parquet(f"{base}/records")
         if "embedding" in written.columns:
@@ -339,10 +339,10 @@ class Store:
             return False
         some, name = of.segments[at:], uuid.uuid4().hex
         base = f"{self.path}/{name}"
-        written = self._put(spark, base, self._live(spark, some).drop("segment", "_at"))
+        written = self._put(spark, base, self._live(spark, some).drop("segment", "_no"))
         index = keyword.KeywordIndex(self._all(spark, "postings", some), written.limit(0), self.columns, 0, 0, self._gone(spark, some))
         bits = keyword.BLOCK.bit_length() - 1
-        placed = written.select("uid", F.shiftright("_at", bits).alias("block"), F.col("_at").bitwiseAND(keyword.BLOCK - 1).cast("int").alias("slot"))
+        placed = written.select("uid", F.shiftright("_no", bits).alias("block"), F.col("_no").bitwiseAND(keyword.BLOCK - 1).cast("int").alias("slot"))
         names = [c for c in index.blocks.columns if c != "segment"]
         self._put_postings(spark, base, keyword.reblocked(index.postings, index.lengths.join(placed, "uid"), len(self.columns), names))
         gone = reduce(DataFrame.unionByName, [self._read(spark, s, "gone") for s in some]).distinct()

@@ -294,7 +294,7 @@ def test_store_of_segments_equals_a_new_one(spark, tmp_path, monkeypatch):
 
     store = Store(str(tmp_path / "store"), ("text",))
     refresh.build(spark, store, frame(), hashing, "g")
-    for n in range(4):
+    for n in range(3):
         rows.pop(r.choice(sorted(rows)))
         rows[r.choice(sorted(rows))] += f" changed word{n}"
         rows[f"u{20 + n}"] = "word1 new"

@@ -197,7 +197,7 @@ def test_merging_tokenises_nothing(spark, tmp_path, monkeypatch):
     assert of.segments[0] == first and of.sizes == (40, 4)
     fresh = Store(str(tmp_path / "f"), ("text",))
     fresh.write(spark, store.records(spark), META)
-    for words in ("base", "changed word1", "word3 again", "changed again base"):
+    for words in ("changed word1", "changed again base"):
         assert _top(keyword.bm25_of(store.index(spark), [(0, words)], {"text": 1.0}, 5), 5) == _top(keyword.bm25_of(fresh.index(spark), [(0, words)], {"text": 1.0}, 5), 5)
 
 
