@@ -18,21 +18,21 @@ from .common import documents, materialise, slices, tidy, utf8
 
 CAPACITY = 2048
 END_ID = 0
-#: How long the longest length of a complementing pair is at least, of the longest that fits.
-REACHES = (0.7, 1.0)
 
 
 class SumIndex:
     """Which available lengths have a given sum: one, two or three of them.
 
-    ``left`` has how often each length is available: the index of single sums. Pairs are hashed by their sum, and a triple
-    is found by its longest length and the sum of the other two. Entries of a sum are made when it is first asked for, the
-    longest length last. Counts only fall, so an entry that they no longer allow is dropped for good when it is met.
+    ``left`` has how often each length is available: the index of single sums. Pairs are hashed by their sum, and triples
+    by their sum too, as a length beside an entry of the index of pairs. Entries of a sum are made when it is first asked
+    for, the longest length last. Counts only fall, so an entry that they no longer allow is dropped for good when it is
+    met.
     """
 
     def __init__(self, left: list[int]):
         self.left = left
         self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
 
     def _free(self, *parts: int) -> bool:
         return all(self.left[x] >= parts.count(x) for x in parts)
@@ -49,27 +49,32 @@ class SumIndex:
             found.pop()
         return next(((x, total - x) for x in reversed(found) if not beside or self._free(x, total - x, *beside)), None)
 
-    def triple(self, total: int, longest: int) -> tuple[int, ...] | None:
-        """``longest`` and a pair with the rest of the sum, which is an entry of the index of pairs."""
-        two = self.pair(total - longest, (longest,)) if total > longest else None
-        return (longest, *two) if two else None
-
-    def exact(self, total: int, longest: int, reach: float) -> tuple[int, ...] | None:
-        """One length, a pair, or a triple with this sum. The longest available length that fits is ``longest``; a pair has
-        one of at least ``reach`` of it, and a triple has it: complements of short lengths would use up what fills other gaps."""
+    def triple(self, total: int, above: int = 0) -> tuple[int, ...] | None:
+        """Three available lengths with the longest length that any such triple has, if that is more than ``above``."""
+        if total not in self.triples:
+            self.triples[total] = [x for x in range(-(-total // 3), total - 1) if self.left[x]]
+        found = self.triples[total]
+        at = len(found) - 1
+        while at >= 0 and found[at] > above:
+            x = found[at]
+            two = self.pair(total - x, (x,)) if self.left[x] else None
+            if two:
+                del found[at + 1 :]  # no longer ones have a pair, nor will they
+                return (x, *two)
+            at -= 1
+        del found[at + 1 :]
+        return None
+
+    def exact(self, total: int) -> tuple[int, ...] | None:
+        """One length, a pair or a triple with this sum, whichever has the longest length: long ones fit in fewest gaps. Of a
+        pair and a triple with the same longest one the pair. None only if there is no such filling."""
         if found := self.single(total):
             return found
-        if (found := self.pair(total)) and found[0] >= reach * longest:
-            return found
-        return self.triple(total, longest)
+        two = self.pair(total)
+        return self.triple(total, two[0] if two else 0) or two
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """The plan of exact complements and best-fit residuals; of its REACHES the one with the fewest sequences."""
-    return min((_plan(counts, capacity, reach) for reach in REACHES), key=lambda found: sum(times for times, _ in found))
-
-
-def _plan(counts: dict[int, int], capacity: int, reach: float) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns [(times, [(length, how many), ...]), ...] that together use each length as often as ``counts`` has it.
 
     Works on the counts of lengths alone. The longest length left opens a pattern. One, two or three available lengths
@@ -89,10 +94,9 @@ def _plan(counts: dict[int, int], capacity: int, reach: float) -> list[tuple[int
             parts, gap = [length], capacity - length
             left[length] -= 1
             while gap:
-                longest = next((x for x in range(gap, 0, -1) if left[x]), None)
-                if longest is None:
+                filled = index.exact(gap) or next(((x,) for x in range(gap, 0, -1) if left[x]), None)
+                if filled is None:
                     break
-                filled = index.exact(gap, longest, reach) or (longest,)
                 for x in filled:
                     left[x] -= 1
                 parts += filled

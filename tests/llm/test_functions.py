@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import struct
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -175,11 +177,37 @@ def test_sums_follow_the_counts():
     for x, n in ((40, 1), (30, 2), (20, 2), (10, 1)):
         left[x] = n
     index = packing.SumIndex(left)
-    assert index.exact(30, 30, 1) == (30,) and index.exact(80, 40, 1) == (40, 30, 10) and index.exact(60, 60, 1) is None and index.exact(60, 50, 0.7) == (40, 20) and index.pair(60) == (40, 20) and index.triple(80, 40) == (40, 30, 10)
+    assert index.exact(30) == (30,) and index.exact(80) == (40, 30, 10) and index.exact(60) == (40, 20) and index.exact(95) is None and index.pair(60) == (40, 20) and index.triple(80) == (40, 30, 10)
     left[40] = 0
-    assert index.pair(60) == (30, 30) and index.triple(80, 30) == (30, 30, 20)
+    assert index.pair(60) == (30, 30) and index.triple(80) == (30, 30, 20) and index.triple(80, 30) is None
     left[30] = 1
-    assert index.pair(60) is None and index.triple(80, 30) is None and index.triple(60, 30) == (30, 20, 10)
+    assert index.pair(60) is None and index.triple(80) is None and index.triple(60) == (30, 20, 10)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_an_exact_filling_is_found_whenever_there_is_one(seed):
+    """Random multisets, some of them used up on the way: one to three lengths with the sum, and the longest member of all such."""
+    r = random.Random(seed)
+    for _ in range(400):
+        left = [0] * 31
+        for _ in range(r.randint(1, 9)):
+            left[r.randint(1, 14)] += 1
+        index = packing.SumIndex(left)
+        for _ in range(4):
+            total, there = r.randint(1, 28), [x for x in range(31) for _ in range(left[x])]
+            fillings = [c for k in (1, 2, 3) for c in itertools.combinations(there, k) if sum(c) == total]
+            got = index.exact(total)
+            assert (got is None) == (not fillings)
+            if got:
+                assert sum(got) == total and not Counter(got) - Counter(there) and max(got) == max(map(max, fillings))
+                for x in got:
+                    left[x] -= 1
+
+
+def test_triples_without_the_longest_fitting_length():
+    """Two sequences are filled exactly only if 2038 takes 5, 4 and 1, though 7 fits."""
+    found = packing.plan(Counter([2038, 2037, 7, 5, 4, 4, 1]), 2048)
+    assert sum(t for t, _ in found) == 2 and all(sum(x * n for x, n in parts) == 2048 for _, parts in found)
 
 
 def test_plan_edges():
