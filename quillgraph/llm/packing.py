@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections import Counter
@@ -18,6 +19,8 @@ from .common import documents, materialise, slices, tidy, utf8
 
 CAPACITY = 2048
 END_ID = 0
+#: How long the longest member of an exact filling is at least, of the longest length that fits: one plan for each.
+REACHES = (0.0, 0.7, 1.0)
 
 
 class SumIndex:
@@ -59,22 +62,28 @@ class SumIndex:
             x = found[at]
             two = self.pair(total - x, (x,)) if self.left[x] else None
             if two:
-                del found[at + 1 :]  # no longer ones have a pair, nor will they
                 return (x, *two)
+            del found[at]  # has no pair any more, nor will it
             at -= 1
-        del found[at + 1 :]
         return None
 
-    def exact(self, total: int) -> tuple[int, ...] | None:
+    def exact(self, total: int, least: int = 1) -> tuple[int, ...] | None:
         """One length, a pair or a triple with this sum, whichever has the longest length: long ones fit in fewest gaps. Of a
-        pair and a triple with the same longest one the pair. None only if there is no such filling."""
+        pair and a triple with the same longest one the pair. None only if no such filling has a length of ``least``."""
         if found := self.single(total):
             return found
         two = self.pair(total)
-        return self.triple(total, two[0] if two else 0) or two
+        two = two if two and two[0] >= least else None
+        return self.triple(total, two[0] if two else least - 1) or two
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The plan of exact fillings and best-fit residuals; of its REACHES the one with the fewest sequences. With 0 any exact
+    filling is taken; with more those of short lengths, which would use up what fills other gaps, are left."""
+    return min((_plan(counts, capacity, reach) for reach in REACHES), key=lambda found: sum(times for times, _ in found))
+
+
+def _plan(counts: dict[int, int], capacity: int, reach: float) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns [(times, [(length, how many), ...]), ...] that together use each length as often as ``counts`` has it.
 
     Works on the counts of lengths alone. The longest length left opens a pattern. One, two or three available lengths
@@ -94,9 +103,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[in
             parts, gap = [length], capacity - length
             left[length] -= 1
             while gap:
-                filled = index.exact(gap) or next(((x,) for x in range(gap, 0, -1) if left[x]), None)
-                if filled is None:
+                longest = next((x for x in range(gap, 0, -1) if left[x]), None)
+                if longest is None:
                     break
+                filled = index.exact(gap, max(1, math.ceil(reach * longest))) or (longest,)
                 for x in filled:
                     left[x] -= 1
                 parts += filled
