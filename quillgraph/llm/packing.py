@@ -119,8 +119,9 @@ def _plan(counts: dict[int, int], capacity: int, reach: float) -> list[tuple[int
     return out
 
 
-def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids (the piece's), row_no: each document's ids and END_ID, cut at ``capacity``."""
+def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, row_no, and with ``with_ids`` ids (the piece's): each document's ids and END_ID,
+    cut at ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row_no = TaskContext.get().partitionId() << 33
@@ -135,15 +136,16 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str =
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-                    ids.append(part)
+                    if with_ids:
+                        ids.append(part)
             numbers = np.arange(row_no, row_no + len(source))
             row_no += len(source)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(source, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary()), pa.array(numbers, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "row_no"],
+                [batch.column("doc_id").take(pa.array(source, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(numbers, pa.int64()), *([pa.array(ids, pa.binary())] if with_ids else [])],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "row_no", *(["ids"] if with_ids else [])],
             )
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, row_no long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row_no long" + (", ids binary" if with_ids else "")
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("t")).mapInArrow(tidy(run), schema)
 
 
@@ -189,7 +191,7 @@ def packed_documents(df: DataFrame, path: str, capacity: int = CAPACITY) -> Data
     are not read; an empty table gives no rows. A text of any length is cut into pieces as it is coded. Pieces of equal
     length are interchangeable, so ties need no rule.
     """
-    pieces = materialise(token_pieces(df, path, capacity).drop("ids"), "pieces")
+    pieces = materialise(token_pieces(df, path, capacity, with_ids=False), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
