@@ -3,13 +3,16 @@
 Two kinds of units are compared. Paragraphs are a text's lines: banded MinHash finds those that are alike, exact Jaccard
 verifies them. Cuts are stretches of words between content-defined breaks, so a passage that is set into different
 texts at any place is cut alike but for its ends; they are compared for equality. A component of alike paragraphs, and
-each set of equal cuts, is a class; the first document that holds one keeps it.
+each set of equal cuts, is a class; the first document that holds one keeps it. Near copies that stand inside other text
+have equal cuts beside their edited words: equal cuts are grown over edits, and what they grow to is verified by exact
+Jaccard against the first document.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,11 @@ SIMILARITY = 0.8
 RECALL = 0.99
 #: A run of repeated cuts of one text is removed if it has so many words; shorter paragraphs are not compared.
 LEAST_RUN = 20
+#: Words on either side of repeated cuts that are looked at for the passage's ends; the next repeated cuts look on from there.
+GROWTH = 64
+#: Words that an edit inside a near copy takes out here and there, likeliest first, and equal words that must follow it.
+EDITS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3))
+AGAIN = 4
 #: Paragraphs of one band key that one part of a block holds.
 BLOCK = 1024
 #: Rows of one band key that are held at once.
@@ -64,6 +72,10 @@ def _spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return _mixed((sums[ends] - sums[starts]) * inverses[starts])
 
 
+def halves(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(32)).astype(np.uint32)
+
+
 class Spans:
     """Stretches of words, by their first words: text, number within it, size, and 128 bits (h, g) that tell their words apart."""
 
@@ -119,7 +131,7 @@ class Cut:
         n = len(self.starts)
         self.words = _spans_hash(data.astype(np.uint64), self.starts, self.ends) if n else np.empty(0, np.uint64)
         self.word_text = np.searchsorted(offsets, self.starts, "right") - 1
-        before = np.searchsorted(self.starts, offsets)
+        self.before = before = np.searchsorted(self.starts, offsets)
         pair = _mixed(self.words * np.uint64(3) + np.append(self.words[1:], np.uint64(0))) if n else self.words
         most = np.uint64(2**64 - 1)
         breaks = np.ones(n, bool)
@@ -146,12 +158,13 @@ class Cut:
         self.paragraphs = Spans(self, np.flatnonzero(new))
 
     def beyond(self, k: int, no: int, after: bool) -> np.ndarray:
-        """The words of the cut next to cut ``no`` of the k-th text, outwards."""
-        at = int(self.cuts.by_text[k]) + no + (1 if after else -1)
-        if not self.cuts.by_text[k] <= at < self.cuts.by_text[k + 1]:
-            return self.words[:0]
-        words = self.words[self.cuts.first[at] : self.cuts.last[at]]
-        return words if after else words[::-1].copy()
+        """GROWTH words next to cut ``no`` of the k-th text, outwards; fewer at the text's ends. 32 bits tell a word apart."""
+        at = int(self.cuts.by_text[k]) + no
+        if after:
+            words = self.words[self.cuts.last[at] : min(int(self.cuts.last[at]) + GROWTH, int(self.before[k + 1]))]
+        else:
+            words = self.words[max(int(self.cuts.first[at]) - GROWTH, int(self.before[k])) : self.cuts.first[at]][::-1]
+        return halves(words)
 
     def kinds(self) -> tuple[tuple[int, Spans, np.ndarray], ...]:
         """(kind, stretches, which of them are compared)"""
@@ -300,28 +313,31 @@ def _with_texts(df: DataFrame, text: str, marked: DataFrame) -> DataFrame:
 
 
 def similar_paragraphs(df: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """h, g, component of paragraphs of ``found`` (see ``units``) that links of exact Jaccard at least SIMILARITY connect."""
+    """h, g, component of paragraphs of ``found`` (see ``units``) that links of exact Jaccard at least SIMILARITY connect.
+
+    Paragraphs are one if their h and g are. Each gets a number p, fixed by a write, by which groups and links name it.
+    """
     distinct = found.where(F.col("kind") == PARAGRAPH).groupBy("h", "g").agg(F.min(F.struct("d", "no")).alias("at"), F.min("bands").alias("bands"))
-    distinct = materialise(distinct, "distinct-paragraphs")
-    groups = materialise(candidate_groups(distinct), "band-groups")
-    one = distinct.join(groups.select("h").distinct(), "h", "left_semi")
-    wanted = materialise(one.groupBy(F.col("at.d").alias("d")).agg(F.collect_list("at.no").alias("nos")), "wanted")
+    distinct = materialise(distinct.withColumn("p", F.monotonically_increasing_id()), "distinct-paragraphs")
+    groups = materialise(candidate_groups(distinct.select(F.col("p").alias("h"), "bands")).withColumnRenamed("h", "p"), "band-groups")
+    one = distinct.join(groups.select("p").distinct(), "p", "left_semi")
+    wanted = materialise(one.groupBy(F.col("at.d").alias("d")).agg(F.collect_list(F.struct("at.no", "p")).alias("of")), "wanted")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 1_000_000):
-            of = Cut(*binaries(batch.column("t"))).paragraphs
-            which = np.array([int(of.by_text[k]) + no for k, nos in enumerate(batch.column("nos").to_pylist()) for no in sorted(set(nos))], np.int64)
-            value, index = of.shingles(which)
+            held = Cut(*binaries(batch.column("t"))).paragraphs
+            asked = [(int(held.by_text[k]) + x["no"], x["p"]) for k, of in enumerate(batch.column("of").to_pylist()) for x in of]
+            value, index = held.shingles(np.array([at for at, _ in asked], np.int64))
             sets = [np.unique(value[a:b]).tobytes() for a, b in zip(index, index[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(of.h[which].view(np.int64)), pa.array(sets, pa.binary())], names=["h", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([p for _, p in asked], pa.int64()), pa.array(sets, pa.binary())], names=["p", "shingles"])
 
-    held = _with_texts(df, text, wanted).where("nos is not null").select("t", "nos").mapInArrow(tidy(shingles), "h long, shingles binary")
-    held = materialise(held.groupBy("h").agg(F.min("shingles").alias("shingles")), "shingles")
+    held = _with_texts(df, text, wanted).where("of is not null").select("t", "of").mapInArrow(tidy(shingles), "p long, shingles binary")
+    held = materialise(held.groupBy("p").agg(F.min("shingles").alias("shingles")), "shingles")
     sizes = materialise(groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "band-sizes")
-    dealt = groups.join(sizes, "key").select("key", "h", F.explode(paired_blocks(F.col("h"), F.col("blocks"))).alias("at")).select("key", "h", "at.block", "at.side")
-    checked = dealt.join(held, "h").select("key", "block", "side", "h", "shingles").repartition("key", "block").sortWithinPartitions("key", "block")
+    dealt = groups.join(sizes, "key").select("key", "p", F.explode(paired_blocks(F.col("p"), F.col("blocks"))).alias("at")).select("key", "p", "at.block", "at.side")
+    checked = dealt.join(held, "p").select("key", "block", "side", F.col("p").alias("h"), "shingles").repartition("key", "block").sortWithinPartitions("key", "block")
     linked = materialise(components(checked.mapInArrow(tidy(_verified), "src long, dst long"), "passages"), "passage-classes")
-    return linked.withColumnRenamed("node", "h").join(distinct.select("h", "g"), "h")
+    return linked.withColumnRenamed("node", "p").join(distinct.select("h", "g", "p"), "p").drop("p")
 
 
 def repeated(df: DataFrame, text: str = "text") -> DataFrame:
@@ -349,7 +365,8 @@ def repeated(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _runs(marks: list[dict]) -> list[list[dict]]:
-    """The runs of consecutive repeated cuts that have LEAST_RUN words."""
+    """The runs of consecutive repeated cuts. One of less than LEAST_RUN words is parted where its cuts do not follow one
+    another in one document, so that each part can be grown there."""
     cuts = sorted((m for m in marks if m["kind"] == CUT), key=lambda m: m["no"])
     runs: list[list[dict]] = []
     for m in cuts:
@@ -357,12 +374,69 @@ def _runs(marks: list[dict]) -> list[list[dict]]:
             runs[-1].append(m)
         else:
             runs.append([m])
-    return [run for run in runs if sum(m["size"] for m in run) >= LEAST_RUN]
+    parts: list[list[dict]] = []
+    for run in runs:
+        if _words_of(run) >= LEAST_RUN:
+            parts.append(run)
+            continue
+        for k, m in enumerate(run):
+            if k and (m["first_d"], m["first_no"]) == (run[k - 1]["first_d"], run[k - 1]["first_no"] + 1):
+                parts[-1].append(m)
+            else:
+                parts.append([m])
+    return parts
+
+
+def _words_of(run: list[dict]) -> int:
+    return sum(m["size"] for m in run)
+
+
+def grown(own: bytes, other: bytes) -> list[tuple[int, int]]:
+    """Where equal stretches of two sequences of words (4 bytes each) end, in words of the one and of the other, from
+    their begin on over one edit of EDITS after another. The first end may be (0, 0)."""
+    a, b = np.frombuffer(own, np.uint32), np.frombuffer(other, np.uint32)
+    i = j = 0
+    ends = []
+    while True:
+        n = _alike_words(a[i:], b[j:])
+        i, j = i + n, j + n
+        ends.append((i, j))
+        for x, y in EDITS:
+            again = own[4 * (i + x) : 4 * (i + x + AGAIN)]
+            if len(again) == 4 * AGAIN and again == other[4 * (j + y) : 4 * (j + y + AGAIN)]:
+                i, j = i + x, j + y
+                break
+        else:
+            return ends
+
+
+def _shingle_set(words: np.ndarray) -> set[bytes]:
+    held = words.tobytes()
+    return {held[4 * k : 4 * (k + SHINGLE)] for k in range(max(1, len(words) - SHINGLE + 1))}
+
+
+def grown_passage(seed: np.ndarray, left: tuple[np.ndarray, np.ndarray | None], right: tuple[np.ndarray, np.ndarray | None]) -> tuple[int, int] | None:
+    """Words that a run of equal cuts (``seed``) grows by on both sides: the longest passage of LEAST_RUN words or more
+    that has exact Jaccard SIMILARITY with the other document's. ``left`` and ``right``: the words next to the run here
+    and there, outwards. None: there is no such passage."""
+    none = np.empty(0, np.uint32)
+    sides = [(own, none if other is None else other) for own, other in (left, right)]
+    ends = [grown(own.tobytes(), other.tobytes()) for own, other in sides]
+    for (i, x), (j, y) in sorted(product(*ends), key=lambda at: -(at[0][0] + at[1][0])):
+        if len(seed) + i + j < LEAST_RUN:
+            return None
+        if (i, x) == ends[0][0] and (j, y) == ends[1][0]:
+            return i, j  # equal words only
+        here, there = (_shingle_set(np.concatenate((sides[0][of][:m][::-1], seed, sides[1][of][:n]))) for of, m, n in ((0, i, j), (1, x, y)))
+        common = len(here & there)
+        if common >= SIMILARITY * (len(here) + len(there) - common):
+            return i, j
+    return None
 
 
 def run_ends(df: DataFrame, text: str, marked: DataFrame) -> DataFrame:
-    """d and ends: for both ends of each run of repeated cuts the number of its last cut there, after (or before it), and
-    the words that come next in the document that holds that cut first: its neighbouring cut's, outwards."""
+    """d and ends: for both ends of each of ``_runs`` the number of its last cut there, after (or before it), and the words
+    that come next in the document that holds that cut first, outwards."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,14 +471,14 @@ def removed(text: bytes, cut: Cut, begin: int, k: int, marks: list[dict], ends:
     for (m,) in taken:
         at = int(cut.paragraphs.by_text[k]) + m["no"]
         gone[cut.paragraphs.first[at] : cut.paragraphs.last[at]] = True
-    beyond = {(x["no"], x["after"]): np.frombuffer(x["words"], np.uint64) for x in ends or ()}
+    beyond = {(x["no"], x["after"]): np.frombuffer(x["words"], np.uint32) for x in ends or ()}
     base = int(cut.cuts.by_text[k])
     for run in _runs(marks):
         a, b = int(cut.cuts.first[base + run[0]["no"]]), int(cut.cuts.last[base + run[-1]["no"]])
-        a -= _alike_words(cut.beyond(k, run[0]["no"], False), beyond.get((run[0]["no"], False)))
-        b += _alike_words(cut.beyond(k, run[-1]["no"], True), beyond.get((run[-1]["no"], True)))
-        gone[a:b] = True
-        taken.append(run)
+        left, right = ((cut.beyond(k, m["no"], after), beyond.get((m["no"], after))) for m, after in ((run[0], False), (run[-1], True)))
+        if by := grown_passage(halves(cut.words[a:b]), left, right):
+            gone[a - by[0] : b + by[1]] = True
+            taken.append(run)
     base, end = (int(cut.paragraphs.first[i]) if i < len(cut.paragraphs.first) else len(cut.words) for i in (int(cut.paragraphs.by_text[k]), int(cut.paragraphs.by_text[k + 1])))
     own = gone[base:end]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8))).reshape(-1, 2)
@@ -415,10 +489,8 @@ def removed(text: bytes, cut: Cut, begin: int, k: int, marks: list[dict], ends:
     return b"".join([*out, text[at:]]), taken, int(own.sum())
 
 
-def _alike_words(own: np.ndarray, other: np.ndarray | None) -> int:
+def _alike_words(own: np.ndarray, other: np.ndarray) -> int:
     """How many words two stretches have in common from their begin on."""
-    if other is None:
-        return 0
     n = min(len(own), len(other))
     differ = np.flatnonzero(own[:n] != other[:n])
     return int(differ[0]) if len(differ) else n
@@ -429,10 +501,11 @@ def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
 
     Of each class (equal cuts; paragraphs with equal words, or linked by five-word Jaccard of at least 0.8) the document
     of least doc_id keeps its occurrences (null ids last). In others alike paragraphs of LEAST_RUN words or more go, and
-    runs of repeated cuts with LEAST_RUN words or more, with as many words of the cuts on either side as the first
-    document has there too, up to the next word that stays. A null or empty text has no
+    what runs of repeated cuts grow to beside the first document's text, if it has LEAST_RUN words: equal words on either
+    side, and words beyond edits of up to three words while the whole has a five-word Jaccard of at least 0.8 with the
+    first document's passage; up to the next word that stays. A near copy of which no cut is left whole is not found. A null or empty text has no
     units and keeps an empty text. Rows that repeat one another are one document here. Units that only one document
-    holds stay, however often. Words are told apart by 64 bits, units by 128. A text is cut whole, which takes about a
+    holds stay, however often. Words are told apart by 64 bits (in growing by 32, so a shingle by 160), units by 128. A text is cut whole, which takes about a
     hundred bytes of memory for each of its bytes. Other columns are not read; an empty table gives no rows.
     """
     joined = _with_texts(df, text, repeated(df, text)).select("doc_id", "t", "marks", "ends")

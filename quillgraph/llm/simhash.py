@@ -314,8 +314,8 @@ def band_keys(of: np.ndarray) -> np.ndarray:
 def _marks(raw: pa.Array) -> list[pa.Array]:
     texts = raw.to_pylist()
     fps = np.array([word_fingerprint(x) for x in texts], np.uint64).view(np.int64)
-    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(_words(x)), SEED) for x in texts], np.uint64).view(np.int64)
-    return [pa.array(fps), pa.array(hashes), pa.array([band_keys(shingles(word_hashes(x))).tobytes() for x in texts], pa.binary())]
+    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(_words(x)), SEED) for x in texts), np.int64).reshape(-1, 2)
+    return [pa.array(fps), pa.array(np.ascontiguousarray(hashes[:, 0])), pa.array(np.ascontiguousarray(hashes[:, 1])), pa.array([band_keys(shingles(word_hashes(x))).tobytes() for x in texts], pa.binary())]
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -363,7 +363,7 @@ def _verified(distance: int):  # noqa: ANN202
 
 
 def alike_links(stored: DataFrame, distinct: DataFrame, text: str, distance: int, segments: int) -> DataFrame:
-    """(src, dst) over h of ``distinct`` (h, _fp, _bands, _least with the _row of one such text in ``stored``): verified
+    """(src, dst) over h of ``distinct`` (h, its number, _fp, _bands, _least with the _row of one such text in ``stored``): verified
     links between texts that share a MinHash band or a component of fingerprints within ``distance``."""
     banded_rows = distinct.select("h", F.col("_bands").alias("bands")).mapInArrow(tidy(banded), "key long, h long")
     near = components(near_links(materialise(distinct.select("_fp").distinct(), "near-distinct"), distance, segments), "near-fps")
@@ -371,7 +371,7 @@ def alike_links(stored: DataFrame, distinct: DataFrame, text: str, distance: int
     close = distinct.select("_fp", "h").join(near, "_fp", "left").select(F.xxhash64(F.coalesce("component", "_fp")).alias("key"), "h")
     groups = banded_rows.unionByName(close).repartition("key").sortWithinPartitions("key", "h").mapInArrow(tidy(grouped), "key long, h long").distinct()
     groups = materialise(groups, "near-groups")
-    wanted = materialise(distinct.join(groups.select("h").distinct(), "h", "left_semi").select("_fp", F.col("_least._row").alias("_row")), "near-wanted")
+    wanted = materialise(distinct.join(groups.select("h").distinct(), "h", "left_semi").select("h", "_fp", F.col("_least._row").alias("_row")), "near-wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 4_000_000):
@@ -379,7 +379,7 @@ def alike_links(stored: DataFrame, distinct: DataFrame, text: str, distance: int
             words = [(word_hashes(x) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("_fp"), pa.array(words, pa.binary())], names=["h", "_fp", "words"])
 
-    held = stored.drop("_fp").join(wanted, "_row").select("h", "_fp", utf8(text).alias("t")).mapInArrow(tidy(hashed), "h long, _fp long, words binary")
+    held = stored.drop("_fp", "h").join(wanted, "_row").select("h", "_fp", utf8(text).alias("t")).mapInArrow(tidy(hashed), "h long, _fp long, words binary")
     held = materialise(held, "near-words")
     sizes = materialise(groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "near-sizes")
     dealt = groups.join(sizes, "key").select("key", "h", F.explode(paired_blocks(F.col("h"), F.col("blocks"))).alias("at")).select("key", "h", "at.block", "at.side")
@@ -390,17 +390,18 @@ def alike_links(stored: DataFrame, distinct: DataFrame, text: str, distance: int
 def without_near_copies(df: DataFrame, distance: int = 6, segments: int = 7, text: str = "text") -> DataFrame:
     """``df`` with the row of least doc_id (null last) of each component of near copies; of equal ids one row.
 
-    Near copies have equal words (texts without words too), or share SIMILARITY of their five-word shingles, or have
-    fingerprints within ``distance`` and share PAIRS_SIMILARITY of their word pairs; both are exact Jaccard. Texts
+    Near copies have equal words by 128 bits (texts without words too), or share SIMILARITY of their five-word shingles, or have
+    fingerprints within ``distance`` and share PAIRS_SIMILARITY of their word pairs; both are exact Jaccard over words told apart by 32 bits. Texts
     that share just SIMILARITY may differ in 16 of 64 bits, for which pigeonring has no selective keys, so MinHash
     bands find candidates besides it. Every link is verified. Short texts are compared in the same way; one of less
     than SHINGLE words has only equal copies. A null text is like an empty one; columns may have any names; an empty
     table gives no rows.
     """
-    stored = added(bundled(df, text), text, {"_fp": "long", "h": "long", "_bands": "binary"}, _marks, 4_000_000)
+    stored = added(bundled(df, text), text, {"_fp": "long", "h": "long", "g": "long", "_bands": "binary"}, _marks, 4_000_000)
     stored = materialise(stored.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_least")
-    distinct = materialise(stored.groupBy("h").agg(least, F.first("_fp").alias("_fp"), F.first("_bands").alias("_bands")), "near-texts")
+    distinct = stored.groupBy("h", "g").agg(least, F.first("_fp").alias("_fp"), F.first("_bands").alias("_bands")).drop("h", "g")
+    distinct = materialise(distinct.withColumn("h", F.monotonically_increasing_id()), "near-texts")
     linked = components(alike_links(stored, distinct, text, distance, segments), "near")
     of = distinct.select("h", "_least").join(materialise(linked, "near-classes").withColumnRenamed("node", "h"), "h", "left")
     stay = of.groupBy(F.coalesce("component", "h")).agg(F.min("_least").alias("m")).select(F.col("m._row").alias("_row"))

@@ -294,6 +294,22 @@ def test_paragraphs_do_not_depend_on_neighbours():
     assert len(shared) >= 3
 
 
+def test_passages_grow_over_edits():
+    words = np.arange(100, 260, dtype=np.uint32)
+    edited = np.concatenate((words[:20], words[21:40], [7], words[41:60], [8, 9], words[60:]))
+    assert passages.grown(words.tobytes(), edited.astype(np.uint32).tobytes()) == [(20, 20), (40, 39), (60, 59), (160, 161)]
+    assert passages.grown(b"", words.tobytes()) == [(0, 0)] == passages.grown(words.tobytes(), words[::-1].tobytes())
+    seed, none = words[:11], np.empty(0, np.uint32)
+    assert passages.grown_passage(seed, (none, None), (none, None)) is None
+    assert passages.grown_passage(seed, (none, None), (words[11:20], words[11:20])) == (0, 9)
+    one = np.concatenate((words[11:30], [5], words[31:60])).astype(np.uint32)
+    assert passages.grown_passage(seed, (none, None), (one, words[11:60])) == (0, 49)
+    assert passages.grown_passage(seed, (none, None), (one[:30], words[11:41])) == (0, 19)  # beyond the edit it would be below 0.8
+    many = words[11:75].copy()
+    many[::8] = 5
+    assert passages.grown_passage(seed, (none, None), (many, words[11:75])) is None
+
+
 def test_paragraphs_are_lines():
     texts = ["one two\nthree\n\n four five six \n", "x", "\n\n"]
     cut = passages.Cut(*binaries(pa.array([x.encode() for x in texts], pa.binary())))

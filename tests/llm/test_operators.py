@@ -240,6 +240,13 @@ def test_op6(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_op6_stage_tells_texts_with_one_short_hash_apart(spark, monkeypatch):
+    """Texts are equal by 128 bits: with the first 64 of all alike, what differs stays."""
+    own = simhash._marks
+    monkeypatch.setattr(simhash, "_marks", lambda raw: [x if k != 1 else pa.array([7] * len(raw), pa.int64()) for k, x in enumerate(own(raw))])
+    assert _kept_ids(spark, ["one text", "another text", "one text", "", "a third, with other words"]) == [0, 1, 3, 4]
+
+
 def test_op6_stage(docs, none):
     left = simhash.without_near_copies(docs)
     assert left.columns == docs.columns
@@ -429,6 +436,31 @@ def test_op4_links_near_copies_of_paragraphs(spark):
     assert sorted(x["count"] for x in got) == sorted(n for n in want.values() if n > 1)
 
 
+def test_op4_recall_of_near_copies_inside_lines(spark):
+    """Passages of 50 to 200 words, each set into two texts of one line with up to four words changed, left out or put in
+    between: of those that share 0.8 of their five-word shingles at least 0.9 go, and of their words 0.85; little else goes."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    set_of = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, sizes = [], {}
+    while len(sizes) < 250:
+        passage = some(r.randint(50, 200))
+        words = list(passage)
+        for at in sorted(r.sample(range(1, len(words) - 1), r.randint(1, 4)), reverse=True):
+            words[at : at + r.randint(0, 1)] = some(r.randint(0, 1))
+        a, b = set_of(passage), set_of(words)
+        if a != b and len(a & b) >= 0.8 * len(a | b):
+            sizes[len(rows) + 1] = len(words)
+            rows += [(len(rows) + k, " ".join(some(150) + w + some(150))) for k, w in enumerate((passage, words))]
+    common.workers_find_library(spark)
+    got = {x.doc_id: x for x in passages.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(got[i - 1].words_removed == 0 and got[i].repeats in ([], [i - 1]) for i in sizes)
+    assert sum(got[i].words_removed >= 0.5 * n for i, n in sizes.items()) >= 0.9 * len(sizes)
+    assert sum(got[i].words_removed for i in sizes) >= 0.85 * sum(sizes.values())
+    assert all(got[i].words_removed <= n + 1 for i, n in sizes.items())
+
+
 def test_op4_recall_of_near_copies(spark):
     """Paragraphs of 60 to 200 words with a few edited words, among others: of the pairs that brute force finds at five-word
     Jaccard of 0.8 or more at least 0.95 are in one class, and every class is connected by such pairs."""
