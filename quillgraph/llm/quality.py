@@ -7,14 +7,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import added, binaries, documents, slices, tidy, utf8
+from .common import added, binaries, documents, materialise, slices, tidy, utf8
 
 PASSAGE_WORDS = 64
 #: Labelled documents that the classifier is fitted on at most, chosen by a hash of doc_id; all their passages take part.
 SAMPLE_ROWS = 4000
+#: Passages that the classifier is fitted on at most, and that one document of the sample has at most; both bound the driver's memory.
+SAMPLE_PASSAGES, DOCUMENT_PASSAGES = 2**17, 2**11
 #: A run of more bytes without white space counts as several words.
 LONGEST_WORD = 4096
 #: Bytes that are encoded at a time; a longer text is encoded in pieces.
@@ -63,7 +65,7 @@ def _word_starts(solid: np.ndarray, text_of: np.ndarray) -> np.ndarray:
 def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(features of all passages [n, WIDTH], index of the first passage of each text and the end).
 
-    A passage is PASSAGE_WORDS words; a text without words is one passage without words. Features: shares of kinds
+    A passage is PASSAGE_WORDS words, and LONGEST_WORD bytes of a longer run without white space are one word; a text without words is one passage without words. Features: shares of kinds
     of characters and word shapes, how much of it the text has said before, and a hashed bag of its byte pairs.
     A text of more than PIECE_BYTES is encoded in pieces that carry what it has said, with the same result.
     """
@@ -223,12 +225,14 @@ def remainder(doc_id: str = "doc_id"):  # noqa: ANN201
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def fit_quality(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> GatedAttention | None:
+def fit_quality(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, passages: int = SAMPLE_PASSAGES, longest: int = DOCUMENT_PASSAGES) -> GatedAttention | None:
     """Fit on at most ``rows`` documents of ``df`` that have a quality label; passages are encoded on the executors.
 
-    The sample is drawn from ids that ``df`` has, by a hash; what is sent to the driver grows with ``rows`` and the
-    length of those texts, not with ``df``. Of rows with the same id the least text counts, of contradicting labels the
-    larger one. Null ids and labels are not used. Returns None where nothing is labelled.
+    The sample is drawn from ids that ``df`` has, by a hash. Of these documents those of at most ``longest`` passages
+    take part, with all their passages, in the order of the hash as long as they have ``passages`` together. So what is sent
+    to the driver (4 * WIDTH bytes a passage) is bounded whatever the length of the texts. Of rows with the same id the
+    least text counts, of contradicting labels the larger one. Null ids and labels are not used. Equal scores have no
+    part in fitting. Returns None where nothing is labelled.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("_quality"))
     known = known.join(df.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -239,10 +243,13 @@ def fit_quality(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ga
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", PIECE_BYTES):
             x, first = encode(*binaries(batch.column("t")))
-            bags = [x[a:b].astype("<f4").tobytes() for a, b in zip(first, first[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_quality"), pa.array(bags, pa.binary())], names=["doc_id", "_quality", "x"])
+            bags = [x[a:b].astype("<f4").tobytes() if b - a <= longest else None for a, b in zip(first, first[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_quality"), pa.array(np.diff(first), pa.int64()), pa.array(bags, pa.binary())], names=["doc_id", "_quality", "n", "x"])
 
-    found = texts.mapInArrow(tidy(run), "doc_id long, _quality int, x binary").toArrow().sort_by("doc_id")
+    bags = materialise(texts.mapInArrow(tidy(run), "doc_id long, _quality int, n long, x binary"), "quality-bags").where(F.col("n") <= longest)
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # one task for at most ``rows`` ids
+    chosen = bags.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= passages).select("doc_id")
+    found = bags.join(F.broadcast(chosen), "doc_id").select("doc_id", "_quality", "x").toArrow().sort_by("doc_id")
     if not found.num_rows:
         return None
     bags = [np.frombuffer(x, "<f4").reshape(-1, WIDTH) for x in found.column("x").to_pylist()]

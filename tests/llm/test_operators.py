@@ -396,6 +396,45 @@ def test_op2_cuts_at_most_one_group_at_a_boundary(spark):
     assert cut <= 7
 
 
+def test_op2_cuts_at_most_one_of_many_groups_at_one_place(spark):
+    """Without ids, and with texts of one size, all groups lie at one place; their first hash bits are often alike."""
+    df = spark.range(120_000).select(F.lit(None).cast("long").alias("doc_id"), F.lpad((F.col("id") % 40_000).cast("string"), 6, "0").alias("text"))
+    found = sharding.kd_shards(df, 8)
+    sizes = [x["count"] for x in found.groupBy("shard").count().collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 7
+    assert found.groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() <= 7
+
+
+@pytest.mark.parametrize("shards", [2, 5, 8])
+def test_op2_equals_a_tree_in_memory(spark, shards):
+    """Distinct sizes and ids far apart: every point has a place of its own in both dimensions."""
+    r = random.Random(shards)
+    ids = r.sample(range(10_000), 200)
+    rows = [(i, "x" * n) for i, n in zip(ids, r.sample(range(1, 900), 200), strict=True)]
+    points = [{"doc_id": i, "d_size": len(t) + 1, "d_doc": i} for i, t in rows]
+    dims = ["d_size", "d_doc"]
+    ends = {d: (min(p[d] for p in points), max(p[d] for p in points)) for d in dims}
+    place = lambda p, d: int((p[d] - ends[d][0]) / (ends[d][1] - ends[d][0]) * (2**24 - 1))
+    want = {}
+
+    def split(of, first, count):
+        if count == 1:
+            want.update({p["doc_id"]: first for p in of})
+            return
+        widest = max(dims, key=lambda d: max(place(p, d) for p in of) - min(place(p, d) for p in of))
+        of = sorted(of, key=lambda p: place(p, widest))
+        goal = count // 2 / count * sum(p["d_size"] for p in of)
+        sums = np.cumsum([p["d_size"] for p in of])
+        at = int(np.searchsorted(sums, goal))
+        at += int(sums[at] - goal <= goal - (sums[at - 1] if at else 0))
+        split(of[:at], first, count // 2)
+        split(of[at:], first + count // 2, count - count // 2)
+
+    split(points, 0, shards)
+    found = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards).collect()
+    assert {x.doc_id: x.shard for x in found} == want
+
+
 def test_op4(docs, none):
     rows = {(r.doc_id, r.kept_sha256): r for r in passages.without_repeats(docs).collect()}
     planted = [i for i in range(26, 30)]
@@ -552,6 +591,41 @@ def test_op1(spark, docs, none):
     assert quality.fit_quality(df, labels.limit(0)) is None and {x.score for x in quality.scored(df, None).collect()} == {0.5}
 
 
+def test_op1_scores_equal_the_definition(spark, docs):
+    """Attention and score of each text by plain loops over its passages."""
+    df = spark.createDataFrame([(i, ("good words here " if i % 2 else "BAD !! ") * (30 + 9 * i)) for i in range(20)], "doc_id long, text string")
+    model = quality.fit_quality(df, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int"))
+
+    def slow(text):
+        x, _ = quality.encode(*common.binaries(pa.array([raw(text)], pa.binary())))
+        weights, hidden = [], []
+        for row in x.astype(float):
+            h = [min(max((v - m) / s, -8), 8) for v, m, s in zip(row, model.mean, model.scale, strict=True)]
+            e = 0.0
+            for j, w in enumerate(model.w):
+                gate = 1 / (1 + np.exp(-sum(a * b for a, b in zip(h, model.u[:, j], strict=True))))
+                e += w * np.tanh(sum(a * b for a, b in zip(h, model.v[:, j], strict=True))) * gate
+            weights.append(np.exp(e))
+            hidden.append(h)
+        z = [sum(a * h[j] for a, h in zip(weights, hidden, strict=True)) / sum(weights) for j in range(len(hidden[0]))]
+        return 1 / (1 + np.exp(-(sum(a * b for a, b in zip(z, model.c, strict=True)) + model.b)))
+
+    for r in quality.scored(docs.select("text"), model).collect():
+        assert r.score == pytest.approx(slow(r.text), abs=1e-4)
+
+
+def test_op1_sample_is_bounded_in_passages(spark, monkeypatch):
+    """Long texts are left out of fitting beyond the bound of one document, and others once the bound of all is reached."""
+    df = spark.createDataFrame([(i, "word " * (64 * 50 if i == 3 else 64 * 2)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    fitted = []
+    monkeypatch.setattr(quality.GatedAttention, "fit", classmethod(lambda cls, x, first, y: fitted.append((len(x), np.diff(first).tolist(), len(y)))))
+    quality.fit_quality(df, labels, passages=21, longest=10)
+    quality.fit_quality(df, labels)
+    quality.fit_quality(df, labels, rows=7, longest=10)
+    assert fitted[0] == (20, [2] * 10, 10) and fitted[1][2] == 40 and 50 in fitted[1][1] and fitted[2][2] in (6, 7)
+
+
 def test_pipeline_stages_follow_their_brute_force(spark, tmp_path):
     """Each stage on its own input: the documents that it keeps, their columns, and the packing of what is left."""
     base = [x[:5] for x in ROWS]
