@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.tokens import index_tokens, query_words
+from ..workers import checkpointed
 
 #: Fixed values of the formula.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -192,6 +193,46 @@ def keyword_index(records: DataFrame, columns: list[str], uid: str = "uid", ordi
     return KeywordIndex(blocks, terms, list(columns), n, total)
 
 
+@dataclass(frozen=True)
+class PieceIndex:
+    """An index of texts in pieces, computed anew in each query. ``tokens`` (uid, ordinal, col, piece, tokens) of the pieces, cut between
+    tokens; a record's column may have any number of them, so no row holds a long text's tokens. ``lengths`` (uid, ordinal, dl)."""
+
+    tokens: DataFrame
+    lengths: DataFrame
+    columns: list[str]
+    n_docs: int
+    total_len: int
+
+    @property
+    def blocks(self) -> DataFrame:
+        """A row for each token: pos is its place in its piece."""
+        return self.tokens.select("uid", "ordinal", "col", "piece", F.posexplode("tokens").alias("pos", "term"))
+
+    def entries(self, blocks: DataFrame, positions: bool = False) -> DataFrame:
+        """As ``KeywordIndex.entries``."""
+        of = ["term", "uid", "ordinal", "dl", "col"]
+        met = blocks.join(self.lengths, ["uid", "ordinal"])
+        if not positions:
+            return met.groupBy(*of).agg(F.count("*").alias("tf"))
+        before = F.sum("n").over(Window.partitionBy("uid", "ordinal", "col").orderBy("piece")) - F.col("n")
+        first = self.tokens.select("uid", "ordinal", "col", "piece", F.size("tokens").alias("n")).select("uid", "ordinal", "col", "piece", before.cast("int").alias("first"))
+        met = met.join(first, ["uid", "ordinal", "col", "piece"])
+        return met.groupBy(*of).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.col("first") + F.col("pos"))).alias("positions"))
+
+    @property
+    def average(self) -> float:
+        return float(self.total_len / self.n_docs) if self.n_docs else 1.0
+
+
+def piece_index(pieces: DataFrame, columns: list[str]) -> PieceIndex:
+    """``keyword_index`` of texts in ``pieces`` (uid, ordinal, col, piece, text; every record has one at least)."""
+    tokens = pieces.select("uid", "ordinal", "col", "piece", F.coalesce(index_tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    lengths = checkpointed(tokens.groupBy("uid", "ordinal").agg(F.sum(F.size("tokens")).alias("dl")))
+    n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return PieceIndex(tokens, lengths, list(columns), n, total)
+
+
 def query_phrases(queries: DataFrame, text: str = "query") -> DataFrame:
     """(qid, phrase_no, phrase array): each word's index tokens; a word with a separator inside is a phrase of several."""
     words = queries.select("qid", F.posexplode(query_words(F.col(text))).alias("phrase_no", "word"))
@@ -226,15 +267,15 @@ def bm25(index: KeywordIndex, queries: DataFrame, weights: dict[str, float], tex
     return _scored(index, found, asked, weights)
 
 
-def bm25_of(index: KeywordIndex, queries: list[tuple[int, str]], weights: dict[str, float], limit: int | None = None) -> DataFrame:
+def bm25_of(index: KeywordIndex | PieceIndex, queries: list[tuple[int, str]], weights: dict[str, float], limit: int | None = None) -> DataFrame:
     """``bm25`` of a few queries: their terms are literals of the filter, so a scan of a stored index skips row groups without
     them. With a ``limit`` rows that cannot be among a query's ``limit`` best may be left out: blocks that cannot hold one
-    are not read. A phrase of several tokens has to be found everywhere, for its idf."""
+    are not read. A phrase of several tokens has to be found everywhere, for its idf. An index in pieces is read whole."""
     spark = index.blocks.sparkSession
     times = Counter((r["qid"], tuple(r["phrase"])) for r in query_phrases(spark.createDataFrame(queries, "qid long, query string")).collect())
     phrases = {p for _, p in times}
     blocks = index.blocks.where(F.col("term").isin(sorted({t for p in phrases for t in p})))
-    if limit is not None and all(len(p) == 1 for p in phrases):
+    if isinstance(index, KeywordIndex) and limit is not None and all(len(p) == 1 for p in phrases):
         return _pruned(index, blocks, {(q, p[0]): n for (q, p), n in times.items()}, weights, limit)
     asked = spark.createDataFrame([(q, list(p), n) for (q, p), n in times.items()], "qid long, phrase array<string>, times long")
     found = _occurrences(index, blocks, F.broadcast(spark.createDataFrame([(list(p),) for p in sorted(phrases)], "phrase array<string>")))
