@@ -7,21 +7,23 @@ import os
 import re
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import keyword, vector
 from ..schema import COLUMN_WEIGHTS
-from ..workers import file_system
+from ..workers import file_system, writing
 
 #: Segments of one tier that are merged; a tier's segments have up to so many times the records of the tier below.
 FAN = 4
+#: Bytes of unsorted postings that are put in order at a time, and passes at most: what is shuffled at once is its share only.
+PASS_BYTES, MOST_PASSES, SAMPLED_TERMS = 64 << 20, 8, 10_000
 
 
 class ConflictError(RuntimeError):
@@ -170,7 +172,8 @@ class Store:
         """``records`` written in order of uid, with their number _no, and read again. They are dealt by hash: a sample for
         ranges would compute them twice."""
         placed = records.repartition("uid").sortWithinPartitions("uid").withColumn("_no", F.monotonically_increasing_id())
-        placed.write.option("parquet.bloom.filter.enabled#uid", "true").option("parquet.block.size", 16 << 20).parquet(f"{base}/records")
+        with writing(spark):
+            placed.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#uid", "true").option("parquet.block.size", 16 << 20).parquet(f"{base}/records")
         written = spark.read.parquet(f"{base}/records")
         if "embedding" in written.columns:
             self._put_vectors(spark, base, written)
@@ -179,25 +182,52 @@ class Store:
     def _put_vectors(self, spark: SparkSession, base: str, written: DataFrame) -> None:
         centers = vector.pivots_of(written)
         grouped = vector.grouped_around(written, centers)
-        grouped.repartitionByRange("pivot", "away", "uid").sortWithinPartitions("pivot", "away").write.option("parquet.block.size", 4 << 20).parquet(f"{base}/vectors")
+        with writing(spark):
+            grouped.repartitionByRange("pivot", "away", "uid").sortWithinPartitions("pivot", "away").write.option("parquet.block.size", 4 << 20).parquet(f"{base}/vectors")
         known = spark.createDataFrame([(n, c.tolist()) for n, c in enumerate(centers)], "_p int, center array<double>")
         held = spark.read.parquet(f"{base}/vectors").groupBy("pivot").agg(F.count("*").alias("n"), F.min("away").alias("least"), F.max("away").alias("most"))
         held.join(F.broadcast(known), F.col("pivot") == F.col("_p"), "left").drop("_p").coalesce(1).write.parquet(f"{base}/pivots")  # MOST_PIVOTS rows
 
     def _put_postings(self, spark: SparkSession, base: str, blocks: DataFrame) -> DataFrame:
-        """Written as they come, so that they are not computed once more for the sample of ranges, and then in order."""
+        """Written as they come, so that they are not computed once more for the sample of ranges, and then in order: pass by
+        pass, each a range of terms, so that the shuffle of one pass alone is on disk at a time."""
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks.write.parquet(f"{base}/_unsorted")
-        spark.read.parquet(f"{base}/_unsorted").repartitionByRange(least, "term", "block").sortWithinPartitions("term", "block").write.option("parquet.block.size", 16 << 20).parquet(f"{base}/postings")
         unsorted, fs = file_system(spark, f"{base}/_unsorted")
+        with writing(spark):
+            blocks.write.option("compression", "zstd").parquet(f"{base}/_unsorted")
+            rows = spark.read.parquet(f"{base}/_unsorted")
+            tests = self._passes(rows, fs.getContentSummary(unsorted).getLength())
+            for test in tests:
+                part = rows.where(test).repartitionByRange(max(1, -(-least // len(tests))), "term", "block").sortWithinPartitions("term", "block")
+                part.write.mode("append").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{base}/postings")
         fs.delete(unsorted, True)
         return spark.read.parquet(f"{base}/postings")
 
-    def _segment(self, spark: SparkSession, records: DataFrame, of: Snapshot | None = None, gone: DataFrame | None = None) -> tuple[str, int, int]:
-        """(name, records, tokens) of a new segment; after ``of`` it takes ``gone`` and what has the uid of one of its records out."""
+    @staticmethod
+    def _passes(rows: DataFrame, size: int) -> list[Column]:
+        """Conditions that each row of postings meets one of: ranges of terms, bounded by some of a bounded sample; nulls first."""
+        n = min(MOST_PASSES, -(-size // PASS_BYTES))
+        if n <= 1:
+            return [F.lit(True)]
+        some = sorted(r["term"] for r in rows.where("term is not null").sample(min(1.0, SAMPLED_TERMS / max(1, rows.count())), 0).select("term").limit(2 * SAMPLED_TERMS).collect())
+        bounds = sorted({some[len(some) * k // n] for k in range(1, n)}) if some else []
+        term = F.col("term")
+        ends = [None, *bounds, None]
+        return [(F.lit(True) if low is None else term >= low) & (F.lit(True) if high is None else (term < high) | term.isNull() if low is None else term < high) for low, high in zip(ends, ends[1:], strict=False)]
+
+    def _segment(self, spark: SparkSession, records: DataFrame, of: Snapshot | None = None, gone: DataFrame | None = None, check: Callable[[DataFrame], None] | None = None) -> tuple[str, int, int]:
+        """(name, records, tokens) of a new segment; after ``of`` it takes ``gone`` and what has the uid of one of its records out.
+        If ``check`` raises on the written records, they are deleted."""
         name = uuid.uuid4().hex
         base = f"{self.path}/{name}"
         written = self._put(spark, base, records)
+        if check is not None:
+            try:
+                check(written)
+            except Exception:
+                path, fs = file_system(spark, base)
+                fs.delete(path, True)
+                raise
         postings = self._put_postings(spark, base, keyword.posting_blocks(keyword.tokenised(written, self.columns), len(self.columns)))
         uids = written.where("false").select("uid") if of is None else written.select("uid").unionByName(gone.select("uid")).distinct()
         uids.write.parquet(f"{base}/gone")
@@ -206,7 +236,8 @@ class Store:
             out = self._live(spark, of.segments).join(spark.read.parquet(f"{base}/gone"), "uid", "left_semi")
             less = keyword.record_terms(keyword.tokenised(out, self.columns))
             terms = terms.unionByName(less.select("term", (-F.col("n")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))
-        terms.where("df != 0").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/terms")
+        with writing(spark):
+            terms.where("df != 0").repartitionByRange("term").sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"{base}/terms")
         lengths = postings.where("term is null").select(F.explode("dl").alias("dl"))
         n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return name, n, total
@@ -304,9 +335,9 @@ class Store:
             if x.getPath().getName().startswith("_") and now - x.getModificationTime() / 1000 > self.orphans:
                 fs.delete(x.getPath(), False)
 
-    def write(self, spark: SparkSession, records: DataFrame, meta: Meta) -> Meta:
-        """A snapshot of ``records`` alone."""
-        name, n, total = self._segment(spark, records)
+    def write(self, spark: SparkSession, records: DataFrame, meta: Meta, check: Callable[[DataFrame], None] | None = None) -> Meta:
+        """A snapshot of ``records`` alone; ``check`` may refuse them, once written, by an error."""
+        name, n, total = self._segment(spark, records, check=check)
         meta = replace(meta, record_count=n)
         self._publish(spark, Snapshot(0, (name,), (n,), total, meta), None)
         return meta
@@ -348,7 +379,8 @@ class Store:
         gone = reduce(DataFrame.unionByName, [self._read(spark, s, "gone") for s in some]).distinct()
         (gone if at else gone.where("false")).write.parquet(f"{base}/gone")
         terms = reduce(DataFrame.unionByName, [self._read(spark, s, "terms") for s in some]).groupBy("term").agg(F.sum("df").alias("df"))
-        terms.where("df != 0").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{base}/terms")
+        with writing(spark):
+            terms.where("df != 0").repartitionByRange("term").sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"{base}/terms")
         n = written.count()
         self._publish(spark, replace(of, segments=(*of.segments[:at], name), sizes=(*of.sizes[:at], n)), of.number)
         return True
