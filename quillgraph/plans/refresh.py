@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..schema import DEFAULTS, Settings
 from ..sources.embedder import Embedder, embedded
 from ..sources.snapshot import Meta, Store
-from ..workers import checkpointed
+from ..workers import checkpointed, released
 
 
 def refresh_plan(records: DataFrame, stored: DataFrame) -> DataFrame:
@@ -56,10 +56,8 @@ def refuse_repeats(records: DataFrame) -> None:
 
 def build(spark: SparkSession, store: Store, records: DataFrame, embedder: Embedder, graph_name: str, include_daily_notes: bool = True, s: Settings = DEFAULTS) -> Meta:
     """Embed all records and write a snapshot of them alone; an empty graph gives an empty store."""
-    records = checkpointed(records)
-    refuse_repeats(records)
     meta = Meta(graph_name, embedder.model, embedder.dimension, _moment(), 0, None, s.schema_version, include_daily_notes)
-    return store.write(spark, embedded(records, embedder, s), meta)
+    return store.write(spark, embedded(records, embedder, s), meta, refuse_repeats)  # no copy of the records besides the store's own
 
 
 def refresh(spark: SparkSession, store: Store, records: DataFrame, embedder: Embedder, s: Settings = DEFAULTS) -> dict[str, int]:
@@ -69,19 +67,31 @@ def refresh(spark: SparkSession, store: Store, records: DataFrame, embedder: Emb
     """
     of = store.snapshot(spark)
     check_schema_version(of.meta, s)
-    records = checkpointed(records)
-    plan = checkpointed(refresh_plan(records, store.hashes(spark, of)))
+    kept, lost = _parted(records, store.hashes(spark, of))
+    plan = kept.select("uid", "_action").union(lost.select("uid", F.lit("delete"))).withColumnRenamed("_action", "action")
     counts = refresh_counts(plan).first().asDict()
     meta = replace(of.meta, refreshed_at=_moment())
     if not counts["embedded"] and not counts["deleted"]:
         store.touch(spark, of, meta)
+        released(kept, lost)
         return counts
-    changed = records.join(plan.where("action = 'embed'").select("uid"), "uid", "left_semi")
+    changed = kept.where("_action = 'embed'").drop("_action")
     if counts["embedded"] and embedder.dimension != of.meta.dimension:
         raise ValueError(f"the embedder gives {embedder.dimension} numbers, the store holds {of.meta.dimension}")
-    store.change(spark, of, embedded(changed, embedder, s), deleted_uids(plan), meta)
+    store.change(spark, of, embedded(changed, embedder, s), lost, meta)
+    released(kept, lost)
     return counts
 
 
+def _parted(records: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``records`` with _action, embed or keep as in ``refresh_plan``; uids that are to be deleted). Records are computed once, and of those
+    that are kept only uids are written."""
+    was = stored.select("uid", F.col("content_hash").alias("_was"), F.lit(True).alias("_there"))
+    action = F.when(F.col("_there") & F.col("content_hash").eqNullSafe(F.col("_was")), "keep").otherwise("embed")
+    met = records.join(was, "uid", "left").withColumn("_action", action)
+    kept = checkpointed(met.select("_action", *(F.col(c) if c == "uid" else F.when(F.col("_action") == "embed", F.col(c)).alias(c) for c in records.columns)))
+    return kept, checkpointed(stored.select("uid").join(kept.select("uid"), "uid", "left_anti"))
+
+
 def _moment() -> str:
     return datetime.now(UTC).isoformat(timespec="seconds")
