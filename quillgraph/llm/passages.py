@@ -41,6 +41,8 @@ AGAIN = 4
 BLOCK = 1024
 #: Rows of one band key that are held at once.
 CARRIED = 50_000
+#: Bytes of texts that are cut at a time; a longer text is cut whole.
+SLICE_BYTES = 400_000
 CUT, PARAGRAPH = 0, 1
 
 #: Words are runs of letters and digits; A-Z lower-cased.
@@ -189,7 +191,7 @@ def units(df: DataFrame, text: str = "text") -> DataFrame:
     bands, rows = tuned_bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1_000_000):
+        for batch in slices(batches, "t", SLICE_BYTES):
             cut = Cut(*binaries(batch.column("t")))
             keys = _keyed(batch)
             for kind, spans, of in cut.kinds():
@@ -306,7 +308,7 @@ def _with_texts(df: DataFrame, text: str, marked: DataFrame) -> DataFrame:
     """doc_id, t, and ``marked``'s columns by d (left join; d of each row is made from its text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1_000_000):
+        for batch in slices(batches, "t", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([_keyed(batch), batch.column("doc_id"), batch.column("t")], names=["d", "doc_id", "t"])
 
     return _texts(df, text).mapInArrow(tidy(run), "d binary, doc_id long, t binary").join(marked.hint("merge"), "d", "left")
@@ -324,7 +326,7 @@ def similar_paragraphs(df: DataFrame, found: DataFrame, text: str) -> DataFrame:
     wanted = materialise(one.groupBy(F.col("at.d").alias("d")).agg(F.collect_list(F.struct("at.no", "p")).alias("of")), "wanted")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1_000_000):
+        for batch in slices(batches, "t", SLICE_BYTES):
             held = Cut(*binaries(batch.column("t"))).paragraphs
             asked = [(int(held.by_text[k]) + x["no"], x["p"]) for k, of in enumerate(batch.column("of").to_pylist()) for x in of]
             value, index = held.shingles(np.array([at for at, _ in asked], np.int64))
@@ -448,7 +450,7 @@ def run_ends(df: DataFrame, text: str, marked: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["d", "no", "after", "first_d", "first_no"])
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1_000_000):
+        for batch in slices(batches, "t", SLICE_BYTES):
             cut = Cut(*binaries(batch.column("t")))
             rows = []
             for k, (d, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("d", "places")), strict=True)):
@@ -511,7 +513,7 @@ def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     joined = _with_texts(df, text, repeated(df, text)).select("doc_id", "t", "marks", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1_000_000):
+        for batch in slices(batches, "t", SLICE_BYTES):
             data, offsets = binaries(batch.column("t"))
             cut = Cut(data, offsets)
             columns: list[list] = [[] for _ in range(6)]
@@ -537,11 +539,11 @@ def passages_removed(df: DataFrame, text: str = "text") -> DataFrame:
     marked = repeated(df, text)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1_000_000):
+        for batch in slices(batches, "t", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([_keyed(batch), batch.column("row")], names=["d", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1_000_000):
+        for batch in slices(batches, "t", SLICE_BYTES):
             data, offsets = binaries(batch.column("t"))
             cut = Cut(data, offsets)
             rows = zip(*(batch.column(c).to_pylist() for c in ("t", "marks", "ends")), strict=True)
