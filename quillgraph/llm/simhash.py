@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BOTH, LEFT, RIGHT, added, binaries, bundled, components, documents, materialise, paired_blocks, slices, tidy, unbundled, utf8
+from .common import BOTH, LEFT, RIGHT, added, binaries, bucketed, bundled, components, documents, materialise, paired_blocks, slices, tidy, unbundled, utf8
+from .exact import _FLAGS, PART_BITS, _flag, _flagged
 from .passages import _mixed, banded, grouped, tuned_bands
 
 #: A-Z to a-z, and all white space of the contract to blanks.
@@ -362,16 +363,24 @@ def _verified(distance: int):  # noqa: ANN202
     return run
 
 
+def _at(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``stored`` (bucketed by _part, with _seq) whose number is a _row of ``rows``: a number is its part, then PART_BITS
+    of the place there. Only flags of places go to the parts, so no text is shuffled."""
+    places = rows.select(F.shiftright("_row", PART_BITS).alias("_part"), F.col("_row").bitwiseAND((1 << PART_BITS) - 1).cast("int").alias("_seq"))
+    flags = places.groupBy("_part").applyInArrow(lambda t: _flagged(t, t.column("_part")[0].as_py()), _FLAGS)
+    return stored.join(flags.hint("shuffle_hash"), "_part").where(_flag())
+
+
 def alike_links(stored: DataFrame, distinct: DataFrame, text: str, distance: int, segments: int) -> DataFrame:
-    """(src, dst) over h of ``distinct`` (h, its number, _fp, _bands, _least with the _row of one such text in ``stored``): verified
-    links between texts that share a MinHash band or a component of fingerprints within ``distance``."""
+    """(src, dst) over h of ``distinct`` (h, the _row of one such text in ``stored``, _fp, _bands): verified links between texts
+    that share a MinHash band or a component of fingerprints within ``distance``."""
     banded_rows = distinct.select("h", F.col("_bands").alias("bands")).mapInArrow(tidy(banded), "key long, h long")
     near = components(near_links(materialise(distinct.select("_fp").distinct(), "near-distinct"), distance, segments), "near-fps")
     near = materialise(near.select(F.col("node").alias("_fp"), "component"), "near-fp-classes")
     close = distinct.select("_fp", "h").join(near, "_fp", "left").select(F.xxhash64(F.coalesce("component", "_fp")).alias("key"), "h")
     groups = banded_rows.unionByName(close).repartition("key").sortWithinPartitions("key", "h").mapInArrow(tidy(grouped), "key long, h long").distinct()
     groups = materialise(groups, "near-groups")
-    wanted = materialise(distinct.join(groups.select("h").distinct(), "h", "left_semi").select("h", "_fp", F.col("_least._row").alias("_row")), "near-wanted")
+    wanted = materialise(groups.select(F.col("h").alias("_row")).distinct(), "near-wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 4_000_000):
@@ -379,7 +388,7 @@ def alike_links(stored: DataFrame, distinct: DataFrame, text: str, distance: int
             words = [(word_hashes(x) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("_fp"), pa.array(words, pa.binary())], names=["h", "_fp", "words"])
 
-    held = stored.drop("_fp", "h").join(wanted, "_row").select("h", "_fp", utf8(text).alias("t")).mapInArrow(tidy(hashed), "h long, _fp long, words binary")
+    held = _at(stored, wanted).select(F.col("_row").alias("h"), "_fp", utf8(text).alias("t")).mapInArrow(tidy(hashed), "h long, _fp long, words binary")
     held = materialise(held, "near-words")
     sizes = materialise(groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "near-sizes")
     dealt = groups.join(sizes, "key").select("key", "h", F.explode(paired_blocks(F.col("h"), F.col("blocks"))).alias("at")).select("key", "h", "at.block", "at.side")
@@ -397,15 +406,16 @@ def without_near_copies(df: DataFrame, distance: int = 6, segments: int = 7, tex
     than SHINGLE words has only equal copies. A null text is like an empty one; columns may have any names; an empty
     table gives no rows.
     """
-    stored = added(bundled(df, text), text, {"_fp": "long", "h": "long", "g": "long", "_bands": "binary"}, _marks, 4_000_000)
-    stored = materialise(stored.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    stored = added(bundled(df, text), text, {"_fp": "long", "h": "long", "g": "long", "_bands": "binary"}, _marks, 4_000_000).withColumn("_row", F.monotonically_increasing_id())
+    stored = stored.withColumns({"_part": F.shiftright("_row", PART_BITS), "_seq": F.col("_row").bitwiseAND((1 << PART_BITS) - 1).cast("int")})
+    stored = bucketed(stored, "near_rows", max(1, df.rdd.getNumPartitions()), "_part")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_least")
     distinct = stored.groupBy("h", "g").agg(least, F.first("_fp").alias("_fp"), F.first("_bands").alias("_bands")).drop("h", "g")
-    distinct = materialise(distinct.withColumn("h", F.monotonically_increasing_id()), "near-texts")
+    distinct = materialise(distinct.withColumn("h", F.col("_least._row")), "near-texts")
     linked = components(alike_links(stored, distinct, text, distance, segments), "near")
     of = distinct.select("h", "_least").join(materialise(linked, "near-classes").withColumnRenamed("node", "h"), "h", "left")
     stay = of.groupBy(F.coalesce("component", "h")).agg(F.min("_least").alias("m")).select(F.col("m._row").alias("_row"))
-    return unbundled(stored.join(materialise(stay, "near-stay"), "_row", "left_semi"), df.columns, text)
+    return unbundled(_at(stored, materialise(stay, "near-stay")), df.columns, text)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,6 +314,40 @@ def test_op6_stage_keeps_texts_of_one_template(spark):
     assert _kept_ids(spark, texts) == list(range(14))
 
 
+def _shuffled(plan):
+    """What the plan scans below an exchange."""
+    lines, depth, under = plan.splitlines(), [], []
+    for line in lines:
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = [d for d in depth if d < at]
+        if "FileScan" in line and depth:
+            under.append(line)
+        if re.search(r"\bExchange ", line):
+            depth.append(at)
+    return under
+
+
+def test_op6_stage_shuffles_no_texts(spark, monkeypatch):
+    """Neither for the words of candidates nor for the rows that stay, though no table is small enough to be broadcast."""
+    common.workers_find_library(spark)
+    r = random.Random(14)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[3] + " end", texts[5]])), "doc_id long, text string").repartition(3)
+    plans, write = {}, simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = simhash.without_near_copies(df)
+        plans["kept"] = left._jdf.queryExecution().executedPlan().toString()
+        assert sorted(x.doc_id for x in left.collect()) == list(range(30))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for name in ("near-words", "kept"):
+        scans = _shuffled(plans[name])
+        assert scans and not [x for x in scans if re.search(r"\btext#", x)], name
+
+
 def test_op6_links_of_a_dense_group_are_few_and_connect(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 64)
     r = np.random.default_rng(1)
