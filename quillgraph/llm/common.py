@@ -90,7 +90,7 @@ def _writing(spark: SparkSession):  # noqa: ANN202
     order of bucketed tables is used; and batches that go to Python workers are bounded by bytes, not only by rows."""
     return _set(
         spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__legacy__bucketedTableScan__outputOrdering="true",
-        spark__sql__execution__arrow__maxBytesPerBatch=f"{8 << 20}b",
+        spark__sql__execution__arrow__maxBytesPerBatch=f"{4 << 20}b",
     )
 
 
@@ -303,7 +303,8 @@ def bucketed_table(df: DataFrame, name: str, buckets: int, *keys: str, ordered:
     if root is None:
         _made.append((spark, path, table))
     writer = df.write.bucketBy(buckets, *keys)
-    with _writing(spark):
+    # a task whose rows fall into few buckets has a writer for each, and does not sort its rows (texts) by bucket
+    with _writing(spark), _set(spark, spark__sql__maxConcurrentOutputFileWriters="4"):
         (writer.sortBy(*keys) if ordered else writer).option("path", path).saveAsTable(table)
     return spark.table(table), table, path
 
