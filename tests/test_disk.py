@@ -50,6 +50,42 @@ def test_best_of_a_batch_are_those_of_all_scores(spark, monkeypatch):
     assert shown(got) == shown(want) and len(want) == 25
 
 
+def test_a_batch_passes_on_its_best_alone(spark, monkeypatch):
+    """However many parts the records fall into, no more than ``limit`` rows of a query leave the tasks that add up its scores."""
+    workers_find_library(spark)
+    monkeypatch.setattr(keyword, "FOUND", 40)
+    index = keyword.keyword_index(_docs(spark, 200), ["text"])
+    asked = spark.createDataFrame(list(enumerate(["alpha", "alpha beta rare", "foo foo bar", "of_the"])), "qid long, query string")
+    best = keyword.bm25_best(index, asked, {"text": 1.0}, 5).groupBy("qid").count().collect()
+    assert {x["count"] for x in best} == {5} and len(best) == 4
+
+
+@pytest.mark.parametrize("docs", ["alpha beta of the", "Älpha BETA été of_the, naïve x", ""])
+def test_an_index_of_asked_terms_scores_as_a_whole_one(spark, docs):
+    """Accents, phrases, repeated words, records without a token; terms that nothing asks for are not kept."""
+    workers_find_library(spark)
+    rows = _docs(spark, 50).unionByName(_docs(spark, 1).withColumn("uid", F.lit("x")).withColumn("ordinal", F.lit(99).cast("long")).withColumn("text", F.lit(docs)))
+    asked = spark.createDataFrame(list(enumerate(["alpha", "alpha été rare", "foo foo naïve", "of_the", "none", ""])), "qid long, query string")
+    whole, index = keyword.keyword_index(rows, ["text"]), keyword.asked_index(rows, ["text"], asked)
+    assert (index.n_docs, index.total_len) == (whole.n_docs, whole.total_len)
+    assert index.blocks.where("term in ('beta', 'delta', 'gamma')").count() < whole.counts.where("term in ('beta', 'delta', 'gamma')").count()
+    shown = lambda of: sorted((x.qid, x.uid, x.ordinal, round(x.score, 9)) for x in keyword.bm25_best(of, asked, {"text": 1.0}, 7).collect())
+    assert shown(index) == shown(whole) and len(shown(index)) > 20
+
+
+def test_a_batch_builds_no_store(spark, monkeypatch):
+    """Without a stored index the batch search reads the terms it asks for; with one, it reads that. The same rows."""
+    from quillgraph import registry
+    from quillgraph.sources import corpora
+
+    rows = lambda: sorted(map(tuple, registry.QUERIES["batch_search"](spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(corpora, "_stores", {})
+    direct = rows()
+    assert not corpora._stores and direct
+    corpora.document_store(spark, "/root/testdata/sf0.001")
+    assert rows() == direct
+
+
 def test_a_refresh_writes_changed_records_alone(spark, tmp_path, monkeypatch):
     """A build makes no copy of its records; a refresh keeps texts of changed ones only, and deletes what it kept."""
     workers_find_library(spark)
